@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .quality import quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_exact_dedup": op6_exact_dedup}
+    found = (op6_exact_dedup, op10_quality_rules)
+    return {f.__name__: f for f in found}
 
 
 OP6_SQL = r"""
@@ -34,5 +40,42 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS rid,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), g AS (
+  SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM w, unnest(range(1, len(words) - 1)) AS r(i)
+), c AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g
+), p AS (
+  SELECT rid, count(DISTINCT i + o) AS n FROM c, (VALUES (0), (1), (2)) AS v(o) WHERE n > 1 GROUP BY rid
+), f AS (
+  SELECT doc_id, source, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN p USING (rid)
+), e AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         (10 * n_symbols > n_words)::BIGINT + (10 * n_dup_lines > 3 * n_lines)::BIGINT
+         + (word_chars < 3 * n_words OR word_chars > 10 * n_words)::BIGINT AS n_soft
+  FROM f
+), h AS (
+  SELECT source, count(*) AS docs, count(*) FILTER (base_failed OR n_soft > 0) AS failed FROM e GROUP BY source
+), m AS (
+  SELECT avg(failed::DOUBLE / docs) AS m, var_pop(failed::DOUBLE / docs) AS v FROM h
+), k AS (
+  SELECT m, CASE WHEN v <= 0 THEN 10000.0::DOUBLE ELSE greatest(1.0::DOUBLE, least(10000.0::DOUBLE, m * (1 - m) / v - 1)) END AS k FROM m
+), r AS (
+  SELECT source, round((failed + m * k) / (docs + k), 9) AS host_rate FROM h, k
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (n_soft >= 2 OR (host_rate > 0.5 AND n_soft >= 1)) AS kept, n_soft, host_rate
+FROM e JOIN r ON e.source IS NOT DISTINCT FROM r.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op10_quality_rules": OP10_SQL}
