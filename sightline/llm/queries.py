@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .quality import quality_rules
+from .secrets import ACCESS, ALLOWED, ASSIGN, CANDIDATE, CLASSES, HEX, WINDOW, secret_digest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +19,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op6_exact_dedup, op10_quality_rules)
+    found = (op6_exact_dedup, op9_secret_scan, op10_quality_rules)
     return {f.__name__: f for f in found}
 
 
@@ -40,6 +45,47 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _places_sql(kind: int, pattern: str, group: int = 0) -> str:
+    """Rows (rid, start, kind, end, match) of a pattern's matches, with the length of its group where one is given."""
+    return f"""
+  SELECT rid, kind, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s,
+         length(m[i]) AS n, m[i] AS match, length(g[i]) AS group_len
+  FROM (SELECT rid, {kind} AS kind, regexp_extract_all(text, {_text(pattern)}) AS m, regexp_extract_all(text, {_text(pattern)}, {group}) AS g,
+               regexp_split_to_array(text, {_text(pattern)}) AS p FROM d WHERE regexp_matches(text, {_text(pattern)})), unnest(range(1, len(m) + 1)) AS r(i)"""
+
+
+OP9_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), base AS ({_places_sql(0, ASSIGN, 1)} UNION ALL {_places_sql(1, ACCESS)} UNION ALL {_places_sql(2, HEX)}
+), b AS (SELECT rid, kind, s, s + n AS e FROM base WHERE kind > 0 OR group_len >= 6
+), cand AS ({_places_sql(3, CANDIDATE)}
+), c AS (
+  SELECT * FROM cand WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.rid = cand.rid AND b.s <= cand.s AND b.e >= cand.s + cand.n)
+    AND NOT ({" OR ".join(f"regexp_matches(match, {_text(a)})" for a in ALLOWED)})
+), chars AS (
+  SELECT rid, s, n, match, w, substr(match, w + o, 1) AS ch FROM c, unnest(range(1, n - {WINDOW} + 2)) AS x(w), range({WINDOW}) AS y(o)
+), counts AS (SELECT rid, s, n, match, w, ch, count(*) AS k FROM chars GROUP BY ALL
+), entropy AS (SELECT rid, s, n, match, w, log2({WINDOW}) - sum(k * log2(k)) / {WINDOW} AS h FROM counts GROUP BY ALL
+), best AS (SELECT rid, s, n, match, max(h) AS h FROM entropy GROUP BY ALL
+), hits AS (
+  SELECT rid, 3 AS kind, s, s + n AS e FROM best
+  WHERE h + 1e-9 >= CASE {" ".join(f"WHEN regexp_matches(match, {_text(r)}) THEN {least}" for _, r, least in CLASSES)} END
+), spans AS (
+  SELECT *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || s || ':' || e AS x FROM (SELECT * FROM b UNION ALL SELECT * FROM hits)
+), per AS (
+  SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_entropy,
+         string_agg(x, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(x, ',' ORDER BY s, kind) AS spans
+  FROM spans GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy
+FROM d LEFT JOIN per USING (rid)
+"""
+
 OP10_SQL = r"""
 WITH w AS (
   SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS rid,
@@ -78,4 +124,4 @@ FROM e JOIN r ON e.source IS NOT DISTINCT FROM r.source
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op9_secret_scan": OP9_SQL, "op10_quality_rules": OP10_SQL}
