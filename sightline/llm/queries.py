@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .licenses import license_scan
 from .quality import quality_rules
 from .secrets import ACCESS, ALLOWED, ASSIGN, CANDIDATE, CLASSES, HEX, WINDOW, secret_digest
 
@@ -15,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -28,7 +33,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op6_exact_dedup, op9_secret_scan, op10_quality_rules)
+    found = (op2_license_scan, op6_exact_dedup, op9_secret_scan, op10_quality_rules)
     return {f.__name__: f for f in found}
 
 
