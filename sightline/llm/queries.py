@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .licenses import license_scan
+from .near_dup import Settings, near_dup
 from .quality import quality_rules
 from .secrets import ACCESS, ALLOWED, ASSIGN, CANDIDATE, CLASSES, HEX, WINDOW, secret_digest
 
@@ -24,6 +25,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup(table(spark, sf_dir, "documents"), settings=Settings(words=3, num=85))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -33,7 +38,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_license_scan, op6_exact_dedup, op9_secret_scan, op10_quality_rules)
+    found = (op2_license_scan, op6_exact_dedup, op7_minhash_near_dup, op9_secret_scan, op10_quality_rules)
     return {f.__name__: f for f in found}
 
 
