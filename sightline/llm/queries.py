@@ -11,6 +11,7 @@ from .licenses import license_scan
 from .near_dup import Settings, near_dup
 from .quality import quality_rules
 from .secrets import ACCESS, ALLOWED, ASSIGN, CANDIDATE, CLASSES, HEX, WINDOW, secret_digest
+from .substrings import substring_digest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,10 @@ def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup(table(spark, sf_dir, "documents"), settings=Settings(words=3, num=85))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -38,7 +43,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_license_scan, op6_exact_dedup, op7_minhash_near_dup, op9_secret_scan, op10_quality_rules)
+    found = (op2_license_scan, op6_exact_dedup, op7_minhash_near_dup, op8_suffix_dedup, op9_secret_scan, op10_quality_rules)
     return {f.__name__: f for f in found}
 
 
