@@ -11,6 +11,7 @@ from .licenses import license_scan
 from .near_dup import Settings, near_dup
 from .quality import quality_rules
 from .secrets import ACCESS, ALLOWED, ASSIGN, CANDIDATE, CLASSES, HEX, WINDOW, secret_digest
+from .sentencepieces import pieces_and_back
 from .substrings import substring_digest
 
 
@@ -18,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_and_back(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_license_scan, op6_exact_dedup, op7_minhash_near_dup, op8_suffix_dedup, op9_secret_scan, op10_quality_rules)
+    found = (op1_sentencepiece, op2_license_scan, op6_exact_dedup, op7_minhash_near_dup, op8_suffix_dedup, op9_secret_scan, op10_quality_rules)
     return {f.__name__: f for f in found}
 
 
