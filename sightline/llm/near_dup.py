@@ -54,7 +54,9 @@ class Settings:
         return math.ceil(self.bits / 2 * (1 - math.exp(-2 * differing / self.bits)) + 3 * math.sqrt(self.bits) / 4)
 
 
-def _sign(settings: Settings):
+def sign(settings: Settings):
+    """Of rows (id, text) the set size, set digest, band keys and odd sketch; without words, no digest and no keys."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -172,7 +174,7 @@ def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialise(docs.join(bounded_broadcast(ids), "id", "left_semi"), "texts")
 
 
-def _apart(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+def apart(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
     """``rows`` with the component of each named column's node as comp_<column>; a node without a link is its own."""
     for c in columns:
         one = labels.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
@@ -180,24 +182,17 @@ def _apart(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
     return rows
 
 
-def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """``id_col, n_shingles, component_id, kept``: one row per input row.
+def bucketed(members: DataFrame) -> DataFrame:
+    """Of rows (key, rep) those in buckets with different members, with the bucket's smallest one as ``low``."""
+    shared = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
+    return materialise(members.join(shared, "key"), "buckets")
 
-    Null texts and texts without words have the empty set and are linked with nothing; a text of fewer words than a
-    shingle has its whole sequence as its only one. Rows that share an id are one node. A row with a null id joins the
-    class of its set but cannot represent it: without another member its component is null. An empty table gives an empty
-    result; other columns are ignored.
-    """
-    own = fresh(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
-    signed = materialise(own.mapInArrow(_sign(settings), "id long, n long, digest binary, bands array<long>, sketch array<long>"), "signed")
-    classes = materialise(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    heads = signed.join(classes, (signed["id"] == classes["rep"]) & (signed["digest"] == classes["digest"])).select("rep", "n", "bands", "sketch")
-    info = heads.select("rep", "n", "sketch").dropDuplicates(["rep", "n"])
 
-    members = heads.select(F.explode("bands").alias("key"), "rep")
-    shared = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
-    buckets = materialise(members.join(shared, "key"), "buckets")
+def linked(buckets: DataFrame, info: DataFrame, own: DataFrame, settings: Settings) -> DataFrame:
+    """``node, comp`` of all linked representatives.
 
+    ``info`` has (rep, n, sketch) and ``own`` (id, text) of at least the buckets' members.
+    """
     stars = buckets.where("rep <> low").groupBy(F.col("low").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("bands"))
     stars = materialise(_plausible(stars, info, settings), "stars")
     texts = _texts(own, stars)
@@ -205,11 +200,11 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     links = materialise(_links(first, texts, settings), "links")
     labels = materialise(components(links, "a", "b"), "labels")
 
-    second = _apart(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), labels, "a", "b").where("comp_a <> comp_b")
+    second = apart(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), labels, "a", "b").where("comp_a <> comp_b")
     links = materialise(links.union(_links(second, texts, settings)), "links")
     labels = materialise(components(links, "a", "b"), "labels")
 
-    placed = _apart(buckets.select("key", "rep"), labels, "rep").withColumnRenamed("comp_rep", "comp")
+    placed = apart(buckets.select("key", "rep"), labels, "rep").withColumnRenamed("comp_rep", "comp")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x < y").select("key", F.ceil(F.col("m") / settings.block).alias("chunks"))
     rest = placed.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
     rest = rest.join(info, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
@@ -217,9 +212,25 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     third = materialise(rest.mapInArrow(_compare(settings), "a long, b long").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "third")
     links = materialise(links.union(_links(third, _texts(own, third), settings)), "links")
-    labels = materialise(components(links, "a", "b"), "labels")
+    return materialise(components(links, "a", "b"), "labels")
+
+
+def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """``id_col, n_shingles, component_id, kept``: one row per input row.
+
+    Null texts and texts without words have the empty set and are linked with nothing; a text of fewer words than a
+    shingle has its whole sequence as its only one. Rows that share an id are one node. A row with a null id joins the
+    class of its set but cannot represent it: without another member its component is null. An empty table gives an empty
+    result; other columns are ignored.
+    """
+    own = fresh(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
+    signed = materialise(own.mapInArrow(sign(settings), "id long, n long, digest binary, bands array<long>, sketch array<long>"), "signed")
+    classes = materialise(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    heads = signed.join(classes, (signed["id"] == classes["rep"]) & (signed["digest"] == classes["digest"])).select("rep", "n", "bands", "sketch")
+    info = heads.select("rep", "n", "sketch").dropDuplicates(["rep", "n"])
 
-    class_labels = _apart(classes, labels, "rep").select("digest", F.col("comp_rep").alias("component_id"))
+    labels = linked(bucketed(heads.select(F.explode("bands").alias("key"), "rep")), info, own, settings)
+    class_labels = apart(classes, labels, "rep").select("digest", F.col("comp_rep").alias("component_id"))
     rows = signed.select("id", "n", "digest")
     known = rows.where("digest IS NOT NULL").join(class_labels, "digest").select("id", "n", "component_id")
     bare = rows.where("digest IS NULL").select("id", "n", F.col("id").alias("component_id"))
