@@ -97,3 +97,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.lower(F.hex("d.digest")).alias("text_sha256"),
         )
     )
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that lose in :func:`exact_dedup`, and with one of each set of fully repeated rows.
+
+    Verdicts are matched by id (null-safely) and digest; texts are shuffled only where the losers are too many to broadcast.
+    """
+    verdicts = materialise(exact_dedup(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("v_id"), F.unhex("text_sha256").alias("v_digest"), "kept"), "verdicts")
+    losers = materialise(verdicts.where("NOT kept").select("v_id", "v_digest").distinct(), "losers")
+    twice = materialise(verdicts.where("kept").groupBy("v_id", "v_digest").count().where("count > 1").select("v_id", "v_digest"), "twice")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.unhex(F.sha2(stripped(F.col(f"`{text_col}`")).cast("binary"), 256)).alias("digest"))
+    same = F.col("id").eqNullSafe(F.col("v_id")) & (F.col("digest") == F.col("v_digest"))
+    kept = rows.join(bounded_broadcast(losers), same, "left_anti")
+    few = bounded_broadcast(twice)
+    return kept.join(few, same, "left_anti").select("row.*").union(kept.join(few, same, "left_semi").dropDuplicates(["id", "digest"]).select("row.*"))

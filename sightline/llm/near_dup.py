@@ -235,3 +235,10 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     known = rows.where("digest IS NOT NULL").join(class_labels, "digest").select("id", "n", "component_id")
     bare = rows.where("digest IS NULL").select("id", "n", F.col("id").alias("component_id"))
     return known.union(bare).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest id; rows without an id stay."""
+    verdicts = near_dup(docs, id_col, text_col, settings)
+    losers = materialise(verdicts.where(f"NOT kept AND `{id_col}` IS NOT NULL").select(F.col(f"`{id_col}`").alias("loser")).distinct(), "losers")
+    return docs.join(bounded_broadcast(losers), docs[f"`{id_col}`"].cast("long") == losers["loser"], "left_anti")

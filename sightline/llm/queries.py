@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .licenses import license_scan
 from .lines import line_dedup
+from .mixing import Settings as MixSettings, mix_report
 from .near_dup import Settings, near_dup
 from .paragraphs import paragraph_dedup
 from .quality import quality_rules
@@ -29,6 +30,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sentencepiece, op2_license_scan, op4_line_dedup, op5_paragraph_dedup, op6_exact_dedup, op7_minhash_near_dup, op8_suffix_dedup, op9_secret_scan, op10_quality_rules)
+    found = (op1_sentencepiece, op2_license_scan, op3_source_mixing, op4_line_dedup, op5_paragraph_dedup, op6_exact_dedup, op7_minhash_near_dup, op8_suffix_dedup, op9_secret_scan, op10_quality_rules)
     return {f.__name__: f for f in found}
 
 
@@ -75,6 +80,43 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+def _mixing_sql() -> str:
+    """The raking and capping rounds of op3, unrolled."""
+    s, margins = MixSettings(), ("source", "lang", "topic")
+    steps = []
+    for m, p in zip(margins, s.powers):
+        steps.append(f"t_{m} AS MATERIALIZED (SELECT {m}, pow(sum(tokens)::DOUBLE, {p}) / sum(pow(sum(tokens)::DOUBLE, {p})) OVER () AS share FROM cells GROUP BY {m} HAVING sum(tokens) > 0)")
+    before = "cells"
+    for r in range(s.rounds):
+        for m in margins:
+            after = f"r{r}_{m}"
+            steps.append(
+                f"{after} AS MATERIALIZED (SELECT source, lang, topic, tokens, weight * coalesce(share * n.t / nullif(sum(tokens * weight) OVER (PARTITION BY {m}), 0), 0) AS weight"
+                f" FROM {before} LEFT JOIN t_{m} USING ({m}), n)"
+            )
+            before = after
+    steps.append(f"c0 AS (SELECT {s.share} * sum(tokens) / sum(tokens * weight) AS scale FROM {before})")
+    for k in range(1, s.caps):
+        steps.append(
+            f"c{k} AS MATERIALIZED (SELECT coalesce(greatest(0, {s.share} * sum(tokens) - coalesce(sum(tokens) FILTER (weight * scale >= 1), 0)) / sum(tokens * weight) FILTER (weight * scale < 1), max(scale)) AS scale FROM {before}, c{k - 1})"
+        )
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS text, length(coalesce(text, '')) AS size FROM documents
+), placed AS (
+  SELECT doc_id, source, lang,
+         CASE WHEN 40 * (size - length(replace(text, '|', ''))) > size THEN 'table' WHEN 3 * (size - length(regexp_replace(text, '[A-Z]+', '', 'g'))) > size THEN 'shouting'
+              WHEN size < 600 THEN 'short' WHEN size > 6000 THEN 'long' ELSE 'prose' END AS topic,
+         len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS tokens,
+         ('0x' || left(md5('{s.seed}:' || coalesce(doc_id::VARCHAR, 'null')), 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
+  FROM d
+), cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens, 1.0::DOUBLE AS weight FROM placed GROUP BY ALL
+), n AS (SELECT sum(tokens)::DOUBLE AS t FROM cells), {", ".join(steps)},
+p AS (SELECT source, lang, topic, round(least(1.0::DOUBLE, weight * scale), 9) AS probability FROM {before}, c{s.caps - 1})
+SELECT doc_id, source, lang, topic, tokens, round(probability, 6) AS probability, draw < probability AS sampled FROM placed JOIN p USING (source, lang, topic)
+""".replace("\\\\", "\\")
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -154,4 +196,4 @@ FROM e JOIN r ON e.source IS NOT DISTINCT FROM r.source
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op9_secret_scan": OP9_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op3_source_mixing": _mixing_sql(), "op6_exact_dedup": OP6_SQL, "op9_secret_scan": OP9_SQL, "op10_quality_rules": OP10_SQL}
