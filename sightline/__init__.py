@@ -1,0 +1 @@
+"""Multimodal retrieval analytics over long recordings, as Spark DataFrame plans."""
