@@ -8,8 +8,9 @@
    and the sketch test (several standard errors below the limit, so that no true link is lost), and are confirmed by the
    exact Jaccard similarity of the full sets. Components follow from the confirmed links.
 4. Remainder: in buckets that still hold several components, members of different components are compared by sketch in
-   blocks of bounded size; what survives is confirmed in the same way. So all colliding pairs are either compared or
-   already known to be connected, and no bucket's pairs are ever all emitted.
+   blocks of bounded size, each pair in the first bucket it shares. Members that may have a partner get their texts, and the
+   blocks are compared again by exact similarity, emitting only links that connect components. So all colliding pairs are
+   compared or already known to be connected, and pairs themselves are never emitted.
 """
 
 from __future__ import annotations
@@ -101,52 +102,115 @@ def _confirm(settings: Settings):
     return run
 
 
-def _compare(settings: Settings):
-    """Of rows sorted by (key, i, j), pairs of different components within a block pair that pass the size and sketch tests."""
+_ROW = "key long, i long, j long, chunk long, rep long, comp long"
 
-    def pairs(block: np.ndarray) -> Iterator[np.ndarray]:
-        key_i, key_j = block["i"][0], block["j"][0]
-        left = block if key_i == key_j else block[block["chunk"] == key_i]
-        right = block if key_i == key_j else block[block["chunk"] == key_j]
+
+class _Group:
+    """The rows of one block pair of a bucket: two blocks of its members, or twice the same."""
+
+    def __init__(self, table, settings: Settings) -> None:
+        self.table, self.settings = table, settings
+        for name in ("rep", "comp", "n", "chunk"):
+            setattr(self, name, table.column(name).to_numpy())
+        self.key, self.i, self.j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
+        self.sketch, self.bands = (table.column(c).combine_chunks().flatten().to_numpy().reshape(len(self.rep), -1) for c in ("sketch", "bands"))
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions of members of different components that may reach the limit and share no earlier bucket."""
+        s, same = self.settings, self.i == self.j
+        left, right = np.flatnonzero(self.chunk == self.i), np.flatnonzero(self.chunk == self.j)
+        band = int(np.flatnonzero(self.bands[left[0]] == self.key)[0]) if len(left) else 0
         for at in range(0, len(left), 128):
-            part = left[at : at + 128]
-            near = np.bitwise_count(part["sketch"][:, None, :] ^ right["sketch"][None, :, :]).sum(axis=2) <= settings.max_ones
-            near &= part["comp"][:, None] != right["comp"][None, :]
-            n, m = part["n"][:, None], right["n"][None, :]
-            near &= settings.den * np.minimum(n, m) >= settings.num * np.maximum(n, m)
-            if key_i == key_j:
-                near &= part["rep"][:, None] < right["rep"][None, :]
-            x, y = np.nonzero(near)
-            if len(x):
-                a, b = part["rep"][x], right["rep"][y]
-                yield np.stack([np.minimum(a, b), np.maximum(a, b)])
+            x = left[at : at + 128]
+            near = self.comp[x, None] != self.comp[None, right]
+            near &= s.den * np.minimum(self.n[x, None], self.n[None, right]) >= s.num * np.maximum(self.n[x, None], self.n[None, right])
+            if same:
+                near &= self.rep[x, None] < self.rep[None, right]
+            row, col = np.nonzero(near)
+            for part in range(0, len(row), 65536):
+                a, b = x[row[part : part + 65536]], right[col[part : part + 65536]]
+                keep = np.bitwise_count(self.sketch[a] ^ self.sketch[b]).sum(axis=1) <= s.max_ones
+                a, b = a[keep], b[keep]
+                first = ~(self.bands[a, :band] == self.bands[b, :band]).any(axis=1)
+                if first.any():
+                    yield a[first], b[first]
+
+    def links(self) -> list[tuple[int, int]]:
+        """Confirmed links that connect the components, no more than there are members."""
+        data, offsets = sh.buffer_of(self.table.column("text").combine_chunks())
+        sets = sh.distinct(*sh.shingles(data, offsets, self.settings.words))
+        _, places = np.unique(np.concatenate(sets), return_inverse=True)
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        mark = np.zeros(places.max(initial=0) + 1, np.bool_)
+        root = {c: c for c in self.comp.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for xs, ys in self.pairs():
+            for x in np.unique(xs).tolist():
+                others = [y for y in ys[xs == x].tolist() if find(int(self.comp[x])) != find(int(self.comp[y]))]
+                if not others:
+                    continue
+                own = places[bounds[x] : bounds[x + 1]]
+                mark[own] = True
+                both = [int(np.count_nonzero(mark[places[bounds[y] : bounds[y + 1]]])) for y in others]
+                mark[own] = False
+                for y, k in zip(others, both):
+                    if self.settings.den * k >= self.settings.num * (len(own) + int(bounds[y + 1] - bounds[y]) - k):
+                        a, b = find(int(self.comp[x])), find(int(self.comp[y]))
+                        if a != b:
+                            root[max(a, b)] = min(a, b)
+                            out.append((int(self.rep[x]), int(self.rep[y])))
+        return out
+
+
+def _groups(batches: Iterator, settings: Settings) -> Iterator[_Group]:
+    """The block pairs of rows sorted by (key, i, j)."""
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        if not table.num_rows:
+            continue
+        where = [table.column(c).to_numpy() for c in ("key", "i", "j")]
+        cuts = [0, *(np.flatnonzero(np.logical_or.reduce([np.diff(w) != 0 for w in where])) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a > 1:
+                yield _Group(table.slice(a, b - a), settings)
+        held = table.slice(cuts[-1])
+    if held is not None and held.num_rows > 1:
+        yield _Group(held, settings)
+
+
+def _unsure(settings: Settings):
+    """The rows that have a partner which may reach the limit."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for group in _groups(batches, settings):
+            found = [np.concatenate(p) for p in group.pairs()]
+            if found:
+                yield group.table.select([c.split()[0] for c in _ROW.split(", ")]).take(pa.array(np.unique(np.concatenate(found)))).combine_chunks().to_batches()[0]
+
+    return run
+
+
+def _settle(settings: Settings):
+    """The confirmed links among the rows that are unsure."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kind = np.dtype([("key", np.int64), ("i", np.int64), ("j", np.int64), ("chunk", np.int64), ("rep", np.int64), ("comp", np.int64), ("n", np.int64), ("sketch", np.uint64, (settings.bits // 64,))])
-        rest = np.empty(0, kind)
-
-        def closed(rows: np.ndarray) -> Iterator:
-            changes = np.flatnonzero((np.diff(rows["key"]) != 0) | (np.diff(rows["i"]) != 0) | (np.diff(rows["j"]) != 0)) + 1
-            out = [p for part in np.split(rows, changes) if len(part) > 1 for p in pairs(part)]
-            if out:
-                both = np.unique(np.concatenate(out, axis=1), axis=1)
-                yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-
-        for batch in batches:
-            rows = np.empty(batch.num_rows, kind)
-            for at, name in enumerate(kind.names[:-1]):
-                rows[name] = batch.column(at).to_numpy(zero_copy_only=False)
-            rows["sketch"] = batch.column(len(kind.names) - 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(rows), -1)
-            rows = np.concatenate([rest, rows])
-            if not len(rows):
-                continue
-            last = (rows["key"] == rows["key"][-1]) & (rows["i"] == rows["i"][-1]) & (rows["j"] == rows["j"][-1])
-            cut = len(rows) - int(last.sum())
-            yield from closed(rows[:cut])
-            rest = rows[cut:]
-        yield from closed(rest)
+        for group in _groups(batches, settings):
+            if found := group.links():
+                yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -191,28 +255,31 @@ def bucketed(members: DataFrame) -> DataFrame:
 def linked(buckets: DataFrame, info: DataFrame, own: DataFrame, settings: Settings) -> DataFrame:
     """``node, comp`` of all linked representatives.
 
-    ``info`` has (rep, n, sketch) and ``own`` (id, text) of at least the buckets' members.
+    ``info`` has (rep, n, sketch, bands) and ``own`` (id, text) of at least the buckets' members.
     """
     stars = buckets.where("rep <> low").groupBy(F.col("low").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("bands"))
     stars = materialise(_plausible(stars, info, settings), "stars")
     texts = _texts(own, stars)
     first = stars.groupBy("b").agg(F.max(F.struct("bands", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
     links = materialise(_links(first, texts, settings), "links")
-    labels = materialise(components(links, "a", "b"), "labels")
+    labels = components(links, "a", "b")
 
     second = apart(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), labels, "a", "b").where("comp_a <> comp_b")
     links = materialise(links.union(_links(second, texts, settings)), "links")
-    labels = materialise(components(links, "a", "b"), "labels")
+    labels = components(links, "a", "b")
 
     placed = apart(buckets.select("key", "rep"), labels, "rep").withColumnRenamed("comp_rep", "comp")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x < y").select("key", F.ceil(F.col("m") / settings.block).alias("chunks"))
     rest = placed.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
     rest = rest.join(info, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    rest = rest.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "comp", "n", "sketch")
+    rest = rest.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "comp", "n", "sketch", "bands")
     rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    third = materialise(rest.mapInArrow(_compare(settings), "a long, b long").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "third")
-    links = materialise(links.union(_links(third, _texts(own, third), settings)), "links")
-    return materialise(components(links, "a", "b"), "labels")
+    unsure = materialise(rest.mapInArrow(_unsure(settings), _ROW), "unsure")
+    ids = materialise(unsure.select(F.col("rep").alias("id")).distinct(), "needed")
+    texts = own.join(bounded_broadcast(ids), "id", "left_semi").select(F.col("id").alias("rep"), "text")
+    full = unsure.join(info, "rep").join(texts, "rep").select(*unsure.columns, "n", "sketch", "bands", "text")
+    third = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_settle(settings), "a long, b long")
+    return components(links.union(third), "a", "b")
 
 
 def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -227,7 +294,7 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     signed = materialise(own.mapInArrow(sign(settings), "id long, n long, digest binary, bands array<long>, sketch array<long>"), "signed")
     classes = materialise(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     heads = signed.join(classes, (signed["id"] == classes["rep"]) & (signed["digest"] == classes["digest"])).select("rep", "n", "bands", "sketch")
-    info = heads.select("rep", "n", "sketch").dropDuplicates(["rep", "n"])
+    info = heads.dropDuplicates(["rep", "n"])
 
     labels = linked(bucketed(heads.select(F.explode("bands").alias("key"), "rep")), info, own, settings)
     class_labels = apart(classes, labels, "rep").select("digest", F.col("comp_rep").alias("component_id"))

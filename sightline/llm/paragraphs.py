@@ -157,7 +157,7 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read = own.alias("d").join(bounded_broadcast(wanted, 50_000).hint("shuffle_hash").alias("w"), _same("d", "w")).select("text", "wanted")
     texts = materialise(read.mapInArrow(_take, "id long, text string").dropDuplicates(["id"]), "texts")
     signed = texts.mapInArrow(near_dup.sign(near), "id long, n long, digest binary, bands array<long>, sketch array<long>")
-    info = materialise(signed.select(F.col("id").alias("rep"), "n", "sketch"), "info")
+    info = materialise(signed.select(F.col("id").alias("rep"), "n", "sketch", "bands"), "info")
     labels = near_dup.linked(buckets, info, texts, near)
 
     counts = units.groupBy("rep").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "start")).alias("first"))
