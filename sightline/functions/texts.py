@@ -12,6 +12,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def choice_letter(reply: Column) -> Column:
@@ -97,7 +98,7 @@ def repair_json(reply: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repaired_json(replies: pd.Series) -> pd.Series:
     return replies.map(repair_json)
 
@@ -135,11 +136,11 @@ def bleu(candidate: str, reference: str) -> float:
     return min(1.0, math.exp(1 - len(b) / len(a))) * math.exp(logs) if len(a) < len(b) else math.exp(logs)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_l_score(candidate: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series([rouge_l(a, b) for a, b in zip(candidate, reference)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def bleu_score(candidate: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series([bleu(a, b) for a, b in zip(candidate, reference)], dtype="float64")

@@ -20,7 +20,7 @@ def scored(candidates: DataFrame, queries: DataFrame, keys: list[str]) -> DataFr
     """
     q = queries.select("qid", "modality", *[k for k in keys if k not in ("qid", "modality")], F.col("vec").alias("q_vec"), F.col("norm").alias("q_norm"))
     joined = candidates.join(q, keys)
-    return joined.withColumn("score", cosine(F.col("vec"), F.col("q_vec"), F.col("norm"), F.col("q_norm"))).drop("vec", "norm", "q_vec", "q_norm")
+    return joined.withColumn("score", F.round(cosine(F.col("vec"), F.col("q_vec"), F.col("norm"), F.col("q_norm")), 12)).drop("vec", "norm", "q_vec", "q_norm")
 
 
 def top_videos(videos: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -29,12 +29,12 @@ def top_videos(videos: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_k(rrf(ranked, ["qid", "video"]), ["qid"], [F.desc("score"), F.asc("video")], k, "video_rank")
 
 
-def top_scenes(scenes: DataFrame, chosen: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``qid, video, ord, score, rank``: the k best scenes of each query's chosen videos (qid, video, video_rank).
+def top_scenes(scenes: DataFrame, chosen: DataFrame, queries: DataFrame, k: int, on: tuple[str, ...] = ("video",)) -> DataFrame:
+    """``qid, video, ord, score, rank``: the k best scenes of each query's chosen videos, or scenes (qid, *on, video_rank).
 
     In each video, the lists of 2k scenes of each modality are fused; ties of fused scores go by video rank and order.
     """
-    candidates = scenes.join(chosen.select("qid", "video", "video_rank"), "video")
+    candidates = scenes.join(chosen.select("qid", *on, "video_rank"), [*on])
     ranked = top_k(scored(candidates, queries, ["qid", "modality"]), ["qid", "video", "modality"], [F.desc("score"), F.asc("ord")], 2 * k)
     fused = rrf(ranked, ["qid", "video", "video_rank", "ord"])
     return top_k(fused, ["qid"], [F.desc("score"), F.asc("video_rank"), F.asc("ord")], k)
