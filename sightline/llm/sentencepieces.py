@@ -25,7 +25,7 @@ from .shingles import mix, powers
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Words that a worker keeps encoded; when there are more, it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 _NONE = 1 << 40
 
@@ -94,6 +94,8 @@ class Vocabulary:
         keys = np.array([self._key(p) for p in order], np.uint64)
         place = np.argsort(keys, kind="stable")
         self.keys, self.numbers = keys[place], place.astype(np.int64)
+        self.maybe = np.zeros(1 << 20, np.bool_)
+        self.maybe[self.keys >> np.uint64(44)] = True
         self.outer = np.array([self.ids[p] for p in order], np.int64)
         self.values = np.array([self.scores[self.ids[p]] for p in order], np.float64)
         split = [(number[a], number[b]) if len(p) > 1 and (ab := whole[p][1]) and (a := ab[0]) in number and (b := ab[1]) in number else (k, k) for k, p in enumerate(order)]
@@ -108,9 +110,13 @@ class Vocabulary:
         return mix(_sums(_codes([piece]))[:, -1])[0]
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Inner numbers of the pieces with these keys, else -1."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.numbers[at], -1)
+        """Inner numbers of the pieces with these keys, else -1; a bitmap of the keys' first bits spares most searches."""
+        out = np.full(len(hashes), -1, np.int64)
+        hit = np.flatnonzero(self.maybe[hashes >> np.uint64(44)])
+        sought = hashes[hit]
+        at = np.minimum(np.searchsorted(self.keys, sought), len(self.keys) - 1)
+        out[hit] = np.where(self.keys[at] == sought, self.numbers[at], -1)
+        return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the text of piece a and then b leaves the two as they are.
@@ -136,8 +142,9 @@ class Vocabulary:
             live, a, b, limit = live[~done], a[~done], b[~done], limit[~done]
         return out
 
-    def viterbi(self, words: list[str]) -> list[list[int]]:
-        """Inner numbers of the pieces of words of equal length; -1 - code point for a character without a piece."""
+    def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Inner numbers of the pieces of words of equal length, and how many each has; -1 - code point for a character
+        without a piece."""
         codes = _codes(words)
         n, length = codes.shape
         sums, (_, down) = _sums(codes), powers(length + 1)
@@ -163,16 +170,16 @@ class Vocabulary:
             best[:, i] = np.where(lost, best[:, i - 1] - 1e6, top)
             last[:, i] = np.where(lost, -1, piece[rows, chosen])
             back[:, i] = lens[chosen]
-        out: list[list[int]] = [[] for _ in range(n)]
-        at, rows = np.full(n, length), np.arange(n)
+        found = np.full((n, length), _NONE, np.int64)
+        at, rows, column = np.full(n, length), np.arange(n), length
         while len(rows):
             number = last[rows, at]
-            number = np.where(number >= 0, number, -1 - codes[rows, at - 1].astype(np.int64))
-            for r, k in zip(rows.tolist(), number.tolist()):
-                out[r].append(k)
+            column -= 1
+            found[rows, column] = np.where(number >= 0, number, -1 - codes[rows, at - 1].astype(np.int64))
             at = at - back[rows, at]
             rows, at = rows[at > 0], at[at > 0]
-        return [x[::-1] for x in out]
+        some = found != _NONE
+        return found[some], some.sum(axis=1)
 
     def _pieces_out(self, numbers: list[int]) -> list[int]:
         out: list[int] = []
@@ -192,31 +199,58 @@ class Vocabulary:
         cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs), len(word)]
         return [word[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of each word; a word is a run of blanks, a line feed, or characters after blanks."""
-        plain: dict[str, list[str]] = {}
-        for w in words:
-            core = w.lstrip(BLANK)
-            if core:
-                plain[w] = self._sections(BLANK * (len(w) > len(core)) + core)
+    def _encode_plain(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words by length, their ids one after another, and how many each has; at most one blank, at a word's start."""
         by_length: dict[int, list[str]] = {}
-        for section in {s for parts in plain.values() for s in parts}:
-            by_length.setdefault(len(section), []).append(section)
-        found: dict[str, list[int]] = {}
+        for w in words:
+            by_length.setdefault(len(w), []).append(w)
+        order, ids, sizes = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for length, group in sorted(by_length.items()):
-            size = max(1, 400_000 // length)
-            for a in range(0, len(group), size):
-                found |= zip(group[a : a + size], map(self._pieces_out, self.viterbi(group[a : a + size])))
-        alone = self.ids.get(BLANK)
-        out = {}
+            rows = max(1, 400_000 // length)
+            for a in range(0, len(group), rows):
+                part = group[a : a + rows]
+                numbers, size = self.viterbi(part)
+                if (numbers < 0).any():
+                    ends = np.cumsum(size).tolist()
+                    lists = [self._pieces_out(numbers[e - k : e].tolist()) for e, k in zip(ends, size.tolist())]
+                    numbers, size = np.fromiter((i for x in lists for i in x), np.int64), np.array([len(x) for x in lists])
+                else:
+                    numbers = self.outer[numbers]
+                order += part
+                ids.append(numbers)
+                sizes.append(size)
+        return order, np.concatenate(ids), np.concatenate(sizes)
+
+    def encode_words(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in some order, their ids one after another, and how many each has.
+
+        A word is a run of blanks, a line feed, or characters after blanks; long ones and ones after several blanks are put
+        together from parts.
+        """
+        plain, made = [], {}
         for w in words:
-            blanks = len(w) - len(w.lstrip(BLANK))
-            ids = [i for s in plain.get(w, ()) for i in found[s]]
-            extra = blanks - 1 if ids else blanks
-            if self.kind == "bpe" and extra and ids and ids[0] == alone:
-                extra, ids = extra + 1, ids[1:]  # a blank that merges with nothing after it belongs to the run
-            out[w] = [self.ids.get(p, self.unknown) for p in self.merged(BLANK * extra)[0]] + ids if extra else ids
-        return out
+            if len(w) <= 24 and w[:2] != BLANK + BLANK and w != BLANK:
+                plain.append(w)
+            else:
+                core = w.lstrip(BLANK)
+                made[w] = self._sections(BLANK * (len(w) > len(core)) + core) if core else []
+        order, ids, sizes = self._encode_plain(plain)
+        if made:
+            names, flat, size = self._encode_plain(list({s for parts in made.values() for s in parts}))
+            ends = np.cumsum(size).tolist()
+            found = {s: flat[e - k : e].tolist() for s, e, k in zip(names, ends, size.tolist())}
+            alone, lists = self.ids.get(BLANK), []
+            for w, parts in made.items():
+                blanks = len(w) - len(w.lstrip(BLANK))
+                own = [i for s in parts for i in found[s]]
+                extra = max(0, blanks - 1) if own else blanks
+                if self.kind == "bpe" and extra and own and own[0] == alone:
+                    extra, own = extra + 1, own[1:]  # a blank that merges with nothing after it belongs to the run
+                lists.append([self.ids.get(p, self.unknown) for p in self.merged(BLANK * extra)[0]] + own if extra else own)
+            order = order + list(made)
+            ids = np.concatenate([ids, np.fromiter((i for x in lists for i in x), np.int64)])
+            sizes = np.concatenate([sizes, np.array([len(x) for x in lists], np.int64)])
+        return order, ids, sizes
 
     def piece_bytes(self) -> list[bytes]:
         table = [p.replace(BLANK, " ").encode() if self.ordinary[i] else b"" for i, p in enumerate(self.pieces)]
@@ -249,12 +283,10 @@ class _Cache:
             self.__init__(self.vocabulary)
             new = list(words)
         if new:
-            encoded = self.vocabulary.encode_words(new)
-            lists = [encoded[w] for w in new]
-            base = len(self.index)
-            self.index |= {w: base + k for k, w in enumerate(new)}
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in lists])])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in lists for i in x), np.int32)])
+            order, ids, sizes = self.vocabulary.encode_words(new)
+            self.index |= zip(order, range(len(self.index), len(self.index) + len(order)))
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+            self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
 
     def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids, and how many each has."""
@@ -264,18 +296,27 @@ class _Cache:
         return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)], size
 
 
+def _encoded(cache: _Cache, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts one after another, and each text's first (one more at the end)."""
+    words = [_WORDS.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+    all_words = [w for x in words for w in x]
+    cache.add(set(all_words))
+    ids, size = cache.ids(all_words)
+    return ids, np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, words)])]
+
+
+def _decoded(table: list[bytes], ids: list[int]) -> str:
+    return b"".join(map(table.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
+
+
 def _encode_batches(shared):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         cache = _Cache(shared.value)
         for whole in batches:
-            for batch in slices(whole, ["text"], 2_000_000):
-                texts = [(BLANK + t.replace(" ", BLANK)) if t else "" for t in batch.column(1).to_pylist()]
-                words = [_WORDS.findall(t) for t in texts]
-                cache.add({w for x in words for w in x})
-                ids, size = cache.ids([w for x in words for w in x])
-                ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, words)])]
+            for batch in slices(whole, ["text"], 1_000_000):
+                ids, ends = _encoded(cache, batch.column(1).to_pylist())
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], names=["id", "text", "pieces"])
 
     return run
@@ -287,15 +328,30 @@ def _decode_batches(shared):
 
         table = shared.value
         for batch in batches:
-            out = []
-            for ids in batch.column(2):
-                raw = b"".join(map(table.__getitem__, ids.values.to_pylist())) if ids.is_valid else b""
-                out.append(raw.removeprefix(b" ").decode("utf-8", "replace"))
+            out = [_decoded(table, ids.values.to_pylist() if ids.is_valid else []) for ids in batch.column(2)]
             yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.string())], names=["id", "text", "pieces", "decoded"])
 
     return run
 
 
+def _round_trip_batches(shared):
+    """Encoding and decoding in one worker, without the texts on the way back."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        cache, table = _Cache(shared.value), shared.value.piece_bytes()
+        for whole in batches:
+            for batch in slices(whole, ["text"], 1_000_000):
+                texts = batch.column(1).to_pylist()
+                ids, ends = _encoded(cache, texts)
+                flat, cuts = ids.tolist(), ends.tolist()
+                same = [_decoded(table, flat[a:b]) == (t or "") for t, a, b in zip(texts, cuts, cuts[1:])]
+                yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), pa.array(same, pa.bool_())], names=["id", "pieces", "round_trip"])
+
+    return run
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL_FILE, kind: str = "bpe") -> DataFrame:
     """``id, text, pieces``: one row per input row, without a shuffle.
 
@@ -316,5 +372,7 @@ def decode(encoded: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
 
 def pieces_and_back(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL_FILE) -> DataFrame:
     """``id_col, n_pieces, pieces, round_trip``: the pieces of each text and whether decoding them gives it back."""
-    both = decode(encode(docs, id_col, text_col, model_file), model_file)
-    return both.select(F.col("id").alias(id_col), F.size("pieces").cast("long").alias("n_pieces"), "pieces", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model_file))
+    own = fresh(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
+    both = own.mapInArrow(_round_trip_batches(shared), "id long, pieces array<int>, round_trip boolean")
+    return both.select(F.col("id").alias(id_col), F.size("pieces").cast("long").alias("n_pieces"), "pieces", "round_trip")
