@@ -7,10 +7,14 @@ shuffle many times its size, so suffixes are ranked only where a repeat can be:
    depend on the window's bytes only, so equal strings have equal anchors at equal offsets. About 1.5 % of positions remain.
 2. Initial buckets: anchors with the same q-gram. Buckets of one are dropped. Each anchor also has the digest of its
    context, all strings of ``length`` bytes that contain it; contexts that occur twice are repeats as a whole.
-3. Refinement: buckets with several different contexts. Every position of a context gets the bucket of its 8-gram (aligned to
-   the anchor); buckets are refined by sorting on (own bucket, bucket of a later offset), and each update is used by the
-   next, so compared lengths double: 8, 16, 32, 64, 128, and at last ``length``. Singletons leave at once.
-4. Buckets with more than ``block`` contexts are not gathered in a task: their windows are counted by digest instead.
+3. Refinement: buckets with several different contexts. Every position of a context gets the bucket of its 32-gram (aligned
+   to the anchor); buckets are refined by sorting on (own bucket, bucket of a later offset), and each update is used by the
+   next, so compared lengths double: 32, 64, 128, and at last ``length``. Singletons leave at once.
+4. Buckets with more than ``block`` contexts are refined in chunks. Across chunks, one string of each bucket of equals and
+   the strings alone in their chunk are counted by digest, but for those that hold an extension of the anchor (8 to 128
+   bytes to either side) that occurs once: they can't repeat.
+
+All strings of ``length`` bytes around an anchor overlap, so the first and the last that repeat bound what they cover.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ class Settings:
         return self.length - self.gram
 
 
-ROW = "id long, th long, pos long, lo long, hi long, gram long, context long"
+ROW = "id long, th long, pos long, hi long, gram long, context long"
 
 
 def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -55,10 +59,10 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
 
 
 def anchors(data: bytes, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
-    """unit, position in it, context start and end, gram hash and context hash of all anchors of the units."""
+    """unit, position in it, context end, gram hash and context hash of all anchors of the units."""
     n, width = len(data), s.reach + 1
     if n < s.length:
-        return tuple(np.empty(0, np.int64) for _ in range(6))
+        return tuple(np.empty(0, np.int64) for _ in range(5))
     sums = sh.prefix_sums(data)
     _, down = sh.powers(n + 1)
     grams = sh.mix((sums[s.gram :] - sums[: n - s.gram + 1]) * down[: n - s.gram + 1])
@@ -74,7 +78,7 @@ def anchors(data: bytes, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray,
     lo, hi = np.maximum(offsets[unit], at - s.reach), np.minimum(offsets[unit + 1], at + s.length)
     context = sh.mix(sh.mix((sums[hi] - sums[lo]) * down[lo]) + ((at - lo) * 4096 + (hi - at)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     base = offsets[unit]
-    return unit, at - base, lo - base, hi - base, grams[at].view(np.int64), context.view(np.int64)
+    return unit, at - base, hi - base, grams[at].view(np.int64), context.view(np.int64)
 
 
 def _anchor_batches(s: Settings, grams_only: bool):
@@ -85,7 +89,7 @@ def _anchor_batches(s: Settings, grams_only: bool):
             for batch in slices(whole, ["text"], 2_000_000):
                 unit, *found = anchors(*sh.buffer_of(batch.column(2)), s)
                 if grams_only:
-                    yield pa.record_batch([pa.array(found[3])], names=["gram"])
+                    yield pa.record_batch([pa.array(found[2])], names=["gram"])
                 else:
                     rows = pa.array(unit)
                     yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, found)], names=[c.split()[0] for c in ROW.split(", ")])
@@ -112,11 +116,8 @@ def _contexts(s: Settings):
     return run
 
 
-def repeated_starts(grams: np.ndarray, positions: np.ndarray, raw: list[bytes], s: Settings) -> np.ndarray:
-    """(contexts, reach + 1) whether the string that starts so many bytes into the aligned context occurs in another one.
-
-    Contexts are aligned at their anchors; column ``reach`` is the anchor.
-    """
+def aligned(positions: np.ndarray, raw: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the contexts, with their anchors in column ``reach``, and which columns they fill."""
     width = s.reach + s.length
     text = np.zeros((len(raw), width), np.uint8)
     valid = np.zeros((len(raw), width), np.bool_)
@@ -124,96 +125,121 @@ def repeated_starts(grams: np.ndarray, positions: np.ndarray, raw: list[bytes],
         first = s.reach - min(pos, s.reach)
         text[row, first : first + len(data)] = np.frombuffer(data, np.uint8)
         valid[row, first : first + len(data)] = True
-    _, bucket = np.unique(grams, return_inverse=True)
+    up, _ = sh.powers(width + 1)
+    sums = np.zeros((len(raw), width + 1), np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[:width], axis=1, out=sums[:, 1:])
+    return sums, valid
 
-    pointers = np.full((len(raw), width), -1, np.int64)
-    span = width - 8 + 1
-    word = np.zeros((len(raw), span), np.uint64)
-    whole = np.ones((len(raw), span), np.bool_)
-    for o in range(8):
-        word = (word << np.uint64(8)) | text[:, o : o + span]
-        whole &= valid[:, o : o + span]
 
-    def ranked(at: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
-        """New pointers for the flat positions ``at``, from pairs of numbers; buckets of one are dropped."""
-        pointers.fill(-1)
-        _, inverse, counts = np.unique((first << 32) | second, return_inverse=True, return_counts=True)
-        pointers.ravel()[at] = np.where(counts[inverse] > 1, inverse, -1)
+def digests(sums: np.ndarray, rows: np.ndarray, columns: np.ndarray, size: int) -> np.ndarray:
+    _, down = sh.powers(sums.shape[1])
+    return sh.mix((sums[rows, columns + size] - sums[rows, columns]) * down[columns])
 
-    rows, columns = np.nonzero(whole)
-    _, eight = np.unique(word[rows, columns], return_inverse=True)
-    ranked(rows * width + columns, bucket[rows].astype(np.int64) * width + columns, eight.astype(np.int64))
-    known = 8
+
+def repeated_starts(grams: np.ndarray, sums: np.ndarray, valid: np.ndarray, s: Settings, first_gram: int = 32) -> np.ndarray:
+    """(contexts, reach + 1): the bucket of the string that starts in each column, if another context has it, else -1."""
+    width = valid.shape[1]
+    pointers = np.full(valid.shape, -1, np.int32)
+
+    def ranked(at: np.ndarray, keys: np.ndarray) -> None:
+        """New pointers for the flat positions ``at``; buckets of one are dropped."""
+        pointers.fill(-1)
+        if len(at):
+            order = np.argsort(keys)
+            new = np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]])
+            alone = new & np.concatenate([new[1:], [True]])
+            bucket = np.cumsum(new, dtype=np.int32)
+            bucket[alone] = -1
+            pointers.ravel()[at[order]] = bucket
+
+    rows, columns = np.nonzero(valid[:, : width - first_gram + 1] & valid[:, first_gram - 1 :])
+    _, bucket = np.unique(grams, return_inverse=True)
+    place = (bucket[rows] * width + columns).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    ranked(rows * width + columns, sh.mix(digests(sums, rows, columns, first_gram) + place))
+    known = first_gram
     while known < s.length:
         step = min(known, s.length - known)
         rows, columns = np.nonzero((pointers[:, : width - step] >= 0) & (pointers[:, step:] >= 0))
-        ranked(rows * width + columns, pointers[rows, columns], pointers[rows, columns + step])
+        ranked(rows * width + columns, (pointers[rows, columns].astype(np.int64) << 32) | pointers[rows, columns + step])
         known += step
-    return pointers[:, : s.reach + 1] >= 0
+    return pointers[:, : s.reach + 1]
 
 
-def _starts_to_spans(positions: np.ndarray, repeated: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end of the bytes covered, for each run of repeated starts."""
-    edge = np.zeros((len(repeated), 1), np.int8)
-    change = np.diff(np.concatenate([edge, repeated.astype(np.int8), edge], axis=1), axis=1)
-    row, first = np.nonzero(change == 1)
-    _, after = np.nonzero(change == -1)
-    shift = positions[row] - s.reach
-    return row, first + shift, after - 1 + shift + s.length
+REFINED = "id long, th long, pos long, gram long, least long, most long, value long"
 
 
 def _refine(s: Settings):
-    """Of contexts sorted by gram, the spans of repeated strings."""
+    """Of contexts sorted by (gram, chunk), for each one with repeats the least and the greatest distance of a repeated
+    string's start before the anchor (value null); of contexts of several chunks also the strings to compare across
+    (most = distance, with their digest; least = most too if the string is alone in its chunk, else -1)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held: list = []
-
-        def spans(table) -> pa.RecordBatch:
-            grams, pos = (table.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "pos"))
-            row, lo, hi = _starts_to_spans(pos, repeated_starts(grams, pos, table.column("bytes").to_pylist(), s), s)
-            at = pa.array(row)
-            return pa.record_batch([table.column("id").combine_chunks().take(at), table.column("th").combine_chunks().take(at), pa.array(lo), pa.array(hi)], names=["id", "th", "lo", "hi"])
+        names = [c.split()[0] for c in REFINED.split(", ")]
+
+        def rows(table, at: np.ndarray, least: np.ndarray, most: np.ndarray, value) -> pa.RecordBatch:
+            own = [table.column(c).combine_chunks().take(pa.array(at)) for c in names[:4]]
+            return pa.record_batch([*own, pa.array(least, pa.int64()), pa.array(most, pa.int64()), value], names=names)
+
+        def refined(table) -> Iterator[pa.RecordBatch]:
+            grams, chunk, pos = (table.column(c).to_numpy() for c in ("gram", "chunk", "pos"))
+            sums, valid = aligned(pos, table.column("bytes").to_pylist(), s)
+            found = repeated_starts(sh.mix(grams.view(np.uint64) + chunk.astype(np.uint64)), sums, valid, s)
+            some = np.flatnonzero((found >= 0).any(axis=1))
+            first = np.argmax(found[some] >= 0, axis=1)
+            last = s.reach - np.argmax(found[some, ::-1] >= 0, axis=1)
+            yield rows(table, some, s.reach - last, s.reach - first, pa.nulls(len(some), pa.int64()))
+            left, right = (table.column(c).to_numpy() for c in ("left", "right"))
+            back = s.reach - np.arange(s.reach + 1)
+            asked = (left[:, None] > back) & (right[:, None] > s.reach - back)
+            asked &= valid[:, : s.reach + 1] & valid[:, s.length - 1 :]
+            once = found.ravel()
+            _, leader = np.unique(once, return_index=True)
+            lead = np.zeros(found.size, np.bool_)
+            lead[leader] = True
+            row, column = np.nonzero(asked & ((found < 0) | lead.reshape(found.shape)))
+            if len(row):
+                back = s.reach - column
+                yield rows(table, row, np.where(found[row, column] < 0, back, -1), back, pa.array(digests(sums, row, column, s.length).view(np.int64)))
 
+        held: list = []
         for whole in batches:
-            for at in range(0, whole.num_rows, s.block):
-                held.append(whole.slice(at, s.block))
+            for at in range(0, whole.num_rows, 1024):
+                held.append(whole.slice(at, 1024))
                 table = pa.Table.from_batches(held)
-                if table.num_rows < s.block:
+                if table.num_rows < 1024:
                     continue
-                grams = table.column("gram").to_numpy()
-                cut = int(np.flatnonzero(grams != grams[-1])[-1]) + 1 if grams[0] != grams[-1] else 0
-                if cut:
-                    yield spans(table.slice(0, cut))
-                    held = table.slice(cut).to_batches()
-        if held:
-            yield spans(pa.Table.from_batches(held))
+                grams, chunk = table.column("gram").to_numpy(), table.column("chunk").to_numpy()
+                other = np.flatnonzero((grams != grams[-1]) | (chunk != chunk[-1]))
+                if len(other):
+                    yield from refined(table.slice(0, int(other[-1]) + 1))
+                    held = table.slice(int(other[-1]) + 1).to_batches()
+        if held and sum(x.num_rows for x in held):
+            yield from refined(pa.Table.from_batches(held))
 
     return run
 
 
-def _window_digests(s: Settings):
-    """Of contexts, a row for each string of ``length`` bytes that contains the anchor."""
+EXTENSIONS = (8, 16, 32, 64, 128)
+
+
+def _extensions(s: Settings):
+    """Of contexts, the digests of the gram with so many bytes before it (side 0) or after it (side 1)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                pos, raw = batch.column("pos").to_numpy(), batch.column("bytes").to_pylist()
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-                counts = np.maximum(0, np.diff(offsets) - s.length + 1)
-                row = np.repeat(np.arange(len(raw)), counts)
-                into = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-                sums = sh.prefix_sums(b"".join(raw))
-                start = offsets[row] + into
-                _, down = sh.powers(len(sums))
-                value = sh.mix((sums[start + s.length] - sums[start]) * down[start])
-                first = np.maximum(0, pos[row] - s.reach) + into
-                rows = pa.array(row)
-                yield pa.record_batch([batch.column("id").take(rows), batch.column("th").take(rows), batch.column("gram").take(rows), pa.array(pos[row] - first), pa.array(value.view(np.int64)), pa.array(first)], names=["id", "th", "gram", "back", "value", "lo"])
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                sums, valid = aligned(batch.column("pos").to_numpy(), batch.column("bytes").to_pylist(), s)
+                for size in (e for e in EXTENSIONS if e <= s.reach):
+                    for side, column in ((0, s.reach - size), (1, s.reach)):
+                        row = np.flatnonzero(valid[:, s.reach - size] if side == 0 else valid[:, s.reach + s.gram + size - 1])
+                        value = digests(sums, row, np.full(len(row), column), s.gram + size)
+                        own = [batch.column(c).take(pa.array(row)) for c in ("id", "th", "pos", "gram")]
+                        yield pa.record_batch([*own, pa.array(np.full(len(row), side)), pa.array(np.full(len(row), size)), pa.array(value.view(np.int64))], names=["id", "th", "pos", "gram", "side", "size", "value"])
 
     return run
 
@@ -261,7 +287,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = F.struct("id", "th", "pos").alias("place")
     classes = materialise(found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("place")), "contexts")
     twice = classes.where("n > 1").select("gram", "context")
-    spans = [found.join(twice, ["gram", "context"]).select("id", "th", "lo", "hi")]
+    spans = [found.join(twice, ["gram", "context"]).select("id", "th", F.greatest(F.lit(0).cast("long"), F.col("pos") - s.reach).alias("lo"), "hi")]
 
     several = classes.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
     unclear = materialise(classes.join(several, "gram").select("gram", "k", "place.*"), "unclear")
@@ -270,12 +296,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     contexts = reads.mapInArrow(_contexts(s), "id long, th long, pos long, gram long, bytes binary").dropDuplicates(["id", "th", "pos"])
     contexts = materialise(contexts.join(several, "gram"), "bytes")
 
-    small = contexts.where(F.col("k") <= s.block).select("id", "th", "pos", "gram", "bytes").repartition("gram").sortWithinPartitions("gram")
-    spans.append(small.mapInArrow(_refine(s), "id long, th long, lo long, hi long"))
-
-    windows = contexts.where(F.col("k") > s.block).mapInArrow(_window_digests(s), "id long, th long, gram long, back long, value long, lo long")
-    again = windows.groupBy("gram", "back", "value").count().where("count > 1").select("gram", "back", "value")
-    spans.append(windows.join(again, ["gram", "back", "value"]).select("id", "th", "lo", (F.col("lo") + s.length).alias("hi")))
+    large = contexts.where(F.col("k") > s.block)
+    parts = large.mapInArrow(_extensions(s), "id long, th long, pos long, gram long, side long, size long, value long")
+    alone = parts.groupBy("gram", "side", "size", "value").agg(F.count("*").alias("n"), F.min(place).alias("place")).where("n = 1")
+    shortest = alone.groupBy("place", "gram").agg(*(F.min(F.when(F.col("side") == i, F.col("size"))).alias(c) for i, c in enumerate(("left", "right"))))
+    shortest = materialise(shortest.select("place.*", "gram", *(F.coalesce(c, F.lit(s.length)).alias(c) for c in ("left", "right"))), "shortest").alias("w")
+    large = large.alias("d").join(shortest, _same("d", "w") & (F.col("d.pos") == F.col("w.pos")) & (F.col("d.gram") == F.col("w.gram")), "left")
+    chunk = F.pmod(F.xxhash64("d.id", "d.th", "d.pos"), F.ceil(F.col("k") / s.block))
+    limits = [F.coalesce(f"w.{c}", F.lit(s.length)).cast("long").alias(c) for c in ("left", "right")]
+    large = large.select("d.id", "d.th", "d.pos", "d.gram", "bytes", chunk.alias("chunk"), *limits)
+    none = [F.lit(0).cast("long").alias(c) for c in ("chunk", "left", "right")]
+    work = contexts.where(F.col("k") <= s.block).select("id", "th", "pos", "gram", "bytes", *none).union(large)
+    refined = materialise(work.repartition("gram", "chunk").sortWithinPartitions("gram", "chunk").mapInArrow(_refine(s), REFINED), "refined")
+    again = refined.where("value IS NOT NULL").groupBy("gram", "most", "value").count().where("count > 1").select("gram", "most", "value")
+    across = refined.where("least >= 0 AND value IS NOT NULL").join(again, ["gram", "most", "value"])
+    for found in (refined.where("value IS NULL"), across):
+        spans.append(found.select("id", "th", (F.col("pos") - F.col("most")).alias("lo"), (F.col("pos") - F.col("least") + s.length).alias("hi")))
 
     removed = spans[0].union(spans[1]).union(spans[2]).groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     removed = materialise(removed, "spans")
