@@ -60,7 +60,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60, local_edg
     rounds grows with the logarithm of a component's size; the driver sees a count and a checksum of each.
     """
     edges = materialise(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").distinct(), "edges")
-    if edges.limit(local_edges + 1).count() <= local_edges:
+    if local_edges and edges.limit(local_edges + 1).count() <= local_edges:
         return materialise(edges.coalesce(1).mapInArrow(_union_find, "node long, comp long"), "labels")
     before = _state(edges)
     for _ in range(max_rounds):

@@ -61,8 +61,10 @@ def _starts(length: Column, s: Settings) -> Column:
 
 
 def _shingles(line: Column, s: Settings) -> Column:
-    wide = F.encode(line, "UTF-16BE")
-    return F.array_distinct(F.transform(_starts(F.length(wide) / 2, s), lambda i: F.substring(wide, 2 * i + 1, F.lit(2 * s.chars))))
+    """The distinct shingles as 64-bit hashes; arrays of numbers are compared by hashing, those of binaries are not."""
+    own = lambda w: F.transform(_starts(F.length(w) / 2, s), lambda i: F.xxhash64(F.substring(w, 2 * i + 1, F.lit(2 * s.chars))))
+    wide = F.array(F.encode(line, "UTF-16BE"))  # bound to a variable, so that a line is encoded once and not for each shingle
+    return F.get(F.transform(wide, lambda w: F.array_distinct(own(w))), F.lit(0))
 
 
 def _signatures(lines: DataFrame, s: Settings) -> DataFrame:
@@ -82,11 +84,12 @@ def _buckets(signatures: DataFrame, s: Settings) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the limit."""
-    x, y = (texts.select(F.col("node").alias(c), _shingles(F.col("line"), s).alias(f"s{c}")) for c in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    ratio = (s.den * F.least(F.size("sa"), F.size("sb")) >= s.num * F.greatest(F.size("sa"), F.size("sb"))) & (s.den * both >= s.num * (F.size("sa") + F.size("sb") - both))
-    return pairs.join(x, "a").join(y, "b").where(ratio).select("a", "b")
+    """The pairs (a, b) whose shingle sets reach the limit. Lines travel as texts; their sets are made after the join."""
+    x, y = (texts.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
+    sets = F.array(F.struct(_shingles(F.col("line_a"), s).alias("a"), _shingles(F.col("line_b"), s).alias("b")))  # so each is made once
+    sizes = F.transform(sets, lambda p: F.struct(F.size(p["a"]).alias("a"), F.size(p["b"]).alias("b"), F.size(F.array_intersect(p["a"], p["b"])).alias("both")))
+    linked = F.exists(sizes, lambda n: s.den * n["both"] >= s.num * (n["a"] + n["b"] - n["both"]))
+    return pairs.join(x, "a").join(y, "b").where(linked).select("a", "b")
 
 
 def _placed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
