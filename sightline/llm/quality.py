@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, NOT_SPACE, SPACE, fresh, materialise
+from .common import BROADCAST_ROWS, NOT_SPACE, SPACE, bounded_broadcast, fresh, materialise
 
 MIN_WORDS = 50
 #: Salts of the verdict join where there are too many hosts to broadcast.
@@ -128,12 +128,16 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all its columns.
 
-    The features are computed once for the host rates and again for the filter; texts are not shuffled.
+    Features are computed once and written without texts; the rejected rows are matched by id and host (null-safely) and a
+    hash of the text, on which the verdict depends. Texts are shuffled only where the rejected are too many to broadcast.
     """
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{host_col}`").alias("doc_host"))
-    features = with_features(own, "text")
-    judged = join_verdicts(features, host_verdicts(features.drop("row", "text"), "doc_host", host_limit), "doc_host")
-    return judged.where(verdict()).select("row.*")
+    own = fresh(docs, id=id_col, text=text_col, doc_host=host_col).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    features = materialise(with_features(own, "text").drop("text"), "features")
+    judged = join_verdicts(features, host_verdicts(features, "doc_host", host_limit), "doc_host")
+    out = materialise(judged.where(~verdict()).select(F.col("id").alias("x_id"), F.col("doc_host").alias("x_host"), F.col("th").alias("x_th")).distinct(), "rejected")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{host_col}`").alias("host"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("th"))
+    same = F.col("id").eqNullSafe(F.col("x_id")) & F.col("host").eqNullSafe(F.col("x_host")) & (F.col("th") == F.col("x_th"))
+    return rows.join(bounded_broadcast(out), same, "left_anti").select("row.*")
