@@ -488,7 +488,7 @@ def plan_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = [" who was talking yesterday morning", " what will i do this afternoon", " where are my keys earlier today", " on day 3 and day3 at lunch", " the day before", " the next day at dawn", " any day late night", " after lunch", " before lunch", " tonight", " breakfast", ""]
     asked = table(spark, sf_dir, "documents").select(
         i.alias("qid"),
-        F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(400)), F.element_at(F.array(*map(F.lit, ends)), (i % 12 + 1).cast("int"))).alias("query_text"),
+        F.concat(F.coalesce("text", F.lit("")), F.element_at(F.array(*map(F.lit, ends)), (i % 12 + 1).cast("int"))).alias("query_text"),
         F.when(i % 10 < 9, F.concat(F.lit("DAY"), (1 + i % 7).cast("string"))).alias("query_date"),
         F.when(i % 11 < 10, ((i * 977) % 86400).cast("double")).alias("query_time_sec"),
         (i % 5 == 0).alias("need_audio"),

@@ -104,7 +104,8 @@ def time_of_day(text: Column) -> tuple[Column, Column]:
     """The label of the first phrase that occurs, and its ranges in seconds."""
     label = F.lit(None).cast("string")
     for phrase, name in reversed(TIME_PHRASES):
-        label = F.when(text.rlike(rf"\b{phrase}\b"), F.lit(name)).otherwise(label)
+        found = F.contains(text, F.lit(phrase)) & text.rlike(rf"\b{phrase}\b")  # the search for bytes spares long texts the expression
+        label = F.when(found, F.lit(name)).otherwise(label)
     ranges = F.array().cast(RANGES)
     for name, parts in TIME_OF_DAY.items():
         ranges = F.when(label == name, F.array(*(F.struct(F.lit(a * HOUR).alias("s"), F.lit(b * HOUR).alias("e")) for a, b in parts))).otherwise(ranges)
