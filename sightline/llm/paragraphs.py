@@ -4,6 +4,11 @@ A paragraph is a line; one of over ``cut_words`` words is cut at the first sente
 again. Paragraphs of at least ``min_words`` words take part. Equal word sequences share a number (a 64-bit digest: among
 1e11 different paragraphs a few hundred would share one by chance) and are one node; nodes collide by MinHash bands, colliding
 nodes are confirmed by exact Jaccard similarity, and all but the first paragraph of each component are removed.
+
+A passage that is spliced into other text, or wrapped otherwise, makes no similar paragraph. So windows of ``window_words``
+words are taken too, across lines, from anchors that the words alone decide: the least shingle hash of every ``reach``
+successive shingles. Equal runs of ``run_words`` words hold an equal window wherever they stand. Windows inside removed
+paragraphs are left out; equal windows are a component of their own.
 """
 
 from __future__ import annotations
@@ -38,6 +43,13 @@ class Settings:
     den: int = 100
     rows: int = 4
     recall: float = 0.999
+    run_words: int = 50
+    window_words: int = 26
+
+    @property
+    def reach(self) -> int:
+        """Shingles among which one is an anchor: its window still ends within the run."""
+        return self.run_words - self.window_words + 1
 
     def near(self) -> near_dup.Settings:
         bands = tuned_bands(self.num / self.den, self.rows, self.recall)
@@ -120,6 +132,71 @@ def _keys(s: Settings):
     return run
 
 
+def _anchors(hashes: np.ndarray, reach: int) -> np.ndarray:
+    """Positions of the first least value of every ``reach`` successive ones."""
+    views, found = np.lib.stride_tricks.sliding_window_view(hashes, reach), []
+    for a in range(0, len(views), 50_000):
+        least = views[a : a + 50_000].argmin(axis=1)
+        found.append(np.unique(least + np.arange(a, a + len(least))))
+    return np.unique(np.concatenate(found))
+
+
+def windows(data: bytes, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unit, start and end in bytes from the unit's start, and hash of the windows of the units ``data[offsets[i]:offsets[i + 1]]``.
+
+    Every unit's last byte has to be white space.
+    """
+    ink = np.frombuffer(data.translate(sh._INK), np.int8)
+    edge = np.diff(ink, prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    grams, gram_at = sh.shingles(data, offsets, s.words)
+    values, value_at = sh.shingles(data, offsets, s.window_words)
+    first = np.searchsorted(starts, offsets)
+    out = []
+    for unit in np.flatnonzero(np.diff(first) >= s.run_words).tolist():
+        at = _anchors(grams[gram_at[unit] : gram_at[unit + 1]], s.reach)
+        at = at[at + s.window_words <= first[unit + 1] - first[unit]]
+        w = first[unit] + at
+        out.append((np.full(len(at), unit), starts[w] - offsets[unit], ends[w + s.window_words - 1] - offsets[unit], values[value_at[unit] + at].view(np.int64)))
+    if not out:
+        return (np.empty(0, np.int64),) * 4
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _list_windows(s: Settings):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for whole in batches:
+            for batch in slices(whole, ["text"], 2_000_000):
+                data, offsets = sh.buffer_of(batch.column(batch.schema.get_field_index("text")))
+                raw = b"".join(data[a:b] + b"\n" for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+                rows, start, end, value = windows(raw, offsets + np.arange(len(offsets)), s)
+                at = pa.array(rows)
+                yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(start), pa.array(end), pa.array(value)], names=["id", "th", "start", "end", "rep"])
+
+    return run
+
+
+def _several(rows: DataFrame, tag: str) -> DataFrame:
+    """The rows whose ``rep`` occurs again."""
+    again = materialise(rows.groupBy("rep").count().where("count > 1").select("rep"), tag)
+    return rows.join(bounded_broadcast(again), "rep", "left_semi")
+
+
+def _equal_windows(own: DataFrame, gone: DataFrame, s: Settings) -> DataFrame:
+    """(id, th, start, end, component, n_members, keep) of the windows that occur again, outside the spans ``gone``."""
+    listed = materialise(own.mapInArrow(_list_windows(s), "id long, th long, start long, end long, rep long"), "windows")
+    found = materialise(_several(listed, "again"), "repeated")
+    spans = gone.groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    inside = F.exists("spans", lambda x: (x["start"] <= F.col("f.start")) & (F.col("f.end") <= x["end"]))
+    apart = found.alias("f").join(spans.alias("g"), _same("f", "g"), "left").where(~F.coalesce(inside, F.lit(False))).select("f.*")
+    apart = materialise(apart, "apart")
+    where = F.struct(F.col("id").isNull().alias("none"), "id", "start")
+    totals = materialise(apart.groupBy("rep").agg(F.count("*").alias("n_members"), F.min(where).alias("keep")).where("n_members > 1"), "totals")
+    return apart.join(bounded_broadcast(totals), "rep").withColumnRenamed("rep", "component")
+
+
 def _take(batches: Iterator) -> Iterator:
     """Of rows (text, [(rep, start, end)]) the paragraphs (rep, text)."""
     import pyarrow as pa
@@ -139,10 +216,10 @@ def _same(a: str, b: str):
 
 
 def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """A row for each paragraph of a component of two or more: ``id_col, start, end`` (bytes), ``component, n_members,
+    """A row for each paragraph or window of a component of two or more: ``id_col, start, end`` (bytes), ``component, n_members,
     keep_<id_col>, keep_start, removed``.
 
-    The first paragraph by (id, start), null ids last, of a component stays. Null and empty texts have no paragraphs. Rows
+    The first paragraph or window by (id, start), null ids last, of a component stays. Windows may overlap. Null and empty texts have no paragraphs. Rows
     that repeat an id are told apart by text; fully repeated rows keep the same paragraphs. An empty table gives an empty
     result; other columns are ignored.
     """
@@ -165,7 +242,10 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = materialise(sizes, "sizes")
     totals = sizes.groupBy("component").agg(F.sum("n").alias("n_members"), F.min("first").alias("keep")).where("n_members > 1")
     known = materialise(sizes.select("rep", "component").join(totals, "component"), "known")
-    rows = units.join(bounded_broadcast(known), "rep")
+    stays = lambda rows: rows.withColumn("removed", ~(F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("start") == F.col("keep.start"))))
+    columns = ["id", "th", "start", "end", "component", "n_members", "keep", "removed"]
+    whole = materialise(stays(units.join(bounded_broadcast(known), "rep")).select(columns), "whole")
+    rows = whole.union(stays(_equal_windows(own, whole.where("removed"), s)).select(columns))
     return rows.select(
         F.col("id").alias(id_col),
         "start",
@@ -174,5 +254,5 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "n_members",
         F.col("keep.id").alias(f"keep_{id_col}"),
         F.col("keep.start").alias("keep_start"),
-        (~(F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("start") == F.col("keep.start")))).alias("removed"),
+        "removed",
     )
