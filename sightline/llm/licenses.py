@@ -1,9 +1,9 @@
 """License scan by ordered signature rules (operator 2).
 
-A text becomes its words in lower case, joined by single blanks. A document without any context word (``license`` and the
-like) is done after a few substring searches. Otherwise an Aho-Corasick automaton finds the licence keywords, only rules
-of the licences so named are tried, and overlapping detections are resolved: by priority, then length, a detection is
-suppressed if an accepted one contains its interval. Rules are the product of hand-written name patterns and hand-written
+A text becomes its words in lower case, joined by single blanks. An Aho-Corasick automaton finds keywords that are derived
+from the names' and identifiers' own alternatives, so every match of a rule holds one; only rules whose keywords occur are
+tried, and overlapping detections are resolved: by priority, then length, a detection is suppressed if an accepted one
+contains its interval. Rules are the product of hand-written name patterns and hand-written
 sentence patterns, a few hundred expressions in all.
 """
 
@@ -22,71 +22,68 @@ from .common import fresh
 # The phrases that always count, with their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: A document without one of these is not searched further.
-CONTEXT = ("licen", "copyright", "copyleft", "spdx", "public domain", "creative commons", "cc by", "cc0", "cc 0", "permission is hereby", "redistribution and use", "all rights reserved")
-
-#: label | keywords of which one must occur | name | identifier; patterns over words joined by blanks, specific before general.
+#: label | name | identifier; patterns over words joined by blanks, specific before general.
 NAMES = r"""
-agpl-3.0 | affero, agpl | (?:gnu )?affero general public licen[cs]e(?: version| v)? 3(?: 0)?|(?:gnu )?agpl ?v?3(?: 0)? | agpl 3 0(?: or later| only)?
-agpl-1.0 | affero, agpl | affero general public licen[cs]e(?: version| v)? 1(?: 0)? | agpl 1 0(?: or later| only)?
-lgpl-3.0 | lesser, lgpl | (?:gnu )?lesser general public licen[cs]e(?: version| v)? 3(?: 0)?|(?:gnu )?lgpl ?v?3(?: 0)? | lgpl 3 0(?: or later| only)?
-lgpl-2.1 | lesser, lgpl | (?:gnu )?lesser general public licen[cs]e(?: version| v)? 2 1|(?:gnu )?lgpl ?v?2 1 | lgpl 2 1(?: or later| only)?
-lgpl-2.0 | library, lgpl | (?:gnu )?library general public licen[cs]e(?: version| v)? 2(?: 0)?|(?:gnu )?lgpl ?v?2(?: 0)? | lgpl 2 0(?: or later| only)?
-lgpl | lesser, lgpl | (?:gnu )?lesser general public licen[cs]e|(?:gnu )?lgpl | lgpl
-gpl-3.0 | general public, gpl | (?:gnu )?general public licen[cs]e(?: version| v)? 3(?: 0)?|(?:gnu )?gpl ?v?3(?: 0)? | gpl 3 0(?: or later| only)?
-gpl-2.0 | general public, gpl | (?:gnu )?general public licen[cs]e(?: version| v)? 2(?: 0)?|(?:gnu )?gpl ?v?2(?: 0)? | gpl 2 0(?: or later| only)?
-gpl-1.0 | general public, gpl | (?:gnu )?general public licen[cs]e(?: version| v)? 1(?: 0)?|(?:gnu )?gpl ?v?1(?: 0)? | gpl 1 0(?: or later| only)?
-gpl | general public, gpl | (?:gnu )?general public licen[cs]e|(?:gnu )?gpl | gpl
-gfdl-1.3 | free documentation, gfdl | (?:gnu )?free documentation licen[cs]e(?: version)? 1 3 | gfdl 1 3(?: or later| only)?
-gfdl | free documentation, gfdl | (?:gnu )?free documentation licen[cs]e | gfdl
-apache-2 | apache | apache(?: software)? licen[cs]e(?: version| v)? 2(?: 0)?|apache 2(?: 0)?|asl 2 0 | apache 2 0
-apache-1.1 | apache | apache(?: software)? licen[cs]e(?: version| v)? 1 1 | apache 1 1
-apache | apache | apache(?: software)? licen[cs]e | apache
-mit-0 | mit | mit no attribution|mit 0 | mit 0
-mit | mit, expat, x11 | mit|expat|x11|mit x11 | mit
-bsd-4-clause | bsd | (?:bsd 4 clause|4 clause bsd|original bsd|old bsd) | bsd 4 clause
-bsd-3-clause | bsd | (?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd) | bsd 3 clause
-bsd-2-clause | bsd | (?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd) | bsd 2 clause
-bsd-0-clause | bsd | (?:zero clause bsd|0bsd|bsd zero clause) | 0bsd
-bsd | bsd | bsd(?: style)? | bsd
-isc | isc | isc|internet systems consortium | isc
-mpl-2.0 | mozilla, mpl | mozilla public licen[cs]e(?: version| v)? 2(?: 0)?|mpl ?v?2(?: 0)? | mpl 2 0
-mpl-1.1 | mozilla, mpl | mozilla public licen[cs]e(?: version| v)? 1 1|mpl ?v?1 1 | mpl 1 1
-mpl | mozilla, mpl | mozilla public licen[cs]e|mpl | mpl
-epl-2.0 | eclipse, epl | eclipse public licen[cs]e(?: version| v)? 2(?: 0)? | epl 2 0
-epl-1.0 | eclipse, epl | eclipse public licen[cs]e(?: version| v)? 1(?: 0)? | epl 1 0
-cddl-1.1 | distribution license, cddl | common development and distribution licen[cs]e(?: version)? 1 1 | cddl 1 1
-cddl-1.0 | distribution license, cddl | common development and distribution licen[cs]e(?: version)? 1 0|cddl | cddl 1 0
-cpl-1.0 | common public | common public licen[cs]e(?: version)?(?: 1 0)? | cpl 1 0
-eupl-1.2 | european union public, eupl | european union public licen[cs]e(?: version)?(?: 1 2)?|eupl(?: 1 2)? | eupl 1 2
-artistic-2.0 | artistic | (?:the )?artistic licen[cs]e(?: version)? 2(?: 0)? | artistic 2 0
-artistic-1.0 | artistic | (?:the )?artistic licen[cs]e | artistic 1 0(?: perl)?
-zlib | zlib | zlib(?: libpng)? | zlib
-bsl-1.0 | boost | boost software licen[cs]e(?: version)?(?: 1 0)? | bsl 1 0
-unlicense | unlicense | unlicense | unlicense
-wtfpl | wtfpl | wtfpl|do what the \w+ you want to public licen[cs]e | wtfpl
-postgresql | postgresql | postgresql | postgresql
-psf-2.0 | python | python software foundation|psf|python | psf 2 0|python 2 0
-ruby | ruby | ruby | ruby
-php-3.01 | php | php(?: licen[cs]e)?(?: version)?(?: 3 01)? | php 3 01
-openssl | openssl | openssl|ssleay | openssl
-ncsa | ncsa | university of illinois ncsa|ncsa | ncsa
-ms-pl | microsoft public | microsoft public licen[cs]e | ms pl
-ms-rl | microsoft reciprocal | microsoft reciprocal licen[cs]e | ms rl
-odbl-1.0 | database license, odbl | open database licen[cs]e|odbl | odbl 1 0
-odc-by-1.0 | data commons | open data commons attribution licen[cs]e|odc by | odc by 1 0
-pddl-1.0 | public domain dedication | public domain dedication and licen[cs]e | pddl 1 0
-ofl-1.1 | font | (?:sil )?open font licen[cs]e(?: version)?(?: 1 1)? | ofl 1 1
-sspl-1.0 | server side | server side public licen[cs]e | sspl 1 0
-busl-1.1 | business source | business source licen[cs]e(?: 1 1)? | busl 1 1
-elastic-2.0 | elastic | elastic licen[cs]e(?: 2 0)? | elastic 2 0
-cc0-1.0 | cc0, cc 0, creative commons | cc0(?: 1 0)?|creative commons zero|cc 0 | cc0 1 0
-cc-by-nc-nd | cc by, creative commons | (?:creative commons|cc) (?:attribution|by) (?:noncommercial|non commercial|nc) (?:noderivatives|noderivs|no derivatives|nd)(?: \d 0)? | cc by nc nd(?: \d 0)?
-cc-by-nc-sa | cc by, creative commons | (?:creative commons|cc) (?:attribution|by) (?:noncommercial|non commercial|nc) (?:sharealike|share alike|sa)(?: \d 0)? | cc by nc sa(?: \d 0)?
-cc-by-nc | cc by, creative commons | (?:creative commons|cc) (?:attribution|by) (?:noncommercial|non commercial|nc)(?: \d 0)? | cc by nc(?: \d 0)?
-cc-by-nd | cc by, creative commons | (?:creative commons|cc) (?:attribution|by) (?:noderivatives|noderivs|no derivatives|nd)(?: \d 0)? | cc by nd(?: \d 0)?
-cc-by-sa | cc by, creative commons | (?:creative commons|cc) (?:attribution|by) (?:sharealike|share alike|sa)(?: \d 0)? | cc by sa(?: \d 0)?
-cc-by | cc by, creative commons | (?:creative commons|cc) (?:attribution|by)(?: \d 0)? | cc by(?: \d 0)?
+agpl-3.0 | (?:gnu )?affero general public licen[cs]e(?: version| v)? 3(?: 0)?|(?:gnu )?agpl ?v?3(?: 0)? | agpl 3 0(?: or later| only)?
+agpl-1.0 | affero general public licen[cs]e(?: version| v)? 1(?: 0)? | agpl 1 0(?: or later| only)?
+lgpl-3.0 | (?:gnu )?lesser general public licen[cs]e(?: version| v)? 3(?: 0)?|(?:gnu )?lgpl ?v?3(?: 0)? | lgpl 3 0(?: or later| only)?
+lgpl-2.1 | (?:gnu )?lesser general public licen[cs]e(?: version| v)? 2 1|(?:gnu )?lgpl ?v?2 1 | lgpl 2 1(?: or later| only)?
+lgpl-2.0 | (?:gnu )?library general public licen[cs]e(?: version| v)? 2(?: 0)?|(?:gnu )?lgpl ?v?2(?: 0)? | lgpl 2 0(?: or later| only)?
+lgpl | (?:gnu )?lesser general public licen[cs]e|(?:gnu )?lgpl | lgpl
+gpl-3.0 | (?:gnu )?general public licen[cs]e(?: version| v)? 3(?: 0)?|(?:gnu )?gpl ?v?3(?: 0)? | gpl 3 0(?: or later| only)?
+gpl-2.0 | (?:gnu )?general public licen[cs]e(?: version| v)? 2(?: 0)?|(?:gnu )?gpl ?v?2(?: 0)? | gpl 2 0(?: or later| only)?
+gpl-1.0 | (?:gnu )?general public licen[cs]e(?: version| v)? 1(?: 0)?|(?:gnu )?gpl ?v?1(?: 0)? | gpl 1 0(?: or later| only)?
+gpl | (?:gnu )?general public licen[cs]e|(?:gnu )?gpl | gpl
+gfdl-1.3 | (?:gnu )?free documentation licen[cs]e(?: version)? 1 3 | gfdl 1 3(?: or later| only)?
+gfdl | (?:gnu )?free documentation licen[cs]e | gfdl
+apache-2 | apache(?: software)? licen[cs]e(?: version| v)? 2(?: 0)?|apache 2(?: 0)?|asl 2 0 | apache 2 0
+apache-1.1 | apache(?: software)? licen[cs]e(?: version| v)? 1 1 | apache 1 1
+apache | apache(?: software)? licen[cs]e | apache
+mit-0 | mit no attribution|mit 0 | mit 0
+mit | mit|expat|x11|mit x11 | mit
+bsd-4-clause | (?:bsd 4 clause|4 clause bsd|original bsd|old bsd) | bsd 4 clause
+bsd-3-clause | (?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd) | bsd 3 clause
+bsd-2-clause | (?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd) | bsd 2 clause
+bsd-0-clause | (?:zero clause bsd|0bsd|bsd zero clause) | 0bsd
+bsd | bsd(?: style)? | bsd
+isc | isc|internet systems consortium | isc
+mpl-2.0 | mozilla public licen[cs]e(?: version| v)? 2(?: 0)?|mpl ?v?2(?: 0)? | mpl 2 0
+mpl-1.1 | mozilla public licen[cs]e(?: version| v)? 1 1|mpl ?v?1 1 | mpl 1 1
+mpl | mozilla public licen[cs]e|mpl | mpl
+epl-2.0 | eclipse public licen[cs]e(?: version| v)? 2(?: 0)? | epl 2 0
+epl-1.0 | eclipse public licen[cs]e(?: version| v)? 1(?: 0)? | epl 1 0
+cddl-1.1 | common development and distribution licen[cs]e(?: version)? 1 1 | cddl 1 1
+cddl-1.0 | common development and distribution licen[cs]e(?: version)? 1 0|cddl | cddl 1 0
+cpl-1.0 | common public licen[cs]e(?: version)?(?: 1 0)? | cpl 1 0
+eupl-1.2 | european union public licen[cs]e(?: version)?(?: 1 2)?|eupl(?: 1 2)? | eupl 1 2
+artistic-2.0 | (?:the )?artistic licen[cs]e(?: version)? 2(?: 0)? | artistic 2 0
+artistic-1.0 | (?:the )?artistic licen[cs]e | artistic 1 0(?: perl)?
+zlib | zlib(?: libpng)? | zlib
+bsl-1.0 | boost software licen[cs]e(?: version)?(?: 1 0)? | bsl 1 0
+unlicense | unlicense | unlicense
+wtfpl | wtfpl|do what the \w+ you want to public licen[cs]e | wtfpl
+postgresql | postgresql | postgresql
+psf-2.0 | python software foundation|psf|python | psf 2 0|python 2 0
+ruby | ruby | ruby
+php-3.01 | php(?: licen[cs]e)?(?: version)?(?: 3 01)? | php 3 01
+openssl | openssl|ssleay | openssl
+ncsa | university of illinois ncsa|ncsa | ncsa
+ms-pl | microsoft public licen[cs]e | ms pl
+ms-rl | microsoft reciprocal licen[cs]e | ms rl
+odbl-1.0 | open database licen[cs]e|odbl | odbl 1 0
+odc-by-1.0 | open data commons attribution licen[cs]e|odc by | odc by 1 0
+pddl-1.0 | public domain dedication and licen[cs]e | pddl 1 0
+ofl-1.1 | (?:sil )?open font licen[cs]e(?: version)?(?: 1 1)? | ofl 1 1
+sspl-1.0 | server side public licen[cs]e | sspl 1 0
+busl-1.1 | business source licen[cs]e(?: 1 1)? | busl 1 1
+elastic-2.0 | elastic licen[cs]e(?: 2 0)? | elastic 2 0
+cc0-1.0 | cc0(?: 1 0)?|creative commons zero|cc 0 | cc0 1 0
+cc-by-nc-nd | (?:creative commons|cc) (?:attribution|by) (?:noncommercial|non commercial|nc) (?:noderivatives|noderivs|no derivatives|nd)(?: \d 0)? | cc by nc nd(?: \d 0)?
+cc-by-nc-sa | (?:creative commons|cc) (?:attribution|by) (?:noncommercial|non commercial|nc) (?:sharealike|share alike|sa)(?: \d 0)? | cc by nc sa(?: \d 0)?
+cc-by-nc | (?:creative commons|cc) (?:attribution|by) (?:noncommercial|non commercial|nc)(?: \d 0)? | cc by nc(?: \d 0)?
+cc-by-nd | (?:creative commons|cc) (?:attribution|by) (?:noderivatives|noderivs|no derivatives|nd)(?: \d 0)? | cc by nd(?: \d 0)?
+cc-by-sa | (?:creative commons|cc) (?:attribution|by) (?:sharealike|share alike|sa)(?: \d 0)? | cc by sa(?: \d 0)?
+cc-by | (?:creative commons|cc) (?:attribution|by)(?: \d 0)? | cc by(?: \d 0)?
 """
 
 #: (priority, weight, sentence): NAME and ID stand for a licence's patterns. A lower priority number wins.
@@ -100,43 +97,93 @@ SENTENCES = (
     (7, 0.6, r"(?:licen[cs]e|licen[cs]ed|licen[cs]ing)(?: \w+){0,4}? (?:ID)"),
 )
 
-#: (label, weight, keyword, pattern): wording of licence texts and notices themselves; they come first of all.
+#: (label, weight, pattern): wording of licence texts and notices themselves; they come first of all.
 TEXTS = (
-    ("mit", 1.0, "permission is hereby", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("isc", 1.0, "permission to use", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", 1.0, "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", 1.0, "endorse or promote", r"neither the name of .{1,120}? may be used to endorse or promote products"),
-    ("gpl", 1.0, "free software", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
-    ("unlicense", 1.0, "unencumbered", r"free and unencumbered software released into the public domain"),
-    ("zlib", 1.0, "provided as is", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("public-domain", 0.7, "public domain", r"(?:in|into|to) the public domain"),
-    ("proprietary", 0.6, "all rights reserved", r"all rights reserved"),
-    ("cc", 0.6, "creative commons", r"creative commons"),
+    ("mit", 1.0, r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("isc", 1.0, r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", 1.0, r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", 1.0, r"neither the name of .{1,120}? may be used to endorse or promote products"),
+    ("gpl", 1.0, r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
+    ("unlicense", 1.0, r"free and unencumbered software released into the public domain"),
+    ("zlib", 1.0, r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("public-domain", 0.7, r"(?:in|into|to) the public domain"),
+    ("proprietary", 0.6, r"all rights reserved"),
+    ("cc", 0.6, r"creative commons"),
 )
 
 
 @dataclass(frozen=True)
 class Rule:
+    """``needs``: every match's text holds one of these."""
+
     priority: int
     label: str
     weight: float
     pattern: re.Pattern
+    needs: tuple[str, ...]
+
+
+def _forms(parsed) -> list[tuple[str | None, ...]]:
+    """The texts an expression matches, as literal pieces; None stands for any text."""
+    out: list[tuple[str | None, ...]] = [()]
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            here = [(chr(value),)]
+        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in value):
+            here = [(chr(c),) for _, c in value]
+        elif name == "SUBPATTERN":
+            here = _forms(value[3])
+        elif name == "BRANCH":
+            here = [f for branch in value[1] for f in _forms(branch)]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            here = ([()] if value[0] == 0 else []) + (_forms(value[2]) if value[1] == 1 else [(None,)])
+        else:
+            here = [(None,)]
+        out = [a + b for a in out for b in here]
+    return out
+
+
+@cache
+def keywords(pattern: str) -> tuple[str, ...]:
+    """Texts of which every match of the pattern holds one: a text that all forms share, or each form's longest piece."""
+    import re._parser
+
+    forms = [["".join(run) for run in _runs(f)] for f in set(_forms(re._parser.parse(pattern)))]
+    for text in sorted({x for f in forms for x in f}, key=lambda x: (-len(x), x)):
+        if len(text) > 4 and all(any(text in x for x in f) for f in forms):
+            return (text,)
+    longest = {max(f, key=len) for f in forms}
+    return tuple(sorted(x for x in longest if not any(y != x and y in x for y in longest)))
+
+
+def _runs(form: tuple[str | None, ...]) -> list[list[str]]:
+    runs: list[list[str]] = [[]]
+    for piece in form:
+        if piece is None:
+            runs.append([])
+        else:
+            runs[-1].append(piece)
+    return [r for r in runs if r]
 
 
 @cache
 def rules() -> tuple[dict[str, list[Rule]], object]:
-    """Rules by keyword, and the automaton of the keywords."""
+    """Rules by keyword, and the automaton of the keywords. Names and identifiers stand between blanks."""
     import ahocorasick
 
     by_word: dict[str, list[Rule]] = {}
-    for label, weight, word, pattern in TEXTS:
-        by_word.setdefault(word, []).append(Rule(0, label, weight, re.compile(rf"\b{pattern}\b", re.A)))
+    for label, weight, pattern in TEXTS:
+        rule = Rule(0, label, weight, re.compile(rf"\b{pattern}\b", re.A), keywords(pattern))
+        for word in rule.needs:
+            by_word.setdefault(word, []).append(rule)
     for line in NAMES.strip().splitlines():
-        label, words, name, identifier = (x.strip() for x in re.split(r" \| ", line, maxsplit=3))
+        label, name, identifier = (x.strip() for x in re.split(r" \| ", line, maxsplit=2))
         for priority, weight, sentence in SENTENCES:
             filled = sentence.replace("NAME", name).replace("ID", identifier)
-            rule = Rule(priority, label, weight, re.compile(rf"(?<!\S)(?:{filled})(?!\S)", re.A))
-            for word in words.split(", "):
+            needs = keywords(sentence.replace("NAME", r"\w").replace("ID", r"\w"))
+            rule = Rule(priority, label, weight, re.compile(rf"(?<!\S)(?:{filled})(?!\S)", re.A), needs)
+            for word in keywords(f" (?:{name if 'NAME' in sentence else identifier}) "):
                 by_word.setdefault(word, []).append(rule)
     automaton = ahocorasick.Automaton()
     for word in by_word:
@@ -166,12 +213,10 @@ def base_places(joined: bytes) -> list[tuple[int, str]]:
 
 def detect(joined: str) -> list[tuple[int, int, str, float]]:
     """(start, end, label, weight) of the detections that no accepted detection contains."""
-    if not any(c in joined for c in CONTEXT):
-        return []
     by_word, automaton = rules()
     tried: dict[Rule, None] = {}
-    for word in sorted({word for _, word in automaton.iter(joined)}):
-        tried |= dict.fromkeys(by_word[word])
+    for word in sorted({word for _, word in automaton.iter(f" {joined} ")}):
+        tried |= dict.fromkeys(r for r in by_word[word] if any(n in joined for n in r.needs))
     found = [(r.priority, m.start() - m.end(), m.start(), m.end(), r.label, r.weight) for r in tried for m in r.pattern.finditer(joined)]
     kept: list[tuple[int, int, str, float]] = []
     for _, _, a, b, label, weight in sorted(found):
@@ -185,7 +230,7 @@ def scan(text: str | None) -> tuple:
     words = [w for w in words_of(text) if w]
     joined = b" " + b" ".join(words) + b" "
     base = base_places(joined)
-    found = detect(joined.decode("utf-8", "surrogatepass")) if any(c.encode() in joined for c in CONTEXT) else []
+    found = detect(joined.decode("utf-8", "surrogatepass"))
     starts, labels = [i for i, _ in base], {label for _, label in base}
     weights = {label: 1.0 for label in labels}
     for _, _, label, weight in found:
