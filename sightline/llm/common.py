@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -16,24 +17,32 @@ NOT_SPACE = r"[^\x20\x09-\x0D]+"
 #: A side of a join is broadcast only if its counted rows stay below this; beyond it, both sides are shuffled.
 BROADCAST_ROWS = 400_000
 
-_written: list[tuple[SparkSession, str]] = []
+#: Folders of written tables, with their session, until they are deleted.
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a new local one only where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir); a new local one only where that is unset and Spark runs in one process."""
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="sightline-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for folder, spark in _written.items():
         try:
-            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+            _delete(spark, folder)
         except Exception:  # the session is gone; the folder's owner cleans it
             return
 
@@ -44,10 +53,25 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     Lineage ends here, so a lost executor costs a file read and not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sightline-{uuid.uuid4().hex}/{tag}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path.rsplit("/", 1)[0]))
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/sightline-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(f"{folder}/{tag}")
+    _written[folder] = spark
+    table = spark.read.schema(df.schema).parquet(f"{folder}/{tag}")
+    table._sightline_folder = folder
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, and lets Spark drop the shuffle files of the jobs that made them.
+
+    Without it, files of all steps would add up until the session ends.
+    """
+    for table in tables:
+        folder = table._sightline_folder
+        if spark := _written.pop(folder, None):
+            _delete(spark, folder)
+            gc.collect()
+            spark._jvm.System.gc()
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

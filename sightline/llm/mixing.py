@@ -8,26 +8,34 @@ document is drawn again on any cluster. Texts are never shuffled.
 
 from __future__ import annotations
 
+import math
+import warnings
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACE, materialise
+from .common import BROADCAST_ROWS, SPACE, bounded_broadcast, materialise, release
 
 MARGINS = ("source", "lang", "topic")
 SALTS = 32
+#: Rounds of raking between two written tables.
+ROUNDS_A_TABLE = 4
 
 
 @dataclass(frozen=True)
 class Settings:
     """Share of all tokens to expect; target shares by margin, e.g. {"lang": {"en": 0.5}}; where a margin has none, its
-    targets are proportional to tokens to the power given in ``powers``; rounds of raking and of capping at 1; seed."""
+    targets are proportional to tokens to the power given in ``powers``; rounds of raking, at least and at most, by how much
+    of all tokens a margin may be off its target, and whether more is an error; rounds of capping at 1; seed."""
 
     share: float = 0.5
     targets: dict = field(default_factory=dict)
     powers: tuple[float, float, float] = (0.7, 0.5, 0.8)
     rounds: int = 8
+    most_rounds: int = 64
+    tolerance: float = 1e-3
+    strict: bool = False
     caps: int = 6
     seed: str = "mix"
 
@@ -49,29 +57,53 @@ def draw(id_: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def _target_shares(cells: DataFrame, margin: str, power: float, fixed: dict | None) -> DataFrame:
-    """``margin, share`` that add up to 1 over the margin's values that occur."""
-    totals = cells.groupBy(margin).agg(F.sum("tokens").alias("t")).where("t > 0")
-    wish = F.pow(F.col("t").cast("double"), F.lit(power))
-    if fixed is not None:
-        wish = F.coalesce(*(F.when(F.col(margin) == k, F.lit(float(v))) for k, v in sorted(fixed.items())), F.lit(0.0))
-    wishes = totals.select(margin, wish.alias("wish"))
-    return wishes.crossJoin(F.broadcast(wishes.agg(F.sum("wish").alias("all")))).select(margin, F.try_divide("wish", "all").alias("share"))  # one row
+def _with_shares(cells: DataFrame, settings: Settings) -> DataFrame:
+    """``cells`` with ``share_<margin>``: target shares that add up to 1 over the margin's values that have tokens."""
+    out = cells
+    for margin, power in zip(MARGINS, settings.powers):
+        fixed = settings.targets.get(margin)
+        totals = cells.groupBy(margin).agg(F.sum("tokens").alias("t")).where("t > 0")
+        wish = F.pow(F.col("t").cast("double"), F.lit(power))
+        if fixed is not None:
+            wish = F.coalesce(*(F.when(F.col(margin) == k, F.lit(float(v))) for k, v in sorted(fixed.items())), F.lit(0.0))
+        wishes = materialise(totals.select(margin, wish.alias("wish")), f"wishes-{margin}")
+        all_wishes = wishes.agg(F.sum("wish")).first()[0] or 0.0
+        share = F.try_divide(F.col("wish"), F.lit(float(all_wishes)))
+        out = out.join(bounded_broadcast(wishes.select(margin, share.alias(f"share_{margin}"))), margin, "left")
+    return out
 
 
 def rake(cells: DataFrame, settings: Settings) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with ``weight``: weighted token shares meet the last margin's targets exactly and
-    the others' as nearly as the rounds allow; cells without tokens have weight 0."""
-    shares = [materialise(_target_shares(cells, m, p, settings.targets.get(m)), f"target-{m}") for m, p in zip(MARGINS, settings.powers)]
-    total = cells.agg(F.sum("tokens").cast("double").alias("all_tokens"))
-    current = cells.withColumn("weight", F.lit(1.0))
-    for _ in range(settings.rounds):
-        for margin, share in zip(MARGINS, shares):
-            now = current.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now"))
-            factor = share.join(now, margin).crossJoin(F.broadcast(total)).select(margin, F.coalesce(F.try_divide(F.col("share") * F.col("all_tokens"), F.col("now")), F.lit(0.0)).alias("factor"))
-            current = current.join(factor, margin, "left").select(*MARGINS, "tokens", (F.col("weight") * F.coalesce("factor", F.lit(0.0))).alias("weight"))
-        current = materialise(current, "raked")
-    return current
+    the others' as nearly as the rounds allow; cells without tokens have weight 0.
+
+    A step is a sum over each value of a margin, so a round plans three windows and no join. After ``rounds`` rounds they
+    go on only while a margin is off by more than ``tolerance`` and comes nearer; targets that the cells can't meet (a
+    margin's value that occurs only beside values of small shares) end in a warning, or an error if ``strict``.
+    """
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    current = materialise(_with_shares(cells, settings).withColumn("weight", F.lit(1.0)), "shares")
+    off, done = math.inf, 0
+    while done < settings.most_rounds:
+        wide = current
+        for _ in range(ROUNDS_A_TABLE):
+            for margin in MARGINS:
+                now = F.sum(F.col("tokens") * F.col("weight")).over(Window.partitionBy(margin))
+                miss = F.abs(F.try_divide("now", F.lit(total)) - F.col(f"share_{margin}"))
+                factor = F.coalesce(F.try_divide(F.col(f"share_{margin}") * F.lit(total), F.col("now")), F.lit(0.0))
+                wide = wide.withColumn("now", now).withColumn(f"miss_{margin}", miss).withColumn("weight", F.col("weight") * factor)
+            done += 1
+        before, current = current, materialise(wide.drop("now"), "raked")
+        release(before)
+        last, off = off, max((x for x in current.agg(*(F.max(f"miss_{m}") for m in MARGINS)).first() if x is not None), default=0.0)
+        if done >= settings.rounds and (off <= settings.tolerance or off > 0.9 * last):
+            break
+    if off > settings.tolerance:
+        said = f"raking: after {done} rounds a margin is off its target by {off:.2g} of all tokens"
+        if settings.strict:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
+    return current.select(*MARGINS, "tokens", "weight")
 
 
 def calibrate(cells: DataFrame, settings: Settings) -> DataFrame:

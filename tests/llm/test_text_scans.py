@@ -169,3 +169,24 @@ def test_raking_meets_marginals(spark):
     for margin, targets in wanted.targets.items():
         for value, share in targets.items():
             assert sum(r["tokens"] * r["weight"] for r in raked if r[margin] == value) / total == pytest.approx(share, abs=1e-3)
+
+
+def test_targets_that_cannot_be_met_are_told(spark):
+    cells = spark.createDataFrame([("a", "x", "p", 90), ("b", "y", "p", 10)], "source string, lang string, topic string, tokens long")
+    apart = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.9, "y": 0.1}}
+    with pytest.warns(UserWarning, match="off its target"):
+        mixing.rake(cells, mixing.Settings(targets=apart))
+    with pytest.raises(ValueError, match="off its target"):
+        mixing.rake(cells, mixing.Settings(targets=apart, strict=True))
+
+
+def test_raking_plans_no_join(spark):
+    cells = spark.createDataFrame([("a", "x", "p", 90), ("b", "y", "p", 10)], "source string, lang string, topic string, tokens long")
+    seen = []
+    kept, mixing.materialise = mixing.materialise, lambda df, tag: (seen.append((tag, df._jdf.queryExecution().optimizedPlan().toString())), kept(df, tag))[1]
+    try:
+        mixing.rake(cells, mixing.Settings())
+    finally:
+        mixing.materialise = kept
+    raked = [plan for tag, plan in seen if tag == "raked"]
+    assert len(raked) >= 2 and not any("Join" in plan for plan in raked) and all(plan.count("Window ") <= 12 for plan in raked)
