@@ -3,14 +3,16 @@
 1. Each document's distinct word shingles give a set digest, MinHash band keys, and an odd sketch: a bitmap in which every
    MinHash sample toggles one bit. The XOR of two sketches has few ones exactly when the sets are very similar, so its
    population count is a precise and cheap estimate at high similarity.
-2. Documents with equal sets form a class, represented by its smallest id. Only representatives go on.
+2. Documents with equal sets (by 128-bit digest) form a class. A class is a node, numbered by one of its rows, so ids that
+   repeat with different texts stay apart. One row of a class goes on.
 3. Star rounds: in each band bucket every member is paired with the bucket's smallest member. Pairs survive a size test
    and the sketch test (several standard errors below the limit, so that no true link is lost), and are confirmed by the
    exact Jaccard similarity of the full sets. Components follow from the confirmed links.
-4. Remainder: in buckets that still hold several components, members of different components are compared by sketch in
-   blocks of bounded size, each pair in the first bucket it shares. Members that may have a partner get their texts, and the
-   blocks are compared again by exact similarity, emitting only links that connect components. So all colliding pairs are
-   compared or already known to be connected, and pairs themselves are never emitted.
+4. Remainder: of the buckets that still hold several components, those with equal members count once, in their first band.
+   Members of different components are compared by sketch in blocks of bounded size, each pair in the first bucket it
+   shares. Members that may have a partner get their texts, and the blocks are compared again by exact similarity,
+   emitting only links that connect components. So all colliding pairs are compared or already known to be connected, and
+   pairs themselves are never emitted.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import bounded_broadcast, fresh, materialise, slices
+from .common import bounded_broadcast, fresh, materialise, release, slices
 from .components import components
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Words in a shingle; the limit as numerator / denominator; bands of rows samples; bits of a sketch; block of comparisons.
+    """Words in a shingle; the limit as numerator / denominator; bands of rows samples; bits of a sketch; members in a block.
 
     With 30 bands of 5, a pair at similarity 0.85 shares no bucket with probability (1 - 0.85**5) ** 30 = 2e-8, at 0.8
     with 7e-6.
@@ -43,7 +45,7 @@ class Settings:
     bands: int = 30
     rows: int = 5
     bits: int = 512
-    block: int = 512
+    block: int = 4096
     errors: float = 6.0
 
     @property
@@ -55,31 +57,32 @@ class Settings:
         return math.ceil(self.bits / 2 * (1 - math.exp(-2 * differing / self.bits)) + 3 * math.sqrt(self.bits) / 4)
 
 
+SIGNED = "n long, digest binary, bands array<long>, sketch array<long>"
+
+
 def sign(settings: Settings):
-    """Of rows (id, text) the set size, set digest, band keys and odd sketch; without words, no digest and no keys."""
+    """Of rows (..., text) the other columns, set size, set digest, band keys and odd sketch; without words, no digest and no keys."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for whole in batches:
             for batch in slices(whole, ["text"], 2_000_000):
-                data, offsets = sh.buffer_of(batch.column(1))
+                own = [i for i, name in enumerate(batch.schema.names) if name != "text"]
+                data, offsets = sh.buffer_of(batch.column(batch.schema.get_field_index("text")))
                 hashes, bounds = sh.shingles(data, offsets, settings.words)
                 sets = sh.distinct(hashes, bounds)
                 signature = sh.minhash(hashes, bounds, settings.bands * settings.rows)
                 filled = np.diff(bounds) > 0
                 lists = np.concatenate([[0], np.cumsum(filled)]).astype(np.int32)
                 keys, marks = sh.band_keys(signature, settings.rows), sh.odd_sketch(signature, settings.bits)
-                yield pa.record_batch(
-                    [
-                        batch.column(0),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.ListArray.from_arrays(lists * settings.bands, keys.ravel()),
-                        pa.ListArray.from_arrays(lists * (settings.bits // 64), marks.ravel()),
-                    ],
-                    names=["id", "n", "digest", "bands", "sketch"],
-                )
+                made = [
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    pa.ListArray.from_arrays(lists * settings.bands, keys.ravel()),
+                    pa.ListArray.from_arrays(lists * (settings.bits // 64), marks.ravel()),
+                ]
+                yield pa.record_batch([*(batch.column(i) for i in own), *made], names=[*(batch.schema.names[i] for i in own), *(c.split()[0] for c in SIGNED.split(", "))])
 
     return run
 
@@ -102,7 +105,7 @@ def _confirm(settings: Settings):
     return run
 
 
-_ROW = "key long, i long, j long, chunk long, rep long, comp long"
+_ROW = "key long, band int, i long, j long, chunk long, rep long, comp long"
 
 
 class _Group:
@@ -112,14 +115,13 @@ class _Group:
         self.table, self.settings = table, settings
         for name in ("rep", "comp", "n", "chunk"):
             setattr(self, name, table.column(name).to_numpy())
-        self.key, self.i, self.j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
+        self.band, self.i, self.j = (table.column(c)[0].as_py() for c in ("band", "i", "j"))
         self.sketch, self.bands = (table.column(c).combine_chunks().flatten().to_numpy().reshape(len(self.rep), -1) for c in ("sketch", "bands"))
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions of members of different components that may reach the limit and share no earlier bucket."""
         s, same = self.settings, self.i == self.j
         left, right = np.flatnonzero(self.chunk == self.i), np.flatnonzero(self.chunk == self.j)
-        band = int(np.flatnonzero(self.bands[left[0]] == self.key)[0]) if len(left) else 0
         for at in range(0, len(left), 128):
             x = left[at : at + 128]
             near = self.comp[x, None] != self.comp[None, right]
@@ -131,7 +133,7 @@ class _Group:
                 a, b = x[row[part : part + 65536]], right[col[part : part + 65536]]
                 keep = np.bitwise_count(self.sketch[a] ^ self.sketch[b]).sum(axis=1) <= s.max_ones
                 a, b = a[keep], b[keep]
-                first = ~(self.bands[a, :band] == self.bands[b, :band]).any(axis=1)
+                first = ~(self.bands[a, : self.band] == self.bands[b, : self.band]).any(axis=1)
                 if first.any():
                     yield a[first], b[first]
 
@@ -229,15 +231,10 @@ def _plausible(pairs: DataFrame, info: DataFrame, settings: Settings) -> DataFra
 
 
 def _links(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    wide = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    wide = pairs.select("a", "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
     return wide.select("a", "b", "ta", "tb").mapInArrow(_confirm(settings), "a long, b long")
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
-    return materialise(docs.join(bounded_broadcast(ids), "id", "left_semi"), "texts")
-
-
 def apart(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
     """``rows`` with the component of each named column's node as comp_<column>; a node without a link is its own."""
     for c in columns:
@@ -247,65 +244,113 @@ def apart(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
 
 
 def bucketed(members: DataFrame) -> DataFrame:
-    """Of rows (key, rep) those in buckets with different members, with the bucket's smallest one as ``low``."""
+    """Of rows (key, band, rep) those in buckets with different members, with the bucket's smallest one as ``low``.
+
+    ``members`` is read twice, so it is a written table or a cheap projection of one.
+    """
     shared = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
     return materialise(members.join(shared, "key"), "buckets")
 
 
-def linked(buckets: DataFrame, info: DataFrame, own: DataFrame, settings: Settings) -> DataFrame:
-    """``node, comp`` of all linked representatives.
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, band, rep, comp, chunks of ``block`` members) of the buckets with several components; of those with equal members the first band's."""
+    placed = apart(buckets.select("key", "band", "rep"), labels, "rep").withColumnRenamed("comp_rep", "comp")
+    salt = lambda n: F.sum(F.pmod(F.xxhash64("rep", F.lit(n)), F.lit(1 << 31))).alias(f"s{n}")
+    mixed = placed.groupBy("key", "band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), salt(1), salt(2), salt(3), salt(4)).where("x < y")
+    first = mixed.groupBy("m", "s1", "s2", "s3", "s4").agg(F.min_by("key", F.struct("band", "key")).alias("key"))
+    return placed.join(first.select("key", "m"), "key")
+
 
-    ``info`` has (rep, n, sketch, bands) and ``own`` (id, text) of at least the buckets' members.
+def linked(buckets: DataFrame, info: DataFrame, texts_of, settings: Settings) -> DataFrame:
+    """``node, comp`` of all linked nodes.
+
+    ``info`` has (rep, n, sketch, bands) of at least the buckets' members, and ``texts_of`` gives (rep, text) of the nodes
+    (rep) it is asked for.
     """
     stars = buckets.where("rep <> low").groupBy(F.col("low").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("bands"))
     stars = materialise(_plausible(stars, info, settings), "stars")
-    texts = _texts(own, stars)
-    first = stars.groupBy("b").agg(F.max(F.struct("bands", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
-    links = materialise(_links(first, texts, settings), "links")
-    labels = components(links, "a", "b")
+    texts = materialise(texts_of(stars.select(F.col("a").alias("rep")).union(stars.select("b")).distinct()), "texts")
+    best = stars.groupBy("b").agg(F.max("bands").alias("bands"))
+    first = stars.join(best, ["b", "bands"]).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    one = materialise(_links(first, texts, settings), "links")
+    labels = components(one, "a", "b")
 
     second = apart(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), labels, "a", "b").where("comp_a <> comp_b")
-    links = materialise(links.union(_links(second, texts, settings)), "links")
+    two = materialise(_links(second, texts, settings), "links")
+    links = one.union(two)
     labels = components(links, "a", "b")
-
-    placed = apart(buckets.select("key", "rep"), labels, "rep").withColumnRenamed("comp_rep", "comp")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x < y").select("key", F.ceil(F.col("m") / settings.block).alias("chunks"))
-    rest = placed.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
-    rest = rest.join(info, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    rest = rest.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "comp", "n", "sketch", "bands")
-    rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    unsure = materialise(rest.mapInArrow(_unsure(settings), _ROW), "unsure")
-    ids = materialise(unsure.select(F.col("rep").alias("id")).distinct(), "needed")
-    texts = own.join(bounded_broadcast(ids), "id", "left_semi").select(F.col("id").alias("rep"), "text")
-    full = unsure.join(info, "rep").join(texts, "rep").select(*unsure.columns, "n", "sketch", "bands", "text")
-    third = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_settle(settings), "a long, b long")
-    return components(links.union(third), "a", "b")
+    release(stars, texts)
+
+    rest = materialise(_mixed(buckets, labels).withColumn("chunks", F.ceil(F.col("m") / settings.block)).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))), "mixed")
+    members = rest.join(info, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    placed = members.select("key", "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "comp", "n", "sketch", "bands")
+    placed = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    unsure = materialise(placed.mapInArrow(_unsure(settings), _ROW), "unsure")
+    sizes = info.select("rep", "n", "sketch", "bands").join(texts_of(unsure.select("rep").distinct()), "rep")
+    full = unsure.join(sizes, "rep").select(*unsure.columns, "n", "sketch", "bands", "text")
+    three = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_settle(settings), "a long, b long")
+    labels = components(links.union(three), "a", "b")
+    release(one, two, rest, unsure)
+    return labels
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataFrame:
+    """(id, th, row, n, comp_row, component_id) of each input row; th is the text's hash, row a number of the row, and
+    comp_row the number of a row that stands for its component."""
+    own = fresh(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("th"), "text")
+    schema = f"id {own.schema['id'].dataType.simpleString()}, th long, {SIGNED}"
+    signed = materialise(own.mapInArrow(sign(settings), schema).withColumn("row", F.monotonically_increasing_id()), "signed")  # fixes the numbers
+
+    rows = signed.select("id", "th", "row", "n", "digest")
+    classes = materialise(rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("row").alias("rep"), F.min("id").alias("least")), "classes")
+    info = materialise(signed.join(classes.select(F.col("rep").alias("row")), "row").select(F.col("row").alias("rep"), "id", "th", "n", "sketch", "bands"), "info")
+    asked = []
+
+    def texts_of(reps: DataFrame) -> DataFrame:
+        asked.append(materialise(info.select("rep", "id", "th").join(reps, "rep"), "asked"))
+        x, y = own.alias("x"), bounded_broadcast(asked[-1]).alias("y")
+        found = x.join(y, F.col("x.id").eqNullSafe(F.col("y.id")) & (F.col("x.th") == F.col("y.th"))).select("rep", "text")
+        return found.dropDuplicates(["rep"])  # a row may occur twice
+
+    buckets = bucketed(info.select("rep", F.posexplode("bands").alias("band", "key")))
+    labels = linked(buckets, info, texts_of, settings)
+    release(buckets, info, *asked)
+    placed = apart(classes, labels, "rep").withColumnRenamed("comp_rep", "comp_row")
+    heads = placed.groupBy("comp_row").agg(F.min("least").alias("component_id"))
+    known = placed.select("digest", "comp_row").join(heads, "comp_row")
+    done = rows.where("digest IS NOT NULL").join(known, "digest").select("id", "th", "row", "n", "comp_row", "component_id")
+    return done.union(rows.where("digest IS NULL").select("id", "th", "row", "n", F.col("row").alias("comp_row"), F.col("id").alias("component_id")))
 
 
 def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """``id_col, n_shingles, component_id, kept``: one row per input row.
 
     Null texts and texts without words have the empty set and are linked with nothing; a text of fewer words than a
-    shingle has its whole sequence as its only one. Rows that share an id are one node. A row with a null id joins the
-    class of its set but cannot represent it: without another member its component is null. An empty table gives an empty
-    result; other columns are ignored.
+    shingle has its whole sequence as its only one. Ids may be of any type that has an order. Rows that share an id are
+    judged each by its own text. A row with a null id is linked like any other but does not name its component: a
+    component of such rows alone is null. An empty table gives an empty result; other columns are ignored.
     """
-    own = fresh(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
-    signed = materialise(own.mapInArrow(sign(settings), "id long, n long, digest binary, bands array<long>, sketch array<long>"), "signed")
-    classes = materialise(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    heads = signed.join(classes, (signed["id"] == classes["rep"]) & (signed["digest"] == classes["digest"])).select("rep", "n", "bands", "sketch")
-    info = heads.dropDuplicates(["rep", "n"])
-
-    labels = linked(bucketed(heads.select(F.explode("bands").alias("key"), "rep")), info, own, settings)
-    class_labels = apart(classes, labels, "rep").select("digest", F.col("comp_rep").alias("component_id"))
-    rows = signed.select("id", "n", "digest")
-    known = rows.where("digest IS NOT NULL").join(class_labels, "digest").select("id", "n", "component_id")
-    bare = rows.where("digest IS NULL").select("id", "n", F.col("id").alias("component_id"))
-    return known.union(bare).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    judged = _judged(docs, id_col, text_col, settings)
+    return judged.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; rows without an id stay."""
-    verdicts = near_dup(docs, id_col, text_col, settings)
-    losers = materialise(verdicts.where(f"NOT kept AND `{id_col}` IS NOT NULL").select(F.col(f"`{id_col}`").alias("loser")).distinct(), "losers")
-    return docs.join(bounded_broadcast(losers), docs[f"`{id_col}`"].cast("long") == losers["loser"], "left_anti")
+    """``docs`` with one row of each component, the first by id (nulls last); texts without words all stay.
+
+    Rows are matched by id (null-safely) and text; of a row that occurs twice one stays.
+    """
+    judged = materialise(_judged(docs, id_col, text_col, settings).where("n > 0"), "judged")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "th")
+    several = materialise(judged.groupBy("comp_row").agg(F.count("*").alias("members"), F.min(place).alias("first")).where("members > 1"), "several")
+    losers = judged.join(several, "comp_row").where("row <> first.row").select(F.col("id").alias("l_id"), F.col("th").alias("l_th")).distinct()
+    keepers = several.select(F.col("first.id").alias("l_id"), F.col("first.th").alias("l_th"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"))
+    same = F.col("id").eqNullSafe(F.col("l_id")) & (F.col("th") == F.col("l_th"))
+    pair = F.col("x.l_id").eqNullSafe(F.col("y.l_id")) & (F.col("x.l_th") == F.col("y.l_th"))
+    gone = materialise(losers.alias("x").join(keepers.alias("y"), pair, "left_anti"), "gone")
+    twice = materialise(losers.alias("x").join(keepers.alias("y"), pair, "left_semi"), "twice")
+    kept = rows.join(bounded_broadcast(gone), same, "left_anti")
+    if twice.isEmpty():
+        return kept.select("row.*")
+    few = bounded_broadcast(twice)
+    return kept.join(few, same, "left_anti").select("row.*").union(kept.join(few, same, "left_semi").dropDuplicates(["id", "th"]).select("row.*"))

@@ -86,6 +86,26 @@ def test_near_of_edges(edges, empty):
     assert near_dup.near_dup(empty).count() == 0
 
 
+def test_near_of_repeated_ids(spark):
+    """Two rows of an id with different texts of equal set size, and a near copy of each."""
+    a, b = prose(61, 120), prose(62, 120)
+    near_a, near_b = (t.replace(t.split()[60], "changed", 1) for t in (a, b))
+    rows = [(5, a), (5, b), (7, near_a), (8, near_b), (None, near_b), (5, a), (9, prose(63))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.near_dup(df, settings=near_dup.Settings(words=3, num=85)).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [("5", "5", True)] * 3 + [("7", "5", False), ("8", "5", False), ("9", "9", True), ("None", "5", False)]
+    apart = near_dup.near_dup(spark.createDataFrame([(5, a), (6, b), (6, near_a)], "doc_id long, text string"), settings=near_dup.Settings(words=3, num=85)).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in apart) == [(5, 5, True), (6, 5, False), (6, 6, True)]
+    kept = near_dup.drop_near_duplicates(df).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("5", a), ("5", b), ("9", prose(63))])
+
+
+def test_near_of_string_ids(spark):
+    a = prose(61, 120)
+    got = near_dup.near_dup(spark.createDataFrame([("x", a), ("b", a.replace(a.split()[60], "changed", 1)), ("c", prose(64))], "doc_id string, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [("b", "b", True), ("c", "c", True), ("x", "b", False)]
+
+
 def test_odd_sketch_estimates(spark):
     import numpy as np
 
