@@ -1,21 +1,22 @@
 """Substring deduplication by paragraph MinHash banding (operator 5).
 
-A paragraph is a line; one of over ``cut_words`` words is cut at the first sentence end after ``part_words`` words, again and
-again. Paragraphs of at least ``min_words`` words take part. Equal word sequences share a number (a 64-bit digest: among
-1e11 different paragraphs a few hundred would share one by chance) and are one node; nodes collide by MinHash bands, colliding
-nodes are confirmed by exact Jaccard similarity, and all but the first paragraph of each component are removed.
-
-A passage that is spliced into other text, or wrapped otherwise, makes no similar paragraph. So windows of ``window_words``
-words are taken too, across lines, from anchors that the words alone decide: the least shingle hash of every ``reach``
-successive shingles. Equal runs of ``run_words`` words hold an equal window wherever they stand. Windows inside removed
-paragraphs are left out; equal windows are a component of their own.
+Two kinds of units are compared, both by the same method: MinHash bands tuned for recall, exact Jaccard similarity of the
+units that collide, components of the confirmed links.
+
+* Paragraphs: lines of at least ``min_words`` words. A line of over ``cut_words`` words is cut at those sentence ends whose
+  last words' hash falls into one of ``cut_share`` classes, so where it is cut depends on the words there only.
+* Windows: a passage that is spliced into other text, or wrapped otherwise, makes no similar line. So runs of
+  ``window_words`` words are taken, across lines, from anchors that the words alone decide: the least shingle hash of every
+  ``reach`` successive ones. Equal runs of ``run_words`` words hold an equal window wherever they stand.
+
+All units come from one pass over the texts and are written once. Equal word sequences are one node (a 64-bit hash, with 32
+further bits wherever members are counted). All but the first unit of each component are removed. Windows inside removed
+paragraphs are left out.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import near_dup
 from . import shingles as sh
-from .common import bounded_broadcast, fresh, materialise, slices
+from .common import bounded_broadcast, fresh, materialise, release, slices
 
 
 def tuned_bands(limit: float, rows: int, recall: float) -> int:
@@ -35,217 +36,192 @@ def tuned_bands(limit: float, rows: int, recall: float) -> int:
 
 @dataclass(frozen=True)
 class Settings:
+    """Two samples a band are enough: shingles of five words are rarely shared by chance, so few buckets mix strangers.
+
+    A window's one band is of its anchor and ``window_rows`` samples: it has to bring equal windows together.
+    """
+
     min_words: int = 20
     cut_words: int = 100
-    part_words: int = 60
+    cut_share: int = 4
     words: int = 5
     num: int = 80
     den: int = 100
-    rows: int = 4
+    rows: int = 2
     recall: float = 0.999
     run_words: int = 50
     window_words: int = 26
+    window_rows: int = 3
 
     @property
     def reach(self) -> int:
         """Shingles among which one is an anchor: its window still ends within the run."""
         return self.run_words - self.window_words + 1
 
-    def near(self) -> near_dup.Settings:
-        bands = tuned_bands(self.num / self.den, self.rows, self.recall)
-        return near_dup.Settings(words=self.words, num=self.num, den=self.den, bands=bands, rows=self.rows)
-
-
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-
-
-def paragraphs(raw: bytes, s: Settings) -> list[tuple[int, int]]:
-    """(start, end) in bytes of the paragraphs that take part."""
-    out, at = [], 0
-    for line in raw.split(b"\n"):
-        size = len(line.split())
-        if size >= s.min_words:
-            if size <= s.cut_words:
-                out.append((at, at + len(line)))
-            else:
-                first, count, left = 0, 0, size
-                for m in _WORD.finditer(line):
-                    count += 1
-                    if count >= s.part_words and left - count >= s.min_words and line[m.end() - 1] in b".!?":
-                        out.append((at + first, at + m.end()))
-                        first, left, count = m.end(), left - count, 0
-                out.append((at + first, at + len(line)))
-        at += len(line) + 1
-    return out
-
-
-def _units(batch, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]:
-    """Document row, start and end of each paragraph; the paragraphs' bytes and offsets."""
-    data, offsets = sh.buffer_of(batch.column(batch.schema.get_field_index("text")))
-    rows, spans, parts = [], [], []
-    for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-        raw = data[a:b]
-        for x, y in paragraphs(raw, s):
-            rows.append(row)
-            spans.append((x, y))
-            parts.append(raw[x:y])
-    bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    both = np.array(spans, np.int64).reshape(-1, 2)
-    return np.array(rows, np.int64), both[:, 0], both[:, 1], b"".join(parts), bounds
-
-
-def _nodes(data: bytes, bounds: np.ndarray) -> np.ndarray:
-    """A number for each paragraph's word sequence."""
-    words, first = sh.word_hashes(data, bounds)
-    raw = words.tobytes()
-    digests = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=8).digest() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-    return np.frombuffer(b"".join(digests), np.int64)
-
-
-def _list_paragraphs(s: Settings):
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for whole in batches:
-            for batch in slices(whole, ["text"], 2_000_000):
-                rows, start, end, data, bounds = _units(batch, s)
-                at = pa.array(rows)
-                yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(start), pa.array(end), pa.array(_nodes(data, bounds))], names=["id", "th", "start", "end", "rep"])
-
-    return run
-
-
-def _keys(s: Settings):
-    """(key, rep) of all bands of all paragraphs; a batch's equal paragraphs count once."""
+    @property
+    def bands(self) -> int:
+        return tuned_bands(self.num / self.den, self.rows, self.recall)
+
+    def near(self, window: bool) -> near_dup.Settings:
+        bands, rows = (1, self.window_rows) if window else (self.bands, self.rows)
+        return near_dup.Settings(words=self.words, num=self.num, den=self.den, bands=bands, rows=rows)
+
+
+def paragraphs(data: bytes, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of the paragraphs that take part."""
+    n = len(words)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    raw = np.frombuffer(data, np.uint8)
+    breaks = np.flatnonzero(raw == 10)
+    line = np.searchsorted(breaks, starts)
+    new = np.ones(n, np.bool_)
+    new[1:] = line[1:] != line[:-1]
+    new[first[:-1][first[:-1] < n]] = True
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, n))
+    long = np.repeat(size > s.cut_words, size)
+    final = np.isin(raw[ends - 1], np.frombuffer(b".!?", np.uint8))
+    tail = words.copy()
+    tail[1:] += words[:-1] * np.uint64(0x9E3779B97F4A7C15)
+    chosen = long & final & (sh.mix(tail) % np.uint64(s.cut_share) == 0)
+    new[1:] |= chosen[:-1]
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, n))
+    kept = size >= s.min_words
+    return begin[kept], size[kept]
+
+
+def windows(words: np.ndarray, grams: np.ndarray, first: np.ndarray, s: Settings) -> np.ndarray:
+    """First words of the windows; ``grams``: the hash of the shingle that starts at each word, whatever unit it ends in."""
+    place = sh.leftmost_minima(grams, s.reach)
+    sizes = np.diff(first)
+    counts = np.maximum(sizes - s.words + 1 - s.reach + 1, 0) * (sizes >= s.run_words)
+    chosen = place[sh.spread(first[:-1], counts)]
+    if not len(chosen):
+        return chosen
+    chosen = chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])]
+    unit = np.searchsorted(first, chosen, side="right") - 1
+    return chosen[chosen + s.window_words <= first[unit + 1]]
+
+
+def _units(s: Settings):
+    """Of rows (id, th, text) the units; of equal paragraphs of a batch only the first has band keys."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        near = s.near()
-        for whole in batches:
-            for batch in slices(whole, ["text"], 2_000_000):
-                *_, data, bounds = _units(batch, s)
-                nodes, one = np.unique(_nodes(data, bounds), return_index=True)
-                keys = sh.band_keys(sh.minhash(*sh.shingles(data, bounds, s.words), near.bands * near.rows), near.rows)[one]
-                yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(nodes, near.bands))], names=["key", "rep"])
-
-    return run
-
-
-def _anchors(hashes: np.ndarray, reach: int) -> np.ndarray:
-    """Positions of the first least value of every ``reach`` successive ones."""
-    views, found = np.lib.stride_tricks.sliding_window_view(hashes, reach), []
-    for a in range(0, len(views), 50_000):
-        least = views[a : a + 50_000].argmin(axis=1)
-        found.append(np.unique(least + np.arange(a, a + len(least))))
-    return np.unique(np.concatenate(found))
-
-
-def windows(data: bytes, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Unit, start and end in bytes from the unit's start, and hash of the windows of the units ``data[offsets[i]:offsets[i + 1]]``.
-
-    Every unit's last byte has to be white space.
-    """
-    ink = np.frombuffer(data.translate(sh._INK), np.int8)
-    edge = np.diff(ink, prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    grams, gram_at = sh.shingles(data, offsets, s.words)
-    values, value_at = sh.shingles(data, offsets, s.window_words)
-    first = np.searchsorted(starts, offsets)
-    out = []
-    for unit in np.flatnonzero(np.diff(first) >= s.run_words).tolist():
-        at = _anchors(grams[gram_at[unit] : gram_at[unit + 1]], s.reach)
-        at = at[at + s.window_words <= first[unit + 1] - first[unit]]
-        w = first[unit] + at
-        out.append((np.full(len(at), unit), starts[w] - offsets[unit], ends[w + s.window_words - 1] - offsets[unit], values[value_at[unit] + at].view(np.int64)))
-    if not out:
-        return (np.empty(0, np.int64),) * 4
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def _list_windows(s: Settings):
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+        def made(batch, offsets, window: bool, words, grams, starts, ends, first, begin, size) -> pa.RecordBatch:
+            near = s.near(window)
+            rep, check = sh.sequence_hashes(words, begin, size), sh.sequence_hashes(words, begin, size, 1)
+            one = np.arange(len(rep)) if window else np.sort(np.unique(rep, return_index=True)[1])
+            count = size[one] - s.words + 1
+            bounds = np.concatenate([[0], np.cumsum(count)])
+            keys = sh.band_keys(sh.minhash(grams[sh.spread(begin[one], count)], bounds, near.bands * near.rows), near.rows)
+            if window:  # neighbours that overlap are alike; only windows with the same anchor are compared
+                keys = sh.mix(keys.view(np.uint64) ^ grams[begin, None]).view(np.int64)
+            some = np.zeros(len(begin), np.int32)
+            some[one] = near.bands
+            unit = np.searchsorted(first, begin, side="right") - 1
+            at = pa.array(unit)
+            columns = [
+                batch.column(0).take(at),
+                batch.column(1).take(at),
+                pa.array(np.full(len(begin), window)),
+                pa.array(starts[begin] - offsets[unit]),
+                pa.array(ends[begin + size - 1] - offsets[unit]),
+                pa.array(rep.view(np.int64)),
+                pa.array((check >> np.uint64(33)).astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some)]).astype(np.int32)), pa.array(keys.ravel())),
+            ]
+            return pa.record_batch(columns, names=["id", "th", "window", "start", "end", "rep", "check", "keys"])
 
         for whole in batches:
             for batch in slices(whole, ["text"], 2_000_000):
                 data, offsets = sh.buffer_of(batch.column(batch.schema.get_field_index("text")))
-                raw = b"".join(data[a:b] + b"\n" for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()))
-                rows, start, end, value = windows(raw, offsets + np.arange(len(offsets)), s)
-                at = pa.array(rows)
-                yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(start), pa.array(end), pa.array(value)], names=["id", "th", "start", "end", "rep"])
+                starts, ends, first = sh.word_places(data, offsets)
+                words = sh.hashes_between(data, starts, ends)
+                if len(words) < s.words:
+                    continue
+                grams = sh.word_grams(words, s.words)
+                given = (words, grams, starts, ends, first)
+                yield made(batch, offsets, False, *given, *paragraphs(data, words, starts, ends, first, s))
+                begin = windows(words, grams, first, s)
+                yield made(batch, offsets, True, *given, begin, np.full(len(begin), s.window_words))
 
     return run
 
 
-def _several(rows: DataFrame, tag: str) -> DataFrame:
-    """The rows whose ``rep`` occurs again."""
-    again = materialise(rows.groupBy("rep").count().where("count > 1").select("rep"), tag)
-    return rows.join(bounded_broadcast(again), "rep", "left_semi")
-
-
-def _equal_windows(own: DataFrame, gone: DataFrame, s: Settings) -> DataFrame:
-    """(id, th, start, end, component, n_members, keep) of the windows that occur again, outside the spans ``gone``."""
-    listed = materialise(own.mapInArrow(_list_windows(s), "id long, th long, start long, end long, rep long"), "windows")
-    found = materialise(_several(listed, "again"), "repeated")
-    spans = gone.groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    inside = F.exists("spans", lambda x: (x["start"] <= F.col("f.start")) & (F.col("f.end") <= x["end"]))
-    apart = found.alias("f").join(spans.alias("g"), _same("f", "g"), "left").where(~F.coalesce(inside, F.lit(False))).select("f.*")
-    apart = materialise(apart, "apart")
-    where = F.struct(F.col("id").isNull().alias("none"), "id", "start")
-    totals = materialise(apart.groupBy("rep").agg(F.count("*").alias("n_members"), F.min(where).alias("keep")).where("n_members > 1"), "totals")
-    return apart.join(bounded_broadcast(totals), "rep").withColumnRenamed("rep", "component")
-
-
 def _take(batches: Iterator) -> Iterator:
-    """Of rows (text, [(rep, start, end)]) the paragraphs (rep, text)."""
+    """Of rows (text, [(rep, start, end)]) the units (rep, text)."""
     import pyarrow as pa
 
-    for batch in batches:
-        reps, texts = [], []
-        for text, wanted in zip(batch.column(0), batch.column(1)):
-            raw = text.as_buffer().to_pybytes()
-            for w in wanted.as_py():
-                reps.append(w["rep"])
-                texts.append(raw[w["start"] : w["end"]])
-        yield pa.record_batch([pa.array(reps, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["id", "text"])
+    for whole in batches:
+        for batch in slices(whole, ["text"], 4_000_000):
+            reps, texts = [], []
+            for text, wanted in zip(batch.column(0), batch.column(1)):
+                raw = text.as_buffer().to_pybytes()
+                for w in wanted.as_py():
+                    reps.append(w["rep"])
+                    texts.append(raw[w["start"] : w["end"]])
+            yield pa.record_batch([pa.array(reps, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["rep", "text"])
 
 
 def _same(a: str, b: str):
     return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
 
 
+def _components(own: DataFrame, units: DataFrame, near: near_dup.Settings) -> DataFrame:
+    """``units`` (id, th, start, end, rep, check, ...) in components of two or more, with ``component, n_members, keep``."""
+    keyed = units.where("size(keys) > 0").select("rep", F.posexplode("keys").alias("band", "key"))
+    some = near_dup.bucketed(keyed)
+    buckets = materialise(some.distinct(), "buckets")
+    met = materialise(buckets.select("rep").distinct(), "met")
+    place = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "start", "end", "check")).alias("at")
+    spots = materialise(units.join(bounded_broadcast(met), "rep", "left_semi").groupBy("rep").agg(place).select("rep", "at.*"), "spots")
+    wanted = materialise(spots.groupBy("id", "th").agg(F.collect_list(F.struct("rep", "start", "end")).alias("wanted")), "wanted")
+    read = own.alias("d").join(wanted.alias("w"), _same("d", "w")).select("text", "wanted")
+    texts = materialise(read.mapInArrow(_take, "rep long, text string").dropDuplicates(["rep"]), "texts")
+    info = materialise(texts.mapInArrow(near_dup.sign(near), f"rep long, {near_dup.SIGNED}").select("rep", "n", "sketch", "bands"), "info")
+    labels = near_dup.linked(buckets, info, lambda reps: texts.join(reps, "rep", "left_semi"), near)
+    release(some, buckets, met, wanted, texts, info)
+
+    linked = labels.withColumnRenamed("node", "rep").join(spots.select("rep", "check"), "rep")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "start")).alias("first")
+    classes = materialise(units.groupBy("rep", "check").agg(F.count("*").alias("n")), "classes")
+    placed = classes.join(linked, ["rep", "check"], "left").where("n > 1 OR comp IS NOT NULL")
+    placed = materialise(placed.select("rep", "check", F.coalesce("comp", "rep").alias("component"), F.when(F.col("comp").isNull(), F.col("check")).otherwise(-1).alias("apart")), "placed")
+    members = materialise(units.drop("keys").join(bounded_broadcast(placed), ["rep", "check"]), "members")
+    totals = members.groupBy("component", "apart").agg(F.count("*").alias("n_members"), first).where("n_members > 1").withColumnRenamed("first", "keep")
+    return materialise(members.join(bounded_broadcast(materialise(totals, "totals")), ["component", "apart"]), "found")
+
+
 def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """A row for each paragraph or window of a component of two or more: ``id_col, start, end`` (bytes), ``component, n_members,
     keep_<id_col>, keep_start, removed``.
 
-    The first paragraph or window by (id, start), null ids last, of a component stays. Windows may overlap. Null and empty texts have no paragraphs. Rows
-    that repeat an id are told apart by text; fully repeated rows keep the same paragraphs. An empty table gives an empty
-    result; other columns are ignored.
+    The first paragraph or window by (id, start), null ids last, of a component stays. Windows may overlap. Null and empty
+    texts have no units. Ids may be of any type that has an order. Rows that repeat an id are told apart by text; fully
+    repeated rows keep the same units. An empty table gives an empty result; other columns are ignored.
     """
-    s, near = settings, settings.near()
-    own = fresh(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text").where("text IS NOT NULL")
-    units = materialise(own.mapInArrow(_list_paragraphs(s), "id long, th long, start long, end long, rep long"), "paragraphs")
-    buckets = near_dup.bucketed(own.mapInArrow(_keys(s), "key long, rep long"))
-
-    met = materialise(buckets.select("rep").distinct(), "met")
-    spot = units.join(bounded_broadcast(met), "rep", "left_semi").groupBy("rep").agg(F.min(F.struct("id", "th", "start", "end")).alias("at")).select("rep", "at.*")
-    wanted = materialise(spot.groupBy("id", "th").agg(F.collect_list(F.struct("rep", "start", "end")).alias("wanted")), "wanted")
-    read = own.alias("d").join(bounded_broadcast(wanted, 50_000).hint("shuffle_hash").alias("w"), _same("d", "w")).select("text", "wanted")
-    texts = materialise(read.mapInArrow(_take, "id long, text string").dropDuplicates(["id"]), "texts")
-    signed = texts.mapInArrow(near_dup.sign(near), "id long, n long, digest binary, bands array<long>, sketch array<long>")
-    info = materialise(signed.select(F.col("id").alias("rep"), "n", "sketch", "bands"), "info")
-    labels = near_dup.linked(buckets, info, texts, near)
-
-    counts = units.groupBy("rep").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "start")).alias("first"))
-    sizes = near_dup.apart(counts, labels, "rep").withColumnRenamed("comp_rep", "component")
-    sizes = materialise(sizes, "sizes")
-    totals = sizes.groupBy("component").agg(F.sum("n").alias("n_members"), F.min("first").alias("keep")).where("n_members > 1")
-    known = materialise(sizes.select("rep", "component").join(totals, "component"), "known")
-    stays = lambda rows: rows.withColumn("removed", ~(F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("start") == F.col("keep.start"))))
-    columns = ["id", "th", "start", "end", "component", "n_members", "keep", "removed"]
-    whole = materialise(stays(units.join(bounded_broadcast(known), "rep")).select(columns), "whole")
-    rows = whole.union(stays(_equal_windows(own, whole.where("removed"), s)).select(columns))
+    s = settings
+    own = fresh(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("th"), "text").where("text IS NOT NULL")
+    schema = f"id {own.schema['id'].dataType.simpleString()}, th long, window boolean, start long, end long, rep long, check int, keys array<long>"
+    units = materialise(own.mapInArrow(_units(s), schema), "units")
+    stays = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("start") == F.col("keep.start"))
+    whole = _components(own, units.where("NOT window"), s.near(False)).withColumn("removed", ~stays)
+
+    # A window meets others only in a bucket of its band, so the rest goes at once; what removed paragraphs cover goes too.
+    pieces = units.where("window").withColumn("key", F.col("keys")[0])
+    again = materialise(pieces.groupBy("key").count().where("count > 1").select("key"), "again")
+    found = materialise(pieces.join(bounded_broadcast(again), "key", "left_semi").drop("key"), "repeated")
+    release(units, again)
+    spans = whole.where("removed").groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    inside = F.exists("spans", lambda x: (x["start"] <= F.col("f.start")) & (F.col("f.end") <= x["end"]))
+    apart = found.alias("f").join(spans.alias("g"), _same("f", "g"), "left").where(~F.coalesce(inside, F.lit(False))).select("f.*")
+    apart = materialise(apart, "apart")
+    release(found)
+    rows = whole.unionByName(_components(own, apart, s.near(True)).withColumn("removed", ~stays))
     return rows.select(
         F.col("id").alias(id_col),
         "start",

@@ -48,11 +48,11 @@ def prefix_sums(data: bytes) -> np.ndarray:
     return sums
 
 
-def word_hashes(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the units ``data[offsets[i]:offsets[i + 1]]``, and each unit's first word (one more at the end)."""
+def word_places(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words of the units ``data[offsets[i]:offsets[i + 1]]``, and each unit's first word (one more at the end)."""
     n = len(data)
     if not n:
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
     ink = np.frombuffer(data.translate(_INK), dtype=np.bool_)
     first, last = ink.copy(), ink.copy()
     first[1:] &= ~ink[:-1]
@@ -62,9 +62,73 @@ def word_hashes(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     at = offsets[offsets > 0]
     last[at - 1] = ink[at - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def hashes_between(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the given parts, after A-Z are lower-cased."""
     sums = prefix_sums(data.translate(_LOWER))
-    _, down = powers(n + 1)
-    return mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, offsets)
+    _, down = powers(len(data) + 1)
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
+def word_hashes(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the units, and each unit's first word (one more at the end)."""
+    starts, ends, first = word_places(data, offsets)
+    return hashes_between(data, starts, ends), first
+
+
+def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of values[p:p + width] for every p, by prefixes and suffixes of blocks."""
+    n = len(values) - width + 1
+    size = -(-len(values) // width) * width
+    blocks = np.full(size, np.iinfo(values.dtype).max, values.dtype)
+    blocks[: len(values)] = values
+    blocks = blocks.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+
+
+def leftmost_minima(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The place of the first least value (by the upper 32 bits) of hashes[p:p + width], for every p."""
+    if len(hashes) < width:
+        return np.empty(0, np.int64)
+    placed = (hashes & _U(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
+    return (sliding_minimum(placed, width) & _U(0xFFFFFFFF)).astype(np.int64)
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def sequence_hashes(words: np.ndarray, first: np.ndarray, size: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hashes of the runs of ``size`` word hashes from ``first`` on."""
+    up, down = powers(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(mix(words + _U(salt)) * up[: len(words)], out=sums[1:])
+    return mix((sums[first + size] - sums[first]) * down[first] + size.astype(np.uint64) * _U(0xA24BAED4963EE407))
+
+
+def _weights(k: int) -> list[np.uint64]:
+    return [_U((0xD6E8FEB86659FD93 * (2 * j + 1)) & (2**64 - 1) | 1) for j in range(k)]
+
+
+def _joined(words: np.ndarray, k: int) -> np.ndarray:
+    """A number for the k words from each word on; 0 for the last k - 1."""
+    value = np.zeros(len(words), dtype=np.uint64)
+    m = len(words) - k + 1
+    if m > 0:
+        for j, weight in enumerate(_weights(k)):
+            value[:m] += words[j : j + m] * weight
+    return value
+
+
+def word_grams(words: np.ndarray, k: int) -> np.ndarray:
+    """The hash of the shingle of k words that starts at each word, across units."""
+    return mix(_joined(words, k))
 
 
 def shingles(data: bytes, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,12 +138,8 @@ def shingles(data: bytes, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     """
     words, first = word_hashes(data, offsets)
     counts = np.diff(first)
-    value = np.zeros(len(words), dtype=np.uint64)
-    weights = [_U((0xD6E8FEB86659FD93 * (2 * j + 1)) & (2**64 - 1) | 1) for j in range(k)]
-    m = len(words) - k + 1
-    if m > 0:
-        for j in range(k):
-            value[:m] += words[j : j + m] * weights[j]
+    value = _joined(words, k)
+    weights = _weights(k)
     valid = np.ones(len(words), dtype=np.bool_)
     for j in range(1, k):
         at = first[1:] - j
