@@ -3,18 +3,20 @@
 A byte goes if a string of ``length`` bytes that covers it also starts anywhere else. Ranking all suffixes of a corpus would
 shuffle many times its size, so suffixes are ranked only where a repeat can be:
 
-1. Anchors: of the q-grams in each window as wide as a string of ``length`` bytes, the least by hash are anchors. They
-   depend on the window's bytes only, so equal strings have equal anchors at equal offsets. About 1.5 % of positions remain.
-2. Initial buckets: anchors with the same q-gram. Buckets of one are dropped. Each anchor also has the digest of its
-   context, all strings of ``length`` bytes that contain it; contexts that occur twice are repeats as a whole.
-3. Refinement: buckets with several different contexts. Every position of a context gets the bucket of its 32-gram (aligned
-   to the anchor); buckets are refined by sorting on (own bucket, bucket of a later offset), and each update is used by the
-   next, so compared lengths double: 32, 64, 128, and at last ``length``. Singletons leave at once.
-4. Buckets with more than ``block`` contexts are refined in chunks. Across chunks, one string of each bucket of equals and
-   the strings alone in their chunk are counted by digest, but for those that hold an extension of the anchor (8 to 128
-   bytes to either side) that occurs once: they can't repeat.
-
-All strings of ``length`` bytes around an anchor overlap, so the first and the last that repeat bound what they cover.
+1. Anchors: the least q-gram (the first by hash) of those within a string of ``length`` bytes is the string's anchor. It
+   depends on the string's bytes only, so equal strings have equal anchors at equal distances, and every string belongs to
+   one anchor. An anchor's strings start ``least`` to ``most`` bytes before it. About 1.5 % of positions are anchors.
+2. Initial buckets: anchors with the same q-gram. Buckets of one are dropped. An anchor's context is all its strings'
+   bytes; a context that occurs twice (by digest) is repeated as a whole and needs no further look.
+3. Refinement: buckets with several different contexts. Every position of a context gets the bucket of its short string
+   (aligned to the anchor); buckets are refined by sorting on (own bucket, bucket of a later offset), and each update is
+   used by the next, so compared lengths double up to ``length``. Singletons leave at once.
+4. Buckets of more than ``block`` contexts are first refined by digests: the strings are halved by their distance to the
+   anchor, and each half gets the bucket of what its strings have in common, a longer string around the anchor. Halves
+   alone in their bucket can't repeat; halves whose bytes all occur twice repeat as a whole; buckets that are small enough
+   are refined as in 3, others halved again, down to single strings. So at most two halves go on from a boundary.
+
+All strings around an anchor overlap, so the first and the last that repeat bound what they cover.
 """
 
 from __future__ import annotations
@@ -27,13 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import bounded_broadcast, fresh, materialise, slices
+from .common import fresh, materialise, release, slices
 
 
 @dataclass(frozen=True)
 class Settings:
+    """Bytes of a string that must not repeat, of a q-gram, and of the first buckets; contexts refined together."""
+
     length: int = 200
     gram: int = 64
+    first: int = 50
     block: int = 4096
 
     @property
@@ -42,101 +47,89 @@ class Settings:
         return self.length - self.gram
 
 
-ROW = "id long, th long, pos long, hi long, gram long, context long"
-
-
-def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
-    """best over values[p:p + width] for every p, by prefixes and suffixes of blocks."""
-    n = len(values) - width + 1
-    fill = np.iinfo(values.dtype).max if best is np.minimum else 0
-    size = -(-len(values) // width) * width
-    blocks = np.full(size, fill, values.dtype)
-    blocks[: len(values)] = values
-    blocks = blocks.reshape(-1, width)
-    ahead = best.accumulate(blocks, axis=1).ravel()
-    behind = best.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return best(behind[:n], ahead[width - 1 : width - 1 + n])
+#: An anchor's place, the distances of its strings, and what its bucket is known by.
+ROW = "id {id}, th long, pos long, least int, most int, gram long, context long"
+PLACE = ("id", "th", "pos", "least", "most")
 
 
 def anchors(data: bytes, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
-    """unit, position in it, context end, gram hash and context hash of all anchors of the units."""
-    n, width = len(data), s.reach + 1
+    """unit, position in it, least and greatest distance of its strings, gram hash and context hash of all anchors of the units."""
+    n = len(data)
     if n < s.length:
-        return tuple(np.empty(0, np.int64) for _ in range(5))
+        return tuple(np.empty(0, np.int64) for _ in range(6))
     sums = sh.prefix_sums(data)
     _, down = sh.powers(n + 1)
     grams = sh.mix((sums[s.gram :] - sums[: n - s.gram + 1]) * down[: n - s.gram + 1])
-    order = (grams >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    least = _sliding(order, width, np.minimum)
-    starts = np.arange(len(least))
-    unit = np.searchsorted(offsets, starts, side="right") - 1
-    least[starts + s.length > offsets[unit + 1]] = 0
-    padded = np.zeros(len(least) + 2 * (width - 1), np.uint32)
-    padded[width - 1 : width - 1 + len(least)] = least
-    at = np.flatnonzero(_sliding(padded, width, np.maximum)[: len(order)] == order)
+    sizes = np.diff(offsets)
+    starts = sh.spread(offsets[:-1], np.maximum(sizes - s.length + 1, 0))
+    at = sh.leftmost_minima(grams, s.reach + 1)[starts]
+    if not len(at):
+        return tuple(np.empty(0, np.int64) for _ in range(6))
+    # Within a text, strings with one anchor start side by side; texts never share an anchor.
+    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    at, lo, hi = at[new], starts[new], starts[np.append(new[1:], len(starts)) - 1]
     unit = np.searchsorted(offsets, at, side="right") - 1
-    lo, hi = np.maximum(offsets[unit], at - s.reach), np.minimum(offsets[unit + 1], at + s.length)
-    context = sh.mix(sh.mix((sums[hi] - sums[lo]) * down[lo]) + ((at - lo) * 4096 + (hi - at)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    base = offsets[unit]
-    return unit, at - base, hi - base, grams[at].view(np.int64), context.view(np.int64)
+    most, least = at - lo, at - hi
+    context = sh.mix(sh.mix((sums[hi + s.length] - sums[lo]) * down[lo]) + (most * 4096 + least).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return unit, at - offsets[unit], least.astype(np.int32), most.astype(np.int32), grams[at].view(np.int64), context.view(np.int64)
 
 
-def _anchor_batches(s: Settings, grams_only: bool):
+def _list_anchors(s: Settings):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for whole in batches:
             for batch in slices(whole, ["text"], 2_000_000):
                 unit, *found = anchors(*sh.buffer_of(batch.column(2)), s)
-                if grams_only:
-                    yield pa.record_batch([pa.array(found[2])], names=["gram"])
-                else:
-                    rows = pa.array(unit)
-                    yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, found)], names=[c.split()[0] for c in ROW.split(", ")])
+                rows = pa.array(unit)
+                yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, found)], names=[c.split()[0] for c in ROW.split(", ")])
 
     return run
 
 
 def _contexts(s: Settings):
-    """Of rows (id, th, text, [(gram, pos)]) the contexts' bytes."""
+    """Of rows (id, th, text, [(pos, least, most, bucket, large)]) the contexts' bytes."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            out: list[tuple] = []
-            for i, th, text, wanted in zip(*(batch.column(c) for c in range(4))):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                for w in wanted.as_py():
-                    lo, hi = max(0, w["pos"] - s.reach), min(len(raw), w["pos"] + s.length)
-                    out.append((i.as_py(), th.as_py(), w["pos"], w["gram"], raw[lo:hi]))
-            columns = list(zip(*out)) or [()] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["id", "th", "pos", "gram", "bytes"])
+        for whole in batches:
+            for batch in slices(whole, ["text"], 2_000_000):
+                rows, wanted, parts = [], [], []
+                for row, (text, asked) in enumerate(zip(batch.column(2), batch.column(3))):
+                    raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                    for w in asked.as_py():
+                        rows.append(row)
+                        wanted.append(w)
+                        parts.append(raw[w["pos"] - w["most"] : w["pos"] - w["least"] + s.length])
+                at = pa.array(rows, pa.int32())
+                own = [pa.array([w[c] for w in wanted], t) for c, t in (("pos", pa.int64()), ("least", pa.int32()), ("most", pa.int32()), ("bucket", pa.int64()), ("large", pa.bool_()))]
+                yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), *own, pa.array(parts, pa.binary())], names=[*PLACE, "bucket", "large", "bytes"])
 
     return run
 
 
-def aligned(positions: np.ndarray, raw: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of the contexts, with their anchors in column ``reach``, and which columns they fill."""
+def aligned(least: np.ndarray, most: np.ndarray, raw, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the contexts, with their anchors in column ``reach``, and which columns they fill. ``raw``: their bytes as an Arrow column."""
     width = s.reach + s.length
-    text = np.zeros((len(raw), width), np.uint8)
-    valid = np.zeros((len(raw), width), np.bool_)
-    for row, (pos, data) in enumerate(zip(positions.tolist(), raw)):
-        first = s.reach - min(pos, s.reach)
-        text[row, first : first + len(data)] = np.frombuffer(data, np.uint8)
-        valid[row, first : first + len(data)] = True
+    data, offsets = sh.buffer_of(raw)
+    sizes = most - least + s.length
+    place = sh.spread(np.arange(len(sizes)) * width + s.reach - most, sizes)
+    text, valid = np.zeros(len(sizes) * width, np.uint64), np.zeros(len(sizes) * width, np.bool_)
+    text[place] = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+    valid[place] = True
     up, _ = sh.powers(width + 1)
-    sums = np.zeros((len(raw), width + 1), np.uint64)
-    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[:width], axis=1, out=sums[:, 1:])
-    return sums, valid
+    sums = np.zeros((len(sizes), width + 1), np.uint64)
+    np.cumsum(text.reshape(-1, width) * up[:width], axis=1, out=sums[:, 1:])
+    return sums, valid.reshape(-1, width)
 
 
-def digests(sums: np.ndarray, rows: np.ndarray, columns: np.ndarray, size: int) -> np.ndarray:
+def digests(sums: np.ndarray, rows: np.ndarray, columns: np.ndarray, size) -> np.ndarray:
     _, down = sh.powers(sums.shape[1])
     return sh.mix((sums[rows, columns + size] - sums[rows, columns]) * down[columns])
 
 
-def repeated_starts(grams: np.ndarray, sums: np.ndarray, valid: np.ndarray, s: Settings, first_gram: int = 32) -> np.ndarray:
+def repeated_starts(buckets: np.ndarray, sums: np.ndarray, valid: np.ndarray, s: Settings) -> np.ndarray:
     """(contexts, reach + 1): the bucket of the string that starts in each column, if another context has it, else -1."""
     width = valid.shape[1]
     pointers = np.full(valid.shape, -1, np.int32)
@@ -152,11 +145,11 @@ def repeated_starts(grams: np.ndarray, sums: np.ndarray, valid: np.ndarray, s: S
             bucket[alone] = -1
             pointers.ravel()[at[order]] = bucket
 
-    rows, columns = np.nonzero(valid[:, : width - first_gram + 1] & valid[:, first_gram - 1 :])
-    _, bucket = np.unique(grams, return_inverse=True)
+    rows, columns = np.nonzero(valid[:, : width - s.first + 1] & valid[:, s.first - 1 :])
+    _, bucket = np.unique(buckets, return_inverse=True)
     place = (bucket[rows] * width + columns).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    ranked(rows * width + columns, sh.mix(digests(sums, rows, columns, first_gram) + place))
-    known = first_gram
+    ranked(rows * width + columns, sh.mix(digests(sums, rows, columns, s.first) + place))
+    known = s.first
     while known < s.length:
         step = min(known, s.length - known)
         rows, columns = np.nonzero((pointers[:, : width - step] >= 0) & (pointers[:, step:] >= 0))
@@ -165,43 +158,20 @@ def repeated_starts(grams: np.ndarray, sums: np.ndarray, valid: np.ndarray, s: S
     return pointers[:, : s.reach + 1]
 
 
-REFINED = "id long, th long, pos long, gram long, least long, most long, value long"
-
-
 def _refine(s: Settings):
-    """Of contexts sorted by (gram, chunk), for each one with repeats the least and the greatest distance of a repeated
-    string's start before the anchor (value null); of contexts of several chunks also the strings to compare across
-    (most = distance, with their digest; least = most too if the string is alone in its chunk, else -1)."""
+    """Of contexts sorted by bucket, the least and the greatest distance of a repeated string's start before the anchor."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = [c.split()[0] for c in REFINED.split(", ")]
-
-        def rows(table, at: np.ndarray, least: np.ndarray, most: np.ndarray, value) -> pa.RecordBatch:
-            own = [table.column(c).combine_chunks().take(pa.array(at)) for c in names[:4]]
-            return pa.record_batch([*own, pa.array(least, pa.int64()), pa.array(most, pa.int64()), value], names=names)
-
-        def refined(table) -> Iterator[pa.RecordBatch]:
-            grams, chunk, pos = (table.column(c).to_numpy() for c in ("gram", "chunk", "pos"))
-            sums, valid = aligned(pos, table.column("bytes").to_pylist(), s)
-            found = repeated_starts(sh.mix(grams.view(np.uint64) + chunk.astype(np.uint64)), sums, valid, s)
-            some = np.flatnonzero((found >= 0).any(axis=1))
-            first = np.argmax(found[some] >= 0, axis=1)
-            last = s.reach - np.argmax(found[some, ::-1] >= 0, axis=1)
-            yield rows(table, some, s.reach - last, s.reach - first, pa.nulls(len(some), pa.int64()))
-            left, right = (table.column(c).to_numpy() for c in ("left", "right"))
-            back = s.reach - np.arange(s.reach + 1)
-            asked = (left[:, None] > back) & (right[:, None] > s.reach - back)
-            asked &= valid[:, : s.reach + 1] & valid[:, s.length - 1 :]
-            once = found.ravel()
-            _, leader = np.unique(once, return_index=True)
-            lead = np.zeros(found.size, np.bool_)
-            lead[leader] = True
-            row, column = np.nonzero(asked & ((found < 0) | lead.reshape(found.shape)))
-            if len(row):
-                back = s.reach - column
-                yield rows(table, row, np.where(found[row, column] < 0, back, -1), back, pa.array(digests(sums, row, column, s.length).view(np.int64)))
+        def refined(table) -> pa.RecordBatch:
+            bucket, least, most = (table.column(c).to_numpy() for c in ("bucket", "least", "most"))
+            sums, valid = aligned(least.astype(np.int64), most.astype(np.int64), table.column("bytes").combine_chunks(), s)
+            found = repeated_starts(bucket, sums, valid, s) >= 0
+            some = np.flatnonzero(found.any(axis=1))
+            first, last = np.argmax(found[some], axis=1), s.reach - np.argmax(found[some, ::-1], axis=1)
+            own = [table.column(c).combine_chunks().take(pa.array(some)) for c in ("id", "th", "pos")]
+            return pa.record_batch([*own, pa.array((s.reach - last).astype(np.int32)), pa.array((s.reach - first).astype(np.int32))], names=list(PLACE))
 
         held: list = []
         for whole in batches:
@@ -210,22 +180,20 @@ def _refine(s: Settings):
                 table = pa.Table.from_batches(held)
                 if table.num_rows < 1024:
                     continue
-                grams, chunk = table.column("gram").to_numpy(), table.column("chunk").to_numpy()
-                other = np.flatnonzero((grams != grams[-1]) | (chunk != chunk[-1]))
+                bucket = table.column("bucket").to_numpy()
+                other = np.flatnonzero(bucket != bucket[-1])
                 if len(other):
-                    yield from refined(table.slice(0, int(other[-1]) + 1))
+                    yield refined(table.slice(0, int(other[-1]) + 1))
                     held = table.slice(int(other[-1]) + 1).to_batches()
         if held and sum(x.num_rows for x in held):
-            yield from refined(pa.Table.from_batches(held))
+            yield refined(pa.Table.from_batches(held))
 
     return run
 
 
-EXTENSIONS = (8, 16, 32, 64, 128)
-
-
-def _extensions(s: Settings):
-    """Of contexts, the digests of the gram with so many bytes before it (side 0) or after it (side 1)."""
+def _halves(s: Settings):
+    """Of contexts whose bucket holds the strings at distances ``low`` to ``high``, either half of those: the context's own
+    distances in it, the bucket of what all strings of the half share, and the digest of the context's bytes in it."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -233,13 +201,19 @@ def _extensions(s: Settings):
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                sums, valid = aligned(batch.column("pos").to_numpy(), batch.column("bytes").to_pylist(), s)
-                for size in (e for e in EXTENSIONS if e <= s.reach):
-                    for side, column in ((0, s.reach - size), (1, s.reach)):
-                        row = np.flatnonzero(valid[:, s.reach - size] if side == 0 else valid[:, s.reach + s.gram + size - 1])
-                        value = digests(sums, row, np.full(len(row), column), s.gram + size)
-                        own = [batch.column(c).take(pa.array(row)) for c in ("id", "th", "pos", "gram")]
-                        yield pa.record_batch([*own, pa.array(np.full(len(row), side)), pa.array(np.full(len(row), size)), pa.array(value.view(np.int64))], names=["id", "th", "pos", "gram", "side", "size", "value"])
+                column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+                least, most, low, high, bucket = (column[c].to_numpy().astype(np.int64) for c in ("least", "most", "low", "high", "bucket"))
+                sums, _ = aligned(least, most, column["bytes"], s)
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    x, y = np.maximum(least, a), np.minimum(most, b)
+                    row = np.flatnonzero((a <= b) & (x <= y))
+                    a, b, x, y = a[row], b[row], x[row], y[row]
+                    shared = digests(sums, row, s.reach - a, s.length - (b - a)) + sh.mix(bucket[row].view(np.uint64) + (a * 512 + b).astype(np.uint64))
+                    hull = digests(sums, row, s.reach - y, s.length + y - x)
+                    made = [pa.array(v.astype(np.int32)) for v in (x, y, a, b)] + [pa.array(sh.mix(shared).view(np.int64)), pa.array(hull.view(np.int64))]
+                    own = [column[c].take(pa.array(row)) for c in ("id", "th", "pos")]
+                    yield pa.record_batch([*own, *made], names=[*PLACE, "low", "high", "bucket", "hull"])
 
     return run
 
@@ -271,52 +245,72 @@ def _same(a: str, b: str):
     return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
 
 
+def _sorted_out(rows: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Of rows (place, low, high, bucket, hull) the spans (id, th, lo, hi) of those whose bytes occur twice as a whole, and
+    one of each set of equal ones (place, low, high, bucket, k) in buckets that hold k > 1 different ones."""
+    keys = ["bucket", "hull", "least", "most"]
+    firsts = [F.first(c).alias(c) for c in ("id", "th", "pos", "low", "high")]  # all of the same row
+    classes = materialise(rows.groupBy(*keys).agg(F.count("*").alias("n"), *firsts), "classes")
+    span = [(F.col("pos") - F.col("most")).alias("lo"), (F.col("pos") - F.col("least") + s.length).alias("hi")]
+    whole = materialise(rows.join(classes.where("n > 1").select(*keys), keys, "left_semi").select("id", "th", *span), "whole")
+    several = classes.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+    unclear = materialise(classes.join(several, "bucket").select(*PLACE, "low", "high", "bucket", "k"), "unclear")
+    release(classes)
+    return whole, unclear
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """``id_col, n_bytes, spans, kept``: per row the maximal removed runs (bytes, ends exclusive) and the remaining bytes.
 
-    Null texts count as empty. Rows are told apart by id (null-safely) and text; repeated rows remove each other's text.
-    Texts shorter than ``length`` lose nothing. An empty table gives an empty result; other columns are ignored.
+    Null texts count as empty. Ids may be of any type. Rows are told apart by id (null-safely) and text; repeated rows
+    remove each other's text. Texts shorter than ``length`` lose nothing. In a run of one byte every position is an anchor.
+    An empty table gives an empty result; other columns are ignored.
     """
     s = settings
-    own = fresh(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    grams = own.mapInArrow(_anchor_batches(s, True), "gram long")
-    repeated = materialise(grams.groupBy("gram").count().where("count > 1").select("gram"), "grams")
-    found = own.mapInArrow(_anchor_batches(s, False), ROW)
-    found = materialise(found.join(bounded_broadcast(repeated), "gram", "left_semi"), "anchors")
-
-    place = F.struct("id", "th", "pos").alias("place")
-    classes = materialise(found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("place")), "contexts")
-    twice = classes.where("n > 1").select("gram", "context")
-    spans = [found.join(twice, ["gram", "context"]).select("id", "th", F.greatest(F.lit(0).cast("long"), F.col("pos") - s.reach).alias("lo"), "hi")]
-
-    several = classes.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
-    unclear = materialise(classes.join(several, "gram").select("gram", "k", "place.*"), "unclear")
-    wanted = unclear.groupBy("id", "th").agg(F.collect_list(F.struct("gram", "pos")).alias("wanted"))
-    reads = own.alias("d").join(bounded_broadcast(materialise(wanted, "wanted"), 50_000).hint("shuffle_hash").alias("w"), _same("d", "w")).select("d.id", "d.th", "text", "wanted")
-    contexts = reads.mapInArrow(_contexts(s), "id long, th long, pos long, gram long, bytes binary").dropDuplicates(["id", "th", "pos"])
-    contexts = materialise(contexts.join(several, "gram"), "bytes")
-
-    large = contexts.where(F.col("k") > s.block)
-    parts = large.mapInArrow(_extensions(s), "id long, th long, pos long, gram long, side long, size long, value long")
-    alone = parts.groupBy("gram", "side", "size", "value").agg(F.count("*").alias("n"), F.min(place).alias("place")).where("n = 1")
-    shortest = alone.groupBy("place", "gram").agg(*(F.min(F.when(F.col("side") == i, F.col("size"))).alias(c) for i, c in enumerate(("left", "right"))))
-    shortest = materialise(shortest.select("place.*", "gram", *(F.coalesce(c, F.lit(s.length)).alias(c) for c in ("left", "right"))), "shortest").alias("w")
-    large = large.alias("d").join(shortest, _same("d", "w") & (F.col("d.pos") == F.col("w.pos")) & (F.col("d.gram") == F.col("w.gram")), "left")
-    chunk = F.pmod(F.xxhash64("d.id", "d.th", "d.pos"), F.ceil(F.col("k") / s.block))
-    limits = [F.coalesce(f"w.{c}", F.lit(s.length)).cast("long").alias(c) for c in ("left", "right")]
-    large = large.select("d.id", "d.th", "d.pos", "d.gram", "bytes", chunk.alias("chunk"), *limits)
-    none = [F.lit(0).cast("long").alias(c) for c in ("chunk", "left", "right")]
-    work = contexts.where(F.col("k") <= s.block).select("id", "th", "pos", "gram", "bytes", *none).union(large)
-    refined = materialise(work.repartition("gram", "chunk").sortWithinPartitions("gram", "chunk").mapInArrow(_refine(s), REFINED), "refined")
-    again = refined.where("value IS NOT NULL").groupBy("gram", "most", "value").count().where("count > 1").select("gram", "most", "value")
-    across = refined.where("least >= 0 AND value IS NOT NULL").join(again, ["gram", "most", "value"])
-    for found in (refined.where("value IS NULL"), across):
-        spans.append(found.select("id", "th", (F.col("pos") - F.col("most")).alias("lo"), (F.col("pos") - F.col("least") + s.length).alias("hi")))
-
-    removed = spans[0].union(spans[1]).union(spans[2]).groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    removed = materialise(removed, "spans")
-    joined = own.alias("d").join(bounded_broadcast(removed, 50_000).hint("shuffle_hash").alias("w"), _same("d", "w"), "left").select("d.id", "text", "spans")
-    return joined.mapInArrow(_cut, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary").withColumnRenamed("id", id_col)
+    own = fresh(docs, id=id_col, text=text_col).select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    kind = own.schema["id"].dataType.simpleString()
+    place = f"id {kind}, th long, pos long, least int, most int"
+
+    listed = materialise(own.mapInArrow(_list_anchors(s), ROW.format(id=kind)), "anchors")
+    repeated = listed.groupBy("gram").count().where("count > 1").select("gram")
+    found = materialise(listed.join(repeated, "gram", "left_semi"), "repeated")
+    release(listed)
+    bounds = [F.lit(0).alias("low"), F.lit(s.reach).alias("high")]
+    whole, unclear = _sorted_out(found.select(*PLACE, *bounds, F.col("gram").alias("bucket"), F.col("context").alias("hull")), s)
+    release(found)
+
+    each = F.struct("pos", "least", "most", "bucket", (F.col("k") > s.block).alias("large"))
+    wanted = unclear.groupBy("id", "th").agg(F.collect_list(each).alias("wanted"))
+    reads = own.alias("d").join(wanted.hint("shuffle_hash").alias("w"), _same("d", "w")).select("d.id", "d.th", "text", "wanted")
+    store = materialise(reads.mapInArrow(_contexts(s), f"{place}, bucket long, large boolean, bytes binary"), "bytes")
+    release(unclear)
+    spans, parts, done = [whole], [store.where("NOT large").select(*PLACE, "bucket", "bytes")], [store]
+    large = store.where("large").select(*PLACE, *bounds, "bucket", "bytes")
+    while not large.isEmpty():
+        halves = materialise(large.mapInArrow(_halves(s), f"{place}, low int, high int, bucket long, hull long"), "halves")
+        whole, unclear = _sorted_out(halves, s)
+        spans.append(whole)
+        both = unclear.alias("u").join(store.where("large").select("id", "th", "pos", F.col("most").alias("all"), "bytes").alias("b"), _same("u", "b") & (F.col("u.pos") == F.col("b.pos")))
+        part = F.substring("bytes", F.col("all") - F.col("u.most") + 1, F.col("u.most") - F.col("u.least") + s.length).alias("bytes")
+        cut = materialise(both.select(*(F.col(f"u.{c}") for c in PLACE), "low", "high", "bucket", "k", part), "cut")
+        release(halves, unclear)
+        done.append(cut)
+        parts.append(cut.where(F.col("k") <= s.block).select(*PLACE, "bucket", "bytes"))
+        large = cut.where(F.col("k") > s.block).select(*PLACE, "low", "high", "bucket", "bytes")
+    work = parts[0]
+    for part in parts[1:]:
+        work = work.union(part)
+    refined = materialise(work.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine(s), place), "refined")
+    release(*done)
+    spans.append(refined.select("id", "th", (F.col("pos") - F.col("most")).alias("lo"), (F.col("pos") - F.col("least") + s.length).alias("hi")))
+
+    union = spans[0]
+    for more in spans[1:]:
+        union = union.union(more)
+    removed = materialise(union.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    release(refined, *spans[:-1])
+    joined = own.alias("d").join(removed.hint("shuffle_hash").alias("w"), _same("d", "w"), "left").select("d.id", "text", "spans")
+    return joined.mapInArrow(_cut, f"id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary").withColumnRenamed("id", id_col)
 
 
 def substring_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
