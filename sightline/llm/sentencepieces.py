@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, slices
-from .shingles import mix, powers
+from .shingles import mix, powers, spread
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Words that a worker keeps encoded; when there are more, it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+#: Binary logarithm of how many pairs of pieces a worker keeps an answer for.
+ANSWERS = 20
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 _NONE = 1 << 40
 
@@ -42,6 +44,33 @@ def _sums(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Sorted:
+    """Sorted distinct 64-bit keys with values; a table of the places by the keys' upper bits starts each probe near its end."""
+
+    BITS = 20
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        place = np.argsort(keys, kind="stable")
+        self.keys, self.values = np.append(keys[place], np.uint64(0)), np.append(values[place], -1)
+        upper = (self.keys[:-1] >> np.uint64(64 - self.BITS)).astype(np.int64)
+        count = np.bincount(upper, minlength=1 << self.BITS)
+        self.most, self.some = int(count.max(initial=0)), count > 0
+        self.first = (np.cumsum(count) - count).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Values of the keys, else -1."""
+        out = np.full(len(keys), -1, np.int64)
+        upper = keys >> np.uint64(64 - self.BITS)
+        live = np.flatnonzero(self.some[upper])
+        sought, at = keys[live], self.first[upper[live]]
+        for _ in range(self.most):
+            met = self.keys[at] == sought
+            out[live[met]] = self.values[at[met]]
+            left = ~met & (at + 1 < len(self.keys) - 1)
+            live, sought, at = live[left], sought[left], at[left] + 1
+        return out
+
+
 @dataclass
 class Vocabulary:
     """Pieces and scores by id; ids of the byte pieces; ``kind`` is bpe or unigram."""
@@ -91,34 +120,41 @@ class Vocabulary:
         whole = {p: self.merged(p) for p in self.ids} if self.kind == "bpe" else {p: ([p], None) for p in self.ids}
         order = [p for p in self.ids if len(p) == 1] + sorted((p for p in self.ids if len(p) > 1 and len(whole[p][0]) == 1 and set(p) != {BLANK}), key=lambda p: -self.scores[self.ids[p]])
         number = {p: k for k, p in enumerate(order)}
-        keys = np.array([self._key(p) for p in order], np.uint64)
-        place = np.argsort(keys, kind="stable")
-        self.keys, self.numbers = keys[place], place.astype(np.int64)
-        self.maybe = np.zeros(1 << 20, np.bool_)
-        self.maybe[self.keys >> np.uint64(44)] = True
+        self.sorted = _Sorted(np.array([self._key(p) for p in order], np.uint64), np.arange(len(order)))
         self.outer = np.array([self.ids[p] for p in order], np.int64)
         self.values = np.array([self.scores[self.ids[p]] for p in order], np.float64)
         split = [(number[a], number[b]) if len(p) > 1 and (ab := whole[p][1]) and (a := ab[0]) in number and (b := ab[1]) in number else (k, k) for k, p in enumerate(order)]
         self.first, self.second = (np.array([s[i] for s in split], np.int64) for i in (0, 1))
-        made = np.array([(a << 20) | b for k, (a, b) in enumerate(split) if a != k], np.int64)
-        result = np.array([k for k, (a, _) in enumerate(split) if a != k], np.int64)
-        place = np.argsort(made)
-        self.made, self.result = np.append(made[place], np.int64(_NONE)), np.append(result[place], np.int64(_NONE))
+        made = [(a, b, k) for k, (a, b) in enumerate(split) if a != k]
+        a, b, k = (np.array([m[i] for m in made], np.int64) for i in range(3))
+        self.made = _Sorted(self._pair(a, b), k)
+        self.asked, self.answer = np.zeros(1 << ANSWERS, np.uint64), np.zeros(1 << ANSWERS, np.bool_)
+        self.answer[0] = self._compatible(np.zeros(1, np.int64), np.zeros(1, np.int64))[0]  # the pair whose key is 0
+
+    @staticmethod
+    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A key for two inner numbers (of 32 bits at most)."""
+        return mix((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))
 
     @staticmethod
     def _key(piece: str) -> np.uint64:
         return mix(_sums(_codes([piece]))[:, -1])[0]
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Inner numbers of the pieces with these keys, else -1; a bitmap of the keys' first bits spares most searches."""
-        out = np.full(len(hashes), -1, np.int64)
-        hit = np.flatnonzero(self.maybe[hashes >> np.uint64(44)])
-        sought = hashes[hit]
-        at = np.minimum(np.searchsorted(self.keys, sought), len(self.keys) - 1)
-        out[hit] = np.where(self.keys[at] == sought, self.numbers[at], -1)
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """As ``_compatible``, whose answers are kept in a table of fixed size under the pairs' keys."""
+        keys = self._pair(a, b)
+        slot = (keys >> np.uint64(64 - ANSWERS)).astype(np.int64)
+        out = self.answer[slot]
+        miss = np.flatnonzero(self.asked[slot] != keys)
+        if len(miss):
+            _, one, which = np.unique(keys[miss], return_index=True, return_inverse=True)
+            one = miss[one]
+            known = self._compatible(a[one], b[one])
+            out[miss] = known[which]
+            self.asked[slot[one]], self.answer[slot[one]] = keys[one], known
         return out
 
-    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the text of piece a and then b leaves the two as they are.
 
         The merges that made both pieces are undone, latest first; if the parts that then touch would have merged before
@@ -127,10 +163,9 @@ class Vocabulary:
         out = np.zeros(len(a), np.bool_)
         live, a, b, limit = np.arange(len(a)), a.copy(), b.copy(), np.full(len(a), _NONE)
         while len(live):
-            pair = (a << 20) | b
-            at = np.searchsorted(self.made, pair)
-            blocked = (self.made[at] == pair) & (self.result[at] < limit)
-            live, a, b = live[~blocked], a[~blocked], b[~blocked]
+            result = self.made.find(self._pair(a, b))
+            free = (result < 0) | (result >= limit)
+            live, a, b = live[free], a[free], b[free]
             later = a > b
             can_a, can_b = self.second[a] != a, self.first[b] != b
             undo_a = np.where(later, can_a, ~can_b & can_a)
@@ -153,7 +188,7 @@ class Vocabulary:
         last, back = np.full((n, length + 1), -1, np.int64), np.zeros((n, length + 1), np.int64)
         for i in range(1, length + 1):
             lens = np.arange(1, min(i, self.longest) + 1)
-            piece = self.find(mix((sums[:, i, None] - sums[:, i - lens]) * down[i - lens]).ravel()).reshape(n, -1)
+            piece = self.sorted.find(mix((sums[:, i, None] - sums[:, i - lens]) * down[i - lens]).ravel()).reshape(n, -1)
             if self.kind == "bpe":
                 value = np.where(piece >= 0, lens, -np.inf)
                 row, col = np.nonzero((piece >= 0) & (last[:, i - lens] >= 0) & (i > lens))
@@ -271,38 +306,46 @@ def load_vocabulary(model_file: str = MODEL_FILE, kind: str = "bpe") -> Vocabula
 
 
 class _Cache:
-    """Encoded words of one worker: ids in one growing array, addressed by word."""
+    """Encoded words of one worker: ids in one growing array, addressed by word. It outlives a task, as the vocabulary does."""
+
+    @classmethod
+    def of(cls, vocabulary: Vocabulary) -> _Cache:
+        if not hasattr(vocabulary, "cache"):
+            vocabulary.cache = cls(vocabulary)
+        return vocabulary.cache
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary, self.index = vocabulary, {}
         self.flat, self.start = np.empty(0, np.int32), np.zeros(1, np.int64)
 
-    def add(self, words: set[str]) -> None:
+    def add(self, words: list[str]) -> None:
         new = [w for w in words if w not in self.index]
         if len(self.index) + len(new) > CACHE_WORDS:
             self.__init__(self.vocabulary)
-            new = list(words)
+            new = words
         if new:
             order, ids, sizes = self.vocabulary.encode_words(new)
             self.index |= zip(order, range(len(self.index), len(self.index) + len(order)))
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
             self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
 
-    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The words' ids, and how many each has."""
+    def places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of different words start, and how many each has; new words are encoded."""
+        self.add(words)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        first, size = self.start[at], self.start[at + 1] - self.start[at]
-        ends = np.cumsum(size)
-        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)], size
+        return self.start[at], self.start[at + 1] - self.start[at]
 
 
 def _encoded(cache: _Cache, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts one after another, and each text's first (one more at the end)."""
     words = [_WORDS.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
     all_words = [w for x in words for w in x]
-    cache.add(set(all_words))
-    ids, size = cache.ids(all_words)
-    return ids, np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, words)])]
+    names = list(set(all_words))
+    number = dict(zip(names, range(len(names))))  # small, so the look-ups of all words stay in the processor's cache
+    at = np.fromiter(map(number.__getitem__, all_words), np.int64, len(all_words))
+    first, size = cache.places(names)
+    first, size = first[at], size[at]
+    return cache.flat[spread(first, size)], np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, words)])]
 
 
 def _decoded(table: list[bytes], ids: list[int]) -> str:
@@ -313,7 +356,7 @@ def _encode_batches(shared):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        cache = _Cache(shared.value)
+        cache = _Cache.of(shared.value)
         for whole in batches:
             for batch in slices(whole, ["text"], 1_000_000):
                 ids, ends = _encoded(cache, batch.column(1).to_pylist())
@@ -340,7 +383,7 @@ def _round_trip_batches(shared):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        cache, table = _Cache(shared.value), shared.value.piece_bytes()
+        cache, table = _Cache.of(shared.value), shared.value.piece_bytes()
         for whole in batches:
             for batch in slices(whole, ["text"], 1_000_000):
                 texts = batch.column(1).to_pylist()
