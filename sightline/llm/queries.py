@@ -13,7 +13,7 @@ from .mixing import Settings as MixSettings, mix_report
 from .near_dup import Settings, near_dup
 from .paragraphs import paragraph_dedup
 from .quality import quality_rules
-from .secrets import ACCESS, ALLOWED, ASSIGN, CANDIDATE, CLASSES, HEX, WINDOW, secret_digest
+from .secrets import ACCESS, ALLOWED, ASSIGN, CANDIDATE, CLASSES, DIGITS, HEX, WINDOW, secret_digest
 from .sentencepieces import pieces_and_back
 from .substrings import substring_digest
 
@@ -136,15 +136,17 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS tex
 ), b AS (SELECT rid, kind, s, s + n AS e FROM base WHERE kind > 0 OR group_len >= 6
 ), cand AS ({_places_sql(3, CANDIDATE)}
 ), c AS (
-  SELECT * FROM cand WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.rid = cand.rid AND b.s <= cand.s AND b.e >= cand.s + cand.n)
-    AND NOT ({" OR ".join(f"regexp_matches(match, {_text(a)})" for a in ALLOWED)})
+  SELECT rid, s, n, unnest(string_split(regexp_replace(match, {_text("|".join(f"(?:{a})" for a in ALLOWED))}, ' ', 'g'), ' ')) AS match FROM cand
+  WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.rid = cand.rid AND b.s <= cand.s AND b.e >= cand.s + cand.n)
+), parts AS (
+  SELECT rid, s, n, match, row_number() OVER () AS part FROM c WHERE length(match) >= {WINDOW} AND NOT regexp_matches(match, {_text(DIGITS)})
 ), chars AS (
-  SELECT rid, s, n, match, w, substr(match, w + o, 1) AS ch FROM c, unnest(range(1, n - {WINDOW} + 2)) AS x(w), range({WINDOW}) AS y(o)
-), counts AS (SELECT rid, s, n, match, w, ch, count(*) AS k FROM chars GROUP BY ALL
-), entropy AS (SELECT rid, s, n, match, w, log2({WINDOW}) - sum(k * log2(k)) / {WINDOW} AS h FROM counts GROUP BY ALL
-), best AS (SELECT rid, s, n, match, max(h) AS h FROM entropy GROUP BY ALL
+  SELECT rid, s, n, match, part, w, substr(match, w + o, 1) AS ch FROM parts, unnest(range(1, length(match) - {WINDOW} + 2)) AS x(w), range({WINDOW}) AS y(o)
+), counts AS (SELECT rid, s, n, match, part, w, ch, count(*) AS k FROM chars GROUP BY ALL
+), entropy AS (SELECT rid, s, n, match, part, w, log2({WINDOW}) - sum(k * log2(k)) / {WINDOW} AS h FROM counts GROUP BY ALL
+), best AS (SELECT rid, s, n, match, part, max(h) AS h FROM entropy GROUP BY ALL
 ), hits AS (
-  SELECT rid, 3 AS kind, s, s + n AS e FROM best
+  SELECT DISTINCT rid, 3 AS kind, s, s + n AS e FROM best
   WHERE h + 1e-9 >= CASE {" ".join(f"WHEN regexp_matches(match, {_text(r)}) THEN {least}" for _, r, least in CLASSES)} END
 ), spans AS (
   SELECT *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || s || ':' || e AS x FROM (SELECT * FROM b UNION ALL SELECT * FROM hits)

@@ -1,9 +1,10 @@
 """Secret scan (operator 9, native).
 
 Base kinds are regular expressions. The method adds high-entropy strings: over each candidate string a window slides, the
-Shannon entropy of its characters is kept up to date by the counts of the character that enters and the one that leaves,
-and the largest window entropy is held against the limit of the string's character class. An allow-list suppresses
-candidates that are known to be harmless. Positions are code points, from pieces between matches; no Python runs.
+Shannon entropy of its characters is kept up to date by a count for every character, of which the one that enters and the
+one that leaves change, and the largest window entropy is held against the limit of the string's character class. What an
+allow-list matches is cut out of a candidate first, so a secret beside a harmless word is still found. Positions are code
+points, from pieces between matches; no Python runs.
 """
 
 from __future__ import annotations
@@ -24,15 +25,16 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Candidate strings of the method and the sliding window's length.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-#: (class, what a candidate of it looks like, least entropy in bits a character of its best window); the first that fits counts.
+#: (class, what a part of it looks like, least entropy in bits a character of its best window); the first that fits counts.
+#: Parts of digits alone are numbers, not secrets, and are left out.
 CLASSES = (
-    ("digits", r"^[0-9]+$", 9.0),
     ("hexadecimal", r"^[0-9a-fA-F]+$", 3.0),
     ("letters", r"^[A-Za-z]+$", 4.1),
     ("words", r"^[A-Za-z/_=+-]+$", 4.2),
     ("mixed", r"", 3.6),
 )
-#: Candidates that contain one of these are suppressed: UUIDs, placeholders, alphabets, dates and digests by name.
+DIGITS = r"^[0-9]+$"
+#: What these match is cut out of candidates: UUIDs, placeholders, alphabets, dates and digests by name.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"(?i)example|sample|placeholder|changeme|dummy|xxxx|your_",
@@ -40,47 +42,81 @@ ALLOWED = (
     r"[12][0-9]{3}-[01][0-9]-[0-3][0-9]",
     r"(?i)sha(1|256|512)-|md5-|base64",
 )
+#: Elements of an array that are scanned in one go; arrays grow by appending, so long ones are scanned in parts.
+PART = 128
+
+
+def scanned(items: Column, value, combine, start: Column, made, kind: str) -> Column:
+    """``made(before, item)`` of each item, where ``before`` combines the values of all items before it.
+
+    Parts of ``PART`` items are combined first, then scanned each from what stands before it, so the work is linear but for
+    one step a part.
+    """
+    n = F.size(items)
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / PART).cast("int") - 1, F.lit(0))), lambda i: F.slice(items, i * PART + 1, F.lit(PART)))
+    none = lambda t: F.array().cast(f"array<{t}>")
+
+    def append(a: Column, x: Column, out: Column) -> Column:
+        return F.struct(combine(a["at"], x).alias("at"), F.concat(a["out"], F.array(out)).alias("out"))
+
+    totals = F.transform(parts, lambda p: F.aggregate(p, start, lambda a, x: combine(a, value(x))))
+    befores = F.aggregate(totals, F.struct(start.alias("at"), none("int").alias("out")), lambda a, t: append(a, t, a["at"]), lambda a: a["out"])
+    each = lambda p, before: F.aggregate(p, F.struct(before.alias("at"), none(kind).alias("out")), lambda a, x: append(a, value(x), made(a["at"], x)), lambda a: a["out"])
+    return F.flatten(F.zip_with(parts, befores, each))
+
+
+MATCH = "struct<start:int,end:int,match:string>"
 
 
 def places(text: Column, pattern: str, gate: Column) -> Column:
     """Arrays of (start, end, match) of the leftmost non-overlapping matches, in code points; empty where ``gate`` is false."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
-    found = F.aggregate(
-        F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("skip"), m.alias("match"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["skip"] + F.length(x["match"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["skip"]).alias("start"), (a["at"] + x["skip"] + F.length(x["match"])).alias("end"), x["match"].alias("match")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(gate, found).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+    # an array in an array, so that the pairs are made once
+    pairs = F.array(F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("skip"), F.length(m).alias("size"), m.alias("match"))))
+
+    def placed(x: Column) -> Column:
+        made = lambda at, m: F.struct((at + m["skip"]).alias("start"), (at + m["skip"] + m["size"]).alias("end"), m["match"].alias("match"))
+        return scanned(x, lambda m: m["skip"] + m["size"], lambda a, b: a + b, F.lit(0), made, MATCH)
+
+    found = F.flatten(F.transform(pairs, placed))
+    return F.when(gate, found).otherwise(F.array().cast(f"array<{MATCH}>"))
 
 
 def window_entropy(text: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy (bits) of a ``window`` characters wide window over an ASCII string at least as long.
+    """The largest Shannon entropy (bits) of a ``window`` (at most 31) characters wide window over a candidate at least as long.
 
-    The state is S, the sum of n log2 n over the counts n of the characters in the window: an entering character with n
-    copies inside adds f(n+1) - f(n), a leaving one with n copies takes away f(n) - f(n-1). Entropy = log2 W - S / W.
+    The state has a count for every character, twelve of five bits in a number, and S, the sum of n log2 n over the
+    counts: an entering character with n copies inside adds f(n + 1) - f(n), a leaving one with n copies takes away
+    f(n) - f(n - 1). Entropy = log2 W - S / W.
     """
-    f = F.array(*(F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)))
+    f = [n * math.log2(n) if n else 0.0 for n in range(window + 2)]
+    rise = F.array(*(F.lit(f[n + 1] - f[n]) for n in range(window + 1)))
     raw = text.cast("binary")
+    one = F.array(*(F.lit(1 << (5 * k)) for k in range(12))).cast("array<bigint>")
+    numbers = (ord("z") - ord("+")) // 12 + 1
+
+    def code(i: Column) -> Column:
+        return F.ascii(F.substring(raw, i + 1, F.lit(1)).cast("string")) - ord("+")
 
-    def count(a: Column, n: Column | int, char: Column) -> Column:
-        inside = F.substring(raw, a + 1, n if isinstance(n, Column) else F.lit(n)).cast("string")
-        return F.length(inside) - F.length(F.replace(inside, char, F.lit("")))
+    def count(counts: Column, c: Column) -> Column:
+        return F.call_function("shiftright", F.get(counts, F.floor(c / 12).cast("int")), c % 12 * 5).bitwiseAND(F.lit(31))
 
     def step(state: Column, i: Column) -> Column:
-        entering, leaving = F.substring(raw, i + 1, F.lit(1)).cast("string"), F.substring(raw, i - window + 1, F.lit(1)).cast("string")
-        gone = count(i - window, window, leaving)
-        out = F.when(i >= window, F.get(f, gone) - F.get(f, gone - 1)).otherwise(0.0)
-        start = F.greatest(F.lit(0), i - window + 1)
-        here = count(start, i - start, entering)
-        s = state["s"] - out + F.get(f, here + 1) - F.get(f, here)
-        return F.struct(s.alias("s"), F.when(i >= window - 1, F.greatest(state["best"], math.log2(window) - s / window)).otherwise(state["best"]).alias("best"))
+        codes = F.struct(code(i).alias("enters"), F.when(i >= window, code(i - window)).otherwise(-1).alias("leaves"))
+        return F.element_at(F.transform(F.array(codes), lambda c: advance(state, c["enters"], c["leaves"], i)), 1)
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(text) - 1), F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("best")), step, lambda a: a["best"])
+    def advance(state: Column, enters: Column, leaves: Column, i: Column) -> Column:
+        gone = F.when(leaves >= 0, F.get(rise, count(state["counts"], leaves).cast("int") - 1)).otherwise(0.0)
+        here = count(state["counts"], enters) - F.when(enters == leaves, 1).otherwise(0)
+        s = state["s"] - gone + F.get(rise, here.cast("int"))
+        bit = lambda c, k: F.when(F.floor(c / 12) == k, F.get(one, c % 12)).otherwise(F.lit(0).cast("bigint"))
+        counts = F.transform(state["counts"], lambda n, k: n + bit(enters, k) - F.when(leaves >= 0, bit(leaves, k)).otherwise(F.lit(0).cast("bigint")))
+        best = F.when(i >= window - 1, F.greatest(state["best"], math.log2(window) - s / window)).otherwise(state["best"])
+        return F.struct(counts.alias("counts"), s.alias("s"), best.alias("best"))
+
+    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), numbers).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+    return F.aggregate(F.sequence(F.lit(0), F.length(text) - 1), start, step, lambda a: a["best"])
 
 
 def _limit(text: Column) -> Column:
@@ -90,8 +126,21 @@ def _limit(text: Column) -> Column:
     return chosen
 
 
-def _allowed(text: Column) -> Column:
-    return text.rlike("|".join(f"(?:{x})" for x in ALLOWED))
+def suspicious(text: Column) -> Column:
+    """Whether a part of a candidate, without what the allow-list matches, has a window of its class's entropy."""
+    parts = F.split(F.regexp_replace(text, "|".join(f"(?:{x})" for x in ALLOWED), " "), " ", -1)
+    return F.exists(F.filter(parts, lambda p: (F.length(p) >= WINDOW) & ~p.rlike(DIGITS)), lambda p: window_entropy(p) >= _limit(p))
+
+
+def outside(candidates: Column, base: Column) -> Column:
+    """The candidates that no span of ``base`` contains: in the order of starts, none before or at theirs ends so late."""
+    row = lambda start, end, base, match: F.struct(start.alias("start"), (-end).alias("minus"), base.alias("mine"), match.alias("match"))
+    spans = F.transform(base, lambda b: row(b["start"], b["end"], F.lit(0), F.lit(None).cast("string")))
+    all_ = F.array(F.array_sort(F.concat(spans, F.transform(candidates, lambda m: row(m["start"], m["end"], F.lit(1), m["match"])))))
+    reach = lambda x: F.when(x["mine"] == 0, -x["minus"]).otherwise(-1)
+    made = lambda before, x: F.struct(x["start"].alias("start"), (-x["minus"]).alias("end"), F.when((x["mine"] == 1) & (before < -x["minus"]), x["match"]).alias("match"))
+    marked = F.flatten(F.transform(all_, lambda x: scanned(x, reach, F.greatest, F.lit(-1), made, MATCH)))
+    return F.filter(marked, lambda m: m["match"].isNotNull())
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,9 +164,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kinds = [of_kind(k, n) for n, k in enumerate(KINDS[:3])]
     found = found.withColumn("base", F.array_sort(F.concat(*kinds)))
-    base = F.col("base")
-    fresh_ones = F.filter("candidates", lambda m: ~F.exists(base, lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["end"])))
-    secret = F.filter(fresh_ones, lambda m: ~_allowed(m["match"]) & (window_entropy(m["match"]) >= _limit(m["match"])))
+    secret = F.filter(outside(F.col("candidates"), F.col("base")), lambda m: suspicious(m["match"]))
     return found.select(F.col("id").alias(id_col), F.array_sort(F.concat("base", of_kind(secret, 3))).alias("spans"))
 
 

@@ -129,6 +129,27 @@ def test_entropy_equals_recount(spark):
         assert r.h == pytest.approx(max(sum(-n / 20 * math.log2(n / 20) for n in c.values()) for c in counts))
 
 
+def test_long_texts_with_many_matches(spark):
+    """Positions of 32,000 matches, some in a base span, as plain search finds them, within seconds."""
+    import re
+    import time
+
+    text = "".join(f"é token=k9Fj2LqX{i:06d} deadbeefdeadbeefdeadbeef{i % 10} k9Fj2LqX0vBz7TnWc4Rd8YhM\n" for i in range(10_700))
+    start = time.time()
+    spans = secrets.secret_digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans.split(",")
+    assert time.time() - start < 20
+    plain = [f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"token=\w+", text)] + [f"hex:{m.start()}:{m.end()}" for m in re.finditer("(deadbeef){3}[0-9]", text)]
+    plain += [f"entropy:{m.start()}:{m.end()}" for m in re.finditer("k9Fj2LqX0vBz7TnWc4Rd8YhM", text)]
+    assert spans == sorted(plain, key=lambda x: int(x.split(":")[1])) and len(spans) > 32_000
+
+
+def test_allowed_parts_do_not_hide_the_rest(spark):
+    key = "k9Fj2LqX0vBz7TnWc4Rd8YhM"
+    texts = [f"BASE64={key}", f"sample_key={key}", f"/2024-01-02/{key}", "550e8400-e29b-41d4-a716-446655440000", "12345678901234567890123", f"{key[:12]}example{key[12:]}"]
+    got = secrets.secret_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_entropy for r in got} == {0: 1, 1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
+
+
 def test_secrets_of_edges(spark, edges, empty):
     got = secrets.secret_digest(edges)
     assert got.count() == len(edge_rows()) and got.agg(F.sum("n_assign")).first()[0] == 1
