@@ -1,10 +1,10 @@
 """License scan by ordered signature rules (operator 2).
 
 A text becomes its words in lower case, joined by single blanks. An Aho-Corasick automaton finds keywords that are derived
-from the names' and identifiers' own alternatives, so every match of a rule holds one; only rules whose keywords occur are
-tried, and overlapping detections are resolved: by priority, then length, a detection is suppressed if an accepted one
-contains its interval. Rules are the product of hand-written name patterns and hand-written
-sentence patterns, a few hundred expressions in all.
+from the rules' own alternatives, so every match of a rule holds one; only rules whose keywords occur are tried, and
+overlapping detections are resolved: a detection is suppressed if one of no lower priority contains its interval. Some 250
+signatures of licence texts, notices and addresses are written by hand one by one and come first; identifiers and other ways
+to name a licence follow as hand-written names in hand-written sentences.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, frugal
+from .license_signatures import SIGNATURES
 
 # The phrases that always count, with their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -97,19 +98,8 @@ SENTENCES = (
     (7, 0.6, r"(?:licen[cs]e|licen[cs]ed|licen[cs]ing)(?: \w+){0,4}? (?:ID)"),
 )
 
-#: (label, weight, pattern): wording of licence texts and notices themselves; they come first of all.
-TEXTS = (
-    ("mit", 1.0, r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("isc", 1.0, r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", 1.0, r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", 1.0, r"neither the name of .{1,120}? may be used to endorse or promote products"),
-    ("gpl", 1.0, r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
-    ("unlicense", 1.0, r"free and unencumbered software released into the public domain"),
-    ("zlib", 1.0, r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("public-domain", 0.7, r"(?:in|into|to) the public domain"),
-    ("proprietary", 0.6, r"all rights reserved"),
-    ("cc", 0.6, r"creative commons"),
-)
+#: Priorities of the rules, from 0; signatures have the first.
+LEVELS = 1 + max(priority for priority, _, _ in SENTENCES)
 
 
 @dataclass(frozen=True)
@@ -173,8 +163,9 @@ def rules() -> tuple[dict[str, list[Rule]], object]:
     import ahocorasick
 
     by_word: dict[str, list[Rule]] = {}
-    for label, weight, pattern in TEXTS:
-        rule = Rule(0, label, weight, re.compile(rf"\b{pattern}\b", re.A), keywords(pattern))
+    for line in SIGNATURES.strip().splitlines():
+        label, weight, pattern = line.split(" | ", 2)
+        rule = Rule(0, label, float(weight), re.compile(rf"\b{pattern}\b", re.A), keywords(pattern))
         for word in rule.needs:
             by_word.setdefault(word, []).append(rule)
     for line in NAMES.strip().splitlines():
@@ -212,16 +203,21 @@ def base_places(joined: bytes) -> list[tuple[int, str]]:
 
 
 def detect(joined: str) -> list[tuple[int, int, str, float]]:
-    """(start, end, label, weight) of the detections that no accepted detection contains."""
+    """(start, end, label, weight) of the detections that none of the same or a higher priority contains.
+
+    A containing one that is suppressed itself is contained by another, so all detections may be compared. Of equal
+    intervals and priorities the first label stays.
+    """
     by_word, automaton = rules()
     tried: dict[Rule, None] = {}
     for word in sorted({word for _, word in automaton.iter(f" {joined} ")}):
         tried |= dict.fromkeys(r for r in by_word[word] if any(n in joined for n in r.needs))
-    found = [(r.priority, m.start() - m.end(), m.start(), m.end(), r.label, r.weight) for r in tried for m in r.pattern.finditer(joined)]
-    kept: list[tuple[int, int, str, float]] = []
-    for _, _, a, b, label, weight in sorted(found):
-        if not any(x <= a and b <= y for x, y, _, _ in kept):
-            kept.append((a, b, label, weight))
+    found = sorted((m.start(), -m.end(), r.priority, r.label, r.weight) for r in tried for m in r.pattern.finditer(joined))
+    kept, reach = [], [-1] * LEVELS  # the greatest end so far of each priority: who contains a detection starts no later
+    for start, end, priority, label, weight in found:
+        if max(reach[: priority + 1]) < -end:
+            kept.append((start, -end, label, weight))
+        reach[priority] = max(reach[priority], -end)
     return sorted(kept)
 
 
@@ -261,4 +257,4 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null texts count as empty: no words, no labels, score 0. Ids may be null or repeated; rows are judged one by one, so
     there is no shuffle. Other columns are ignored; an empty table gives an empty result.
     """
-    return fresh(docs, id=id_col, text=text_col).mapInArrow(_scan_batches, COLUMNS).withColumnRenamed("id", id_col)
+    return fresh(docs, id=id_col, text=text_col).mapInArrow(frugal(_scan_batches), COLUMNS).withColumnRenamed("id", id_col)

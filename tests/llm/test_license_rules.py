@@ -17,6 +17,7 @@ def joined(text):
 
 
 def detect_all(text):
+    """Every rule on every text, detections by priority, then length, each held against all that are kept."""
     every = {r for found in licenses.rules()[0].values() for r in found}
     found = [(r.priority, m.start() - m.end(), m.start(), m.end(), r.label, r.weight) for r in every for m in r.pattern.finditer(text)]
     kept = []
@@ -26,6 +27,49 @@ def detect_all(text):
     return sorted(kept)
 
 
+def example(pattern):
+    """A text that a rule's pattern matches: its longest form, with a word for anything."""
+    return max(("".join("2" if x is None else x for x in f) for f in licenses._forms(re._parser.parse(pattern))), key=len)
+
+
+SIGNATURES = [line.split(" | ", 2) for line in licenses.SIGNATURES.strip().splitlines()]
+
+
+def test_signatures_are_many_and_different():
+    assert len(SIGNATURES) > 200 and len({p for _, _, p in SIGNATURES}) == len(SIGNATURES)
+
+
+@pytest.mark.parametrize(("label", "weight", "pattern"), SIGNATURES)
+def test_each_signature_fires(label, weight, pattern):
+    text = example(pattern)
+    found = licenses.detect(joined(f"x {text} y"))
+    assert found == detect_all(joined(f"x {text} y"))
+    rules = {r for rules in licenses.rules()[0].values() for r in rules if r.pattern.pattern == rf"\b{pattern}\b"}
+    assert {r.label for r in rules} == {label} and any(r.pattern.search(joined(text)) for r in rules)
+    assert label in {x for _, _, x, _ in found} or any(b - a > len(text) for a, b, _, _ in found)
+
+
+FULL = {
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+}
+
+
+@pytest.mark.parametrize("label", sorted(FULL))
+def test_full_texts(label):
+    assert label in licenses.scan(FULL[label])[5].split(",")
+
+
+def test_many_notices_take_linear_time():
+    import time
+
+    text = "Licensed under the GNU General Public License version 2 or later. " * 20_000
+    start = time.time()
+    assert licenses.scan(text)[7] >= 20_000 and time.time() - start < 10
+
+
 @pytest.mark.parametrize("name", IDS)
 def test_identifiers_need_no_other_word(name):
     assert licenses.scan(f"SPDX-License-Identifier: {name}")[5] == name.lower()
