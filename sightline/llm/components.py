@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import frugal, materialise
 
 
 #: Edges up to which one task solves the graph.
@@ -61,7 +61,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60, local_edg
     """
     edges = materialise(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").distinct(), "edges")
     if local_edges and edges.limit(local_edges + 1).count() <= local_edges:
-        return materialise(edges.coalesce(1).mapInArrow(_union_find, "node long, comp long"), "labels")
+        return materialise(edges.coalesce(1).mapInArrow(frugal(_union_find), "node long, comp long"), "labels")
     before = _state(edges)
     for _ in range(max_rounds):
         if not before[0]:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, bounded_broadcast, fresh, materialise
+from .common import SPACE, bounded_broadcast, fresh, frugal, materialise
 
 LOCAL = "id long, digest binary, content string, n_cp long, local_keep long, n long"
 
@@ -61,7 +61,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     narrow = materialise(hashed.select("id", "digest"), "digests")
     repeated = materialise(narrow.groupBy("digest").count().where("count > 1").select("digest"), "repeated")
     rows = hashed.join(bounded_broadcast(repeated), "digest", "left_semi").select("id", "digest", "content", "n_cp")
-    local = materialise(rows.mapInArrow(_combine_locally, LOCAL), "local")
+    local = materialise(rows.mapInArrow(frugal(_combine_locally), LOCAL), "local")
 
     order = (F.desc("n_cp"), F.asc_nulls_last("keep"))
     by_salt = Window.partitionBy("digest", "salt", "content")

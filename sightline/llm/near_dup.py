@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import bounded_broadcast, fresh, materialise, release, slices
+from .common import bounded_broadcast, fresh, frugal, materialise, release, slices
 from .components import components
 
 
@@ -232,7 +232,7 @@ def _plausible(pairs: DataFrame, info: DataFrame, settings: Settings) -> DataFra
 
 def _links(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     wide = pairs.select("a", "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
-    return wide.select("a", "b", "ta", "tb").mapInArrow(_confirm(settings), "a long, b long")
+    return wide.select("a", "b", "ta", "tb").mapInArrow(frugal(_confirm(settings)), "a long, b long")
 
 
 def apart(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
@@ -285,10 +285,10 @@ def linked(buckets: DataFrame, info: DataFrame, texts_of, settings: Settings) ->
     members = rest.join(info, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     placed = members.select("key", "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "comp", "n", "sketch", "bands")
     placed = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    unsure = materialise(placed.mapInArrow(_unsure(settings), _ROW), "unsure")
+    unsure = materialise(placed.mapInArrow(frugal(_unsure(settings)), _ROW), "unsure")
     sizes = info.select("rep", "n", "sketch", "bands").join(texts_of(unsure.select("rep").distinct()), "rep")
     full = unsure.join(sizes, "rep").select(*unsure.columns, "n", "sketch", "bands", "text")
-    three = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_settle(settings), "a long, b long")
+    three = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(frugal(_settle(settings)), "a long, b long")
     labels = components(links.union(three), "a", "b")
     release(one, two, rest, unsure)
     return labels
@@ -299,7 +299,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, settings: Settings) ->
     comp_row the number of a row that stands for its component."""
     own = fresh(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("th"), "text")
     schema = f"id {own.schema['id'].dataType.simpleString()}, th long, {SIGNED}"
-    signed = materialise(own.mapInArrow(sign(settings), schema).withColumn("row", F.monotonically_increasing_id()), "signed")  # fixes the numbers
+    signed = materialise(own.mapInArrow(frugal(sign(settings)), schema).withColumn("row", F.monotonically_increasing_id()), "signed")  # fixes the numbers
 
     rows = signed.select("id", "th", "row", "n", "digest")
     classes = materialise(rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("row").alias("rep"), F.min("id").alias("least")), "classes")

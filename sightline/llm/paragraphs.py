@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import near_dup
 from . import shingles as sh
-from .common import bounded_broadcast, fresh, materialise, release, slices
+from .common import bounded_broadcast, fresh, frugal, materialise, release, slices
 
 
 def tuned_bands(limit: float, rows: int, recall: float) -> int:
@@ -181,8 +181,8 @@ def _components(own: DataFrame, units: DataFrame, near: near_dup.Settings) -> Da
     spots = materialise(units.join(bounded_broadcast(met), "rep", "left_semi").groupBy("rep").agg(place).select("rep", "at.*"), "spots")
     wanted = materialise(spots.groupBy("id", "th").agg(F.collect_list(F.struct("rep", "start", "end")).alias("wanted")), "wanted")
     read = own.alias("d").join(wanted.alias("w"), _same("d", "w")).select("text", "wanted")
-    texts = materialise(read.mapInArrow(_take, "rep long, text string").dropDuplicates(["rep"]), "texts")
-    info = materialise(texts.mapInArrow(near_dup.sign(near), f"rep long, {near_dup.SIGNED}").select("rep", "n", "sketch", "bands"), "info")
+    texts = materialise(read.mapInArrow(frugal(_take), "rep long, text string").dropDuplicates(["rep"]), "texts")
+    info = materialise(texts.mapInArrow(frugal(near_dup.sign(near)), f"rep long, {near_dup.SIGNED}").select("rep", "n", "sketch", "bands"), "info")
     labels = near_dup.linked(buckets, info, lambda reps: texts.join(reps, "rep", "left_semi"), near)
     release(some, buckets, met, wanted, texts, info)
 
@@ -207,7 +207,7 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     s = settings
     own = fresh(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("th"), "text").where("text IS NOT NULL")
     schema = f"id {own.schema['id'].dataType.simpleString()}, th long, window boolean, start long, end long, rep long, check int, keys array<long>"
-    units = materialise(own.mapInArrow(_units(s), schema), "units")
+    units = materialise(own.mapInArrow(frugal(_units(s)), schema), "units")
     stays = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("start") == F.col("keep.start"))
     whole = _components(own, units.where("NOT window"), s.near(False)).withColumn("removed", ~stays)
 

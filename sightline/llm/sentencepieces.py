@@ -19,13 +19,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, slices
+from .common import fresh, frugal, slices
 from .shingles import mix, powers, spread
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Words that a worker keeps encoded; when there are more, it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 #: Binary logarithm of how many pairs of pieces a worker keeps an answer for.
 ANSWERS = 20
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
@@ -404,18 +404,18 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(load_vocabulary(model_file, kind))
-    return fresh(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text").mapInArrow(_encode_batches(shared), "id long, text string, pieces array<int>")
+    return fresh(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text").mapInArrow(frugal(_encode_batches(shared)), "id long, text string, pieces array<int>")
 
 
 def decode(encoded: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
     """Adds ``decoded`` to ``id, text, pieces``: the pieces' text without the blank put before every text."""
     shared = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(model_file).piece_bytes())
-    return encoded.select("id", "text", "pieces").mapInArrow(_decode_batches(shared), "id long, text string, pieces array<int>, decoded string")
+    return encoded.select("id", "text", "pieces").mapInArrow(frugal(_decode_batches(shared)), "id long, text string, pieces array<int>, decoded string")
 
 
 def pieces_and_back(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL_FILE) -> DataFrame:
     """``id_col, n_pieces, pieces, round_trip``: the pieces of each text and whether decoding them gives it back."""
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model_file))
     own = fresh(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
-    both = own.mapInArrow(_round_trip_batches(shared), "id long, pieces array<int>, round_trip boolean")
+    both = own.mapInArrow(frugal(_round_trip_batches(shared)), "id long, pieces array<int>, round_trip boolean")
     return both.select(F.col("id").alias(id_col), F.size("pieces").cast("long").alias("n_pieces"), "pieces", "round_trip")

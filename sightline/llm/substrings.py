@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import fresh, materialise, release, slices
+from .common import fresh, frugal, materialise, release, slices
 
 
 @dataclass(frozen=True)
@@ -271,7 +271,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = own.schema["id"].dataType.simpleString()
     place = f"id {kind}, th long, pos long, least int, most int"
 
-    listed = materialise(own.mapInArrow(_list_anchors(s), ROW.format(id=kind)), "anchors")
+    listed = materialise(own.mapInArrow(frugal(_list_anchors(s)), ROW.format(id=kind)), "anchors")
     repeated = listed.groupBy("gram").count().where("count > 1").select("gram")
     found = materialise(listed.join(repeated, "gram", "left_semi"), "repeated")
     release(listed)
@@ -282,12 +282,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = F.struct("pos", "least", "most", "bucket", (F.col("k") > s.block).alias("large"))
     wanted = unclear.groupBy("id", "th").agg(F.collect_list(each).alias("wanted"))
     reads = own.alias("d").join(wanted.hint("shuffle_hash").alias("w"), _same("d", "w")).select("d.id", "d.th", "text", "wanted")
-    store = materialise(reads.mapInArrow(_contexts(s), f"{place}, bucket long, large boolean, bytes binary"), "bytes")
+    store = materialise(reads.mapInArrow(frugal(_contexts(s)), f"{place}, bucket long, large boolean, bytes binary"), "bytes")
     release(unclear)
     spans, parts, done = [whole], [store.where("NOT large").select(*PLACE, "bucket", "bytes")], [store]
     large = store.where("large").select(*PLACE, *bounds, "bucket", "bytes")
     while not large.isEmpty():
-        halves = materialise(large.mapInArrow(_halves(s), f"{place}, low int, high int, bucket long, hull long"), "halves")
+        halves = materialise(large.mapInArrow(frugal(_halves(s)), f"{place}, low int, high int, bucket long, hull long"), "halves")
         whole, unclear = _sorted_out(halves, s)
         spans.append(whole)
         both = unclear.alias("u").join(store.where("large").select("id", "th", "pos", F.col("most").alias("all"), "bytes").alias("b"), _same("u", "b") & (F.col("u.pos") == F.col("b.pos")))
@@ -300,7 +300,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     work = parts[0]
     for part in parts[1:]:
         work = work.union(part)
-    refined = materialise(work.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine(s), place), "refined")
+    refined = materialise(work.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(frugal(_refine(s)), place), "refined")
     release(*done)
     spans.append(refined.select("id", "th", (F.col("pos") - F.col("most")).alias("lo"), (F.col("pos") - F.col("least") + s.length).alias("hi")))
 
@@ -310,7 +310,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     removed = materialise(union.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
     release(refined, *spans[:-1])
     joined = own.alias("d").join(removed.hint("shuffle_hash").alias("w"), _same("d", "w"), "left").select("d.id", "text", "spans")
-    return joined.mapInArrow(_cut, f"id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(frugal(_cut), f"id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary").withColumnRenamed("id", id_col)
 
 
 def substring_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
