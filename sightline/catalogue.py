@@ -45,30 +45,31 @@ SCENES = """s0 AS (
 )"""
 MODAL = f"""{SCENES}, modal AS (
   SELECT vec_id, video, ord, 'a' AS modality, a AS vec FROM scenes UNION ALL SELECT vec_id, video, ord, 'b', b FROM scenes WHERE b IS NOT NULL
-), qs AS (SELECT vec_id AS qid, video AS q_video, modality, vec AS q_vec FROM modal WHERE vec_id < 20)"""
+), qs AS (SELECT vec_id AS qid, video AS q_video, modality, vec AS q_vec FROM modal WHERE vec_id % 20 = 0)"""
 PAIRS = f"""{MODAL}, pairs AS (SELECT qid, modality, vec_id AS item, {cos_sql("vec", "q_vec")} AS score FROM modal JOIN qs USING (modality)
 ), lists AS (SELECT *, row_number() OVER (PARTITION BY qid, modality ORDER BY score DESC, item) AS rank FROM pairs QUALIFY rank <= 10)"""
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all scenes against 20 queries by modality."""
-    long = views.modal(views.scenes(spark, sf_dir))
-    return retrieval.scored(long.withColumnRenamed("vec_id", "item"), views.queries_of(long), ["modality"])
-
-
-def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.top_k(pairs(spark, sf_dir), ["qid", "modality"], [F.desc("score"), F.asc("item")], 10)
+def lists(spark: SparkSession, sf_dir: str, modalities: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """The ten best scenes of each query and modality; queries are the scenes whose id is divisible by 20."""
+    scenes = views.scenes(spark, sf_dir)
+    found = None
+    for m in modalities:
+        own = scenes.where(F.col(m).isNotNull()).select("vec_id", F.col(m).alias("vec"))
+        best = ranking.block_top_k(own, own.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid"), 10, "vec_id", "vec").withColumn("modality", F.lit(m))
+        found = best if found is None else found.union(best)
+    return found
 
 
 # ---- search and fusion
 
 
 @query(f"""WITH {SCENES}, r AS (
-  SELECT q.vec_id AS qid, i.vec_id AS item, {cos_sql("i.vec", "q.vec")} AS score FROM scenes q, scenes i WHERE q.vec_id < 20
+  SELECT q.vec_id AS qid, i.vec_id AS item, {cos_sql("i.vec", "q.vec")} AS score FROM scenes q, scenes i WHERE q.vec_id % 20 = 0
 ) SELECT qid, item, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item) AS rank, round(score, 6) AS score FROM r QUALIFY rank <= 10""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "embeddings")
-    wanted = items.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    wanted = items.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
     found = ranking.block_top_k(items.select("vec_id", "embedding"), wanted, 10, "vec_id", "embedding")
     return found.select("qid", "item", F.col("rank").cast("long"), F.round("score", 6).alias("score"))
 
@@ -113,10 +114,18 @@ def fuse_exclude_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 ), c AS (SELECT qid, item, round(CASE WHEN n = 2 THEN total / 2 ELSE -1.0 END, 12) AS score FROM full_list)
 SELECT qid, item, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item) AS rank FROM c QUALIFY rank <= 5""")
 def concat_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = pairs(spark, sf_dir).groupBy("qid", "item").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
-    scored = both.withColumn("score", F.round(F.when(F.col("n") == 2, F.col("total") / 2).otherwise(F.lit(-1.0)), 12))
-    best = ranking.top_k(scored, ["qid"], [F.desc("score"), F.asc("item")], 5)
-    return best.select("qid", "item", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
+    """Half the sum of both cosines is the cosine of the unit vectors put together; whatever lacks a modality scores -1."""
+    scenes = views.scenes(spark, sf_dir)
+    unit = lambda c: F.transform(vectors.l2_normalise(F.col(c)), lambda x: x / F.sqrt(F.lit(2.0)))
+    both = scenes.where("b IS NOT NULL").select("vec_id", F.concat(unit("a"), unit("b")).alias("vec"))
+    asked = scenes.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("b").isNotNull().alias("whole"))
+    best = ranking.block_top_k(both, both.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid"), 5, "vec_id", "vec").select("qid", "item", "score")
+    five = lambda rows: rows.select(F.col("vec_id").alias("item")).orderBy("vec_id").limit(5)  # noqa: E731  the first five ties at -1 are all that can be in a list
+    rest = asked.where("whole").select("qid").join(F.broadcast(five(scenes.where("b IS NULL"))), how="cross")
+    bare = asked.where("NOT whole").select("qid").join(F.broadcast(five(scenes)), how="cross")
+    rows = best.union(rest.union(bare).select("qid", "item", F.lit(-1.0)))
+    found = ranking.top_k(rows, ["qid"], [F.desc("score"), F.asc("item")], 5)
+    return found.select("qid", "item", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
 def top_sql(source: str, keys: str, order: str, k: int, name: str = "rank") -> str:
@@ -188,29 +197,31 @@ def skip_video_scene_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scene_columns(retrieval.top_scenes(long, own, wanted.drop("video", "ord"), 5))
 
 
-@query(f"""WITH {MODAL}, sig AS (SELECT qid, modality, 'query' AS signal, q_vec FROM qs UNION ALL SELECT vec_id - 1, modality, 'visual_context', vec FROM modal WHERE vec_id BETWEEN 1 AND 20
+@query(f"""WITH {MODAL}, sig AS (SELECT qid, modality, 'query' AS signal, q_vec FROM qs UNION ALL SELECT vec_id - 1, modality, 'visual_context', vec FROM modal WHERE vec_id % 20 = 1
 ), sc AS (SELECT qid, modality, signal, vec_id AS item, {cos_sql("vec", "q_vec")} AS score FROM modal JOIN sig USING (modality)
 ), r1 AS ({top_sql("sc", "qid, modality, signal", "score DESC, item", 10)}
 ), f1 AS (SELECT qid, modality, item, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM r1 GROUP BY ALL
 ), r2 AS (SELECT *, row_number() OVER (PARTITION BY qid, modality ORDER BY score DESC, item) AS rank FROM f1
 ) SELECT qid, item, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM r2 GROUP BY ALL""")
 def dual_signal_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = views.modal(views.scenes(spark, sf_dir))
-    asked = views.queries_of(long).select("qid", "modality", F.lit("query").alias("signal"), "vec", "norm")
-    seen = long.where(F.col("vec_id").between(1, 20)).select((F.col("vec_id") - 1).alias("qid"), "modality", F.lit("visual_context").alias("signal"), "vec", "norm")
-    signals = asked.union(seen).select("qid", "modality", "signal", F.col("vec").alias("q_vec"), F.col("norm").alias("q_norm"))
-    rows = long.join(signals, "modality").withColumn("score", F.round(vectors.cosine(F.col("vec"), F.col("q_vec"), F.col("norm"), F.col("q_norm")), 12))
-    first = ranking.top_k(rows.select("qid", "modality", "signal", F.col("vec_id").alias("item"), "score"), ["qid", "modality", "signal"], [F.desc("score"), F.asc("item")], 10)
+    scenes = views.scenes(spark, sf_dir)
+    first = None
+    for m in ("a", "b"):
+        own = scenes.where(F.col(m).isNotNull()).select("vec_id", F.col(m).alias("vec"))
+        for signal, rest in (("query", 0), ("visual_context", 1)):
+            asked = own.where(F.col("vec_id") % 20 == rest).select((F.col("vec_id") - rest).alias("qid"), "vec")
+            best = ranking.block_top_k(own, asked, 10, "vec_id", "vec").withColumn("modality", F.lit(m)).withColumn("signal", F.lit(signal))
+            first = best if first is None else first.union(best)
     fused = ranking.rrf(first, ["qid", "modality", "item"])
     return ranking.rrf(ranking.top_k(fused, ["qid", "modality"], [F.desc("score"), F.asc("item")]), ["qid", "item"])
 
 
-@query(f"""WITH {SCENES}, r AS (SELECT q.vec_id AS qid, i.vec_id AS item, {cos_sql("i.vec", "q.vec")} AS score FROM scenes q JOIN scenes i USING (video) WHERE q.vec_id < 20
+@query(f"""WITH {SCENES}, r AS (SELECT q.vec_id AS qid, i.vec_id AS item, {cos_sql("i.vec", "q.vec")} AS score FROM scenes q JOIN scenes i USING (video) WHERE q.vec_id % 20 = 0
 ) SELECT qid, item, round(exp(score - max(score) OVER w) / sum(exp(score - mx)) OVER w, 6) AS probability, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item) AS rank
 FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS mx FROM r) WINDOW w AS (PARTITION BY qid) QUALIFY rank <= 5""")
 def softmax_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.scenes(spark, sf_dir).select("vec_id", "video", "vec", vectors.norm(F.col("vec")).alias("norm"))
-    q = s.where("vec_id < 20").select(F.col("vec_id").alias("qid"), "video", F.col("vec").alias("q"), F.col("norm").alias("qn"))
+    q = s.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "video", F.col("vec").alias("q"), F.col("norm").alias("qn"))
     rows = s.join(q, "video").select("qid", F.col("vec_id").alias("item"), F.round(vectors.cosine(F.col("vec"), F.col("q"), F.col("norm"), F.col("qn")), 12).alias("score"))
     w = Window.partitionBy("qid")
     rows = rows.withColumn("e", F.exp(F.col("score") - F.max("score").over(w))).withColumn("probability", F.col("e") / F.sum("e").over(w))
@@ -263,14 +274,14 @@ def clip_end_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.clip_ends(clips, ["person", "day"], order=["event_id"]).select("event_id", F.col("ord").cast("long"), "start", "end")
 
 
-@query(f"""WITH {SCENES}, g AS (SELECT video, ord AS scene, start, "end", vec[1] AS score, lag("end") OVER (PARTITION BY video ORDER BY start, ord) AS before FROM scenes WHERE vec_id % 6 <> 0
+@query(f"""WITH {SCENES}, g AS (SELECT video, ord AS scene, start, "end", vec[1] AS score, lag("end") OVER (PARTITION BY video ORDER BY start, ord) AS before FROM scenes
 ), i AS (SELECT *, sum(CASE WHEN start - before BETWEEN 0 AND 1.0 THEN 0 ELSE 1 END) OVER (PARTITION BY video ORDER BY start, scene) AS island FROM g
 ), p AS (SELECT *, row_number() OVER (PARTITION BY video, island ORDER BY start, scene) - 1 AS place FROM i
 ), z AS (SELECT *, place // 5 AS part, count(*) OVER (PARTITION BY video, island, place // 5) AS size FROM p)
 SELECT video, min(start) AS start, arg_max("end", (start, scene)) AS "end", string_agg(scene::VARCHAR, '_' ORDER BY start, scene) AS scenes, count(*) AS n, round(max(score), 6) AS score
 FROM z GROUP BY video, island, part, CASE WHEN size < 2 THEN place ELSE -1 END""")
 def merge_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = views.scenes(spark, sf_dir).where("vec_id % 6 <> 0").select("video", F.col("ord").alias("scene"), "start", "end", F.col("vec")[0].alias("score"))
+    s = views.scenes(spark, sf_dir).select("video", F.col("ord").alias("scene"), "start", "end", F.col("vec")[0].alias("score"))
     return intervals.merge_consecutive(s, ["video"]).select("video", "start", "end", "scenes", F.col("n").cast("long"), F.round("score", 6).alias("score"))
 
 
@@ -296,24 +307,30 @@ def semi_has_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.clips(spark, sf_dir, "purchase").join(views.clips(spark, sf_dir), ["person", "day"], "left_semi").select("event_id")
 
 
-QSET = """qset AS (SELECT i AS qid, ['DAY' || (1 + i % 9)] AS days, [{'s': 3600.0 * (i % 24), 'e': 3600.0 * (i % 24) + 1800}] AS ranges,
-  CASE WHEN i % 3 = 0 THEN 'before_query_time' WHEN i % 3 = 1 THEN 'after_query_time' ELSE 'unrestricted' END AS relation, i * 4000.0 AS qt FROM range(20) AS t(i))"""
+QSET = """qset AS (SELECT event_id AS qid, user_id AS person, ['DAY' || (1 + event_id % 9)] AS days, [{'s': 3600.0 * (event_id % 24), 'e': 3600.0 * (event_id % 24) + 1800}] AS ranges,
+  CASE WHEN event_id % 3 = 0 THEN 'before_query_time' WHEN event_id % 3 = 1 THEN 'after_query_time' ELSE 'unrestricted' END AS relation, (event_id % 20) * 200.0 + (event_id % 24) * 3600.0 AS qt FROM events WHERE event_id % 20 = 0)"""
 
 
-def qset(spark: SparkSession) -> DataFrame:
-    i = F.col("id")
+def qset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stated queries: the events whose id is divisible by 20, with days, time ranges and a relation to their time."""
+    i = F.col("event_id")
     hour = (i % 24) * F.lit(3600.0)
     rel = F.when(i % 3 == 0, "before_query_time").when(i % 3 == 1, "after_query_time").otherwise("unrestricted")
-    return spark.range(20).select(i.alias("qid"), F.array(F.concat(F.lit("DAY"), (1 + i % 9).cast("string"))).alias("days"), F.array(F.struct(hour.alias("s"), (hour + 1800).alias("e"))).alias("ranges"), rel.alias("relation"), (i * 4000.0).alias("qt"))
+    asked = table(spark, sf_dir, "events").where(i % 20 == 0)
+    days = F.array(F.concat(F.lit("DAY"), (1 + i % 9).cast("string")))
+    return asked.select(i.alias("qid"), F.col("user_id").alias("person"), days.alias("days"), F.array(F.struct(hour.alias("s"), (hour + 1800).alias("e"))).alias("ranges"), rel.alias("relation"), ((i % 20) * 200.0 + hour).alias("qt"))
 
 
-CANDIDATES = f"""{clips_sql("clips", "view")}, {QSET}, cand AS (SELECT q.*, c.event_id, c.day, c."at" FROM qset q JOIN clips c ON c.person % 20 = q.qid
+CANDIDATES = f"""{clips_sql("clips", "view")}, {QSET}, cand AS (SELECT q.*, c.event_id, c.day, c."at" FROM qset q JOIN clips c ON c.person = q.person
 ), c1 AS (SELECT *, list_contains(days, day) AS ok FROM cand), c2 AS (SELECT * FROM c1 QUALIFY ok OR count(*) FILTER (ok) OVER (PARTITION BY qid) = 0)"""
 
 
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.clips(spark, sf_dir).join(qset(spark, sf_dir), "person")
+
+
 def _by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.clips(spark, sf_dir).withColumn("qid", F.col("person") % 20).join(F.broadcast(qset(spark)), "qid")  # 20 stated queries
-    return filters.keep_or_fall_back(rows, ["qid"], F.array_contains("days", F.col("day")))
+    return filters.keep_or_fall_back(_candidates(spark, sf_dir), ["qid"], F.array_contains("days", F.col("day")))
 
 
 @query(f"WITH {CANDIDATES} SELECT qid, event_id FROM c2")
@@ -336,26 +353,25 @@ def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.overlap_join(left, right, ["person", "day"], 1800.0).select("clip", "target")
 
 
-@query(f"WITH {SCENES} SELECT q.vec_id AS qid, s.vec_id AS item FROM scenes q JOIN scenes s ON list_has_any(s.tags, [q.tags[1]]) WHERE q.vec_id < 20")
+@query(f"WITH {SCENES} SELECT q.vec_id AS qid, s.vec_id AS item FROM scenes q JOIN scenes s ON list_has_any(s.tags, [q.tags[1]]) WHERE q.vec_id % 20 = 0")
 def tag_overlap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.scenes(spark, sf_dir)
-    wanted = s.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.array(F.upper(F.col("tags")[0])).alias("wanted"))
-    rows = s.select(F.col("vec_id").alias("item"), "tags").join(F.broadcast(wanted), filters.shares_tag(F.col("tags"), F.col("wanted")))  # 20 stated queries
-    return rows.select("qid", "item")
+    wanted = s.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.array(F.upper(F.col("tags")[0])).alias("wanted"))
+    return filters.sharing_a_tag(s.select(F.col("vec_id").alias("item"), "tags"), wanted).select("qid", "item")
 
 
 # ---- metrics
 
-PREDICTIONS = f"""{PAIRS}, gt AS (SELECT vec_id AS qid, video AS gt_video, start - 2 AS gs, "end" + 4 AS ge FROM scenes WHERE vec_id < 20
-), p0 AS (SELECT l.qid, l.rank, s.video, s.start AS s, s."end" AS e, gt_video, gs, ge FROM lists l JOIN scenes s ON s.vec_id = l.item JOIN gt ON gt.qid = l.qid WHERE l.modality = 'a' AND l.qid % 4 <> 3 AND l.item <> l.qid
+PREDICTIONS = f"""{PAIRS}, gt AS (SELECT vec_id AS qid, video AS gt_video, start - 2 AS gs, "end" + 4 AS ge FROM scenes WHERE vec_id % 20 = 0
+), p0 AS (SELECT l.qid, l.rank, s.video, s.start AS s, s."end" AS e, gt_video, gs, ge FROM lists l JOIN scenes s ON s.vec_id = l.item JOIN gt ON gt.qid = l.qid WHERE l.modality = 'a' AND l.item <> l.qid
 ), p1 AS (SELECT *, video = gt_video AS same, greatest(0, least(e, ge) - greatest(s, gs)) AS shared FROM p0
 ), preds AS (SELECT *, CASE WHEN same THEN shared / ((e - s) + (ge - gs) - shared) ELSE 0 END AS iou, CASE WHEN same THEN shared / (ge - gs) ELSE 0 END AS iou_gt FROM p1)"""
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s = views.scenes(spark, sf_dir).select("vec_id", "video", "start", "end")
-    truth = s.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("video").alias("gt_video"), (F.col("start") - 2).alias("gs"), (F.col("end") + 4).alias("ge"))
-    best = lists(spark, sf_dir).where("modality = 'a' AND qid % 4 <> 3 AND item <> qid").select("qid", "rank", "item")
+    truth = s.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("video").alias("gt_video"), (F.col("start") - 2).alias("gs"), (F.col("end") + 4).alias("ge"))
+    best = lists(spark, sf_dir, ("a",)).where("item <> qid").select("qid", "rank", "item")
     rows = best.join(s.withColumnRenamed("vec_id", "item"), "item").join(truth, "qid")
     same = F.col("video") == F.col("gt_video")
     bounds = (F.col("start"), F.col("end"), F.col("gs"), F.col("ge"))
@@ -447,7 +463,7 @@ def clip_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CANDIDATES}, j AS (SELECT qid, qid % 5 <> 0 AS filtered, list_contains(days, day) AS hit FROM cand)
 SELECT count(*) AS n, count(*) FILTER (filtered) AS n_filtered, round(count(*) FILTER (filtered AND hit) / nullif(count(*) FILTER (filtered), 0), 6) AS hit_rate, round(count(*) FILTER (filtered) / count(*), 6) AS coverage FROM j""")
 def plan_filter_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.clips(spark, sf_dir).withColumn("qid", F.col("person") % 20).join(F.broadcast(qset(spark)), "qid")
+    rows = _candidates(spark, sf_dir)
     hit = F.when(F.col("qid") % 5 != 0, F.array_contains("days", F.col("day")))
     return rows.select(hit.alias("hit")).agg(F.count("*").alias("n"), F.count("hit").alias("n_filtered"), F.round(F.try_divide(F.count_if("hit"), F.count("hit")), 6).alias("hit_rate"), F.round(F.try_divide(F.count("hit"), F.count("*")), 6).alias("coverage"))
 
@@ -455,8 +471,14 @@ def plan_filter_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- planning and parsing
 
 
-def planner_sql() -> str:
-    """The planner's decisions over the sentences, from the same fixed values."""
+SENTENCES_SQL = """SELECT doc_id AS qid, lower(coalesce(text, '')) || CASE doc_id % 12 WHEN 0 THEN ' who was talking yesterday morning' WHEN 1 THEN ' what will i do this afternoon' WHEN 2 THEN ' where are my keys earlier today'
+         WHEN 3 THEN ' on day 3 and day3 at lunch' WHEN 4 THEN ' the day before' WHEN 5 THEN ' the next day at dawn' WHEN 6 THEN ' any day late night' WHEN 7 THEN ' after lunch' WHEN 8 THEN ' before lunch' WHEN 9 THEN ' tonight' WHEN 10 THEN ' breakfast' ELSE '' END AS t,
+         CASE WHEN doc_id % 10 < 9 THEN 'DAY' || (1 + doc_id % 7) END AS d, CASE WHEN doc_id % 11 < 10 THEN ((doc_id * 977) % 86400)::DOUBLE END AS s, doc_id % 5 = 0 AS need FROM documents"""
+ENDS = [" who was talking yesterday morning", " what will i do this afternoon", " where are my keys earlier today", " on day 3 and day3 at lunch", " the day before", " the next day at dawn", " any day late night", " after lunch", " before lunch", " tonight", " breakfast", ""]
+
+
+def planner_sql(source: str = SENTENCES_SQL) -> str:
+    """The planner's decisions over sentences (qid, t in lower case, d, s, need), from the same fixed values."""
     esc = lambda s: "'" + s.replace("'", "''") + "'"
     has = lambda words: "(" + " OR ".join(f"contains(t, {esc(w)})" for w in words) + ")"
     shift = lambda by: f"CASE WHEN n + ({by}) BETWEEN 1 AND 7 THEN ['DAY' || (n + ({by}))] ELSE []::VARCHAR[] END"
@@ -473,9 +495,7 @@ def planner_sql() -> str:
     audio, video = f"(coalesce(need, false) OR {has(planner.AUDIO_WORDS)})", has(planner.VISUAL_WORDS)
     order = f"CASE WHEN {audio} AND {video} THEN 'audio,video,text' WHEN {audio} THEN 'audio,text,video' WHEN {video} THEN 'video,text,audio' ELSE 'text,video,audio' END"
     return f"""WITH src AS (
-  SELECT doc_id AS qid, lower(left(coalesce(text, ''), 400)) || CASE doc_id % 12 WHEN 0 THEN ' who was talking yesterday morning' WHEN 1 THEN ' what will i do this afternoon' WHEN 2 THEN ' where are my keys earlier today'
-         WHEN 3 THEN ' on day 3 and day3 at lunch' WHEN 4 THEN ' the day before' WHEN 5 THEN ' the next day at dawn' WHEN 6 THEN ' any day late night' WHEN 7 THEN ' after lunch' WHEN 8 THEN ' before lunch' WHEN 9 THEN ' tonight' WHEN 10 THEN ' breakfast' ELSE '' END AS t,
-         CASE WHEN doc_id % 10 < 9 THEN 'DAY' || (1 + doc_id % 7) END AS d, CASE WHEN doc_id % 11 < 10 THEN ((doc_id * 977) % 86400)::DOUBLE END AS s, doc_id % 5 = 0 AS need FROM documents
+  {source}
 ), a AS (SELECT *, regexp_extract(d, '(\\d+)', 1)::INT AS n, list_transform(list_distinct(regexp_extract_all(t, '\\bday\\s*([1-7])\\b', 1)), lambda x: 'DAY' || x) AS explicit FROM src WHERE d IS NOT NULL
   UNION ALL SELECT *, NULL, list_transform(list_distinct(regexp_extract_all(t, '\\bday\\s*([1-7])\\b', 1)), lambda x: 'DAY' || x) FROM src WHERE d IS NULL
 ), b AS (SELECT *, {days} AS days, {how} AS how, {label} AS label FROM a), c AS (SELECT *, {first} AS first, {last} AS last FROM b)
@@ -485,10 +505,9 @@ SELECT qid, array_to_string(list_sort(days), ',') AS days, how AS relative_day,
 @query(planner_sql())
 def plan_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
-    ends = [" who was talking yesterday morning", " what will i do this afternoon", " where are my keys earlier today", " on day 3 and day3 at lunch", " the day before", " the next day at dawn", " any day late night", " after lunch", " before lunch", " tonight", " breakfast", ""]
     asked = table(spark, sf_dir, "documents").select(
         i.alias("qid"),
-        F.concat(F.coalesce("text", F.lit("")), F.element_at(F.array(*map(F.lit, ends)), (i % 12 + 1).cast("int"))).alias("query_text"),
+        F.concat(F.coalesce("text", F.lit("")), F.element_at(F.array(*map(F.lit, ENDS)), (i % 12 + 1).cast("int"))).alias("query_text"),
         F.when(i % 10 < 9, F.concat(F.lit("DAY"), (1 + i % 7).cast("string"))).alias("query_date"),
         F.when(i % 11 < 10, ((i * 977) % 86400).cast("double")).alias("query_time_sec"),
         (i % 5 == 0).alias("need_audio"),
@@ -582,11 +601,13 @@ def refactor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.count("*").alias("total"), F.countDistinct("source").alias("videos"), F.round(F.avg("n"), 6).alias("mean_length"), F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.round(F.avg(F.col("n") - F.col("n_chars")), 6).alias("mean_delta"), F.count_if("blank").alias("n_empty"))
 
 
-@query("""SELECT doc_id, 'first' AS part, lang FROM documents UNION ALL SELECT conv_id, 'second', NULL FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id NOT IN (SELECT doc_id FROM documents)""")
+@query("""WITH u AS (SELECT lang AS key, 0 AS part, doc_id AS seq FROM documents UNION ALL SELECT role, 1, conv_id * 1000 + turn FROM conversations UNION ALL SELECT source, 2, doc_id FROM documents)
+SELECT key, part, seq FROM u WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY part, seq) = 1""")
 def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "documents").select("doc_id", F.lit("first").alias("part"), "lang")
-    second = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit("second").alias("part")).distinct()
-    return annotations.first_of_each([first, second], ["doc_id"]).select("doc_id", "part", "lang")
+    """Keys that occur many times in a part and in several parts."""
+    docs, said = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
+    parts = [docs.select(F.col("lang").alias("key"), F.col("doc_id").alias("seq")), said.select(F.col("role").alias("key"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq")), docs.select(F.col("source").alias("key"), F.col("doc_id").alias("seq"))]
+    return annotations.first_of_each([p.where("key IS NOT NULL") for p in parts], ["key"], "seq").select("key", F.col("part").cast("int"), "seq")
 
 
 @query(f"""WITH {SCENES}, c AS (SELECT {cos_sql("a", "b")} AS c FROM scenes WHERE b IS NOT NULL) SELECT count(*) AS n, round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS std FROM c""")
@@ -624,9 +645,9 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.from_json("props", "k long")["k"], F.lit(-1)).alias("k"))
 
 
-@query()
+@query("""SELECT event_id, '{"k": ' || (2 * event_id) || ', "b": null, "s": "said “hi”", "h": 30}' AS json FROM events""")
 def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reply = F.concat(F.lit("Sure: ```json\n{\"k\": 2*"), F.col("event_id").cast("string"), F.lit(", \"b\": None, }\n``` done"))
+    reply = F.concat(F.lit("Sure: ```json\n{\"k\": 2*"), F.col("event_id").cast("string"), F.lit(', "b": None, "s": "said “hi”", "h": 60/2, # half "an hour"\n}\n``` done'))
     return table(spark, sf_dir, "events").select("event_id", texts.repaired_json(reply).alias("json"))
 
 
@@ -688,3 +709,6 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return sessions(rows).select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+from . import chain  # noqa: E402,F401  registers its queries, too

@@ -32,6 +32,32 @@ def question_text(trigger: Column, question: Column, choices: list[Column] | Non
     return F.when(F.size(given) > 0, F.concat(base, F.lit(" Choices: "), F.array_join(given, ", "))).otherwise(base)
 
 
+def choice_prompt(trigger: Column, question: Column, choices: list[Column], with_trigger: bool = True) -> Column:
+    """A multiple-choice prompt with four options; a blank trigger adds no context."""
+    blank = F.lit("")
+    said = F.trim(F.coalesce(trigger, blank)) if with_trigger else blank
+    context = F.when(said != "", F.concat(F.lit("Context: "), said, F.lit("\n"))).otherwise(blank)
+    options = [x for letter, c in zip("ABCD", choices) for x in (F.lit(f"  {letter}. "), F.coalesce(c, blank), F.lit("\n"))]
+    # Fixed value: the instruction at the end.
+    ask = "\nAnswer with only the letter of the correct option (A, B, C, or D). Do not add any explanation."
+    return F.concat(context, F.lit("Question: "), F.trim(F.coalesce(question, blank)), F.lit("\n\nOptions:\n"), *options, F.lit(ask))
+
+
+def scene_context(caption: Column, speech: Column, events: Column, speakers: Column) -> Column:
+    """What is known of a scene, a line each: caption, speech, the first three audio events (label, confidence), speakers."""
+    blank = F.lit("")
+    line = lambda name, value: F.when(F.coalesce(value, blank) != "", F.concat(F.lit(f"{name}: "), value))
+    heard = F.array_join(F.transform(F.slice(F.coalesce(events, F.array()), 1, 3), lambda e: F.format_string("%s (%.2f)", e["label"], e["confidence"])), ", ")
+    who = F.array_join(F.array_sort(F.array_distinct(F.coalesce(speakers, F.array()))), ", ")
+    lines = F.array_compact(F.array(line("Visual description", caption), line("Dialogue/Speech", speech), line("Audio events", heard), line("Speakers detected", who)))
+    return F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(F.lit("[No information available for this scene]"))
+
+
+def by_modality(text: Column, given: Column, modalities: list[str]) -> Column:
+    """A map of each modality's query text; one without a text of its own has the query's."""
+    return F.map_from_arrays(F.array(*map(F.lit, modalities)), F.array(*(F.coalesce(F.nullif(F.element_at(given, m), F.lit("")), text) for m in modalities)))
+
+
 def shortened(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.rtrim(F.left(text, F.lit(n))), F.lit("..."))).otherwise(text)
 
@@ -51,51 +77,72 @@ def answer_part(reply: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(after, reply), r"(?s)\n-{3,}.*$", ""))
 
 
-_OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul}
+_OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv}
 _QUOTES = str.maketrans({"“": '"', "”": '"', "‘": "'", "’": "'"})
+_NUMBER = r"\d+(?:\.\d+)?"
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"')
 
 
-def _whole(expression: str) -> str:
-    def value(node: ast.expr) -> int:
+def _value_of(expression: str) -> str:
+    """The value of an arithmetic expression; whole ones without a point."""
+
+    def value(node: ast.expr) -> float:
         if isinstance(node, ast.BinOp):
             return _OPS[type(node.op)](value(node.left), value(node.right))
         return node.value
 
     try:
-        return str(value(ast.parse(expression.strip(), mode="eval").body))
-    except (SyntaxError, KeyError, TypeError, AttributeError):
+        found = value(ast.parse(expression.strip(), mode="eval").body)
+    except (SyntaxError, KeyError, TypeError, AttributeError, ZeroDivisionError):
         return expression
+    return str(int(found)) if float(found).is_integer() else str(found)
+
+
+def _balanced(text: str) -> str | None:
+    """The first object in braces; braces in strings and in comments don't count."""
+    start, depth, at = text.find("{"), 0, text.find("{")
+    while 0 <= at < len(text):
+        if string := _STRING.match(text, at):
+            at = string.end()
+            continue
+        if text.startswith(("//", "#"), at) and text[at - 1] in " \t\n,{[":
+            at = text.find("\n", at)
+            continue
+        depth += {"{": 1, "}": -1}.get(text[at], 0)
+        at += 1
+        if not depth:
+            return text[start:at]
+    return None
+
+
+def _strict(body: str) -> str:
+    """Comments, Python literals, trailing commas and arithmetic repaired outside strings."""
+    out, at = [], 0
+    tokens = re.compile(rf"{_STRING.pattern}|(?<![^\s,{{\[])(?://|#)[^\n]*|\b(?:None|True|False)\b|(?<![\w.]){_NUMBER}(?:\s*[-+*/]\s*{_NUMBER})+(?![\w.])|,(?=\s*[}}\]])")
+    words = {"None": "null", "True": "true", "False": "false", ",": ""}
+    for m in tokens.finditer(body):
+        found = m[0]
+        made = found if found[0] == '"' else "" if found[0] in "#/" else words[found] if found in words else _value_of(found)
+        out += [body[at : m.start()], made]
+        at = m.end()
+    return "".join([*out, body[at:]])
 
 
 def repair_json(reply: str | None) -> str | None:
     """The first balanced object of a model's reply as strict JSON, or null.
 
-    Code fences, comments, curly quotes, Python literals, trailing commas and whole-number arithmetic are repaired.
+    What parses is left as it is. Else code fences, comments, Python literals, trailing commas and arithmetic are repaired,
+    and at last curly quotes.
     """
-    text = re.sub(r"```(?:json)?", "", (reply or "").translate(_QUOTES))
-    start = text.find("{")
-    depth, quoted, end = 0, False, -1
-    for i in range(max(start, 0), len(text) if start >= 0 else 0):
-        c = text[i]
-        if c == '"' and text[i - 1] != "\\":
-            quoted = not quoted
-        elif not quoted and c in "{}":
-            depth += 1 if c == "{" else -1
-            if depth == 0:
-                end = i + 1
-                break
-    if end < 0:
-        return None
-    body = re.sub(r"(?m)(^|\s)(//|#)[^\n\"]*$", r"\1", text[start:end])
-    pieces = re.split(r'("(?:[^"\\]|\\.)*")', body)
-    for i in range(0, len(pieces), 2):
-        piece = re.sub(r"\bNone\b", "null", re.sub(r"\bTrue\b", "true", re.sub(r"\bFalse\b", "false", pieces[i])))
-        piece = re.sub(r"\d+(?:\s*[*+-]\s*\d+)+", lambda m: _whole(m[0]), piece)
-        pieces[i] = re.sub(r",(\s*[}\]])", r"\1", piece)
-    try:
-        return json.dumps(json.loads("".join(pieces)))
-    except ValueError:
-        return None
+    text = re.sub(r"```(?:json)?", "", reply or "")
+    for candidate in (text, text.translate(_QUOTES)):
+        body = _balanced(candidate)
+        for fix in (str, _strict, lambda x: re.sub(r",(\s*[}\]])", r"\1", _strict(x))):
+            try:
+                return json.dumps(json.loads(fix(body)), ensure_ascii=False)
+            except (ValueError, TypeError):
+                continue
+    return None
 
 
 @F.pandas_udf(T.StringType())

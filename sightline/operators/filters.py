@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import overlaps
 
 
 def keep_or_fall_back(rows: DataFrame, keys: list[str], passes: Column) -> DataFrame:
-    """Rows that pass; where none of a key's rows passes, all of them."""
+    """Rows that pass; where none of a key's rows passes, all of them.
+
+    One flag a key is aggregated and joined back, so a key's candidates never meet in one task.
+    """
     marked = rows.withColumn("_pass", F.coalesce(passes, F.lit(True)))
-    return marked.withColumn("_n", F.count_if("_pass").over(Window.partitionBy(*keys))).where("_pass OR _n = 0").drop("_pass", "_n")
+    some = marked.where("_pass").select(*keys).distinct().withColumn("_some", F.lit(True))
+    return marked.join(some, keys, "left").where("_pass OR _some IS NULL").drop("_pass", "_some")
 
 
 def in_time(start: Column, ranges: Column, relation: Column, at: Column, length: float = 30.0) -> Column:
@@ -29,3 +33,38 @@ def in_time(start: Column, ranges: Column, relation: Column, at: Column, length:
 def shares_tag(tags: Column, wanted: Column) -> Column:
     """Any tag in common, case apart; without wanted tags everything passes."""
     return (F.coalesce(F.size(wanted), F.lit(0)) <= 0) | F.coalesce(F.arrays_overlap(F.transform(tags, F.lower), F.transform(wanted, F.lower)), F.lit(False))
+
+
+def sharing_a_tag(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (item, tags) beside the queries (qid, wanted) that share a tag, case apart: an equi-join on tags."""
+    left = rows.withColumn("_tag", F.explode(F.array_distinct(F.transform("tags", F.lower))))
+    right = wanted.select("qid", F.explode(F.array_distinct(F.transform("wanted", F.lower))).alias("_tag"))
+    return left.join(right, "_tag").drop("_tag").dropDuplicates(["qid", "item"])
+
+
+def in_window(day: Column, start: Column, end: Column, c: Column) -> Column:
+    """Whether a window of a video of ``day`` meets the constraints ``c`` (query_date, query_time_sec, allowed_days, ranges,
+    relation); null constraints, days and empty lists restrict nothing. Before and after count only on the query's day."""
+    known = F.coalesce(day, F.lit("")) != ""
+    days = (F.coalesce(F.size(c["allowed_days"]), F.lit(0)) <= 0) | ~known | F.array_contains(c["allowed_days"], day)
+    near = (F.coalesce(F.size(c["ranges"]), F.lit(0)) <= 0) | overlaps(start, end, c["ranges"])
+    same = known & (F.coalesce(c["query_time_sec"], F.lit(0.0)) > 0) & (F.upper(day) == F.upper(F.coalesce(c["query_date"], F.lit(""))))
+    early = (c["relation"] != "before_query_time") | (start <= c["query_time_sec"])
+    late = (c["relation"] != "after_query_time") | (end >= c["query_time_sec"])
+    return c.isNull() | (F.coalesce(days, F.lit(True)) & F.coalesce(near, F.lit(True)) & (~F.coalesce(same, F.lit(False)) | F.coalesce(early & late, F.lit(True))))
+
+
+def sharp_enough(sharpness: Column, brightness: Column) -> Column:
+    """Frame quality: Laplacian variance over 100, mean brightness between 20 and 235."""
+    return (sharpness > 100) & (brightness > 20) & (brightness < 235)
+
+
+def with_target(target_date: Column, target_time: Column, target_sec: Column) -> Column:
+    """Whether an annotation says when its target is, and that can be read."""
+    return (F.coalesce(target_date, F.lit("")) != "") & (F.coalesce(target_time, F.lit("")) != "") & (target_sec > 0)
+
+
+def sliced(rows: DataFrame, order: list[str], first: int, end: int | None = None) -> DataFrame:
+    """Rows ``first`` to ``end`` (exclusive, from 0) in the given order; what is left out is the feature."""
+    ordered = rows.orderBy(*order)
+    return (ordered if end is None else ordered.limit(end)).offset(first)

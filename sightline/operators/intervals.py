@@ -41,10 +41,10 @@ def clip_ends(clips: DataFrame, keys: list[str], start: str = "start", order: li
     return clips.withColumn("ord", F.row_number().over(w) - 1).withColumn("end", F.when(end > F.col(start), end).otherwise(F.col(start) + last))
 
 
-def merge_consecutive(scenes: DataFrame, keys: list[str], max_gap: float = 1.0, least: int = 2, most: int = 5) -> DataFrame:
+def merge_consecutive(scenes: DataFrame, keys: list[str], max_gap: float = 1.0, least: int = 2, most: int = 5, how: str = "max") -> DataFrame:
     """Runs of scenes with gaps of 0 to ``max_gap`` become one, at most ``most`` at a time; smaller runs stay single.
 
-    Returns ``keys, start, end, scenes, n, score``: the end is the last scene's, the score the members' maximum.
+    Returns ``keys, start, end, scenes, n, score``: the end is the last scene's, the score the members' ``how`` (max, avg, sum).
     """
     w = Window.partitionBy(*keys).orderBy("start", "scene")
     gap = F.col("start") - F.lag("end").over(w)
@@ -55,7 +55,7 @@ def merge_consecutive(scenes: DataFrame, keys: list[str], max_gap: float = 1.0,
     size = F.count("*").over(Window.partitionBy(*keys, "island", "part"))
     part = part.withColumn("single", F.when(size < least, F.col("place")).otherwise(F.lit(-1)))
     members = F.array_sort(F.collect_list(F.struct("start", "scene", "end")))
-    grouped = part.groupBy(*keys, "island", "part", "single").agg(members.alias("m"), F.max("score").alias("score"))
+    grouped = part.groupBy(*keys, "island", "part", "single").agg(members.alias("m"), getattr(F, how)("score").alias("score"))
     return grouped.select(*keys, F.col("m")[0]["start"].alias("start"), F.element_at("m", -1)["end"].alias("end"), F.array_join(F.transform("m", lambda x: x["scene"].cast("string")), "_").alias("scenes"), F.size("m").alias("n"), "score")
 
 

@@ -35,30 +35,56 @@ def fuse_scores(rows: DataFrame, list_keys: list[str], item_keys: list[str], how
     return min_max(rows, list_keys).groupBy(*item_keys).agg(getattr(F, how)("norm").alias("score"))
 
 
-def block_top_k(items: DataFrame, queries: DataFrame, k: int, id_col: str = "item", vec_col: str = "vec") -> DataFrame:
+def _best(values: np.ndarray, item: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k greatest values of each row, ties by the smaller item."""
+    if values.shape[1] > k:
+        row, column = np.nonzero(values >= np.partition(values, -k, axis=1)[:, -k, None])
+    else:
+        row, column = (x.ravel() for x in np.indices(values.shape))
+    order = np.lexsort((item[column], -values[row, column], row))
+    row, column = row[order], column[order]
+    first = np.searchsorted(row, row)
+    kept = np.arange(len(row)) - first < k
+    return row[kept], column[kept]
+
+
+#: Queries scored in one pass over the items: 64 components of them take 10 MB, and are sent to each executor once.
+QUERIES_A_PASS = 20_000
+
+
+def block_top_k(items: DataFrame, queries: DataFrame, k: int, id_col: str = "item", vec_col: str = "vec", block: int = 256) -> DataFrame:
     """``qid, item, rank, score`` of the k items most similar by cosine to each query.
 
-    ``queries`` (qid, vec) is a stated query set, small enough to be read on the driver. Each batch of items is scored by one
-    matrix product and keeps its own k best, so only k rows a batch and query are shuffled.
+    ``queries`` (qid, vec) is a stated query set. It is taken in passes of ``QUERIES_A_PASS``; a pass broadcasts its queries,
+    scores blocks of them against batches of items by matrix products, and shuffles only the k best a batch and query.
     """
-    wanted = queries.select("qid", "vec").collect()
-    ids = np.array([r[0] for r in wanted], np.int64)
-    matrix = np.array([r[1] for r in wanted], np.float64)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-8) if len(wanted) else 1.0
-
-    def score(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            batch = batch.filter(batch.column(1).is_valid())
-            if not batch.num_rows or not len(ids):
-                continue
-            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            item = batch.column(0).to_numpy(zero_copy_only=False)
-            values = matrix @ (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-8)).T
-            best = np.lexsort((np.broadcast_to(item, values.shape), -np.round(values, 12)), axis=1)[:, :k]
-            row = np.repeat(np.arange(len(ids)), best.shape[1])
-            yield pa.record_batch([pa.array(ids[row]), pa.array(item[best.ravel()]), pa.array(values[row, best.ravel()])], names=["qid", "item", "score"])
-
-    rows = items.select(F.col(id_col).cast("long").alias("item"), vec_col).mapInArrow(score, "qid long, item long, score double")
-    return top_k(rows.withColumn("score", F.round("score", 12)), ["qid"], [F.desc("score"), F.asc("item")], k)
+    spark = items.sparkSession
+    wanted = queries.where(F.col("qid").isNotNull() & F.col("vec").isNotNull()).select(F.col("qid").cast("long").alias("qid"), "vec")
+    passes = max(1, -(-wanted.count() // QUERIES_A_PASS))
+    rows = None
+    for n in range(passes):
+        part = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == n)
+        asked = part.collect()  # one pass: about QUERIES_A_PASS rows
+        matrix = np.array([r[1] for r in asked], np.float64)
+        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-8) if len(asked) else 1.0
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in asked], np.int64), matrix))
+
+        def score(batches: Iterator, shared=shared) -> Iterator:
+            import pyarrow as pa
+
+            ids, matrix = shared.value
+            for batch in batches:
+                batch = batch.filter(batch.column(1).is_valid())
+                if not batch.num_rows:
+                    continue
+                vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-8)
+                item = batch.column(0).to_numpy(zero_copy_only=False)
+                for a in range(0, len(ids), block):
+                    values = np.round(matrix[a : a + block] @ vectors.T, 12)
+                    row, column = _best(values, item, k)
+                    yield pa.record_batch([pa.array(ids[a + row]), pa.array(item[column]), pa.array(values[row, column])], names=["qid", "item", "score"])
+
+        found = items.select(F.col(id_col).cast("long").alias("item"), vec_col).mapInArrow(score, "qid long, item long, score double")
+        rows = found if rows is None else rows.union(found)
+    return top_k(rows, ["qid"], [F.desc("score"), F.asc("item")], k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import top_k
@@ -36,3 +36,28 @@ def tag_statistics(rows: DataFrame, tags: str = "tags") -> DataFrame:
     each = rows.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
     each = each.withColumn("category", F.split_part("tag", F.lit("_"), F.lit(1)))
     return each.withColumn("in_category", F.sum("n").over(Window.partitionBy("category")))
+
+
+def query_tags(queries: DataFrame, scores: DataFrame, **limits) -> DataFrame:
+    """``qid, tags, scores`` of every query, best first; queries with a blank text (or no scores) have empty lists."""
+    best = tags_by_quantile(scores, ["qid"], **limits).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", F.lower("tag").alias("tag"), "score"))).alias("_best"))
+    joined = queries.select("qid", "query_text").join(best, "qid", "left")
+    known = F.when(F.trim(F.coalesce("query_text", F.lit(""))) != "", F.col("_best"))
+    pick = lambda c, t: F.coalesce(F.transform(known, lambda x: x[c]), F.array().cast(f"array<{t}>"))
+    return joined.select("qid", pick("tag", "string").alias("tags"), pick("score", "double").alias("scores"))
+
+
+def tag_levels(frames: DataFrame, levels: dict[str, list[str]], **limits) -> DataFrame:
+    """``level, name, tag, score`` of sets of frames at each level; ``levels`` gives the columns that name a level's sets."""
+    rows = None
+    for level, keys in levels.items():
+        found = frame_tags(frames.select(*keys, "tag", "score"), keys, **limits)
+        named = found.select(F.lit(level).alias("level"), F.concat_ws("/", *(F.col(k).cast("string") for k in keys)).alias("name"), "tag", "score")
+        rows = named if rows is None else rows.union(named)
+    return rows
+
+
+def tag_matches(tags: Column, wanted: Column, score: Column) -> Column:
+    """How many wanted tags are there, their share, and the score raised by a tenth for each."""
+    n = F.size(F.array_intersect(tags, wanted))
+    return F.struct(n.cast("long").alias("n"), F.coalesce(F.try_divide(n, F.size(wanted)), F.lit(0.0)).alias("share"), (score * (1 + 0.1 * n)).alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.times import shifted_day
+from ..functions.times import scaled_ranges, shifted_day
 
 # Seconds of the day for each label.
 HOUR = 3600.0
@@ -39,7 +39,6 @@ ANY_DAY = ["other day", "other days", "another day", "any day", "past days"]
 AFTER = ["after that", "later that day", "after lunch", "after dinner"]
 BEFORE = ["before that", "before lunch", "earlier that day"]
 TODAY = ["today", "this day", "earlier", "before"]
-WINDOW_WORDS = ["when", "moment", "around", "earlier", "later", "before", "after"]
 AUDIO_WORDS = [
     "say", "said", "hear", "heard", "sound", "sounds", "audio", "noise", "noises", "conversation", "talk", "talking", "voice", "voices", "music",
     "sing", "singing", "siren", "sirens", "shout", "shouting", "yell", "yelling", "ring", "ringing", "phone", "call",
@@ -106,10 +105,14 @@ def time_of_day(text: Column) -> tuple[Column, Column]:
     for phrase, name in reversed(TIME_PHRASES):
         found = F.contains(text, F.lit(phrase)) & text.rlike(rf"\b{phrase}\b")  # the search for bytes spares long texts the expression
         label = F.when(found, F.lit(name)).otherwise(label)
-    ranges = F.array().cast(RANGES)
-    for name, parts in TIME_OF_DAY.items():
-        ranges = F.when(label == name, F.array(*(F.struct(F.lit(a * HOUR).alias("s"), F.lit(b * HOUR).alias("e")) for a, b in parts))).otherwise(ranges)
-    return label, ranges
+    return label, ranges_of(label)
+
+
+def ranges_of(label: Column) -> Column:
+    """The ranges in seconds of a label; none for others."""
+    rows = [F.array(*(F.struct(F.lit(a * HOUR).alias("s"), F.lit(b * HOUR).alias("e")) for a, b in parts)) for parts in TIME_OF_DAY.values()]
+    known = F.map_from_arrays(F.array(*map(F.lit, TIME_OF_DAY)), F.array(*rows))
+    return F.coalesce(F.try_element_at(known, label), F.array().cast(RANGES))
 
 
 def relation(text: Column, at: Column, ranges: Column, relative: Column) -> Column:
@@ -144,8 +147,9 @@ def plan(queries: DataFrame, modalities: list[str] = MODALITIES, use_windows: bo
     q = queries.withColumn("_t", F.lower(F.coalesce("query_text", F.lit(""))))
     t = F.col("_t")
     days, how = allowed_days(t, F.col("query_date"))
-    label, ranges = time_of_day(t)
-    q = q.withColumn("_days", days).withColumn("_how", how).withColumn("_label", label).withColumn("_ranges", ranges)
+    label, _ = time_of_day(t)
+    q = q.withColumn("_days", days).withColumn("_how", how).withColumn("_label", label)
+    q = q.withColumn("_ranges", ranges_of(F.col("_label")))
     q = q.withColumn("_rel", relation(t, F.col("query_time_sec"), F.col("_ranges"), F.col("_how")))
     steps = [
         F.when(F.lit(rewrite_query), F.lit("rewrite_query")),
@@ -172,8 +176,70 @@ def plan(queries: DataFrame, modalities: list[str] = MODALITIES, use_windows: bo
     return q.select("qid", made.alias("plan"))
 
 
-def merge_plans(base: Column, override: Column) -> Column:
-    """A model's plan over the heuristic one, field by field; an empty modality list does not override."""
-    names = ["planner", "modalities", "allowed_days", "relative_day", "time_of_day", "time_ranges", "relation", "use_windows", "rewrite_query", "workflow"]
-    fields = [F.coalesce(F.when(F.size(override["modalities"]) > 0, override["modalities"]) if n == "modalities" else override[n], base[n]).alias(n) for n in names]
-    return F.when(override.isNull(), base).otherwise(F.struct(*fields))
+def normalised_days(days: Column) -> Column:
+    """``DAYn`` of each entry that names a day, once each, in order; null stays null."""
+    number = lambda d: F.regexp_extract(d, r"(?i)day\s*(\d+)", 1)
+    found = F.filter(F.transform(days, lambda d: F.coalesce(number(d), F.lit(""))), lambda n: n != "")
+    return F.array_distinct(F.transform(found, lambda n: F.concat(F.lit("DAY"), n.cast("int").cast("string"))))
+
+
+#: A model's plan as it comes, and the fields that a plan has.
+RAW_PLAN = f"""modalities array<string>, allowed_days array<string>, time_of_day string, time_ranges {RANGES}, relation string, use_windows boolean,
+rewrite_query boolean, workflow array<string>"""
+FIELDS = ["planner", "modalities", "allowed_days", "relative_day", "time_of_day", "time_ranges", "relation", "use_windows", "rewrite_query", "workflow"]
+
+
+def normalised_plan(raw: Column, modalities: list[str] = MODALITIES) -> Column:
+    """A model's plan (RAW_PLAN) with known modalities once each, day names, ranges in seconds, lower-case labels and steps that
+    aren't blank. Days and ranges that aren't given are [], and override; other fields that say nothing are null and don't."""
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    names = F.array_distinct(F.filter(F.transform(raw["modalities"], lambda m: F.lower(F.trim(m))), lambda m: m.isin(*modalities)))
+    steps = F.filter(F.transform(raw["workflow"], F.trim), lambda w: w != "")
+    made = F.struct(
+        F.lit("model").alias("planner"),
+        F.when(F.size(names) > 0, names).alias("modalities"),
+        F.coalesce(normalised_days(raw["allowed_days"]), strings()).alias("allowed_days"),
+        F.lit(None).cast("string").alias("relative_day"),
+        F.replace(F.lower(text(raw["time_of_day"])), F.lit(" "), F.lit("_")).alias("time_of_day"),
+        F.coalesce(scaled_ranges(raw["time_ranges"]), F.array().cast(RANGES)).alias("time_ranges"),
+        F.lower(text(raw["relation"])).alias("relation"),
+        raw["use_windows"].alias("use_windows"),
+        raw["rewrite_query"].alias("rewrite_query"),
+        F.when(F.size(steps) > 0, steps).alias("workflow"),
+    )
+    return F.when(raw.isNotNull(), made)
+
+
+def merged_plan(base: Column, override: Column) -> Column:
+    """A normalised plan over the heuristic one, field by field; a time of day without ranges gets its label's."""
+    fields = {n: F.coalesce(override[n], base[n]) for n in FIELDS}
+    fields["time_ranges"] = F.when((F.size(fields["time_ranges"]) <= 0) & fields["time_of_day"].isNotNull(), ranges_of(fields["time_of_day"])).otherwise(fields["time_ranges"])
+    return F.when(override.isNull(), base).otherwise(F.struct(*(c.alias(n) for n, c in fields.items())))
+
+
+def constraints(plan_: Column, text: Column, date: Column, at: Column) -> Column:
+    """query_date, query_time_sec, allowed_days, ranges and relation; null where neither a plan nor a date or time is known.
+
+    Days of the plan count even if they are []; only where the plan has none (null) the retriever infers them.
+    """
+    days = F.coalesce(plan_["allowed_days"], F.array_sort(retriever_days(F.lower(F.coalesce(text, F.lit(""))), date)), strings())
+    made = F.struct(
+        date.alias("query_date"),
+        at.alias("query_time_sec"),
+        days.alias("allowed_days"),
+        F.coalesce(plan_["time_ranges"], F.array().cast(RANGES)).alias("ranges"),
+        F.coalesce(plan_["relation"], F.lit("unrestricted")).alias("relation"),
+    )
+    return F.when(plan_.isNotNull() | date.isNotNull() | at.isNotNull(), made)
+
+
+def switches(plan_: Column, modalities: list[str] = MODALITIES, windows: bool = False, rewrite: bool = False) -> Column:
+    """What holds for one query: modalities (the plan's first), whether windows are used (never if the default is not to) and
+    whether the query is rewritten."""
+    known = strings(*modalities)
+    preferred = F.array_intersect(F.coalesce(plan_["modalities"], strings()), known)
+    return F.struct(
+        F.array_union(preferred, known).alias("modalities"),
+        (F.coalesce(plan_["use_windows"], F.lit(windows)) if windows else F.lit(False)).alias("use_windows"),
+        F.coalesce(plan_["rewrite_query"], F.lit(rewrite)).alias("rewrite_query"),
+    )

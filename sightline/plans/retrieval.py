@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, norm
+from ..operators.filters import keep_or_fall_back
 from ..operators.ranking import rrf, top_k
 
 
@@ -29,6 +30,20 @@ def top_videos(videos: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_k(rrf(ranked, ["qid", "video"]), ["qid"], [F.desc("score"), F.asc("video")], k, "video_rank")
 
 
+def planned_videos(videos: DataFrame, queries: DataFrame, plans: DataFrame, k: int) -> DataFrame:
+    """As :func:`top_videos` over videos (with ``day``) that each query's constraints (plans: qid, c) allow; all of them where none is."""
+    rows = scored(videos, queries, ["modality"]).join(plans.select("qid", "c"), "qid")
+    days = F.col("c.allowed_days")
+    kept = keep_or_fall_back(rows, ["qid"], (F.coalesce(F.size(days), F.lit(0)) <= 0) | F.array_contains(days, F.col("day")))
+    ranked = top_k(kept.drop("c"), ["qid", "modality"], [F.desc("score"), F.asc("video")], k)
+    return top_k(rrf(ranked, ["qid", "video"]), ["qid"], [F.desc("score"), F.asc("video")], k, "video_rank")
+
+
+def with_scores(rows: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with their ``score``, 0 where they have none."""
+    return rows.join(scores, keys, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def top_scenes(scenes: DataFrame, chosen: DataFrame, queries: DataFrame, k: int, on: tuple[str, ...] = ("video",)) -> DataFrame:
     """``qid, video, ord, score, rank``: the k best scenes of each query's chosen videos, or scenes (qid, *on, video_rank).
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.times import clip_parts, clip_start, day_label, stem
+from ..functions.times import clip_parts, clip_start, day_label, day_number, stem, time_seconds
+from ..operators.filters import with_target
 
 QUERY = """struct<query:string,template:string,slot_x:string,verb_x:string,raw_tags:array<string>,video_start_sec:double,video_end_sec:double,
 video_start_frame:int,video_end_frame:int,clip_start_sec:double,clip_end_sec:double>"""
@@ -56,10 +57,56 @@ def video_ids(nlq: DataFrame) -> DataFrame:
     return nlq.select(F.explode("videos").alias("v")).select("v.video_uid").where("coalesce(video_uid, '') <> ''")
 
 
+def day_qa(entries: DataFrame) -> DataFrame:
+    """Day-QA entries (DAY_QA) with ``id`` and false for flags that aren't given; fields of other languages are gone."""
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("need_audio", "need_name", "last_time")]
+    same = ["type", "trigger", "question", "choice_a", "choice_b", "choice_c", "choice_d", "answer", "keywords", "reason"]
+    return entries.select(F.col("ID").alias("id"), "query_time", "target_time", *flags, *same)
+
+
+def day_queries(annotations: DataFrame, videos: DataFrame, keep_named: bool = False) -> DataFrame:
+    """Annotations of :func:`day_qa` beside every video (video) whose name has the query's day, with ``query_sec`` and
+    ``target_sec``; without those that need a name, or whose target's time is missing or can't be read."""
+    rows = annotations if keep_named else annotations.where(~F.coalesce("need_name", F.lit(False)))
+    rows = rows.withColumn("query_sec", time_seconds(F.col("query_time.time"))).withColumn("target_sec", time_seconds(F.col("target_time.time")))
+    rows = rows.where(with_target(F.col("target_time.date"), F.col("target_time.time"), F.col("target_sec"))).withColumn("_day", day_number(F.col("query_time.date")))
+    return rows.join(videos.withColumn("_day", day_number(stem(F.col("video")))), "_day").drop("_day")
+
+
+def person_of(name: Column) -> Column:
+    """The second part of ``DAYx_An_...``."""
+    return F.nullif(F.split_part(stem(name), F.lit("_"), F.lit(2)), F.lit(""))
+
+
+def qa_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of all ``*QA_*.json`` files of a folder, with the person that the file's name says."""
+    rows = spark.read.schema(DAY_QA.replace("\n", "")).option("multiLine", True).option("pathGlobFilter", "*QA_*.json").json(folder)
+    return rows.withColumn("person", F.regexp_extract(stem(F.input_file_name()), r"QA_(.+)$", 1))
+
+
+def captions_of(clips: DataFrame, index: DataFrame) -> DataFrame:
+    """``clips`` (name, path) with ``caption``: by the clip's name, else by its file's, else empty."""
+    by_name, by_file = (index.select(F.col("key").alias(k), F.col("text").alias(t)) for k, t in (("_n", "_by_name"), ("_f", "_by_file")))
+    joined = clips.join(by_name, F.col("name") == F.col("_n"), "left").join(by_file, stem(F.col("path")) == F.col("_f"), "left")
+    return joined.withColumn("caption", F.coalesce("_by_name", "_by_file", F.lit(""))).drop("_n", "_f", "_by_name", "_by_file")
+
+
+def nlq_entry(row: Column) -> Column:
+    """A refactored query as an entry of the nested annotations, with the tags as they were given."""
+    blank = lambda c: F.coalesce(row[c], F.lit(""))
+    own = [row[c].alias(c) for c in ("clip_start_sec", "clip_end_sec", "video_start_sec", "video_end_sec", "video_start_frame", "video_end_frame", "query")]
+    optional = [F.nullif(row[c], F.lit("")).alias(c) for c in ("template", "slot_x", "verb_x")]
+    return F.struct(*own, *optional, F.array(blank("template"), row["query"], blank("slot_x"), blank("verb_x")).alias("raw_tags"))
+
+
 def caption_index(captions: DataFrame) -> DataFrame:
-    """``key, text``: the first answer of each entry under its id, its id without ``_en`` and its video's name; last wins."""
+    """``key, text``: the first answer of each entry under its id, its id without ``_en`` and its video's name.
+
+    Of entries with the same key the last wins: by file name, then place in the file (files are read whole, in order).
+    """
     said = F.filter("conversations", lambda c: (c["from"] == "gpt") & (F.coalesce(c["value"], F.lit("")) != ""))
-    rows = captions.withColumn("text", F.get(said, F.lit(0))["value"]).where("text IS NOT NULL").withColumn("seq", F.monotonically_increasing_id())
+    rows = captions.withColumn("seq", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n")) if "seq" not in captions.columns else F.col("seq"))
+    rows = rows.withColumn("text", F.get(said, F.lit(0))["value"]).where("text IS NOT NULL")
     keys = F.array_distinct(F.array_compact(F.array("id", F.regexp_replace("id", "_en$", ""), stem(F.col("video")))))
     return rows.select(F.explode(keys).alias("key"), "text", "seq").groupBy("key").agg(F.max_by("text", "seq").alias("text"))
 
@@ -79,14 +126,15 @@ def updated(rows: DataFrame, changes: DataFrame, keys: list[str], value: str, se
     return joined.withColumn("replaced", F.col("_new").isNotNull()).withColumn(value, F.coalesce("_new", value)).drop("_new")
 
 
-def first_of_each(parts: list[DataFrame], keys: list[str]) -> DataFrame:
-    """The union of the parts (columns may differ), of each key only the row of the first part that has it."""
+def first_of_each(parts: list[DataFrame], keys: list[str], seq: str) -> DataFrame:
+    """The union of the parts (columns may differ) with ``part``; of each key only its first row, by part and then ``seq``."""
     rows = None
     for n, part in enumerate(parts):
-        part = part.withColumn("_part", F.lit(n))
+        part = part.withColumn("part", F.lit(n))
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    best = rows.groupBy(*keys).agg(F.min("_part").alias("_part"))
-    return rows.join(best, [*keys, "_part"]).drop("_part")
+    best = rows.groupBy(*keys).agg(F.min(F.struct("part", seq)).alias("_first"))
+    first = rows.join(best, keys).where((F.col("part") == F.col("_first.part")) & (F.col(seq) == F.col(f"_first.{seq}")))
+    return first.drop("_first").dropDuplicates(keys)
 
 
 def write_json(rows: DataFrame, path: str) -> None:
@@ -97,6 +145,17 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").option("header", True).csv(path)
 
 
+def write_table(rows: DataFrame, folder: str, name: str) -> str:
+    """Writes a CSV table under a name that is free: ``name``, ``name_1``, ``name_2``; returns the path."""
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files, n = place.getFileSystem(spark._jsc.hadoopConfiguration()), 0
+    while files.exists(spark._jvm.org.apache.hadoop.fs.Path(path := f"{folder}/{name}" + (f"_{n}" if n else ""))):
+        n += 1
+    write_csv(rows, path)
+    return path
+
+
 def write_dataset(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Parquet without key frames, partitioned by ``by``."""
     rows.drop("keyframes").write.mode("errorifexists").partitionBy(*(by or [])).parquet(path)

@@ -25,11 +25,12 @@ def hashing_encoder(size: int = 64) -> Callable[[list[str]], np.ndarray]:
     return encode
 
 
-def with_vectors(rows: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray], name: str = "vec") -> DataFrame:
-    """Adds the encoder's vector of a text column; the encoder is set up once a worker."""
+def with_vectors(rows: DataFrame, text: str, factory: Callable[[], Callable[[list[str]], np.ndarray]], name: str = "vec") -> DataFrame:
+    """Adds the encoder's vector of a text column. The factory is sent to the workers, and makes the encoder once a task."""
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = factory()
         for batch in batches:
             yield pd.Series(list(encoder(batch.fillna("").tolist())))
 

@@ -12,11 +12,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(rows: DataFrame, key: str, id_col: str, width: int = 4096) -> DataFrame:
+    """``place``: each row's number from 0 within its key, by id. Rows are numbered within ranges of ids, whose sizes alone are
+    summed by key, so a key that holds most rows is spread over many tasks."""
+    ranged = rows.withColumn("_range", F.floor(F.col(id_col) / width))
+    sizes = ranged.groupBy(key, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(key, "_range", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(key, "_range").orderBy(id_col)) - 1
+    return ranged.withColumn("_inside", inside).join(offsets, [key, "_range"]).withColumn("place", F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+
+
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, video, ord, start, end, vec, a, b (null for every fifth), tags."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", double(F.col("embedding")).alias("vec"))
-    ord_ = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("ord")
-    s = e.select("vec_id", F.concat(F.lit("v"), F.col("label").cast("string")).alias("video"), ord_, "vec")
+    e = numbered(e, "label", "vec_id").withColumnRenamed("place", "ord")
+    s = e.select("vec_id", F.concat(F.lit("v"), F.col("label").cast("string")).alias("video"), F.col("ord").cast("int").alias("ord"), "vec")
     start = F.col("ord") * 10 + (F.col("vec_id") % 4) * 0.5
     tag = lambda n: F.concat(F.lit("t"), (F.col("vec_id") % n).cast("string"))
     return s.select(
@@ -32,8 +43,9 @@ def modal(rows: DataFrame) -> DataFrame:
     return long.withColumn("norm", norm(F.col("vec")))
 
 
-def queries_of(long: DataFrame, n: int = 20) -> DataFrame:
-    return long.where(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), "video", "ord", "modality", "vec", "norm")
+def queries_of(long: DataFrame, every: int = 20) -> DataFrame:
+    """The stated query set: rows whose id is divisible by ``every``."""
+    return long.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("qid"), "video", "ord", "modality", "vec", "norm")
 
 
 def clips(spark: SparkSession, sf_dir: str, kind: str = "view") -> DataFrame:
@@ -42,22 +54,3 @@ def clips(spark: SparkSession, sf_dir: str, kind: str = "view") -> DataFrame:
     at = F.hour("ts") * 3600.0 + F.minute("ts") * 60.0 + F.second("ts")
     day = F.concat(F.lit("DAY"), (1 + (F.dayofmonth("ts") - 1) % 7).cast("string"))
     return e.select("event_id", F.col("user_id").alias("person"), day.alias("day"), at.alias("at"), "value")
-
-
-def sentences(spark: SparkSession) -> DataFrame:
-    """Planner questions with their date and time."""
-    rows = [
-        (1, "Who was I talking to yesterday morning?", "DAY4", 54000.0, False),
-        (2, "What will I do this afternoon?", "DAY2", 32400.0, False),
-        (3, "Where did I leave my keys earlier today?", "DAY5", 61200.0, False),
-        (4, "What color was the cup on day 3 and day3 at lunch?", "DAY1", None, None),
-        (5, "What happened the day before?", "DAY1", 100.0, True),
-        (6, "Show the next day at dawn", "DAY7", 20000.0, False),
-        (7, "Which song did we hear any day late night", None, None, False),
-        (8, "anything", None, 5.0, None),
-        (9, "What did she say after lunch", "DAY6", 50000.0, False),
-        (10, "Before lunch, who called?", "day2", 50000.0, False),
-        (11, "", "DAY3", 0.0, False),
-        (12, "tonight or tomorrow night", "DAY3", 70000.0, False),
-    ]
-    return spark.createDataFrame(rows, "qid long, query_text string, query_date string, query_time_sec double, need_audio boolean")

@@ -2,8 +2,6 @@
 
 from sightline import catalogue
 
-from .oracle import DATA, same
-
 
 def test_plan_reads_the_whole_text(spark, tmp_path):
     filler = "plain filler words " * 40
@@ -13,9 +11,3 @@ def test_plan_reads_the_whole_text(spark, tmp_path):
     assert got[11] == ("DAY4", "yesterday", "evening", "audio,text,video")
     assert got[23] == ("DAY6", "explicit", "", "text,video,audio")
     assert got[35] == ("DAY1", "same_day", "", "audio,text,video") and got[47][1] == "same_day"
-
-
-def test_plan_equals_the_sql_over_uncut_texts(spark):
-    uncut = catalogue.SQL["plan_sentences"].replace("left(coalesce(text, ''), 400)", "coalesce(text, '')")
-    assert uncut != catalogue.SQL["plan_sentences"]
-    same(catalogue.plan_sentences(spark, DATA), uncut)
