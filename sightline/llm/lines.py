@@ -1,11 +1,14 @@
 """Fuzzy line deduplication by MinHash (operator 4, native).
 
-Each distinct line (trimmed) is a node. Its character shingles are exploded and hashed once; a MinHash sample is the
-smallest XOR of the hash with the sample's constant, so a partial aggregation by line keeps all samples in one pass of
-generated code. The samples form a square grid whose rows, columns and diagonals are the bands: each sample serves three
-bands, which gives a high recall from few samples. Lines that share a band are confirmed by the exact Jaccard similarity of
-their shingle sets, confirmed links are joined to components by distributed union-find (alternating stars), and one line of
-each stays.
+Each distinct line (trimmed) is a node. Its character shingles are exploded and hashed once; a MinHash sample is the least
+value of one multiplication of the hash by the sample's own constant, so a partial aggregation by line keeps all samples in
+one pass of generated code. The samples are the points of an affine plane and its lines are the bands: any two samples share
+one band and each serves several, which gives a high recall from few samples. Lines that share a band are confirmed by the
+exact Jaccard similarity of their shingle sets, confirmed links are joined to components by distributed union-find
+(alternating stars), and one line of each stays.
+
+Members of a bucket are held against its least node first. Of buckets that still hold several components, those with equal
+members count once, and members of different components meet in blocks of bounded size; pairs are never emitted.
 
 Only DataFrame functions are used. Nodes are 64-bit hashes of lines (among 1e11 different lines a few hundred would share one).
 """
@@ -18,31 +21,38 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, fresh, materialise
+from .common import bounded_broadcast, fresh, materialise, release
 from .components import components
 
 
+def _times(a: int, b: int) -> int:
+    """Multiplication in the field of four elements, whose addition is exclusive or."""
+    return 0 if not a or not b else (a + b - 2) % 3 + 1
+
+
 @dataclass(frozen=True)
 class Settings:
-    """Characters (UTF-16 units) in a shingle; the limit as numerator / denominator; side of the grid; rounds of new pivots."""
+    """Characters (UTF-16 units) in a shingle; the limit as numerator / denominator; members in a block.
 
-    chars: int = 10
+    A pair at 0.8 shares none of the 20 bands with probability 0.006, at 0.85 with 0.0006.
+    """
+
+    chars: int = 6
     num: int = 80
     den: int = 100
-    side: int = 4
-    pivots: int = 2
+    block: int = 128
 
     @property
-    def constants(self) -> list[int]:
+    def factors(self) -> list[int]:
+        """An odd constant of 31 bits for each sample."""
         rng = random.Random(4)
-        return [rng.getrandbits(64) - (1 << 63) for _ in range(self.side**2)]
+        return [rng.getrandbits(30) * 2 + 1 for _ in range(16)]
 
     @property
     def bands(self) -> list[list[int]]:
-        """The samples of each row, column and diagonal of the grid."""
-        n = range(self.side)
-        cell = lambda a, b: a % self.side * self.side + b % self.side
-        return [[cell(a, b) for b in n] for a in n] + [[cell(a, b) for a in n] for b in n] + [[cell(a, a + b) for a in n] for b in n]
+        """The lines y = m x + b and x = b of the plane over four elements, as numbers of their points 4 x + y."""
+        n = range(4)
+        return [[4 * x + (_times(m, x) ^ b) for x in n] for m in n for b in n] + [[4 * b + y for y in n] for b in n]
 
 
 def _line(text: Column) -> Column:
@@ -67,63 +77,76 @@ def _shingles(line: Column, s: Settings) -> Column:
     return F.get(F.transform(wide, lambda w: F.array_distinct(own(w))), F.lit(0))
 
 
-def _signatures(lines: DataFrame, s: Settings) -> DataFrame:
-    """(node, m0, m1, ...) of each distinct line."""
+def _keys(lines: DataFrame, s: Settings) -> DataFrame:
+    """(node, keys) of each distinct line."""
     wide = lines.select("node", F.encode("line", "UTF-16BE").alias("wide"))
     spots = wide.select("node", "wide", F.explode(_starts(F.length("wide") / 2, s)).alias("i"))
-    hashed = spots.select("node", F.xxhash64(F.substring("wide", 2 * F.col("i") + 1, F.lit(2 * s.chars))).alias("h"))
-    return hashed.groupBy("node").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(s.constants)))
-
-
-def _buckets(signatures: DataFrame, s: Settings) -> DataFrame:
-    """(key, node) of the band buckets with several nodes."""
-    keys = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{j}") for j in band)) for b, band in enumerate(s.bands)))
-    members = materialise(signatures.select("node", keys.alias("keys")), "keys").select("node", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").count().where("count > 1").select("key")
-    return materialise(members.join(shared, "key"), "buckets")
+    upper = F.shiftrightunsigned(F.xxhash64(F.substring("wide", 2 * F.col("i") + 1, F.lit(2 * s.chars))), 33)  # 31 bits: a product fits
+    hashed = spots.select("node", upper.alias("h"))
+    samples = hashed.groupBy("node").agg(*(F.min((F.col("h") * F.lit(c)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"m{j}") for j, c in enumerate(s.factors)))
+    return samples.select("node", F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{j}") for j in band)) for b, band in enumerate(s.bands))).alias("keys"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the limit. Lines travel as texts; their sets are made after the join."""
     x, y = (texts.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
     sets = F.array(F.struct(_shingles(F.col("line_a"), s).alias("a"), _shingles(F.col("line_b"), s).alias("b")))  # so each is made once
-    sizes = F.transform(sets, lambda p: F.struct(F.size(p["a"]).alias("a"), F.size(p["b"]).alias("b"), F.size(F.array_intersect(p["a"], p["b"])).alias("both")))
-    linked = F.exists(sizes, lambda n: s.den * n["both"] >= s.num * (n["a"] + n["b"] - n["both"]))
-    return pairs.join(x, "a").join(y, "b").where(linked).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").where(F.exists(sets, lambda p: _alike(F.size(p["a"]), p["a"], F.size(p["b"]), p["b"], s))).select("a", "b")
 
 
-def _placed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members (key, node, comp) of buckets that hold several components."""
-    placed = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    return placed.join(mixed, "key")
+def _alike(n: Column, x: Column, m: Column, y: Column, s: Settings) -> Column:
+    """Whether sets of sizes n and m reach the limit; sizes are compared first."""
+    return (s.den * F.least(n, m) >= s.num * F.greatest(n, m)) & ((s.den + s.num) * F.size(F.array_intersect(x, y)) >= s.num * (n + m))
 
 
-def line_labels(lines: DataFrame, s: Settings) -> DataFrame:
-    """``node, comp`` of all nodes of at least one link. ``lines`` has (node, line).
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (key, node, comp, m) of buckets with several components; of buckets with equal members only one."""
+    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    salt = lambda n: F.sum(F.pmod(F.xxhash64("node", F.lit(n)), F.lit(1 << 31))).alias(f"s{n}")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), salt(1), salt(2), salt(3), salt(4)).where("x < y")
+    return placed.join(mixed.groupBy("m", "s1", "s2", "s3", "s4").agg(F.min("key").alias("key")).select("key", "m"), "key")
+
+
+def _blocks(mixed: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """The links (a, b) between members of different components, found in pairs of blocks of at most about ``block`` members.
 
-    Rounds pair every member of a bucket with its pivot, the smallest by another hash each time, if their components differ.
-    What colliding pairs of different components are left after that are confirmed too.
+    Lines travel as texts, and each member's set is made once in a pair of blocks.
     """
-    buckets = _buckets(_signatures(lines, s), s)
-    nodes = materialise(buckets.select("node").distinct(), "nodes")
-    texts = materialise(lines.join(bounded_broadcast(nodes), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")), "lines")
-    links, labels = None, lines.sparkSession.createDataFrame([], "node long, comp long")
-    tested = None
-    for turn in range(s.pivots + 1):
-        placed = materialise(_placed(buckets, labels), "mixed")
-        if turn < s.pivots:
-            pivot = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")).alias("p"))
-            pairs = placed.join(pivot, "key").where("p.comp <> comp").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
-        else:
-            other = placed.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = placed.join(other, "key").where("node < b AND comp <> comp_b").select(F.col("node").alias("a"), "b")
-        pairs = pairs.distinct()
-        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = _confirmed(pairs, texts, s)
-        links = materialise(found if links is None else links.union(found), "links")
-        labels = components(links, "a", "b", local_edges=0)
+    chunks = F.ceil(F.col("m") / s.block)
+    dealt = mixed.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    dealt = dealt.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "comp").join(texts, "node")
+    met = dealt.groupBy("key", "i", "j").agg(F.collect_list(F.struct("chunk", "node", "comp", "line")).alias("m"))
+    with_sets = F.transform("m", lambda x: F.struct(x["chunk"].alias("chunk"), x["node"].alias("node"), x["comp"].alias("comp"), _shingles(x["line"], s).alias("set")))
+    apart = lambda x, y: (x["chunk"] <= y["chunk"]) & (x["comp"] != y["comp"]) & ((F.col("i") == F.col("j")) | (x["chunk"] < y["chunk"])) & ((x["chunk"] < y["chunk"]) | (x["node"] < y["node"]))
+    near = lambda m, x: F.filter(m, lambda y: apart(x, y) & _alike(F.size(x["set"]), x["set"], F.size(y["set"]), y["set"], s))
+    links = lambda m: F.flatten(F.transform(m, lambda x: F.transform(near(m, x), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    return met.select(F.inline(F.flatten(F.transform(F.array(with_sets), links)))).select("a", "b")
+
+
+def line_labels(lines: DataFrame, s: Settings) -> DataFrame:
+    """``node, comp`` of all nodes of at least one link. ``lines`` has (node, line)."""
+    keys = materialise(_keys(lines, s), "keys")
+    members = keys.select("node", F.explode("keys").alias("key"))
+    # A bucket of two is known by its least and greatest node; only larger ones need their members.
+    shared = materialise(members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).where("a < b"), "shared")
+    larger = materialise(members.join(bounded_broadcast(shared.where("n > 2").select("key", "a")), "key"), "members")
+    least = larger.where("node <> a").select("a", F.col("node").alias("b"))
+    first = materialise(shared.where("n = 2").select("a", "b").union(least).distinct(), "pairs")
+    release(keys, shared)
+
+    met = materialise(first.select(F.col("a").alias("node")).union(first.select("b")).distinct(), "met")
+    texts = lines.join(bounded_broadcast(met), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
+    texts = materialise(texts, "lines")
+    one = materialise(_confirmed(first, texts, s), "links")
+    labels = components(one, "a", "b", local_edges=0)
+
+    release(first, met)
+
+    rest = materialise(_mixed(larger.select("key", "node"), labels), "mixed")
+    some = texts.join(bounded_broadcast(materialise(rest.select("node").distinct(), "rest")), "node", "left_semi")
+    two = materialise(_blocks(rest, some, s).distinct(), "links")
+    labels = components(one.union(two), "a", "b", local_edges=0)
+    release(larger, texts, rest, one, two)
     return labels
 
 
@@ -136,16 +159,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     own = fresh(docs, id=id_col, text=text_col)
     lines = _lines(own)
+    places = materialise(lines.select("id", "pos", "node"), "places")
     labels = line_labels(lines.select("node", "line"), settings)
     where = F.struct(F.col("id").isNull().alias("none"), "id", "pos")
-    counts = materialise(lines.select("id", "pos", "node").groupBy("node").agg(F.count("*").alias("n"), F.min(where).alias("first")), "counts")
+    counts = places.groupBy("node").agg(F.count("*").alias("n"), F.min(where).alias("first"))
     sizes = counts.join(labels, "node", "left").select("node", "n", "first", F.coalesce("comp", "node").alias("component"))
     sizes = materialise(sizes, "sizes")
     totals = sizes.groupBy("component").agg(F.sum("n").alias("n_members"), F.min("first").alias("keep")).where("n_members > 1")
     known = materialise(sizes.select("node", "component").join(totals, "component"), "known")
     return (
-        lines.select("id", "pos", "node")
-        .join(bounded_broadcast(known), "node")
+        places.join(bounded_broadcast(known), "node")
         .select(
             F.col("id").alias(id_col),
             F.col("pos").cast("long").alias("line"),

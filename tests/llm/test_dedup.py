@@ -162,6 +162,65 @@ def test_lines(spark, edges, empty):
     assert lines.line_dedup(empty).count() == 0
 
 
+def line_shingles(text, k):
+    raw = text.encode("utf-16-be")
+    return {raw[2 * i : 2 * (i + k)] for i in range(max(1, len(raw) // 2 - k + 1))}
+
+
+def line_links(texts, s):
+    sets = [line_shingles(t, s.chars) for t in texts]
+    return {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if s.den * len(sets[a] & sets[b]) >= s.num * len(sets[a] | sets[b])}
+
+
+def test_bands_are_the_lines_of_a_plane():
+    bands = lines.Settings().bands
+    assert len(bands) == 20 and all(len(set(b)) == 4 for b in bands)
+    assert all(sum({x, y} <= set(b) for b in bands) == 1 for x in range(16) for y in range(x))
+
+
+@pytest.mark.parametrize("size", [40, 80, 300])
+def test_recall_of_similar_lines(spark, size):
+    """Pairs at 0.80 to 0.95 by brute force, one or two characters or words apart: nearly all meet, and none below the limit."""
+    rng, s = random.Random(size), lines.Settings()
+    texts = []
+    while len(texts) < 1200:
+        a = prose(rng.randrange(10**9), 80)[:size].strip()
+        b = list(a)
+        for _ in range(rng.choice([1, 1, 2, 3, 5]) if size > 60 else 1):
+            at = rng.randrange(len(b)) if size > 60 else rng.choice([0, len(b) - 1, 1])
+            b[at] = rng.choice("zqxjk")
+        texts += [a, "".join(b).strip()]
+    known = {k for k in range(0, 1200, 2) if texts[k] != texts[k + 1] and len(line_links(texts[k : k + 2], s))}
+    got = lines.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    pairs = {r.keep_doc_id for r in got if not r.kept and r.doc_id == r.keep_doc_id + 1 and r.keep_doc_id % 2 == 0 and texts[r.doc_id] != texts[r.keep_doc_id]}
+    assert pairs <= known and len(pairs) >= 0.985 * len(known) and len(known) > 100
+
+
+@pytest.mark.parametrize("block", [4, 128])
+def test_a_family_of_lines(spark, block):
+    """Lines of one family, many just below the limit, some links across: the same components as by brute force."""
+    rng, s = random.Random(3), lines.Settings(block=block)
+    words = prose(50, 40).split()
+    texts = set()
+    while len(texts) < 90:
+        w = list(words)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+        texts.add(" ".join(w))
+    texts = sorted(texts)
+    got = lines.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), settings=s).collect()
+    roots = find_roots(line_links(texts, s), range(len(texts)))
+    known = {i: r for i, r in roots.items() if sum(x == r for x in roots.values()) > 1}
+    found = {r.doc_id: r.keep_doc_id for r in got}
+    assert sum(found.get(i) == r for i, r in known.items()) >= 0.98 * len(known) and set(found) <= set(known)
+
+
+def test_repeated_lines_and_ties(spark):
+    rows = [(2, "same words here\nsame words here"), (2, "same words here"), (None, "same words here"), (1, "other\n  same words here")]
+    got = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 5 and {(r.keep_doc_id, r.keep_line, r.n_members) for r in got} == {(1, 1, 5)} and sum(r.kept for r in got) == 1
+
+
 def test_no_python_in_native_plans(spark, documents):
     from sightline.llm import quality, secrets
 
