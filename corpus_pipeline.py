@@ -1,6 +1,10 @@
 """A corpus pipeline: quality rules, exact and near deduplication, mixing, SentencePiece encoding.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``, whatever
+they are called. Null texts count as empty: the quality rules reject them, and empty texts that reach a later stage are one
+set of equal texts, are linked with nothing as near copies, are drawn as others of their cell and have no pieces. Null ids and
+sources are values like others (ids sort last). Rows that repeat id and text are one document after exact dedup. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
