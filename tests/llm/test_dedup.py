@@ -249,6 +249,18 @@ def test_pipeline(spark):
 
 
 def test_pipeline_of_edges(spark, edges, empty):
+    """Nulls, blank and very long texts, copies, repeated rows and clashing column names, stage by stage."""
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DATA).count() == 0
-        stage(spark, edges.select("doc_id", "text", "lang", "source", "n_chars"), DATA).count()
+    kept = {name: [(r.doc_id, r.text) for r in stage(spark, edges, DATA).collect()] for name, stage in corpus_pipeline.STAGES[:-1]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, edges, DATA).columns == edges.columns, name
+    rows = [(r[0], r[1]) for r in edge_rows()]
+    assert all(set(found) <= set(rows) for found in kept.values())
+    assert all((t or "").split() for _, t in kept["quality rules"])
+    assert len(kept["exact dedup"]) == len({"".join((t or "").split()) for _, t in rows})
+    near_kept = kept["near dedup"]
+    assert sum(1 for _, t in near_kept if not (t or "").split()) == 3 and sum(1 for _, t in near_kept if t == prose(1)) == 1
+    assert 0 < len(kept["source mixing"]) <= len(rows)
+    last = corpus_pipeline.STAGES[-1][1](spark, edges, DATA).collect()
+    assert len(last) == len(rows) and all(r.round_trip for r in last) and sum(r.n_pieces == 0 for r in last) == 2
