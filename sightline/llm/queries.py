@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bytebpe import token_digest
 from .exact_dedup import exact_dedup
 from .licenses import license_scan
 from .lines import line_dedup
@@ -13,9 +14,11 @@ from .mixing import Settings as MixSettings, mix_report
 from .near_dup import Settings, near_dup
 from .paragraphs import paragraph_dedup
 from .quality import quality_rules
+from .runs import run_digest
 from .secrets import ACCESS, ALLOWED, ASSIGN, CANDIDATE, CLASSES, DIGITS, HEX, WINDOW, secret_digest
 from .sentencepieces import pieces_and_back
 from .substrings import substring_digest
+from .variants import LOWER, UPPER, spelling_variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +65,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sentencepiece, op2_license_scan, op3_source_mixing, op4_line_dedup, op5_paragraph_dedup, op6_exact_dedup, op7_minhash_near_dup, op8_suffix_dedup, op9_secret_scan, op10_quality_rules)
+    found = (op1_sentencepiece, op2_license_scan, op3_source_mixing, op4_line_dedup, op5_paragraph_dedup, op6_exact_dedup, op7_minhash_near_dup, op8_suffix_dedup, op9_secret_scan, op10_quality_rules, op11_byte_bpe, op12_periodic_runs, op13_spelling_variants)
     return {f.__name__: f for f in found}
 
 
@@ -197,5 +212,52 @@ FROM e JOIN r ON e.source IS NOT DISTINCT FROM r.source
 """
 
 
+def _crc32_sql(text: str) -> str:
+    """The unsigned crc32 of a string's UTF-8 bytes, bit by bit."""
+    bytes_ = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: {bits}), 4294967295::BIGINT)"
+
+
+OP12_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
+), h AS (SELECT *, len(words) AS n, {_crc32_sql("doc_id::VARCHAR")} AS h FROM d
+), a AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM h
+), p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a
+), w AS MATERIALIZED (SELECT rid, n, i, words[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS word FROM p, unnest(range(n)) AS r(i)
+), e AS (SELECT x.rid, y.i - x.i AS q, x.i FROM w AS x JOIN w AS y ON x.rid = y.rid AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), s AS (SELECT rid, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS part FROM e) GROUP BY rid, q, part HAVING count(*) + q >= greatest(6, 4 * q)
+), r AS MATERIALIZED (
+  SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s AS o WHERE o.rid = s.rid AND o.q < s.q AND o.start <= s.start AND o.start + o.length >= s.start + s.length)
+), k AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS collapsed FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.rid = w.rid AND w.i >= r.start + q AND w.i < r.start + r.length) GROUP BY rid
+), t AS (
+  SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS listed, first([start, length, q] ORDER BY length DESC, start, q) AS longest FROM r GROUP BY rid
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, longest[1]::BIGINT AS start, longest[2]::BIGINT AS length, longest[3]::BIGINT AS period, (1000 * longest[2] // longest[3])::BIGINT AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (rid) LEFT JOIN k USING (rid)
+"""
+
+OP13_SQL = f"""
+WITH RECURSIVE o AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-zÀ-ÿ]+')) AS word FROM documents
+), c AS (SELECT word, count(*) AS k, id || ':' || word AS place FROM o WHERE length(word) >= 5 GROUP BY id, word
+), h AS (SELECT word, k, {_crc32_sql("place")} AS h FROM c
+), g AS (SELECT k, CASE WHEN h % 97 = 0 THEN substr(word, 1, h % length(word)) || substr(word, h % length(word) + 2) ELSE word END AS word FROM h
+), v AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM g WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), less AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM v, unnest(range(1, length(word) + 1)) AS r(i)
+), pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM less AS a JOIN less AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, v.word, v.n FROM less AS a JOIN v ON a.rest = v.word
+  UNION SELECT v.word, a.word, a.n FROM less AS a JOIN v ON a.rest = v.word
+), b AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS best, max(near_n) AS best_n FROM pairs GROUP BY word
+), f AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * v.n THEN best END AS form, CASE WHEN best_n >= 2 * v.n THEN best_n END AS form_n FROM v LEFT JOIN b USING (word)
+), up AS (SELECT word, word AS root FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM f JOIN up USING (word) JOIN f AS last ON last.word = up.root WHERE last.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": _mixing_sql(), "op6_exact_dedup": OP6_SQL, "op9_secret_scan": OP9_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op3_source_mixing": _mixing_sql(), "op6_exact_dedup": OP6_SQL, "op9_secret_scan": OP9_SQL, "op10_quality_rules": OP10_SQL, "op12_periodic_runs": OP12_SQL, "op13_spelling_variants": OP13_SQL}
