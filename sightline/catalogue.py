@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import texts, times, vectors
-from .operators import filters, intervals, metrics, pooling, ranking, tagging
+from .operators import changes, clusters, filters, intervals, metrics, pooling, ranking, tagging, vector_index
 from .plans import planner, retrieval
-from .sources import annotations, views
+from .sources import annotations, tables, views
 from .sources.views import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,29 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", "item", F.col("rank").cast("long"), F.round("score", 6).alias("score"))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> tuple[vector_index.Index, DataFrame]:
+    """An index of all vectors, and the stated queries: the rows whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings")
+    built = vector_index.build(rows, "vec_id", "embedding", tables.new_folder(spark, "index"))
+    return built, rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+
+
+@query()
+def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of each query by the index, from the lists nearest to it."""
+    found = vector_index.search(*_index(spark, sf_dir), 10)
+    return found.select("qid", "item", F.col("rank").cast("long"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {SCENES}, r AS (
+  SELECT q.vec_id AS qid, i.vec_id AS item, {cos_sql("i.vec", "q.vec")} AS score FROM scenes q, scenes i WHERE q.vec_id % 20 = 0
+) SELECT qid, item, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item) AS rank, round(score, 6) AS score FROM r QUALIFY rank <= 10""")
+def ivf_search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``cosine_topk``, by the index's bounds."""
+    found = vector_index.search(*_index(spark, sf_dir), 10, exact=True)
+    return found.select("qid", "item", F.col("rank").cast("long"), F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {PAIRS} SELECT qid, item, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM lists GROUP BY ALL")
 def rrf_two_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rrf(lists(spark, sf_dir), ["qid", "item"])
@@ -673,17 +696,61 @@ def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, round(v, 6), round(sum(found[: i + 1]), 6)) for i, v in enumerate(found)], "component int, explained double, cumulative double")
 
 
-@query()
+def _kmeans_sql(per: int, most: int, rounds: int) -> str:
+    """The rounds of grouped k-means, unrolled."""
+    away = "list_transform(centres, lambda c: round(pow(list_distance(vec, c), 2), 9)) AS ds"
+    steps = [f"""r AS (SELECT video AS grp, vec_id AS id, vec FROM scenes
+), s1 AS MATERIALIZED (SELECT grp, least(count(*) // {per} + 1, {most}) AS k, [arg_min(vec, id)] AS centres FROM r GROUP BY grp)"""]
+    for k in range(2, most + 1):
+        steps.append(f"""s{k} AS MATERIALIZED (SELECT s.grp, s.k, CASE WHEN s.k < {k} OR x.v IS NULL THEN s.centres ELSE list_append(s.centres, x.v) END AS centres
+  FROM s{k - 1} AS s LEFT JOIN (SELECT grp, first(vec ORDER BY list_min(ds) DESC, id) AS v FROM (SELECT r.grp, id, vec, {away} FROM r JOIN s{k - 1} USING (grp)) WHERE list_min(ds) > 0 GROUP BY grp) AS x USING (grp))""")
+    before = f"s{most}"
+    placed = "SELECT grp, id, vec, list_min(ds) AS d, list_position(ds, list_min(ds)) - 1 AS cluster FROM (SELECT r.grp, id, vec, {away} FROM r JOIN {before} USING (grp))"
+    for n in range(rounds):
+        steps.append(f"""m{n} AS (SELECT grp, cluster, list(m ORDER BY q) AS mean FROM (SELECT grp, cluster, q, round(avg(x), 9) AS m FROM (SELECT grp, cluster, unnest(vec) AS x, unnest(range(len(vec))) AS q
+  FROM ({placed.format(away=away, before=before)})) GROUP BY ALL) GROUP BY grp, cluster
+), c{n} AS MATERIALIZED (SELECT c.grp, list(coalesce(m.mean, c.c) ORDER BY c.cluster) AS centres FROM (SELECT grp, unnest(centres) AS c, unnest(range(len(centres))) AS cluster FROM {before}) AS c LEFT JOIN m{n} AS m USING (grp, cluster) GROUP BY c.grp)""")
+        before = f"c{n}"
+    return f"WITH {SCENES}, {', '.join(steps)} SELECT grp AS video, cluster::INT AS cluster, first(id ORDER BY d, id) AS medoid, count(*) AS n FROM ({placed.format(away=away, before=before)}) GROUP BY grp, cluster"
+
+
+@query(_kmeans_sql(8, 8, 5))
 def kmeans_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = views.scenes(spark, sf_dir).select("vec_id", "vec", array_to_vector("vec").alias("features"))
-    model = KMeans(k=8, seed=7, maxIter=20).fit(rows)
-    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "prediction int, c array<double>")
-    near = model.transform(rows).join(F.broadcast(centres), "prediction")  # eight centres
-    distance = F.aggregate(F.zip_with("vec", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    return near.groupBy("prediction").agg(F.min_by("vec_id", F.struct(distance, "vec_id")).alias("medoid"), F.count("*").alias("n"))
+    """Key frames: the scene nearest to the centre of each of a video's clusters, one cluster for every eight scenes begun."""
+    rows = views.scenes(spark, sf_dir).select("video", "vec_id", "vec")
+    return clusters.medoids(clusters.grouped_kmeans(rows, "video", "vec_id", "vec", rounds=5), "video", "vec_id")
+
+
+CUTS = changes.Settings(penalty=0.95, least=2, most=8)
+
+
+@query(f"""WITH RECURSIVE {SCENES}, n AS (SELECT video, count(*) AS n FROM scenes GROUP BY video
+), sums AS MATERIALIZED (
+  SELECT video, ord + 1 AS t, list(p ORDER BY q) AS p, any_value(s) AS s FROM (
+    SELECT video, ord, q, sum(x) OVER (PARTITION BY video, q ORDER BY ord) AS p, sum(y) OVER (PARTITION BY video, q ORDER BY ord) AS s
+    FROM (SELECT video, ord, list_inner_product(vec, vec) AS y, unnest(vec) AS x, unnest(range(len(vec))) AS q FROM scenes)) GROUP BY ALL
+  UNION ALL SELECT video, 0, list_transform(range(64), lambda x: 0.0::DOUBLE), 0 FROM n
+), costs AS MATERIALIZED (
+  SELECT a.video, a.t AS s, b.t AS t, round(b.s - a.s - pow(list_distance(a.p, b.p), 2) / (b.t - a.t), 9) + {CUTS.penalty} AS cost
+  FROM sums AS a JOIN sums AS b ON a.video = b.video AND b.t - a.t BETWEEN {CUTS.least} AND {CUTS.most}
+), dp AS (
+  SELECT video, 0::BIGINT AS t, [0.0::DOUBLE] AS f, [-1::BIGINT] AS b FROM n
+  UNION ALL
+  SELECT d.video, d.t + 1, list_append(any_value(d.f), coalesce(min(d.f[c.s + 1] + c.cost), 'inf'::DOUBLE)), list_append(any_value(d.b), first(c.s ORDER BY d.f[c.s + 1] + c.cost, c.s))
+  FROM dp AS d JOIN n ON n.video = d.video AND d.t < n.n LEFT JOIN costs AS c ON c.video = d.video AND c.t = d.t + 1 GROUP BY d.video, d.t
+), ends AS MATERIALIZED (SELECT dp.video, n, b FROM dp JOIN n ON n.video = dp.video AND n.n = dp.t
+), walk AS (
+  SELECT video, CASE WHEN n < {CUTS.least} THEN 0 ELSE b[n + 1] END AS first, n AS after FROM ends
+  UNION ALL SELECT w.video, e.b[w.first + 1], w.first FROM walk AS w JOIN ends AS e USING (video) WHERE w.first > 0
+), w AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY first) - 1 AS scene FROM walk)
+SELECT w.video, scene, first, after, min(s.start) AS start, max(s."end") AS "end" FROM w JOIN scenes AS s ON s.video = w.video AND s.ord >= first AND s.ord < after GROUP BY ALL""")
+def content_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes of like vectors in each video, with their times."""
+    rows = tables.written(views.scenes(spark, sf_dir).select("video", F.col("ord").alias("place"), "vec", "start", "end"), "scenes")
+    cuts = changes.content_scenes(rows, CUTS)
+    places = cuts.withColumn("place", F.explode(F.sequence("first", F.col("after") - 1)))
+    timed = places.join(rows.select("video", F.col("place").cast("long").alias("place"), "start", "end"), ["video", "place"])
+    return timed.groupBy("video", "scene", "first", "after").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 # ---- abilities of the host engine
@@ -711,4 +778,4 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(rows).select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
-from . import chain  # noqa: E402,F401  registers its queries, too
+from . import chain, flows  # noqa: E402,F401  they register their queries, too

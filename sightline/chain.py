@@ -12,8 +12,8 @@ from . import catalogue as c
 from .catalogue import ASOF, CENTROIDS, MODAL, SCENES, WINDOWS, clips_sql, query
 from .functions import frames, texts, times, vectors
 from .operators import filters, intervals, metrics, pooling, ranking, scenes, tagging
-from .plans import planner, retrieval
-from .sources import annotations, views
+from .plans import planner, retrieval, search
+from .sources import annotations, tables, views
 from .sources.views import table
 
 ARRAY = "array<string>"
@@ -367,6 +367,63 @@ def plan_then_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(plans, "qid").select("qid", "video", "score", "c.relation", F.array_join("s.modalities", ",").alias("modalities"), ranges.alias("ranges"), F.col("video_rank").cast("long").alias("rank"))
 
 
+TAGGED = "CASE WHEN qid % 40 = 0 THEN ['t1', 't2'] ELSE []::VARCHAR[] END"
+
+
+@query(f"""WITH plans AS ({c.planner_sql(PLANNED.format(ends=ENDS_SQL))}), asked AS ({PLANNED.format(ends=ENDS_SQL)}), p AS (
+  SELECT qid, qid % 60 = 0 AS win, {TAGGED} AS wanted, asked.d AS date, asked.s AS "at",
+         CASE WHEN qid % 60 = 0 THEN ['DAY2', 'DAY3'] WHEN days = '' THEN []::VARCHAR[] ELSE string_split(days, ',') END AS days, CASE WHEN qid % 60 = 0 THEN 'unrestricted' ELSE relation END AS relation,
+         list_transform(string_split(CASE WHEN qid % 60 = 0 THEN '18000-43200' ELSE nullif(ranges, '') END, ';'), lambda x: [split_part(x, '-', 1)::DOUBLE, split_part(x, '-', 2)::DOUBLE]) AS rng
+  FROM plans JOIN asked USING (qid)
+), {MODAL}, v AS (SELECT DISTINCT video, 'DAY' || (1 + substr(video, 2)::INT % 7) AS day, CASE WHEN video <> 'v9' THEN substr(video, 2)::INT * 8640.0::DOUBLE END AS start, ['T' || (substr(video, 2)::INT % 3)] AS tags FROM scenes
+), pairs AS (
+  SELECT qid, video, len(days) = 0 OR list_contains(days, day) AS dated,
+         start IS NULL OR ((rng IS NULL OR len(list_filter(rng, lambda x: start + 30 >= x[1] AND start <= x[2])) > 0) AND NOT (relation = 'before_query_time' AND "at" > 0 AND start > "at") AND NOT (relation = 'after_query_time' AND "at" > 0 AND start + 30 < "at")) AS timed
+  FROM p, v WHERE len(wanted) = 0 OR list_has_any(list_transform(tags, lambda x: lower(x)), wanted)
+), c1 AS (SELECT * FROM pairs QUALIFY dated OR count(*) FILTER (dated) OVER (PARTITION BY qid) = 0
+), c2 AS (SELECT * FROM c1 QUALIFY timed OR count(*) FILTER (timed) OVER (PARTITION BY qid) = 0
+), means AS ({c.mean_sql("modal", "video, modality")}), vscore AS (SELECT qid, modality, video, {c.cos_sql("vec", "q_vec")} AS score FROM means JOIN c2 USING (video) JOIN qs USING (qid, modality)
+), vlist AS ({c.top_sql("vscore", "qid, modality", "score DESC, video", 3)}), vfused AS (SELECT qid, video, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM vlist GROUP BY ALL
+), chosen AS ({c.top_sql("vfused", "qid", "score DESC, video", 3, "video_rank")}), {WINDOWS}, inwin AS (SELECT w.video, w."window", s.* EXCLUDE (video) FROM windows AS w JOIN scenes AS s ON s.video = w.video AND s.ord >= w.first AND s.ord < w.first + w.n_scenes
+), wvec AS ({c.mean_sql("(SELECT i.video, i." + chr(34) + "window" + chr(34) + ", m.modality, m.vec FROM inwin AS i JOIN modal AS m ON m.vec_id = i.vec_id)", 'video, "window", modality')}
+), wmeta AS (SELECT video, "window", coalesce(any_value(v.start), 0) + min(inwin.start) AS s, coalesce(any_value(v.start), 0) + max(inwin."end") AS e, any_value(day) AS day, list_distinct(flatten(list(inwin.tags))) AS tags FROM inwin JOIN v USING (video) GROUP BY ALL
+), wscore AS (
+  SELECT qid, modality, video, "window", video_rank, {c.cos_sql("vec", "q_vec")} AS score FROM wvec JOIN wmeta USING (video, "window") JOIN chosen USING (video) JOIN p USING (qid) JOIN qs USING (qid, modality)
+  WHERE win AND (len(days) = 0 OR list_contains(days, day)) AND (rng IS NULL OR len(list_filter(rng, lambda x: e >= x[1] AND s <= x[2])) > 0)
+    AND (coalesce("at", 0) <= 0 OR day <> coalesce(date, '') OR ((relation <> 'before_query_time' OR s <= "at") AND (relation <> 'after_query_time' OR e >= "at"))) AND (len(wanted) = 0 OR list_has_any(tags, wanted))
+), wlist AS ({c.top_sql("wscore", "qid, video, modality", 'score DESC, "window"', 4)}), wfused AS (SELECT qid, video, video_rank, "window", round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM wlist GROUP BY ALL
+), wtop AS ({c.top_sql("wfused", "qid", 'score DESC, video_rank, "window"', 4)}
+), inside AS (
+  SELECT DISTINCT qid, video, video_rank, ord, 'windows' AS "by" FROM wtop JOIN inwin USING (video, "window") UNION ALL
+  SELECT qid, video, video_rank, ord, 'videos' FROM chosen JOIN scenes USING (video) WHERE qid NOT IN (SELECT qid FROM wtop)
+), allowed AS (SELECT i.* FROM inside AS i JOIN scenes AS s USING (video, ord) JOIN p USING (qid) WHERE len(wanted) = 0 OR list_has_any(s.tags, wanted)
+), found AS ({c.scenes_sql("allowed", "video, ord").replace("sscore AS", "WITH sscore AS", 1)})
+SELECT f.*, "by" FROM found AS f JOIN (SELECT DISTINCT qid, "by" FROM allowed) AS a USING (qid)""")
+def planned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes under each query's plan: tags, days, times and relation decide which videos, windows and scenes count."""
+    i, n = F.col("qid"), F.substring("video", 2, 9).cast("int")
+    rows = tables.written(views.scenes(spark, sf_dir), "scenes")
+    long = views.modal(rows)
+    wanted = views.queries_of(long).drop("video", "ord")
+    asked = wanted.select("qid").distinct().select("qid", F.concat(F.lit("Q"), F.element_at(F.array(*map(F.lit, c.ENDS)), (F.floor(i / 20) % 12 + 1).cast("int"))).alias("query_text"), F.when(i % 100 != 0, text("DAY", 1 + i % 7)).alias("query_date"), ((i * 977) % 86400).cast("double").alias("query_time_sec"), (i % 3 == 0).alias("need_audio"))
+    raw = F.from_json(F.when(i % 60 == 0, F.lit('{"allowed_days": ["day 2", "DAY3"], "relation": "unrestricted", "time_of_day": "Morning", "use_windows": true}')), planner.RAW_PLAN.replace("\n", ""))
+    plans = planner.plan(asked).join(asked, "qid").withColumn("plan", planner.merged_plan(F.col("plan"), planner.normalised_plan(raw)))
+    tags = F.when(i % 40 == 0, F.array(F.lit("t1"), F.lit("T2"))).otherwise(F.array().cast(ARRAY))
+    plans = tables.written(plans.select("qid", planner.constraints(F.col("plan"), F.col("query_text"), F.col("query_date"), F.col("query_time_sec")).alias("c"), planner.switches(F.col("plan"), ["a", "b"], windows=True).alias("s"), tags.alias("tags")), "plans")
+    start = F.when(F.col("video") != "v9", n * 8640.0)
+    about = lambda r: r.withColumn("day", text("DAY", 1 + n % 7))
+    pooled = pooling.mean_vectors(long, ["video", "modality"]).groupBy("video").agg(F.collect_list(F.struct("modality", "vec")).alias("vecs"))  # a row a modality
+    videos = about(pooled).withColumn("start", start).withColumn("tags", F.array(text("T", n % 3)))
+    made = intervals.scene_windows(rows)
+    places = made.withColumn("ord", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n_scenes") - 1))).select("video", "window", "ord")
+    members = places.join(rows.select("video", "ord", "start", "end", "tags"), ["video", "ord"])
+    met = members.groupBy("video", "window").agg(F.min("start").alias("s"), F.max("end").alias("e"), F.array_distinct(F.flatten(F.collect_list("tags"))).alias("tags"))  # three scenes a window
+    windows = retrieval.with_norm(pooling.mean_vectors(places.join(long, ["video", "ord"]), ["video", "window", "modality"])).join(met, ["video", "window"])
+    windows = about(windows).withColumn("start", F.coalesce(start, F.lit(0.0)) + F.col("s")).withColumn("end", F.coalesce(start, F.lit(0.0)) + F.col("e")).drop("s", "e")
+    found = search.planned_search(videos, windows, places, long.join(rows.select("video", "ord", "tags"), ["video", "ord"]).drop("vec_id"), wanted, plans, 3, 4, 5)
+    return found.select("qid", "video", F.col("ord").cast("long"), "score", F.col("rank").cast("long"), "by")
+
+
 @query(f"""WITH {ASOF}, t AS (SELECT person, day, "at" AS start, min(event_id) AS clip FROM clips GROUP BY ALL) SELECT event_id, CASE WHEN clip % 2 = 0 THEN 'seen ' || clip ELSE '' END AS context FROM found LEFT JOIN t USING (person, day, start)""")
 def visual_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = views.clips(spark, sf_dir).groupBy("person", "day", F.col("at").alias("start")).agg(F.min("event_id").alias("clip"))

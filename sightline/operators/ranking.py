@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,43 +46,52 @@ def _best(values: np.ndarray, item: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return row[kept], column[kept]
 
 
-#: Queries scored in one pass over the items: 64 components of them take 10 MB, and are sent to each executor once.
-QUERIES_A_PASS = 20_000
+#: Items and queries of a block: with 64 components, some 10 MB a side.
+ITEMS_A_BLOCK, QUERIES_A_BLOCK = 16_384, 16_384
+
+
+def _unit_rows(column) -> np.ndarray:
+    import pyarrow as pa
+
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    vectors = whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), -1)
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-8)
+
+
+def _score_blocks(k: int, step: int):
+    def run(items, queries):
+        import pyarrow as pa
+
+        out = []
+        if items.num_rows and queries.num_rows:
+            item, vectors = items.column("item").to_numpy(), _unit_rows(items.column("vec"))
+            ids, matrix = queries.column("qid").to_numpy(), _unit_rows(queries.column("vec"))
+            for a in range(0, len(ids), step):
+                values = np.round(matrix[a : a + step] @ vectors.T, 12)
+                row, column = _best(values, item, k)
+                out.append((ids[a + row], item[column], values[row, column]))
+        joined = [np.concatenate(x) for x in zip(*out)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table([pa.array(x) for x in joined], names=["qid", "item", "score"])
+
+    return run
 
 
-def block_top_k(items: DataFrame, queries: DataFrame, k: int, id_col: str = "item", vec_col: str = "vec", block: int = 256) -> DataFrame:
+def block_top_k(items: DataFrame, queries: DataFrame, k: int, id_col: str = "item", vec_col: str = "vec", block: int = 256, item_block: int = ITEMS_A_BLOCK, query_block: int = QUERIES_A_BLOCK) -> DataFrame:
     """``qid, item, rank, score`` of the k items most similar by cosine to each query.
 
-    ``queries`` (qid, vec) is a stated query set. It is taken in passes of ``QUERIES_A_PASS``; a pass broadcasts its queries,
-    scores blocks of them against batches of items by matrix products, and shuffles only the k best a batch and query.
+    ``queries`` (qid, vec) is a stated query set of any size. Items and queries are dealt into blocks by a hash of their ids; each
+    block of queries meets each block of items in one task, as matrix products, and the k best of each query and block of items
+    are shuffled on. Only the numbers of rows reach the driver. Rows without an id or a vector are left out.
     """
-    spark = items.sparkSession
-    wanted = queries.where(F.col("qid").isNotNull() & F.col("vec").isNotNull()).select(F.col("qid").cast("long").alias("qid"), "vec")
-    passes = max(1, -(-wanted.count() // QUERIES_A_PASS))
-    rows = None
-    for n in range(passes):
-        part = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == n)
-        asked = part.collect()  # one pass: about QUERIES_A_PASS rows
-        matrix = np.array([r[1] for r in asked], np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-8) if len(asked) else 1.0
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in asked], np.int64), matrix))
-
-        def score(batches: Iterator, shared=shared) -> Iterator:
-            import pyarrow as pa
-
-            ids, matrix = shared.value
-            for batch in batches:
-                batch = batch.filter(batch.column(1).is_valid())
-                if not batch.num_rows:
-                    continue
-                vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-8)
-                item = batch.column(0).to_numpy(zero_copy_only=False)
-                for a in range(0, len(ids), block):
-                    values = np.round(matrix[a : a + block] @ vectors.T, 12)
-                    row, column = _best(values, item, k)
-                    yield pa.record_batch([pa.array(ids[a + row]), pa.array(item[column]), pa.array(values[row, column])], names=["qid", "item", "score"])
-
-        found = items.select(F.col(id_col).cast("long").alias("item"), vec_col).mapInArrow(score, "qid long, item long, score double")
-        rows = found if rows is None else rows.union(found)
-    return top_k(rows, ["qid"], [F.desc("score"), F.asc("item")], k)
+    wanted = queries.select(F.col("qid").cast("long").alias("qid"), "vec").where("qid IS NOT NULL AND vec IS NOT NULL")
+    own = items.select(F.col(id_col).cast("long").alias("item"), F.col(vec_col).alias("vec")).where("item IS NOT NULL AND vec IS NOT NULL")
+    tasks = items.sparkSession.sparkContext.defaultParallelism
+    n_items, n_queries = own.count(), max(1, -(-wanted.count() // query_block))
+    least = max(1, min(tasks, n_items // 1024))  # small tables are spread over the cores all the same
+    n_items = max(least, -(-n_items // item_block))
+    place = lambda of, n: F.pmod(F.xxhash64(of), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = own.withColumn("i", place("item", n_items)).withColumn("q", every(n_queries))
+    right = wanted.withColumn("q", place("qid", n_queries)).withColumn("i", every(n_items))
+    found = left.groupBy("i", "q").cogroup(right.groupBy("i", "q")).applyInArrow(_score_blocks(k, block), "qid long, item long, score double")
+    return top_k(found, ["qid"], [F.desc("score"), F.asc("item")], k)

@@ -142,7 +142,9 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("errorifexists").option("header", True).csv(path)
+    """With a header; quotes inside quoted fields are doubled, as most readers expect, and blanks at the ends of texts stay."""
+    own = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.mode("errorifexists").options(**own).csv(path)
 
 
 def write_table(rows: DataFrame, folder: str, name: str) -> str:
