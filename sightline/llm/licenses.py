@@ -195,9 +195,11 @@ def base_places(joined: bytes) -> list[tuple[int, str]]:
     """(word index, label) of every place of a base phrase; ``joined``: words between single blanks, one at either end."""
     found = []
     for phrase, label in BASE:
-        sought, at = b" " + phrase.encode() + b" ", 0
+        sought, at, counted, blanks = b" " + phrase.encode() + b" ", 0, 0, 0
         while (at := joined.find(sought, at)) >= 0:
-            found.append((joined.count(b" ", 0, at), label))
+            blanks += joined.count(b" ", counted, at)  # from the last place on, so a text is counted through once a phrase
+            counted = at
+            found.append((blanks, label))
             at += 1
     return found
 

@@ -98,3 +98,14 @@ def test_detect_equals_all_rules(spark):
     texts += [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()][:60]
     for text in texts:
         assert licenses.detect(joined(text)) == detect_all(joined(text))
+
+
+def test_base_places_of_a_long_text():
+    """Counted from place to place: a text of 64,000 notices takes a moment."""
+    import time
+
+    joined = b" " + b"x under the mit license and cc by nc " * 64_000
+    start = time.time()
+    found = licenses.base_places(joined)
+    assert time.time() - start < 5 and len(found) == 128_000
+    assert sorted(found)[:3] == [(1, "mit"), (6, "cc-by-nc"), (10, "mit")]

@@ -95,3 +95,44 @@ def test_exact_runs_of_fifty_words_all_meet(spark):
     got = paragraphs.paragraph_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     caught = {r.doc_id // 2 for r in got if r.removed and r.doc_id % 2 and places[r.doc_id][0] <= r.start and r.end <= places[r.doc_id][1]}
     assert caught == set(range(150))
+
+
+def parity_words(n=1024):
+    """A word of the parities of the bits of 0, 1, 2, ... as a and b, and its complement: equal under any polynomial modulo 2**64."""
+    one = "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_parity_words_hash_apart(spark):
+    import numpy as np
+
+    from sightline.llm import near_dup
+    from sightline.llm import shingles as sh
+
+    a, b = parity_words()
+    raw = f"{a} {b} {a.upper()} x {a[:-1]}".encode()
+    words, first = sh.word_hashes(raw, np.array([0, len(raw)]))
+    assert words[0] == words[2] and len(set(words.tolist())) == 4
+    pair = words[[0 if c == "a" else 1 for c in a] + [1 if c == "a" else 0 for c in a]]
+    runs = sh.sequence_hashes(pair, np.array([0, 1024]), np.array([1024, 1024]))
+    assert runs[0] != runs[1]
+    docs = spark.createDataFrame([(1, f"{a} same words"), (2, f"{b} same words"), (3, f"{a} same words")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_dup(docs, settings=near_dup.Settings(words=3, num=85)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_word_hashes_are_of_bytes_alone():
+    import numpy as np
+
+    from sightline.llm import shingles as sh
+
+    texts = [prose(3, 60), "x", "ab" * 40 + " " + "é" * 9, " a  a b ", "12345678 1234567 123456789 12345678"]
+    raw, offsets = "".join(texts).encode(), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    words, first = sh.word_hashes(raw, offsets)
+    known = {}
+    for k, t in enumerate(texts):
+        mine = t.encode().split()
+        assert first[k + 1] - first[k] == len(mine)
+        for w, h in zip(mine, words[first[k] : first[k + 1]].tolist()):
+            assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
