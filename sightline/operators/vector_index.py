@@ -70,12 +70,12 @@ def lloyd(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centres
 
 
-def lists_to_visit(x: np.ndarray, centres: np.ndarray, recall: float, k: int = 10, queries: int = 256) -> int:
-    """The least number of nearest lists that hold the share ``recall`` of the k nearest rows of x, for some rows of x.
+def lists_to_visit(x: np.ndarray, centres: np.ndarray, recall: float, seed: int, k: int = 10, queries: int = 512) -> int:
+    """The least number of nearest lists that hold the share ``recall`` of the k nearest rows of x, for rows drawn from x.
 
     Neighbours in the whole table are nearer than those in a sample, so this is on the safe side.
     """
-    asked = x[:queries]
+    asked = x[np.random.default_rng(seed).permutation(len(x))[:queries]]
     near = np.argsort(distances(asked, x), axis=1, kind="stable")[:, : k + 1]
     home = distances(x, centres).argmin(1)
     order = np.argsort(distances(asked, centres), axis=1, kind="stable")
@@ -138,7 +138,7 @@ def _fit_centres(settings: Settings, lists: int):
 
         x = _matrix(table.column("vec"))[np.argsort(table.column("item").to_numpy(), kind="stable")]
         centres = lloyd(x, lists, settings.rounds, settings.seed)
-        visit = lists_to_visit(x, centres, settings.recall)
+        visit = lists_to_visit(x, centres, settings.recall, settings.seed)
         far = distances(x, centres)
         home = far.argmin(1)
         size = np.bincount(home, minlength=len(centres))
