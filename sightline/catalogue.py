@@ -50,13 +50,13 @@ PAIRS = f"""{MODAL}, pairs AS (SELECT qid, modality, vec_id AS item, {cos_sql("v
 ), lists AS (SELECT *, row_number() OVER (PARTITION BY qid, modality ORDER BY score DESC, item) AS rank FROM pairs QUALIFY rank <= 10)"""
 
 
-def lists(spark: SparkSession, sf_dir: str, modalities: tuple[str, ...] = ("a", "b")) -> DataFrame:
-    """The ten best scenes of each query and modality; queries are the scenes whose id is divisible by 20."""
+def lists(spark: SparkSession, sf_dir: str, modalities: tuple[str, ...] = ("a", "b"), depth: int = 10) -> DataFrame:
+    """The best scenes of each query and modality; queries are the scenes whose id is divisible by 20."""
     scenes = views.scenes(spark, sf_dir)
     found = None
     for m in modalities:
         own = scenes.where(F.col(m).isNotNull()).select("vec_id", F.col(m).alias("vec"))
-        best = ranking.block_top_k(own, own.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid"), 10, "vec_id", "vec").withColumn("modality", F.lit(m))
+        best = ranking.block_top_k(own, own.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid"), depth, "vec_id", "vec").withColumn("modality", F.lit(m))
         found = best if found is None else found.union(best)
     return found
 
@@ -117,6 +117,13 @@ def fuse_mean_imputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir, "avg")
 
 
+@query(f"WITH {PAIRS} SELECT qid, item, round((sum(score) + avg(score) * (2 - count(*))) / 2, 6) AS score FROM lists GROUP BY ALL")
+def fuse_mean_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean imputation over scores as they are."""
+    fused = ranking.fuse_scores(lists(spark, sf_dir), ["qid", "modality"], ["qid", "item"], normalise=False)
+    return fused.select("qid", "item", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {NORM} SELECT qid, item, round(avg(norm), 6) AS score FROM n GROUP BY ALL")
 def fuse_exclude_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir, "avg")
@@ -243,12 +250,10 @@ def dual_signal_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 ) SELECT qid, item, round(exp(score - max(score) OVER w) / sum(exp(score - mx)) OVER w, 6) AS probability, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item) AS rank
 FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS mx FROM r) WINDOW w AS (PARTITION BY qid) QUALIFY rank <= 5""")
 def softmax_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = views.scenes(spark, sf_dir).select("vec_id", "video", "vec", vectors.norm(F.col("vec")).alias("norm"))
-    q = s.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "video", F.col("vec").alias("q"), F.col("norm").alias("qn"))
-    rows = s.join(q, "video").select("qid", F.col("vec_id").alias("item"), F.round(vectors.cosine(F.col("vec"), F.col("q"), F.col("norm"), F.col("qn")), 12).alias("score"))
-    w = Window.partitionBy("qid")
-    rows = rows.withColumn("e", F.exp(F.col("score") - F.max("score").over(w))).withColumn("probability", F.col("e") / F.sum("e").over(w))
-    best = ranking.top_k(rows, ["qid"], [F.desc("score"), F.asc("item")], 5)
+    """Blocks of a video's scenes meet its queries; each block gives a query's best and its sum of exponentials, which are put together."""
+    s = views.scenes(spark, sf_dir).select("vec_id", "video", "vec")
+    asked = s.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "video", "vec")
+    best = ranking.softmax_top_k(s.select(F.col("vec_id").alias("item"), "video", "vec"), asked, "video", 5)
     return best.select("qid", "item", F.round("probability", 6).alias("probability"), F.col("rank").cast("long"))
 
 
@@ -330,6 +335,13 @@ def semi_has_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.clips(spark, sf_dir, "purchase").join(views.clips(spark, sf_dir), ["person", "day"], "left_semi").select("event_id")
 
 
+@query(f"""WITH {ASOF} SELECT event_id, start FROM found WHERE EXISTS (SELECT 1 FROM clips c WHERE c.person = found.person AND c.day = found.day AND c."at" = found.start AND c.event_id % 3 <> 0)""")
+def has_embedded_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets whose clip, found by the as-of join, has an embedding (clips of two thirds of the ids)."""
+    embedded = views.clips(spark, sf_dir).where("event_id % 3 <> 0").select("person", "day", F.col("at").alias("start"))
+    return _asof(spark, sf_dir).join(embedded, ["person", "day", "start"], "left_semi").select("event_id", "start")
+
+
 QSET = """qset AS (SELECT event_id AS qid, user_id AS person, ['DAY' || (1 + event_id % 9)] AS days, [{'s': 3600.0 * (event_id % 24), 'e': 3600.0 * (event_id % 24) + 1800}] AS ranges,
   CASE WHEN event_id % 3 = 0 THEN 'before_query_time' WHEN event_id % 3 = 1 THEN 'after_query_time' ELSE 'unrestricted' END AS relation, (event_id % 20) * 200.0 + (event_id % 24) * 3600.0 AS qt FROM events WHERE event_id % 20 = 0)"""
 
@@ -391,10 +403,10 @@ PREDICTIONS = f"""{PAIRS}, gt AS (SELECT vec_id AS qid, video AS gt_video, start
 ), preds AS (SELECT *, CASE WHEN same THEN shared / ((e - s) + (ge - gs) - shared) ELSE 0 END AS iou, CASE WHEN same THEN shared / (ge - gs) ELSE 0 END AS iou_gt FROM p1)"""
 
 
-def _predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _predictions(spark: SparkSession, sf_dir: str, depth: int = 10) -> tuple[DataFrame, DataFrame]:
     s = views.scenes(spark, sf_dir).select("vec_id", "video", "start", "end")
     truth = s.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("video").alias("gt_video"), (F.col("start") - 2).alias("gs"), (F.col("end") + 4).alias("ge"))
-    best = lists(spark, sf_dir, ("a",)).where("item <> qid").select("qid", "rank", "item")
+    best = lists(spark, sf_dir, ("a",), depth).where("item <> qid").select("qid", "rank", "item")
     rows = best.join(s.withColumnRenamed("vec_id", "item"), "item").join(truth, "qid")
     same = F.col("video") == F.col("gt_video")
     bounds = (F.col("start"), F.col("end"), F.col("gs"), F.col("ge"))
@@ -560,7 +572,11 @@ def _similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scene against the ten label centroids, used as a tag vocabulary of fixed size."""
     s = views.scenes(spark, sf_dir).withColumn("norm", vectors.norm(F.col("vec")))
     c = pooling.mean_vectors(s, ["video"]).select(F.col("video").alias("tag"), F.col("vec").alias("c"), vectors.norm(F.col("vec")).alias("cn"))
-    rows = s.crossJoin(F.broadcast(c))
+    vocabulary = tables.written(c, "tags")
+    if vocabulary.count() > tables.VOCABULARY:
+        raise ValueError(f"a vocabulary of tags has at most {tables.VOCABULARY} of them")
+    listed = vocabulary.agg(F.collect_list(F.struct("tag", "c", "cn")).alias("_vocabulary"))  # one row, of the counted size
+    rows = s.join(F.broadcast(listed)).select("vec_id", "video", "vec", "norm", F.inline("_vocabulary"))
     return rows.select(F.col("vec_id").alias("item"), "video", "tag", F.round(vectors.cosine(F.col("vec"), F.col("c"), F.col("norm"), F.col("cn")), 12).alias("score"))
 
 
@@ -610,10 +626,12 @@ def choice_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.rollup("person").agg(F.sum("correct").alias("correct"), F.count("*").alias("total")).select(F.coalesce(F.col("person").cast("string"), F.lit("all")).alias("person"), "correct", "total", F.round(F.col("correct") / F.col("total"), 6).alias("accuracy"))
 
 
-@query("""WITH ch AS (SELECT item_id % 200 AS doc_id, arg_max(text, item_id) AS new FROM benchmark GROUP BY 1)
+@query("""WITH ch AS (SELECT doc_id, arg_max('label ' || quality || toxic || part, part) AS new FROM labels, (VALUES (1), (2)) AS v(part) WHERE part = 1 OR doc_id % 2 = 0 GROUP BY 1)
 SELECT d.doc_id, md5(coalesce(new, text)) AS text_md5, new IS NOT NULL AS replaced FROM documents d LEFT JOIN ch USING (doc_id)""")
 def annotation_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 200).alias("doc_id"), "text", F.col("item_id").alias("seq"))
+    """A change for every labelled document, a second and later one for those with even ids."""
+    rows = table(spark, sf_dir, "labels").withColumn("seq", F.explode(F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    changes = rows.select("doc_id", F.concat(F.lit("label "), *(F.col(c).cast("string") for c in ("quality", "toxic", "seq"))).alias("text"), "seq")
     done = annotations.updated(table(spark, sf_dir, "documents").select("doc_id", "text"), changes, ["doc_id"], "text", "seq")
     return done.select("doc_id", F.md5("text").alias("text_md5"), "replaced")
 
@@ -668,10 +686,31 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.from_json("props", "k long")["k"], F.lit(-1)).alias("k"))
 
 
-@query("""SELECT event_id, '{"k": ' || (2 * event_id) || ', "b": null, "s": "said “hi”", "h": 30}' AS json FROM events""")
+#: Replies of models with the object that each should give, by event; # stands for the event's id.
+REPLIES = [
+    ('Sure: ```json\n{"k": 2*#, "b": None, "s": "said “hi”", "h": 60/2, # half "an hour"\n}\n``` done', '{"k": (2#), "b": null, "s": "said “hi”", "h": 30}'),
+    ('{"k": #, "s": "x, y"}', '{"k": (#), "s": "x, y"}'),
+    ('Answer: {"a": [1, #,], "b": {"c": True,},} and {"other": 1}', '{"a": [1, (#)], "b": {"c": true}}'),
+    ("no object, # at all", None),
+    ('{"k": #, // a } that counts for nothing\n "x": 3+4-2, "y": 7/2}', '{"k": (#), "x": 5, "y": 3.5}'),
+    ('```\n{"s": "a } \\" b #", "n": 24*60, "f": False}\n```', '{"s": "a } \\" b (#)", "n": 1440, "f": false}'),
+    ("{“k”: #, “w”: “so”}", '{"k": (#), "w": "so"}'),
+    ('{"k": # and no end', None),
+]
+
+
+def _replies_sql() -> str:
+    """The objects, with the event's id (or twice it) put in."""
+    put = lambda made: "NULL" if made is None else "'" + made.replace("'", "''").replace("(2#)", "' || (2 * event_id) || '").replace("(#)", "' || event_id || '") + "'"
+    return "SELECT event_id, CASE event_id % " + str(len(REPLIES)) + " " + " ".join(f"WHEN {n} THEN {put(made)}" for n, (_, made) in enumerate(REPLIES)) + " END AS json FROM events"
+
+
+@query(_replies_sql())
 def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reply = F.concat(F.lit("Sure: ```json\n{\"k\": 2*"), F.col("event_id").cast("string"), F.lit(', "b": None, "s": "said “hi”", "h": 60/2, # half "an hour"\n}\n``` done'))
-    return table(spark, sf_dir, "events").select("event_id", texts.repaired_json(reply).alias("json"))
+    i = F.col("event_id")
+    reply = F.element_at(F.array(*(F.lit(r) for r, _ in REPLIES)), (i % len(REPLIES) + 1).cast("int"))
+    numbered = F.regexp_replace(reply, "#(?! half)", i.cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", texts.repaired_json(numbered).alias("json"))
 
 
 @query()

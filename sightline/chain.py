@@ -334,6 +334,41 @@ def tags_of_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("level", "name", "tag", F.round("score", 6).alias("score"))
 
 
+VOCABULARY = ["the", "and", "to", "on", "is", "of", "in", "at", "for", "are", "they", "and on"]
+
+
+@query(f"""WITH q AS (
+  SELECT conv_id * 1000 + turn AS qid, CASE WHEN turn % 2 = 0 THEN array_to_string(string_split(coalesce(text, ''), ' ')[1:8], ' ') ELSE coalesce(text, '') END AS t FROM conversations
+), w AS (SELECT qid, t, list_filter(string_split(lower(t), ' '), lambda x: x <> '') AS words FROM q
+), s AS (SELECT qid, t, tag, len(list_filter(words, lambda x: x = tag)) / greatest(len(words), 1)::DOUBLE AS score FROM w, unnest({VOCABULARY!r}) AS v(tag)
+), l AS (SELECT qid, greatest(quantile_cont(score, 0.7), 0.1) AS lim FROM s GROUP BY qid), r AS (SELECT s.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, tag) AS rank FROM s JOIN l USING (qid) WHERE score > lim QUALIFY rank <= 10
+), g AS (SELECT qid, string_agg(tag, ',' ORDER BY rank) AS tags FROM r GROUP BY qid)
+SELECT qid, CASE WHEN trim(t) = '' THEN '' ELSE coalesce(tags, '') END AS tags FROM q LEFT JOIN g USING (qid)""")
+def query_tags_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags by the share of a text's words, read from a query's video modality where it has one (even turns), else from its text."""
+    t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("turn"), F.coalesce("text", F.lit("")).alias("text"))
+    video = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
+    decomposed = F.when(F.col("turn") % 2 == 0, F.create_map(F.lit("video"), video, F.lit("text"), F.col("text")))
+    q = t.select("qid", texts.tagging_text(decomposed, F.col("text")).alias("query_text"))
+    words = F.filter(F.split(F.lower("query_text"), " "), lambda x: x != "")
+    share = lambda tag: F.size(F.filter("words", lambda x: x == tag)) / F.greatest(F.size("words"), F.lit(1))
+    scores = q.withColumn("words", words).select("qid", F.inline(F.array(*(F.struct(F.lit(tag).alias("tag"), share(F.lit(tag)).alias("score")) for tag in VOCABULARY))))
+    return tagging.query_tags(q, scores).select("qid", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"""WITH {SCENES}, {WINDOWS}, t AS (SELECT *, CASE WHEN vec_id % 3 = 0 AND video <> 'v3' THEN 'scene ' || vec_id ELSE '' END AS said, CASE WHEN video <> 'v4' OR vec_id % 3 = 0 THEN vec END AS tvec FROM scenes
+), m AS (SELECT w.video, w."window", t.* EXCLUDE (video) FROM windows AS w JOIN t ON t.video = w.video AND t.ord >= w.first AND t.ord < w.first + w.n_scenes
+), g AS (SELECT video, "window", string_agg(said, chr(10) ORDER BY ord) FILTER (said <> '') AS texts, count(tvec) AS n, round(avg(tvec[1]), 6) AS first FROM m GROUP BY ALL)
+SELECT video, "window", CASE WHEN texts IS NOT NULL THEN texts WHEN n > 0 THEN '{scenes.POOLED}' ELSE '' END AS text, CASE WHEN texts IS NULL AND n > 0 THEN first END AS first FROM g""")
+def window_text_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.scenes(spark, sf_dir)
+    said = F.when((F.col("vec_id") % 3 == 0) & (F.col("video") != "v3"), text("scene ", F.col("vec_id"))).otherwise("")
+    held = rows.select("video", "ord", said.alias("text_raw"), F.when((F.col("video") != "v4") | (F.col("vec_id") % 3 == 0), F.col("vec")).alias("vec"))
+    windows = intervals.scene_windows(rows)
+    places = windows.withColumn("ord", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n_scenes") - 1))).select("video", "window", "ord")
+    return scenes.window_texts(places, held).select("video", "window", "text", F.round(F.col("vec")[0], 6).alias("first"))
+
+
 @query(f"WITH {SCENES}, t AS (SELECT vec_id, unnest(tags) AS tag FROM scenes) SELECT vec_id, count(*) AS n, count(DISTINCT tag) AS n_different FROM t GROUP BY vec_id")
 def tags_per_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.scenes(spark, sf_dir).select("vec_id", F.size("tags").cast("long").alias("n"), F.size(F.array_distinct("tags")).cast("long").alias("n_different"))
@@ -447,11 +482,12 @@ def qa_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.coalesce("hit", F.lit(False)).alias("hit"), metrics.day_hit(days, F.col("day")).alias("day_hit"), metrics.time_hit(ranges, F.col("at")).alias("time_hit"))
 
 
-FLAT = f"""{SCENES}, res AS (SELECT vec_id % 5 AS qid, video, ord, count(*) OVER (PARTITION BY vec_id % 5, video) / 10 AS vs, CASE WHEN ord % 3 <> 0 THEN vec[1] END AS ss FROM scenes), flat AS (SELECT qid, video, ord AS scene, coalesce(ss, vs) AS score FROM res)"""
+FLAT = f"""{SCENES}, res AS (SELECT vec_id // 40 * 20 AS qid, video, ord, count(*) OVER (PARTITION BY vec_id // 40, video) / 10 AS vs, CASE WHEN ord % 3 <> 0 THEN vec[1] END AS ss FROM scenes), flat AS (SELECT qid, video, ord AS scene, coalesce(ss, vs) AS score FROM res)"""
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = views.scenes(spark, sf_dir).select((F.col("vec_id") % 5).alias("qid"), "video", F.struct(F.col("ord").alias("scene"), F.when(F.col("ord") % 3 != 0, F.col("vec")[0]).alias("score")).alias("s"))
+    """Lists of forty scenes a query, whose ids grow with the table."""
+    s = views.scenes(spark, sf_dir).select((F.floor(F.col("vec_id") / 40) * 20).alias("qid"), "video", F.struct(F.col("ord").alias("scene"), F.when(F.col("ord") % 3 != 0, F.col("vec")[0]).alias("score")).alias("s"))
     return s.groupBy("qid", "video").agg((F.count("*") / 10).alias("score"), F.collect_list("s").alias("scenes"))
 
 
@@ -460,11 +496,11 @@ def flat_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.flattened(_results(spark, sf_dir)).select("qid", "video", F.col("scene").cast("long"), F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
-@query(f"""WITH {FLAT}, q AS (SELECT i AS qid, i * 1.0 AS s, CASE WHEN i % 2 = 0 THEN 3.0 ELSE 100.0 END AS e FROM range(8) AS t(i)), n AS (SELECT qid, count(*) AS n FROM flat GROUP BY qid)
+@query(f"""WITH {FLAT}, q AS (SELECT vec_id AS qid, vec_id * 1.0 AS s, CASE WHEN vec_id % 40 = 0 THEN vec_id + 3.0 ELSE 100.0 END AS e FROM scenes WHERE vec_id % 20 = 0), n AS (SELECT qid, count(*) AS n FROM flat GROUP BY qid)
 SELECT count(*) AS n, count(*) FILTER (coalesce(n.n, 0) = 0) AS n_empty, count(*) FILTER (s >= e) AS n_invalid, round(avg(coalesce(n.n, 0)), 6) AS mean_predictions FROM q LEFT JOIN n USING (qid)""")
 def evaluation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("id")
-    asked = spark.range(8).select(i.alias("qid"), (i * 1.0).alias("start"), F.when(i % 2 == 0, 3.0).otherwise(100.0).alias("end"))
+    i = F.col("vec_id")
+    asked = table(spark, sf_dir, "embeddings").where(i % 20 == 0).select(i.alias("qid"), (i * 1.0).alias("start"), F.when(i % 40 == 0, i + 3.0).otherwise(100.0).alias("end"))
     return metrics.evaluation_stats(asked, metrics.flattened(_results(spark, sf_dir)))
 
 
@@ -480,10 +516,11 @@ def best_iou_of_truths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.scenes(spark, sf_dir).select("vec_id", F.round(metrics.best_iou(s, F.col("end"), truths), 6).alias("iou"))
 
 
-@query(f"""WITH {c.PREDICTIONS}, grid AS (SELECT k, tau::DOUBLE AS tau FROM (VALUES (1), (5), (10), (15), (20), (25), (7)) a(k), (VALUES (0.1), (0.3), (0.5), (0.7)) b(tau))
+@query(f"""WITH {c.PREDICTIONS.replace("rank <= 10", "rank <= 26")}, grid AS (SELECT k, tau::DOUBLE AS tau FROM (VALUES (1), (5), (10), (15), (20), (25), (7)) a(k), (VALUES (0.1), (0.3), (0.5), (0.7)) b(tau))
 SELECT k, tau, round(avg((EXISTS (SELECT 1 FROM preds p WHERE p.qid = gt.qid AND p.rank <= k AND p.iou >= tau))::INT), 6) AS recall FROM gt, grid GROUP BY ALL""")
 def evaluator_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.recall_table(*c._predictions(spark, sf_dir), sorted({1, 5, 10, 15, 20, 25, 7}), [0.1, 0.3, 0.5, 0.7]).select("k", "tau", "recall")
+    """Lists of 26, the query itself among them, so there is something at each k."""
+    return metrics.recall_table(*c._predictions(spark, sf_dir, 26), sorted({1, 5, 10, 15, 20, 25, 7}), [0.1, 0.3, 0.5, 0.7]).select("k", "tau", "recall")
 
 
 @query(f"""WITH {SCENES}, g AS (SELECT video, ord AS scene, start, "end", vec[1] AS score, lag("end") OVER (PARTITION BY video ORDER BY start, ord) AS before FROM scenes
@@ -498,6 +535,6 @@ def merge_with_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_k(mean.join(total, ["video", "start"]), ["video"], [F.desc("mean"), F.asc("start")]).select("video", "start", "mean", "total", F.col("rank").cast("long"))
 
 
-@query("""WITH ch AS (SELECT DISTINCT item_id % 200 AS doc_id FROM benchmark) SELECT count(*) AS total, count(ch.doc_id) AS replaced FROM documents d LEFT JOIN ch USING (doc_id)""")
+@query("""WITH ch AS (SELECT DISTINCT doc_id FROM labels) SELECT count(*) AS total, count(ch.doc_id) AS replaced FROM documents d LEFT JOIN ch USING (doc_id)""")
 def replaced_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.annotation_replace(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if("replaced").alias("replaced"))

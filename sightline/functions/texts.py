@@ -191,3 +191,8 @@ def rouge_l_score(candidate: pd.Series, reference: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def bleu_score(candidate: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series([bleu(a, b) for a, b in zip(candidate, reference)], dtype="float64")
+
+
+def tagging_text(decomposed, query_text):
+    """What a query's tags are read from: its video modality's text (of a map by modality), else the query."""
+    return F.coalesce(F.try_element_at(decomposed, F.lit("video")), query_text)

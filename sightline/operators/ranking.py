@@ -25,12 +25,13 @@ def min_max(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame
     return rows.withColumn("norm", F.when(high > low, (F.col(score) - low) / (high - low)).otherwise(F.lit(1.0)))
 
 
-def fuse_scores(rows: DataFrame, list_keys: list[str], item_keys: list[str], how: str = "avg") -> DataFrame:
-    """Min-max normalised scores of the lists an item is in, by avg, sum or max.
+def fuse_scores(rows: DataFrame, list_keys: list[str], item_keys: list[str], how: str = "avg", normalise: bool = True) -> DataFrame:
+    """Scores of the lists an item is in, min-max normalised or as they are, by avg, sum or max.
 
     Filling missing scores with the item's own mean and dividing by all lists gives the same number as ``avg``.
     """
-    return min_max(rows, list_keys).groupBy(*item_keys).agg(getattr(F, how)("norm").alias("score"))
+    scored = min_max(rows, list_keys) if normalise else rows.withColumn("norm", F.col("score"))
+    return scored.groupBy(*item_keys).agg(getattr(F, how)("norm").alias("score"))
 
 
 def _best(values: np.ndarray, item: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,3 +96,44 @@ def block_top_k(items: DataFrame, queries: DataFrame, k: int, id_col: str = "ite
     right = wanted.withColumn("q", place("qid", n_queries)).withColumn("i", every(n_items))
     found = left.groupBy("i", "q").cogroup(right.groupBy("i", "q")).applyInArrow(_score_blocks(k, block), "qid long, item long, score double")
     return top_k(found, ["qid"], [F.desc("score"), F.asc("item")], k)
+
+
+def _softmax_blocks(k: int, step: int):
+    def run(items, queries):
+        import pyarrow as pa
+
+        out = []
+        if items.num_rows and queries.num_rows:
+            item, vectors = items.column("item").to_numpy(), _unit_rows(items.column("vec"))
+            ids, matrix = queries.column("qid").to_numpy(), _unit_rows(queries.column("vec"))
+            for a in range(0, len(ids), step):
+                values = np.round(matrix[a : a + step] @ vectors.T, 12)
+                total = np.exp(values).sum(1)  # cosines are at most 1, so nothing overflows
+                row, column = _best(values, item, k)
+                first = np.concatenate([[True], row[1:] != row[:-1]])
+                out.append((ids[a + row], item[column], values[row, column], np.where(first, total[row], 0.0)))
+        joined = [np.concatenate(x) for x in zip(*out)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+        return pa.table([pa.array(x) for x in joined], names=["qid", "item", "score", "total"])
+
+    return run
+
+
+def softmax_top_k(items: DataFrame, queries: DataFrame, group: str, k: int, item_block: int = ITEMS_A_BLOCK, query_block: int = QUERIES_A_BLOCK) -> DataFrame:
+    """``qid, item, score, probability, rank``: the k best items of each query's group by cosine, with the softmax over all of it.
+
+    items: item, group, vec; queries: qid, group, vec. A group is cut into blocks of items and of queries by its counted size;
+    a block gives k rows a query, one of which carries the block's sum of exponentials.
+    """
+    own = items.select(F.col("item").alias("item"), F.col(group).alias("grp"), F.col("vec").alias("vec"))
+    asked = queries.select(F.col("qid").alias("qid"), F.col(group).alias("grp"), F.col("vec").alias("vec"))
+    sized = lambda rows, block, name: rows.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = sized(own, item_block, "_ni").join(sized(asked, query_block, "_nq"), "grp")
+    place = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    fresh = lambda rows, key: rows.join(sizes, "grp").select(F.col("grp").alias("g"), F.col(key).alias(key), F.col("vec").alias("vec"), "_ni", "_nq")
+    left = fresh(own, "item").withColumn("i", place("item", "_ni")).withColumn("q", every("_nq")).drop("_ni", "_nq")
+    right = fresh(asked, "qid").withColumn("q", place("qid", "_nq")).withColumn("i", every("_ni")).drop("_ni", "_nq")
+    keys = ["g", "i", "q"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_softmax_blocks(k, 256), "qid long, item long, score double, total double")
+    rows = found.withColumn("total", F.sum("total").over(Window.partitionBy("qid")))
+    return top_k(rows, ["qid"], [F.desc("score"), F.asc("item")], k).select("qid", "item", "score", (F.exp("score") / F.col("total")).alias("probability"), "rank")

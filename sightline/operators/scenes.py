@@ -72,3 +72,24 @@ def prototypes(rows: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
     """``keys, vec``: the unit vector of the mean of the unit vectors."""
     means = mean_vectors(rows.withColumn(vec, l2_normalise(F.col(vec))), keys, vec)
     return means.withColumn("vec", l2_normalise(F.col("vec")))
+
+
+#: What stands in the place of a text that was pooled from vectors.
+POOLED = "[mean pooled: no texts]"
+
+
+def window_texts(places: DataFrame, scenes: DataFrame) -> DataFrame:
+    """``video, window, texts, text, vec``: what a window's text vector is made from.
+
+    places: video, window, ord. scenes: video, ord, text_raw, vec (of the text; null if there is none). ``texts``: the scenes'
+    texts in order, for an encoder of their summary. A window without any falls back to the mean of its scenes' vectors, with
+    ``POOLED`` as text; without vectors its text is empty and its vector null. Windows whose scenes are unknown stay, too.
+    """
+    members = places.join(scenes, ["video", "ord"], "left")
+    said = F.when(F.coalesce("text_raw", F.lit("")) != "", F.struct("ord", F.col("text_raw").alias("text")))
+    listed = members.groupBy("video", "window").agg(F.array_sort(F.collect_list(said)).alias("t"), F.max(F.col("vec").isNotNull()).alias("some"))  # a window's scenes
+    texts = listed.select("video", "window", "some", F.transform("t", lambda x: x["text"]).alias("texts"))
+    bare = texts.where((F.size("texts") == 0) & F.coalesce("some", F.lit(False))).select("video", "window")
+    pooled = mean_vectors(members.where("vec IS NOT NULL").join(bare, ["video", "window"], "left_semi"), ["video", "window"], "vec")
+    text = F.when(F.size("texts") > 0, F.array_join("texts", "\n")).when(F.coalesce("some", F.lit(False)), POOLED).otherwise("")
+    return texts.join(pooled, ["video", "window"], "left").select("video", "window", "texts", text.alias("text"), "vec")

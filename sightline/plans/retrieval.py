@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, norm
-from ..operators.filters import keep_or_fall_back
 from ..operators.ranking import rrf, top_k
 
 
@@ -24,19 +23,31 @@ def scored(candidates: DataFrame, queries: DataFrame, keys: list[str]) -> DataFr
     return joined.withColumn("score", F.round(cosine(F.col("vec"), F.col("q_vec"), F.col("norm"), F.col("q_norm")), 12)).drop("vec", "norm", "q_vec", "q_norm")
 
 
-def top_videos(videos: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``qid, video, score, video_rank``: the k best videos by rank fusion over modalities."""
-    ranked = top_k(scored(videos, queries, ["modality"]), ["qid", "modality"], [F.desc("score"), F.asc("video")], k)
-    return top_k(rrf(ranked, ["qid", "video"]), ["qid"], [F.desc("score"), F.asc("video")], k, "video_rank")
+def _vectors_of(rows: DataFrame, key: str) -> DataFrame:
+    """``key, vecs``: the vectors of a key, one a modality."""
+    return rows.groupBy(key).agg(F.collect_list(F.struct("modality", "vec")).alias("vecs"))
+
+
+def top_videos(videos: DataFrame, queries: DataFrame, k: int, plans: DataFrame | None = None) -> DataFrame:
+    """``qid, video, score, video_rank``: the k best videos by rank fusion over modalities, scored in blocks.
+
+    With plans (qid, c) only videos (with ``day``) that a query's constraints allow; all of them where none is. Times and relations
+    of a plan need clips' times, see ``search.planned_search``.
+    """
+    from .search import CONSTRAINTS, permitted_videos
+
+    about = F.col("day") if plans is not None else F.lit(None).cast("string")
+    rows = _vectors_of(videos, "video")
+    days = videos.select("video", about.alias("day")).distinct()
+    rows = rows.join(days, "video").withColumn("start", F.lit(None).cast("double")).withColumn("tags", F.lit(None).cast("array<string>"))
+    asked = _vectors_of(queries, "qid").withColumn("tags", F.lit(None).cast("array<string>"))
+    asked = asked.withColumn("c", F.lit(None).cast(CONSTRAINTS)) if plans is None else asked.join(plans.select("qid", F.col("c").cast(CONSTRAINTS).alias("c")), "qid")
+    return permitted_videos(rows, asked, k)
 
 
 def planned_videos(videos: DataFrame, queries: DataFrame, plans: DataFrame, k: int) -> DataFrame:
-    """As :func:`top_videos` over videos (with ``day``) that each query's constraints (plans: qid, c) allow; all of them where none is."""
-    rows = scored(videos, queries, ["modality"]).join(plans.select("qid", "c"), "qid")
-    days = F.col("c.allowed_days")
-    kept = keep_or_fall_back(rows, ["qid"], (F.coalesce(F.size(days), F.lit(0)) <= 0) | F.array_contains(days, F.col("day")))
-    ranked = top_k(kept.drop("c"), ["qid", "modality"], [F.desc("score"), F.asc("video")], k)
-    return top_k(rrf(ranked, ["qid", "video"]), ["qid"], [F.desc("score"), F.asc("video")], k, "video_rank")
+    """As :func:`top_videos` over the videos of the days that each query's constraints (plans: qid, c) allow."""
+    return top_videos(videos, queries, k, plans)
 
 
 def with_scores(rows: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:

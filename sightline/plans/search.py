@@ -17,6 +17,9 @@ from ..sources.tables import written
 from .retrieval import scored, top_scenes
 
 CLIP_SECONDS = 30.0
+
+#: What ``planner.constraints`` gives.
+CONSTRAINTS = "struct<query_date:string,query_time_sec:double,allowed_days:array<string>,ranges:array<struct<s:double,e:double>>,relation:string>"
 ITEMS_A_BLOCK, QUERIES_A_BLOCK = 4_096, 4_096
 
 

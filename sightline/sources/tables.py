@@ -32,6 +32,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: Tags that a vocabulary may have: it is a list that people wrote, and is sent to all executors.
+VOCABULARY = 20_000
+
 #: Rows up to which a counted side of a join is sent to all executors.
 BROADCAST_ROWS = 200_000
 
