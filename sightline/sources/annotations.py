@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import clip_parts, clip_start, day_label, day_number, stem, time_seconds
 from ..operators.filters import with_target
+from .tables import small
 
 QUERY = """struct<query:string,template:string,slot_x:string,verb_x:string,raw_tags:array<string>,video_start_sec:double,video_end_sec:double,
 video_start_frame:int,video_end_frame:int,clip_start_sec:double,clip_end_sec:double>"""
@@ -85,7 +86,11 @@ def qa_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def captions_of(clips: DataFrame, index: DataFrame) -> DataFrame:
-    """``clips`` (name, path) with ``caption``: by the clip's name, else by its file's, else empty."""
+    """``clips`` (name, path) with ``caption``: by the clip's name, else by its file's, else empty.
+
+    The index is sent to all executors if it is small, by count; both look-ups are shuffles otherwise.
+    """
+    index = small(index)
     by_name, by_file = (index.select(F.col("key").alias(k), F.col("text").alias(t)) for k, t in (("_n", "_by_name"), ("_f", "_by_file")))
     joined = clips.join(by_name, F.col("name") == F.col("_n"), "left").join(by_file, stem(F.col("path")) == F.col("_f"), "left")
     return joined.withColumn("caption", F.coalesce("_by_name", "_by_file", F.lit(""))).drop("_n", "_f", "_by_name", "_by_file")
@@ -148,14 +153,19 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def write_table(rows: DataFrame, folder: str, name: str) -> str:
-    """Writes a CSV table under a name that is free: ``name``, ``name_1``, ``name_2``; returns the path."""
+    """Writes a CSV table under a name that is free: ``name``, ``name_1``, ``name_2``; returns the path.
+
+    A name is taken by making an empty file that must not be there yet, so two writers never get the same one.
+    """
     spark = rows.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files, n = place.getFileSystem(spark._jsc.hadoopConfiguration()), 0
-    while files.exists(spark._jvm.org.apache.hadoop.fs.Path(path := f"{folder}/{name}" + (f"_{n}" if n else ""))):
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files, n = place(folder).getFileSystem(spark._jsc.hadoopConfiguration()), 0
+    while True:
+        free = f"{name}_{n}" if n else name
+        if not files.exists(place(f"{folder}/{free}")) and files.createNewFile(place(f"{folder}/_names/{free}")):
+            write_csv(rows, f"{folder}/{free}")
+            return f"{folder}/{free}"
         n += 1
-    write_csv(rows, path)
-    return path
 
 
 def write_dataset(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
