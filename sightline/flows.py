@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalogue import query
-from .operators import text_metrics
+from .functions import texts
+from .operators import layout, text_metrics
 from .sources import annotations, clip_tree, nested, tables
 from .sources.views import table
 from .streaming import resume, sessions
@@ -184,6 +185,71 @@ def answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", "turn", "name", F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("error", F.lit("")).alias("error"))
 
 
+@query(f"""WITH {_SAID} SELECT DISTINCT video AS video_uid, 'scene_' || j AS scene_id, 0.0::DOUBLE AS start_time, 0.0::DOUBLE AS end_time, 0 AS start_frame FROM clips WHERE substr(video, 2)::INT % 2 = 0""")
+def nlq_scene_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scene for each clip of the available videos; missing times are 0."""
+    nlq = _nlq(spark, sf_dir)
+    there = annotations.video_ids(nlq).where(F.substring("video_uid", 2, 9).cast("int") % 2 == 0)
+    return annotations.nlq_scenes(nlq, there).drop("end_frame")
+
+
+@query(f"""WITH {_SAID} SELECT video || '_' || j || '_' || i AS qid, q AS query_text, turn * 2.0::DOUBLE AS start_sec FROM said JOIN clips USING (video, clip, conv_id) WHERE trim(q) <> '' AND turn % 4 <> 3""")
+def nlq_strict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries with a text and times; every fourth turn's end is taken out first, by an update of its entry."""
+    nlq = _nlq(spark, sf_dir)
+    turn = lambda q: (q["video_start_sec"] / 2).cast("int")
+    without = nested.each_query(F.col("v"), lambda c, q: F.when(turn(q) % 4 == 3, q.withField("video_end_sec", F.lit(None).cast("double"))).otherwise(q))
+    cut = nested.files_of(nested.videos_of(nlq).withColumn("v", without))
+    return annotations.nlq_queries(cut, strict=True).select("qid", "query_text", "start_sec")
+
+
+@query("""WITH f AS (SELECT DISTINCT user_id % 6 + 1 AS w, 1 + event_id % 7 AS d FROM events WHERE user_id IS NOT NULL)
+SELECT 'DAY' || d || '_A' || w || '_P_' || w || '_1' || d || '30000' || w AS name, 'DAY' || d AS day, 'A' || w AS person, 'P_' || w AS who, round((10 + d) * 3600 + 1800 + w / 100.0::DOUBLE, 6) AS start FROM f""")
+def clip_files_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips under their real names in folders by person and day, found by a scan of all files below the root."""
+    place = tables.new_folder(spark, "clips")
+    w, d = (F.col("user_id") % 6 + 1).cast("string"), (1 + F.col("event_id") % 7).cast("string")
+    e = table(spark, sf_dir, "events").where("user_id IS NOT NULL AND event_id IS NOT NULL")
+    rows = e.select(F.concat(F.lit("A"), w, F.lit("_P_"), w).alias("who"), F.concat(F.lit("DAY"), d).alias("day"), F.col("event_id").cast("string").alias("value"))
+    rows.repartition("who", "day").write.partitionBy("who", "day").text(f"{place}/raw")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(place).getFileSystem(spark._jsc.hadoopConfiguration())
+    for person in range(1, 7):  # 42 folders, whatever the table's size
+        for day in range(1, 8):
+            who, folder = f"A{person}_P_{person}", hadoop(f"{place}/raw/who=A{person}_P_{person}/day=DAY{day}")
+            parts = [f.getPath() for f in files.listStatus(folder)] if files.exists(folder) else []
+            for part in [x for x in parts if x.getName().startswith("part-")]:
+                files.mkdirs(hadoop(f"{place}/tree/{who}/DAY{day}"))
+                files.rename(part, hadoop(f"{place}/tree/{who}/DAY{day}/DAY{day}_{who}_1{day}30000{person}.mp4"))
+    return annotations.clip_files(spark, f"{place}/tree").select("name", "day", "person", "who", F.round("start", 6).alias("start"))
+
+
+@query("""WITH h AS (SELECT 'P' || (event_id % 4) AS person, event_type AS setting, k, count(*) FILTER (event_id % 30 < k) AS hits, count(*) AS total FROM events, (VALUES (1), (5), (10)) AS v(k) GROUP BY ALL)
+SELECT person, setting, k, hits, total, round(hits / total::DOUBLE, 6) AS recall FROM h""")
+def summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary of recalls with maps inside, one object a person, written as JSON and read back flat."""
+    place = tables.new_folder(spark, "summary")
+    ks = (1, 5, 10)
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("P"), (F.col("event_id") % 4).cast("string")).alias("person"), F.col("event_type").alias("setting"), (F.col("event_id") % 30).alias("place"))
+    one = lambda k: F.struct(F.count_if(F.col("place") < k).alias("hits"), F.count("*").alias("total"), F.round(F.count_if(F.col("place") < k) / F.count("*"), 6).alias("recall"))
+    each = e.groupBy("person", "setting").agg(F.create_map(*(x for k in ks for x in (F.lit(str(k)), one(k)))).alias("recall_at_k"))
+    people = each.groupBy("person").agg(F.collect_list(F.struct("setting", "recall_at_k")).alias("configurations"))  # a row a setting
+    annotations.write_json(people.withColumn("topk_list", F.array(*map(F.lit, ks))), place)
+    read = spark.read.schema("person string, topk_list array<int>, configurations array<struct<setting:string,recall_at_k:map<string,struct<hits:bigint,total:bigint,recall:double>>>>").json(place)
+    flat = read.select("person", F.inline("configurations")).select("person", "setting", F.explode("recall_at_k").alias("k", "r"))
+    return flat.select("person", "setting", F.col("k").cast("int").alias("k"), "r.hits", "r.total", "r.recall")
+
+
+@query("""SELECT event_id, coalesce((props->>'$.k')::BIGINT, -1) AS k, event_type AS name, CASE WHEN event_id % 3 = 0 THEN 'none' ELSE 'x ' || event_id END AS note, event_id % 5 = 0 AS flag FROM events""")
+def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of replies with defaults for those that lack, in strings without the blanks around them."""
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events")
+    held = F.concat(F.lit('{"name": "  '), F.col("event_type"), F.lit(' ", "note": '), F.when(i % 3 == 0, F.lit("null")).otherwise(F.concat(F.lit('"\\tx '), i.cast("string"), F.lit(' \\n"'))), F.when(i % 5 == 0, F.lit(', "flag": true')).otherwise(""), F.lit("}"))
+    read = e.select("event_id", F.from_json("props", "k long").alias("p"), texts.parsed(held, "name string, note string, flag boolean", {"note": "none", "flag": False}).alias("r"))
+    return read.select("event_id", F.coalesce("p.k", F.lit(-1)).alias("k"), "r.name", "r.note", "r.flag")
+
+
 # ---- texts against references
 
 _TOKENS = """t AS (
@@ -244,3 +310,13 @@ def meteor_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rouge_l_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_metrics.rouge_l_stemmed(_turn_pairs(spark, sf_dir)).select("id", F.round("rouge_l", 6).alias("rouge_l"))
+
+
+# ---- neighbours
+
+
+@query()
+def neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the ten nearest others of each vector; see the tests for the share that is found."""
+    found = layout.neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
+    return found.select(F.col("u").alias("vec_id"), F.col("v").alias("neighbour"), F.round("score", 6).alias("score"), F.col("rank").cast("long"))

@@ -196,3 +196,12 @@ def bleu_score(candidate: pd.Series, reference: pd.Series) -> pd.Series:
 def tagging_text(decomposed, query_text):
     """What a query's tags are read from: its video modality's text (of a map by modality), else the query."""
     return F.coalesce(F.try_element_at(decomposed, F.lit("video")), query_text)
+
+
+def parsed(reply, schema: str, defaults: dict):
+    """A reply's object by ``schema``: strings without the blanks around them, ``defaults`` where a field is missing or null, or
+    the reply can't be read."""
+    kind = T.StructType.fromDDL(schema)
+    found = F.from_json(reply, kind)
+    trimmed = lambda f: F.regexp_replace(found[f.name], r"^\s+|\s+$", "") if isinstance(f.dataType, T.StringType) else found[f.name]
+    return F.struct(*((F.coalesce(trimmed(f), F.lit(defaults[f.name])) if f.name in defaults else trimmed(f)).alias(f.name) for f in kind))

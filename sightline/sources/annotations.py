@@ -71,7 +71,7 @@ def day_queries(annotations: DataFrame, videos: DataFrame, keep_named: bool = Fa
     rows = annotations if keep_named else annotations.where(~F.coalesce("need_name", F.lit(False)))
     rows = rows.withColumn("query_sec", time_seconds(F.col("query_time.time"))).withColumn("target_sec", time_seconds(F.col("target_time.time")))
     rows = rows.where(with_target(F.col("target_time.date"), F.col("target_time.time"), F.col("target_sec"))).withColumn("_day", day_number(F.col("query_time.date")))
-    return rows.join(videos.withColumn("_day", day_number(stem(F.col("video")))), "_day").drop("_day")
+    return rows.join(small(videos.withColumn("_day", day_number(stem(F.col("video"))))), "_day").drop("_day")
 
 
 def person_of(name: Column) -> Column:

@@ -31,7 +31,7 @@ def _lookup(changes: DataFrame, value: str, seq: str, by_clip: bool) -> DataFram
     return queries.groupBy("_video").agg(F.map_from_entries(F.collect_list(F.struct("_clip", "_q"))).alias("_by_clip"))
 
 
-def _each_query(video: Column, change) -> Column:
+def each_query(video: Column, change) -> Column:
     """``video`` with each query replaced by ``change(clip, query)``."""
     clip = lambda c: c.withField("annotations", F.transform(c["annotations"], lambda a: a.withField("language_queries", F.transform(a["language_queries"], lambda q: change(c, q)))))
     return video.withField("clips", F.transform(video["clips"], clip))
@@ -59,5 +59,5 @@ def replaced(videos: DataFrame, changes: DataFrame, value: str, seq: str = "seq"
 
     change = (lambda c, q: F.coalesce(found(c, q), q)) if whole else (lambda c, q: q.withField("query", F.coalesce(found(c, q), q["query"])))
     total, hits = _hits(F.col("v"), found)
-    rows = joined.withColumn("n_queries", total).withColumn("n_replaced", hits).withColumn("v", F.when(F.col("_by_clip").isNull(), F.col("v")).otherwise(_each_query(F.col("v"), change)))
+    rows = joined.withColumn("n_queries", total).withColumn("n_replaced", hits).withColumn("v", F.when(F.col("_by_clip").isNull(), F.col("v")).otherwise(each_query(F.col("v"), change)))
     return rows.drop("_video", "_by_clip")
