@@ -482,6 +482,20 @@ def qa_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.coalesce("hit", F.lit(False)).alias("hit"), metrics.day_hit(days, F.col("day")).alias("day_hit"), metrics.time_hit(ranges, F.col("at")).alias("time_hit"))
 
 
+@query(f"""WITH {ASOF}, p AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN []::VARCHAR[] ELSE ['DAY1', 'DAY' || (1 + event_id % 7)] END AS days, event_id % 3 AS k FROM found
+), h AS (SELECT day AS label, CASE WHEN len(days) > 0 THEN list_contains(days, day) END AS d, CASE WHEN k > 0 THEN "at" BETWEEN 18000 * k AND 18000 * k + 20000 END AS t FROM p)
+SELECT coalesce(label, 'all') AS label, count(*) AS n, count(d) AS day_applied, count(*) FILTER (d) AS day_hits, count(t) AS time_applied, count(*) FILTER (t) AS time_hits,
+  CASE WHEN count(d) = 0 THEN 'never' ELSE count(*) FILTER (d) || '/' || count(d) || ' of ' || count(*) END AS day_line FROM h GROUP BY ROLLUP (label)""")
+def plan_accuracy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the day and time filters were applied and kept the truth, by day and over all."""
+    i = F.col("event_id")
+    days = F.when(i % 4 == 0, F.array().cast(ARRAY)).otherwise(F.array(F.lit("DAY1"), text("DAY", 1 + i % 7)))
+    a = i % 3 * 18000.0
+    ranges = F.when(i % 3 == 0, F.array().cast(planner.RANGES)).otherwise(F.array(F.struct(a.alias("s"), (a + 20000).alias("e"))))
+    rows = c._asof(spark, sf_dir).select(F.col("day").alias("label"), metrics.day_hit(days, F.col("day")).alias("d"), metrics.time_hit(ranges, F.col("at")).alias("t"))
+    return metrics.accuracy_log(rows, "label", "d", "t")
+
+
 FLAT = f"""{SCENES}, res AS (SELECT vec_id // 40 * 20 AS qid, video, ord, count(*) OVER (PARTITION BY vec_id // 40, video) / 10 AS vs, CASE WHEN ord % 3 <> 0 THEN vec[1] END AS ss FROM scenes), flat AS (SELECT qid, video, ord AS scene, coalesce(ss, vs) AS score FROM res)"""
 
 

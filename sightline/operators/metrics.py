@@ -75,3 +75,10 @@ def day_hit(days: Column, day: Column) -> Column:
 def time_hit(ranges: Column, at: Column) -> Column:
     """Whether the truth's time lies in one of the plan's ranges; null where the plan restricts nothing or it has no time."""
     return F.when((F.size(ranges) > 0) & at.isNotNull(), F.exists(ranges, lambda r: (r["s"] <= at) & (at <= r["e"])))
+
+
+def accuracy_log(rows: DataFrame, label: str, day: str, time: str) -> DataFrame:
+    """Counts of applied filters (hit is not null) and of hits by label and over all (label ``all``), with a line of text."""
+    done = rows.rollup(label).agg(F.count("*").alias("n"), *(x for c, name in ((day, "day"), (time, "time")) for x in (F.count(c).alias(f"{name}_applied"), F.count_if(c).alias(f"{name}_hits"))))
+    line = F.when(F.col("day_applied") == 0, "never").otherwise(F.format_string("%d/%d of %d", "day_hits", "day_applied", "n"))
+    return done.withColumn(label, F.coalesce(label, F.lit("all"))).withColumn("day_line", line)
