@@ -537,17 +537,21 @@ def planner_sql(source: str = SENTENCES_SQL) -> str:
 SELECT qid, array_to_string(list_sort(days), ',') AS days, how AS relative_day, coalesce(label, '') AS time_of_day, {text} AS ranges, {rel} AS relation, {order} AS modalities FROM c"""
 
 
-@query(planner_sql())
-def plan_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with an ending that names a day or time, as queries of a planner."""
     i = F.col("doc_id")
-    asked = table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         i.alias("qid"),
         F.concat(F.coalesce("text", F.lit("")), F.element_at(F.array(*map(F.lit, ENDS)), (i % 12 + 1).cast("int"))).alias("query_text"),
         F.when(i % 10 < 9, F.concat(F.lit("DAY"), (1 + i % 7).cast("string"))).alias("query_date"),
         F.when(i % 11 < 10, ((i * 977) % 86400).cast("double")).alias("query_time_sec"),
         (i % 5 == 0).alias("need_audio"),
     )
-    p = planner.plan(asked)
+
+
+@query(planner_sql())
+def plan_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = planner.plan(sentences(spark, sf_dir))
     ranges = F.array_join(F.transform("plan.time_ranges", lambda r: F.concat_ws("-", r["s"].cast("long").cast("string"), r["e"].cast("long").cast("string"))), ";")
     return p.select(
         "qid", F.array_join(F.array_sort("plan.allowed_days"), ",").alias("days"), "plan.relative_day", F.coalesce("plan.time_of_day", F.lit("")).alias("time_of_day"),

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .catalogue import query
-from .functions import texts
+from .catalogue import SENTENCES_SQL, planner_sql, query, sentences
+from .functions import texts, times, vectors
 from .operators import layout, text_metrics
+from .plans import planner
 from .sources import annotations, clip_tree, nested, tables
 from .sources.views import table
-from .streaming import resume, sessions
+from .streaming import events, resume, sessions
 
 # ---- streams
 
@@ -320,3 +321,72 @@ def neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """About the ten nearest others of each vector; see the tests for the share that is found."""
     found = layout.neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
     return found.select(F.col("u").alias("vec_id"), F.col("v").alias("neighbour"), F.round("score", 6).alias("score"), F.col("rank").cast("long"))
+
+
+# ---- functions and streams over the tables
+
+
+@query("""WITH n AS (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'short_name' WHEN event_id % 6 = 1 THEN 'Day' || (1 + event_id % 7) || '_a2_OLD_OAK_' || event_type || '_1' || lpad((event_id % 1000)::VARCHAR, 7, '0')
+  ELSE 'DAY' || (1 + event_id % 7) || '_A' || (user_id % 6) || '_N' || user_id || '_' || lpad((event_id % 1000)::VARCHAR, 8, '0') END AS name FROM events), p AS (SELECT event_id, name, string_split(name, '_') AS p FROM n)
+SELECT event_id, 'x/y/' || name || '.v1.mp4' AS path, name || '.v1' AS stem, CASE WHEN len(p) >= 4 THEN p[1] END AS day, CASE WHEN len(p) >= 4 THEN p[2] END AS person, CASE WHEN len(p) >= 4 THEN array_to_string(p[3:len(p) - 1], '_') END AS who,
+  CASE WHEN len(p) >= 4 THEN p[len(p)] END AS time FROM p""")
+def clip_name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, day = F.col("event_id"), (1 + F.col("event_id") % 7).cast("string")
+    low = (i % 1000).cast("string")
+    odd = F.concat(F.lit("Day"), day, F.lit("_a2_OLD_OAK_"), "event_type", F.lit("_1"), F.lpad(low, 7, "0"))
+    usual = F.concat(F.lit("DAY"), day, F.lit("_A"), (F.col("user_id") % 6).cast("string"), F.lit("_N"), F.col("user_id").cast("string"), F.lit("_"), F.lpad(low, 8, "0"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(i % 6 == 0, "short_name").when(i % 6 == 1, odd).otherwise(usual).alias("name"))
+    rows = rows.withColumn("path", F.concat(F.lit("x/y/"), "name", F.lit(".v1.mp4"))).withColumn("p", times.clip_parts(F.col("name")))
+    return rows.select("event_id", "path", times.stem(F.col("path")).alias("stem"), "p.day", "p.person", "p.who", "p.time")
+
+
+@query("""WITH s AS (SELECT vec_id, vec_id % 90 + 3 AS size, vec_id % 7 + 1 AS n, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT vec_id, round(list_sum(v[1:20]), 6) AS cut, round(list_sum(v), 6) AS padded, 80 AS n_padded, array_to_string(list_transform(range(8), lambda k: floor(k * (size - 1) / 7.0)::INT), ',') AS eight, '0' AS one, list_count(list_distinct(list_transform(range(8), lambda k: floor(k * (size - 1) / 7.0)::INT))) AS n_different FROM s""")
+def padded_and_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors cut and padded to a size, and frames sampled evenly, eight at most."""
+    total = lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 6)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), (F.col("vec_id") % 90 + 3).alias("size"))
+    eight = vectors.even_indices(F.lit(0), F.col("size") - 1, 8)
+    wide = vectors.pad_or_cut(F.col("v"), 80)
+    return rows.select("vec_id", total(vectors.pad_or_cut(F.col("v"), 20)).alias("cut"), total(wide).alias("padded"), F.size(wide).alias("n_padded"), F.array_join(eight.cast("array<string>"), ",").alias("eight"), F.array_join(vectors.even_indices(F.lit(0), F.lit(5), 1).cast("array<string>"), ",").alias("one"), F.size(F.array_distinct(eight)).cast("long").alias("n_different"))
+
+
+@query("""WITH r AS (SELECT conv_id, turn, coalesce(replace(text, chr(10), ' '), '') AS t FROM conversations), m AS (SELECT *, CASE turn % 3 WHEN 0 THEN 'user: ask' || chr(10) || 'ASSISTANT: ' || t || ' ' WHEN 1 THEN t || chr(10) || '-----' || chr(10) || 'tail' ELSE t END AS reply FROM r)
+SELECT conv_id, turn, md5(trim(t)) AS answer_md5, array_to_string(list_filter(['The', 'and', 'zebra'], lambda x: contains(lower(reply), lower(x))), ',') AS tags FROM m""")
+def reply_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers behind an echo or before a dashed tail, and the tags of a vocabulary that a reply names."""
+    t = F.coalesce(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), F.lit(""))
+    reply = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("user: ask\nASSISTANT: "), t, F.lit(" "))).when(F.col("turn") % 3 == 1, F.concat(t, F.lit("\n-----\ntail"))).otherwise(t)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", reply.alias("reply"))
+    return rows.select("conv_id", "turn", F.md5(texts.answer_part(F.col("reply"))).alias("answer_md5"), F.array_join(texts.tags_in_reply(F.col("reply"), ["The", "and", "zebra"]), ",").alias("tags"))
+
+
+_ANY = " OR ".join(f"contains(t, '{p}')" for p in planner.RETRIEVER_ANY_DAY)
+
+
+@query(f"""WITH plans AS ({planner_sql()}), src AS ({SENTENCES_SQL}), x AS (SELECT qid, t, d, regexp_extract(d, '(\\d+)', 1)::INT AS n, list_transform(list_distinct(regexp_extract_all(t, '\\bday\\s*([1-7])\\b', 1)), lambda z: 'DAY' || z) AS explicit FROM src)
+SELECT qid, array_to_string(list_sort(CASE WHEN len(explicit) > 0 THEN explicit WHEN contains(t, 'yesterday') AND n > 1 THEN ['DAY' || (n - 1)] WHEN contains(t, 'tomorrow') AND n < 7 THEN ['DAY' || (n + 1)] WHEN {_ANY} THEN NULL WHEN d IS NOT NULL THEN [d] END), ',') AS inferred,
+  array_to_string(list_filter(['rewrite_query', CASE WHEN days <> '' THEN 'day_filter' END, CASE WHEN ranges <> '' THEN 'time_range_filter' END, CASE WHEN relation IN ('before_query_time', 'after_query_time') THEN relation || '_filter' END, 'video_retrieval', 'window_retrieval', 'scene_retrieval',
+    CASE WHEN ranges <> '' OR relation <> 'unrestricted' THEN 'temporal_rerank' END], lambda z: z IS NOT NULL), '>') AS workflow FROM plans JOIN x USING (qid)""")
+def workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps of each sentence's plan, and the days that the retriever would infer without one."""
+    asked = sentences(spark, sf_dir)
+    steps = planner.plan(asked, use_windows=True, rewrite_query=True).select("qid", F.array_join("plan.workflow", ">").alias("workflow"))
+    days = planner.retriever_days(F.lower("query_text"), F.col("query_date"))
+    return asked.select("qid", F.array_join(F.array_sort(days), ",").alias("inferred")).join(steps, "qid")
+
+
+@query(f"""WITH {_TIMED}, p AS (SELECT user_id, s, (event_id % 10 = 3)::INT AS later FROM events JOIN (SELECT scene AS event_id, s FROM t) USING (event_id)
+), m AS (SELECT max(s) - 86400000000 AS mark FROM p WHERE later = 0)
+SELECT s // 3600000000 * 3600000000 AS start_us, user_id, count(*) AS n FROM p, m WHERE later = 0 OR s // 3600000000 * 3600000000 + 3600000000 > mark GROUP BY ALL""")
+def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours of events on a stream; a tenth of the events comes behind the others, and counts only where the watermark lets it."""
+    place = tables.new_folder(spark, "segments")
+    rows = table(spark, sf_dir, "events").where("ts IS NOT NULL").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    late = F.col("event_id") % 10 == 3
+    last = rows.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 9000 DAYS")).alias("ts"), F.lit(0.0).alias("value"))
+    for arrived in (rows.where(~late), rows.where(late), last):
+        arrived.write.mode("append").parquet(f"{place}/in")
+        seen = events.segments(spark.readStream.schema(rows.schema).parquet(f"{place}/in"), "1 hour", "1 day")
+        seen.select(F.unix_micros("start").alias("start_us"), "user_id", "n").writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("start_us long, user_id long, n long").parquet(f"{place}/out")
