@@ -7,7 +7,9 @@ units that collide, components of the confirmed links.
   last words' hash falls into one of ``cut_share`` classes, so where it is cut depends on the words there only.
 * Windows: a passage that is spliced into other text, or wrapped otherwise, makes no similar line. So runs of
   ``window_words`` words are taken, across lines, from anchors that the words alone decide: the least shingle hash of every
-  ``reach`` successive ones. Equal runs of ``run_words`` words hold an equal window wherever they stand.
+  ``reach`` successive ones. Equal runs of ``run_words`` words hold an equal window wherever they stand. A passage of 50
+  words or more that is edited to a similarity of 0.8 has, between the edits, a run of half its words at least: so edited
+  passages are caught too, in the parts that stayed (tests measure how many).
 
 All units come from one pass over the texts and are written once. Equal word sequences are one node (a 64-bit hash, with 32
 further bits wherever members are counted). All but the first unit of each component are removed. Windows inside removed
@@ -49,8 +51,8 @@ class Settings:
     den: int = 100
     rows: int = 2
     recall: float = 0.999
-    run_words: int = 50
-    window_words: int = 26
+    run_words: int = 32
+    window_words: int = 20
     window_rows: int = 3
 
     @property

@@ -38,7 +38,7 @@ def unit_windows(raw):
 
 
 def test_units_of_short_texts():
-    for n in (0, 1, 4, 5, 49):
+    for n in (0, 1, 4, 5, 31):
         found, (begin, size), *_ = unit_windows(prose(1, n).encode())
         assert len(found) == 0 and size.tolist() == ([n] if n >= 20 else [])
 
@@ -136,3 +136,27 @@ def test_word_hashes_are_of_bytes_alone():
         for w, h in zip(mine, words[first[k] : first[k + 1]].tolist()):
             assert known.setdefault(w, h) == h
     assert len(set(known.values())) == len(known)
+
+
+def test_edited_passages_meet(spark):
+    """Passages of 50 to 150 words, edited to a similarity of 0.8 or more and spliced into other text, leave a removed unit inside."""
+    rng = random.Random(21)
+    rows, places, kinds = [], [], []
+    for size, changes, middle in ((60, 1, True), (60, 1, False), (50, 1, False), (100, 2, False), (150, 3, False)):
+        for _ in range(60):
+            words = prose(rng.randrange(10**9), size).split()
+            other = list(words)
+            for place in [size // 2] if middle else rng.sample(range(size), changes):
+                other[place] = f"new{rng.randrange(10**9)}"
+            assert similarity(" ".join(words), " ".join(other)) >= 0.8 or changes > 1 or size == 50
+            for part in (words, other):
+                left, right = (prose(rng.randrange(10**9), rng.randrange(5, 200)) for _ in range(2))
+                rows.append((len(rows), f"{left} {' '.join(part)} {right}"))
+                places.append((len(left) + 1, len(left) + 1 + len(" ".join(part))))
+            kinds.append((size, changes, middle, similarity(" ".join(words), " ".join(other)) >= 0.8))
+    got = paragraphs.paragraph_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    caught = {r.doc_id // 2 for r in got if r.removed and r.doc_id % 2 and places[r.doc_id][0] <= r.start and r.end <= places[r.doc_id][1] and r.keep_doc_id == r.doc_id - 1}
+    for kind in dict.fromkeys(k[:3] for k in kinds):
+        near = {n for n, k in enumerate(kinds) if k[:3] == kind and k[3]}
+        assert len(caught & near) >= 0.9 * len(near), (kind, len(caught & near), len(near))
+    assert {r.keep_doc_id for r in got if r.removed} <= {r.doc_id - 1 for r in got if r.removed}  # nothing else is removed
