@@ -51,7 +51,7 @@ class Settings:
     den: int = 100
     rows: int = 2
     recall: float = 0.999
-    run_words: int = 32
+    run_words: int = 36
     window_words: int = 20
     window_rows: int = 3
 
