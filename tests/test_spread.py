@@ -23,3 +23,11 @@ def test_windows_of_one_video_are_judged_in_several_tasks(spark):
     assert _tasks(found) > 4
 
 
+def test_pairs_of_one_tag_come_from_several_tasks(spark):
+    rows = spark.range(300).selectExpr("id AS item", "array('a', IF(id % 2 = 0, 'B', NULL), 'A') AS tags")
+    wanted = spark.range(40).selectExpr("id AS qid", "IF(id % 3 = 0, array('A', 'b'), IF(id % 3 = 1, array('B'), array())) AS wanted")
+    found = filters.sharing_a_tag(rows.union(rows.where("item = 8")), wanted)
+    pairs = [(r.qid, r.item) for r in found.collect()]
+    expected = [(q, i) for q in range(40) for i in [*range(300), 8] if q % 3 == 0 or (q % 3 == 1 and i % 2 == 0)]
+    assert sorted(pairs) == sorted(expected)  # a row that is given twice counts twice, as in a join
+    assert _tasks(found) > 4
