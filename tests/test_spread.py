@@ -1,11 +1,13 @@
 """Joins that give far more rows than they read are spread over tasks, whatever their keys, and lose no row."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from sightline.operators import filters
+from sightline.plans import retrieval
 
 
 def _tasks(rows):
-    from pyspark.sql import functions as F
-
     return rows.select(F.spark_partition_id().alias("p")).distinct().count()
 
 
@@ -31,3 +33,18 @@ def test_pairs_of_one_tag_come_from_several_tasks(spark):
     expected = [(q, i) for q in range(40) for i in [*range(300), 8] if q % 3 == 0 or (q % 3 == 1 and i % 2 == 0)]
     assert sorted(pairs) == sorted(expected)  # a row that is given twice counts twice, as in a join
     assert _tasks(found) > 4
+
+
+def test_scenes_of_one_video_meet_their_queries_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    vecs, asks = rng.normal(size=(90, 4)), rng.normal(size=(30, 4))
+    items = spark.createDataFrame([("v", i, "a", v.tolist()) for i, v in enumerate(vecs)], "video string, ord long, modality string, vec array<double>")
+    queries = spark.createDataFrame([(q, "a", v.tolist()) for q, v in enumerate(asks)], "qid long, modality string, vec array<double>")
+    chosen = spark.range(30).selectExpr("id AS qid", "'v' AS video", "1 AS video_rank")
+    found = retrieval.best_in_videos(items, "ord", chosen, queries, 3, item_block=16, query_block=8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    expected = np.argsort(-(unit(asks) @ unit(vecs).T), axis=1)[:, :3]
+    got = {(r.qid, r["rank"]): r.place for r in found.collect()}
+    assert got == {(q, n + 1): int(expected[q, n]) for q in range(30) for n in range(3)}
+    counted = retrieval.top_scenes(items, chosen, queries, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" in counted  # pairs of queries and scenes are no rows
