@@ -11,10 +11,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.filters import in_window, shares_tag
+from ..operators.filters import shares_tag
 from ..operators.ranking import _best, rrf, top_k
 from ..sources.tables import written
-from .retrieval import scored, top_scenes
+from .retrieval import best_in_videos, fused_places, top_scenes
 
 CLIP_SECONDS = 30.0
 
@@ -135,16 +135,39 @@ def permitted_videos(videos: DataFrame, asked: DataFrame, k: int, item_block: in
     return top_k(rrf(ranked, ["qid", "video"]), ["qid"], [F.desc("score"), F.asc("video")], k, "video_rank")
 
 
+def _met(items, asked) -> np.ndarray:
+    """[q, i]: the window meets the query's days, ranges and relation, as ``filters.in_window``, and shares a wanted tag."""
+    out = _sharing(items, asked)
+    days, at_day = np.unique(np.array([d or "" for d in items.column("day").to_pylist()]), return_inverse=True)
+    start, end = (np.array([np.nan if t is None else t for t in items.column(c).to_pylist()], float) for c in ("start", "end"))
+    for q, c in enumerate(asked.column("c").to_pylist()):
+        if not c:
+            continue
+        if c["allowed_days"] and None not in c["allowed_days"]:
+            out[q] &= np.array([not d or d in c["allowed_days"] for d in days])[at_day]
+        if c["ranges"]:
+            bounds = [(-np.inf if r["s"] is None else r["s"], np.inf if r["e"] is None else r["e"]) for r in c["ranges"]]
+            out[q] &= np.any([~(end < s) & ~(start > e) for s, e in bounds], axis=0)
+        at = c["query_time_sec"]
+        if at is not None and at > 0 and c["relation"] in ("before_query_time", "after_query_time"):
+            stands = ~(start > at) if c["relation"] == "before_query_time" else ~(end < at)
+            out[q] &= ~np.array([bool(d) and d.upper() == (c["query_date"] or "").upper() for d in days])[at_day] | stands
+    return out
+
+
+def _sharing(items, asked) -> np.ndarray:
+    return _tagged(items.column("tags").to_pylist(), asked.column("wanted").to_pylist())
+
+
 def permitted_windows(windows: DataFrame, chosen: DataFrame, queries: DataFrame, plans: DataFrame, k: int) -> DataFrame:
     """``qid, video, video_rank, window``: the k best windows over a query's chosen videos that meet its days, times and tags.
 
     windows: video, window, modality, vec, norm, day, start, end (seconds of the day), tags.
     """
-    candidates = windows.join(chosen.select("qid", "video", "video_rank"), "video").join(plans.select("qid", "c", F.col("tags").alias("wanted")), "qid")
-    candidates = candidates.where(in_window(F.col("day"), F.col("start"), F.col("end"), F.col("c")) & shares_tag(F.col("tags"), F.col("wanted"))).drop("c", "wanted", "tags", "day", "start", "end")
-    ranked = top_k(scored(candidates, queries, ["qid", "modality"]), ["qid", "video", "modality"], [F.desc("score"), F.asc("window")], k)
-    fused = rrf(ranked, ["qid", "video", "video_rank", "window"])
-    return top_k(fused, ["qid"], [F.desc("score"), F.asc("video_rank"), F.asc("window")], k).select("qid", "video", "video_rank", "window")
+    wanted = chosen.select("qid", "video", "video_rank").join(plans.select("qid", F.col("c").cast(CONSTRAINTS).alias("c"), F.col("tags").alias("wanted")), "qid")
+    own = windows.select("video", "window", "modality", "vec", "day", "start", "end", "tags")
+    ranked = best_in_videos(own, "window", wanted, queries, k, _met, ("c", "wanted"))
+    return fused_places(ranked, "window", k).select("qid", "video", "video_rank", "window")
 
 
 def planned_search(videos: DataFrame, windows: DataFrame, places: DataFrame, scenes: DataFrame, queries: DataFrame, plans: DataFrame, k_videos: int = 3, k_windows: int = 2, k_scenes: int = 5, only_planned: bool = False) -> DataFrame:
@@ -164,9 +187,8 @@ def planned_search(videos: DataFrame, windows: DataFrame, places: DataFrame, sce
     best = written(permitted_windows(windows, through, own, plans, k_windows), "windows")
     inside = best.join(places, ["video", "window"]).select("qid", "video", "video_rank", "ord").distinct()
     straight = chosen.join(best.select("qid").distinct(), "qid", "left_anti")
-    found = None
-    for rows, on, by in ((inside, ("video", "ord"), "windows"), (straight, ("video",), "videos")):
-        kept = scenes.join(rows, list(on)).join(plans.select("qid", F.col("tags").alias("wanted")), "qid").where(shares_tag(F.col("tags"), F.col("wanted")))
-        some = top_scenes(scenes.drop("tags"), kept.select("qid", "video", "ord", "video_rank").distinct(), own, k_scenes, ("video", "ord")).withColumn("by", F.lit(by))
-        found = some if found is None else found.union(some)
-    return found
+    tags = plans.select("qid", F.col("tags").alias("wanted"))
+    kept = scenes.join(inside, ["video", "ord"]).join(tags, "qid").where(shares_tag(F.col("tags"), F.col("wanted")))  # a few windows a query
+    found = top_scenes(scenes.drop("tags"), kept.select("qid", "video", "ord", "video_rank").distinct(), own, k_scenes, ("video", "ord")).withColumn("by", F.lit("windows"))
+    ranked = best_in_videos(scenes.select("video", "ord", "modality", "vec", "tags"), "ord", straight.join(tags, "qid"), own, 2 * k_scenes, _sharing, ("wanted",))
+    return found.union(fused_places(ranked, "ord", k_scenes).withColumn("by", F.lit("videos")).select(*found.columns))

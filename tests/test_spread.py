@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sightline.operators import filters
-from sightline.plans import retrieval
+from sightline.plans import retrieval, search
 
 
 def _tasks(rows):
@@ -48,3 +48,14 @@ def test_scenes_of_one_video_meet_their_queries_in_blocks(spark):
     assert got == {(q, n + 1): int(expected[q, n]) for q in range(30) for n in range(3)}
     counted = retrieval.top_scenes(items, chosen, queries, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroups" in counted  # pairs of queries and scenes are no rows
+
+
+def test_windows_in_blocks_obey_what_the_filter_says(spark):
+    windows = spark.range(60).selectExpr("IF(id % 3 = 0, NULL, IF(id % 3 = 1, 'DAY1', 'day2')) AS day", "IF(id % 7 = 0, NULL, id * 10.0D) AS start", "id * 10.0D + 25 AS end", "array('T' || id % 4, NULL) AS tags", "id AS w")
+    limits = """IF(id % 9 = 0, NULL, named_struct('query_date', IF(id % 4 = 0, NULL, 'DAY2'), 'query_time_sec', IF(id % 5 = 0, NULL, id * 9.0D), 'allowed_days', IF(id % 3 = 0, array('DAY1'), IF(id % 3 = 1, array('DAY1', NULL), array())),
+      'ranges', IF(id % 2 = 0, array(named_struct('s', id * 5.0D, 'e', id * 5.0D + 100)), array()), 'relation', element_at(array('before_query_time', 'after_query_time', 'unrestricted'), CAST(id % 3 + 1 AS INT))))"""
+    asked = spark.range(50).selectExpr("id AS q", f"CAST({limits} AS {search.CONSTRAINTS}) AS c", "IF(id % 2 = 0, array(), array('t1')) AS wanted")
+    passes = filters.in_window(F.col("day"), F.col("start"), F.col("end"), F.col("c")) & filters.shares_tag(F.col("tags"), F.col("wanted"))
+    expected = {(r.q, r.w) for r in windows.crossJoin(asked).where(passes).select("q", "w").collect()}
+    met = search._met(windows.orderBy("w").coalesce(1).toArrow(), asked.orderBy("q").coalesce(1).toArrow())
+    assert {(int(q), int(w)) for q, w in zip(*np.nonzero(met))} == expected and 0 < len(expected) < 3000
