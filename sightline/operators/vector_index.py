@@ -9,8 +9,8 @@ true distances from below, so ``search(..., exact=True)`` can leave out lists an
 still return what comparing all pairs would.
 
 Centroids and codes are fitted on a bounded sample of rows (``Settings.sample``, by a hash of the id), in tasks; they are all
-that the driver sees of the vectors. All rows are indexed. Queries are a table: they meet lists by shuffles, and lists,
-a third of all rows perhaps, are cut into blocks, so that a task holds a block of rows and a chunk of queries.
+that the driver sees of the vectors. All rows are indexed. Queries are a table: a chunk of them meets a rack of lists in a task (lists,
+a third of all rows perhaps, are cut into blocks), and a rack gives k rows a query on.
 """
 
 from __future__ import annotations
@@ -22,14 +22,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, double, norm
-from .ranking import top_k
+from ..functions.vectors import double, norm
+from .ranking import _best, top_k
 
 
 @dataclass(frozen=True)
 class Settings:
     """lists: None takes the square root of the rows, up to ``most_lists``. recall: what the number of lists to visit is
-    chosen for, on the sample. refine: candidates of a query that are ranked again, in multiples of k."""
+    chosen for, on the sample. refine: candidates of a query that are ranked again, in multiples of k. block: rows of a list that stay together. rack: rows, and
+    chunk: queries, that meet in a task (with 64 components some 70 MB and 4 MB)."""
 
     lists: int | None = None
     most_lists: int = 1024
@@ -41,7 +42,8 @@ class Settings:
     refine: int = 32
     seed: int = 7
     block: int = 16_384
-    chunk: int = 1_024
+    rack: int = 131_072
+    chunk: int = 8_192
 
 
 def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -237,44 +239,33 @@ def open_index(spark: SparkSession, path: str, settings: Settings = Settings())
     return Index(path, spark, centres, scales, books, next(r.a for r in model if r.kind == "visit"), settings)
 
 
-def _some(batches: Iterator, rows: int = 256) -> Iterator:
-    """Batches in parts, for rows that are given out once a list."""
-    for batch in batches:
-        for a in range(0, batch.num_rows, rows):
-            yield batch.slice(a, rows)
+def _reached(q: np.ndarray, centres: np.ndarray, radii: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """[q, list]: the list can hold a vector at most ``reach`` away from the query."""
+    return np.sqrt(distances(q, centres)) - radii[None, :] <= reach[:, None]
 
 
-def _nearest_lists(centres, sizes, visit: int, k: int):
-    """The ``visit`` nearest lists of each query, and more of them while they hold fewer than k rows."""
+def _lists_within(centres, radii, rows: int = 256):
+    """``qid, q, reach, list``: what ``_reached`` leaves of the lists, as rows, to see how many an exact search reads."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in _some(batches):
-            far = distances(_matrix(batch.column(1)), centres.value)
-            order = np.argsort(far, axis=1, kind="stable")
-            held = np.cumsum(sizes.value[order], axis=1)
-            wanted = np.maximum(visit, (held < k).sum(1) + 1).clip(max=order.shape[1])
-            row, place = np.nonzero(np.arange(order.shape[1])[None, :] < wanted[:, None])
+        for batch in (b.slice(a, rows) for b in batches for a in range(0, b.num_rows, rows)):
+            row, number = np.nonzero(_reached(_matrix(batch.column(1)), centres.value, radii.value, batch.column(2).to_numpy()))
             at = pa.array(row)
-            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(order[row, place].astype(np.int32))], names=["qid", "q", "list"])
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(number.astype(np.int32))], names=["qid", "q", "reach", "list"])
 
     return run
 
 
-def _lists_within(centres, radii):
-    """Lists that can hold a vector at most ``reach`` away from the query."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in _some(batches):
-            far = np.sqrt(distances(_matrix(batch.column(1)), centres.value))
-            row, number = np.nonzero(far - radii.value[None, :] <= batch.column(2).to_numpy()[:, None])
-            at = pa.array(row)
-            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(number.astype(np.int32))], names=["qid", "q", "reach", "list"])
-
-    return run
+def _lists_of(far: np.ndarray, sizes: np.ndarray, visit: int, k: int) -> np.ndarray:
+    """[q, list]: the ``visit`` nearest lists of each query, and more of them while they hold fewer than k rows."""
+    order = np.argsort(far, axis=1, kind="stable")
+    held = np.cumsum(sizes[order], axis=1)
+    wanted = np.maximum(visit, (held < k).sum(1) + 1).clip(max=order.shape[1])
+    out = np.zeros(far.shape, bool)
+    np.put_along_axis(out, order, np.arange(order.shape[1])[None, :] < wanted[:, None], 1)
+    return out
 
 
 def _estimates(q: np.ndarray, centre: np.ndarray, scale: float, books: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
@@ -285,79 +276,124 @@ def _estimates(q: np.ndarray, centre: np.ndarray, scale: float, books: list[np.n
     return total * scale**2
 
 
-def _scan(coarse, books, keep: int | None, step: int = 64):
-    """Candidates of a chunk of queries in a block of a list: the ``keep`` nearest by estimate, or all that can be within reach."""
+class _Rack:
+    """Rows of several lists in one task, by list: ``parts`` are the lists' numbers and ranges."""
+
+    def __init__(self, rows):
+        number = rows.column("list").to_numpy()
+        order = np.argsort(number, kind="stable")
+        self.item, self.error = (rows.column(c).to_numpy()[order] for c in ("item", "error"))
+        self.vec = _matrix(rows.column("vec"))[order]
+        self.codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(rows.num_rows, -1)[order]
+        held, first = np.unique(number[order], return_index=True)
+        self.parts = list(zip(held.tolist(), first.tolist(), [*first[1:].tolist(), rows.num_rows]))
+
+
+def _nearest_rows(rack: _Rack, q: np.ndarray, wanted: np.ndarray, model, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and cosine of the ``keep`` rows nearest to each query by estimate, in the lists that it wants."""
+    (centres, scales), books = model
+    best, at = np.full((len(q), keep), np.inf), np.full((len(q), keep), -1)
+    for number, first, end in rack.parts:
+        asks = np.flatnonzero(wanted[:, number])
+        if not len(asks):
+            continue
+        far = _estimates(q[asks], centres[number], scales[number], books, rack.codes[first:end])
+        nearer = far.min(1) < best[asks].max(1)
+        asks, far = asks[nearer], far[nearer]
+        both = np.concatenate([best[asks], far], axis=1)
+        rows = np.concatenate([at[asks], np.arange(first, end)[None, :].repeat(len(asks), 0)], axis=1)
+        kept = np.argpartition(both, keep - 1, axis=1)[:, :keep]
+        best[asks], at[asks] = np.take_along_axis(both, kept, 1), np.take_along_axis(rows, kept, 1)
+    row, column = np.nonzero(at >= 0)
+    at = at[row, column]
+    return row, at, np.einsum("ij,ij->i", q[row], rack.vec[at])
+
+
+def _rows_within(rack: _Rack, q: np.ndarray, wanted: np.ndarray, model, reach: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and cosine of the k best rows of each list for each query, of those that their bounds leave within its reach."""
+    (centres, scales), books = model
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for number, first, end in rack.parts:
+        asks = np.flatnonzero(wanted[:, number])
+        if not len(asks):
+            continue
+        far = _estimates(q[asks], centres[number], scales[number], books, rack.codes[first:end])
+        out_of_reach = np.sqrt(far) - rack.error[None, first:end] > reach[asks, None]
+        values = np.round(q[asks] @ rack.vec[first:end].T, 12)
+        values[out_of_reach] = -np.inf
+        row, column = _best(values, rack.item[first:end], k)
+        score = values[row, column]
+        kept = np.isfinite(score)
+        found.append((asks[row[kept]], first + column[kept], score[kept]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _scan(coarse, books, held, visit: int, k: int, keep: int | None, step: int = 64):
+    """The k best of a rack's rows for each query of a chunk: of the ``keep`` nearest by estimate, or of all that can be within reach."""
 
     def run(asked, rows):
         import pyarrow as pa
 
-        out = []
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if asked.num_rows and rows.num_rows:
-            number = asked.column("list")[0].as_py()
-            centre, scale = coarse.value[0][number], coarse.value[1][number]
-            codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-            item, error, qid, q = rows.column("item").to_numpy(), rows.column("error").to_numpy(), asked.column("qid").to_numpy(), _matrix(asked.column("q"))
-            for a in range(0, len(q), step):
-                far = _estimates(q[a : a + step], centre, scale, books.value, codes)
+            rack, model = _Rack(rows), (coarse.value, books.value)
+            sizes, radii = held.value
+            qid, queries = asked.column("qid").to_numpy(), _matrix(asked.column("q"))
+            for a in range(0, len(queries), step):
+                q = queries[a : a + step]
                 if keep is None:
                     reach = asked.column("reach").to_numpy()[a : a + step]
-                    row, column = np.nonzero(np.sqrt(far) - error[None, :] <= reach[:, None])
-                elif far.shape[1] > keep:
-                    column = np.argpartition(far, keep - 1, axis=1)[:, :keep].ravel()
-                    row = np.repeat(np.arange(len(far)), keep)
+                    row, at, score = _rows_within(rack, q, _reached(q, coarse.value[0], radii, reach), model, reach, k)
                 else:
-                    row, column = (x.ravel() for x in np.indices(far.shape))
-                out.append((qid[a + row], item[column], far[row, column]))
-        joined = [np.concatenate(x) for x in zip(*out)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table([pa.array(joined[0], pa.int64()), pa.array(joined[1], pa.int64()), pa.array(joined[2], pa.float64())], names=["qid", "item", "far"])
+                    row, at, score = _nearest_rows(rack, q, _lists_of(distances(q, coarse.value[0]), sizes, visit, k), model, keep)
+                score, item = np.round(score, 12), rack.item[at]
+                order = np.lexsort((item, -score, row))
+                row, item, score = row[order], item[order], score[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                out.append((qid[a + row[first]], item[first], score[first]))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], names=["qid", "item", "score"])
 
     return run
 
 
-def _candidates(index: Index, asks: DataFrame, keep: int | None) -> DataFrame:
-    """``qid, item, far`` of asks (qid, q, list[, reach]): blocks of lists meet chunks of the queries that visit them."""
-    context, s = index.spark.sparkContext, index.settings
-    sizes = F.broadcast(index.lists.select("list", F.ceil(F.col("size") / s.block).cast("int").alias("blocks")))  # at most most_lists rows
-    chunks = F.broadcast(asks.groupBy("list").agg(F.ceil(F.count("*") / s.chunk).cast("int").alias("chunks")))  # at most most_lists rows
-    number = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asks.join(sizes, "list").join(chunks, "list").withColumn("chunk", number("qid", "chunks")).withColumn("block", every("blocks"))
-    right = index.rows.select("list", "item", "codes", "error").join(sizes, "list").join(chunks, "list").withColumn("block", number("item", "blocks")).withColumn("chunk", every("chunks"))
-    keys = ["list", "block", "chunk"]
-    scan = _scan(context.broadcast((index.centres, index.scales)), context.broadcast(index.codebooks), keep)
-    return left.drop("blocks", "chunks").groupBy(*keys).cogroup(right.drop("blocks", "chunks").groupBy(*keys)).applyInArrow(scan, "qid long, item long, far double")
-
+def _found(index: Index, asked: DataFrame, held: tuple[np.ndarray, np.ndarray], visit: int, k: int, keep: int | None) -> DataFrame:
+    """``qid, item, score, rank`` of asked (qid, q[, reach]): chunks of queries meet racks of lists, and k rows a query and rack go on.
 
-def _ranked_again(index: Index, candidates: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """``qid, item, score, rank``: the k best candidates by true cosine."""
-    rows = candidates.select("qid", "item").join(index.rows.select("item", "vec"), "item").join(asked, "qid")
-    one = F.lit(1.0)
-    scored = rows.select("qid", "item", F.round(cosine(F.col("vec"), F.col("q"), one, one), 12).alias("score"))
-    return top_k(scored, ["qid"], [F.desc("score"), F.asc("item")], k)
+    Lists, large ones in blocks, are dealt into racks, with their vectors, so what is shuffled are the rows once a chunk and the queries
+    once a rack; candidates stay in their task.
+    """
+    context, s = index.spark.sparkContext, index.settings
+    racks = max(1, -(-int(held[0].sum()) // s.rack))
+    chunks = max(1, -(-asked.count() // s.chunk), -(-context.defaultParallelism // racks))
+    blocks = F.broadcast(index.lists.select("list", F.ceil(F.col("size") / s.block).cast("int").alias("blocks")))  # at most most_lists rows
+    number = lambda n, *of: F.pmod(F.xxhash64(*of), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("chunk", number(F.lit(chunks), "qid")).withColumn("rack", every(racks))
+    right = index.rows.select("list", "item", "vec", "codes", "error").join(blocks, "list").withColumn("rack", number(F.lit(racks), "list", number(F.col("blocks"), "item"))).drop("blocks").withColumn("chunk", every(chunks))
+    scan = _scan(context.broadcast((index.centres, index.scales)), context.broadcast(index.codebooks), context.broadcast(held), visit, k, keep)
+    found = left.groupBy("rack", "chunk").cogroup(right.groupBy("rack", "chunk")).applyInArrow(scan, "qid long, item long, score double")
+    return top_k(found, ["qid"], [F.desc("score"), F.asc("item")], k)
 
 
 def search(index: Index, queries: DataFrame, k: int = 10, visit: int | None = None, exact: bool = False) -> DataFrame:
     """``qid, item, score, rank``: the k most similar rows of each query (qid, vec) by cosine, ties by the smaller item.
 
-    By default the ``visit`` nearest lists are read (as many as the sample asked for), and ``refine`` times k candidates ranked
-    again. ``exact``: what that finds limits how far away a row of the true list can be; all rows which their bounds
+    By default the ``visit`` nearest lists are read (as many as the sample asked for), and ``refine`` times k candidates of each rack
+    ranked again. ``exact``: what that finds limits how far away a row of the true list can be; all rows which their bounds
     leave within that distance are ranked, so the result is the one of comparing all pairs. Queries and rows without a
     direction have no result.
     """
     asked = _unit(queries, "qid", "vec").select(F.col("item").alias("qid"), F.col("vec").alias("q"))
-    context, lists = index.spark.sparkContext, len(index.centres)
+    lists = len(index.centres)
     radii, sizes = np.full(lists, -np.inf), np.zeros(lists, np.int64)
     for r in index.lists.collect():  # at most most_lists rows
         radii[r["list"]], sizes[r["list"]] = r["radius"], r["size"]
-    near = asked.mapInArrow(_nearest_lists(context.broadcast(index.centres), context.broadcast(sizes), min(visit or index.visit, lists), k), "qid long, q array<double>, list int")
-    keep = k * index.settings.refine
-    best = top_k(_candidates(index, near, keep), ["qid"], [F.asc("far"), F.asc("item")], keep, "place")
-    found = _ranked_again(index, best, asked, k)
+    visit, keep = min(visit or index.visit, lists), k * index.settings.refine
+    found = _found(index, asked, (sizes, radii), visit, k, keep)
     if not exact:
         return found
     # The k-th best score so far; without k candidates, any direction can be in the list.
     worst = found.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("score"))
     reach = F.when(F.col("n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))) + 1e-5).otherwise(F.lit(3.0))
     limited = asked.join(worst, "qid", "left").select("qid", "q", F.coalesce(reach, F.lit(3.0)).alias("reach"))
-    within = limited.mapInArrow(_lists_within(context.broadcast(index.centres), context.broadcast(radii)), "qid long, q array<double>, reach double, list int")
-    return _ranked_again(index, _candidates(index, within, None), asked, k)
+    return _found(index, limited, (sizes, radii), visit, k, None)

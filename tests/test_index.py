@@ -117,3 +117,17 @@ def test_settings_and_empty(spark, tmp_path):
     few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "id long, v array<double>")
     index = vector_index.build(few, "id", "v", str(tmp_path / "few"))
     assert listed(vector_index.search(index, spark.createDataFrame([(5, [1.0, 1.0])], "qid long, vec array<double>"), 5, exact=True)) == {5: [1, 2]}
+
+
+def test_racks_give_k_rows_a_query_on(spark, tables, vectors, index):
+    """Racks of a few lists and small chunks: the exact result is that of all pairs, and candidates are not shuffled."""
+    from dataclasses import replace
+
+    small = replace(index, settings=replace(index.settings, rack=400, chunk=30))
+    want = plain_top(vectors, [v for v in vectors if v[0] % 20 == 0], 10)
+    assert listed(vector_index.search(small, tables[1], 10, exact=True)) == want
+    found = vector_index.search(small, tables[1], 10)
+    got = listed(found)
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * sum(map(len, want.values()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroups") == 1 and plan.count("Join") == 1  # with the table of lists
