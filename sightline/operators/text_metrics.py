@@ -1,4 +1,4 @@
-"""ROUGE-L, BLEU and METEOR of pairs of texts, as joins, aggregations and expressions.
+"""ROUGE-L, BLEU and METEOR of pairs of texts, as joins, aggregations and expressions (BLEU within the row).
 
 ``pairs`` has ``id`` (different for each pair), ``candidate`` and ``reference``; null texts count as empty. Only the stemmer,
 over distinct words, is Python.
@@ -104,11 +104,11 @@ def bleu(pairs: DataFrame, orders: int = 4, smooth: float = 5.0) -> DataFrame:
     """
     split = pairs.select("id", blank_split(F.col("candidate")).alias("a"), blank_split(F.col("reference")).alias("b"))
     grams = lambda words, n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: i + n - 1 <= F.size(words)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    listed = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(s).alias("side"), grams(F.col(c), n).alias("grams")) for n in range(1, orders + 1) for s, c in enumerate("ab")))).alias("x")
-    each = split.select("id", listed).select("id", "x.n", "x.side", F.explode("x.grams").alias("gram"))
-    counted = each.groupBy("id", "n", "gram").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    hits = counted.groupBy("id").agg(*(F.sum(F.when(F.col("n") == n, F.least("a", "b")).otherwise(0)).alias(f"h{n}") for n in range(1, orders + 1)))
-    rows = split.select("id", F.size("a").alias("x"), F.size("b").alias("y")).join(hits, "id", "left").na.fill(0)
+    # The second of equal grams of a text is another member than the first, so that shared members are clipped counts.
+    told_apart = lambda g: _let(g, lambda x: F.transform(x, lambda y, i: F.concat_ws("\0", y, (i + 1 - F.array_position(x, y)).cast("string"))))
+    numbered = lambda c, n: told_apart(F.array_sort(grams(F.col(c), n)))
+    hits = lambda n: F.size(F.array_intersect(numbered("a", n), numbered("b", n)))
+    rows = split.select("id", F.size("a").alias("x"), F.size("b").alias("y"), *(hits(n).alias(f"h{n}") for n in range(1, orders + 1)))
     missed, logs = F.lit(0), F.lit(0.0)
     for n in range(1, orders + 1):
         none = F.col(f"h{n}") == 0

@@ -105,3 +105,10 @@ def test_meteor_matches_as_many_as_can_be():
 def test_empty_pairs(spark):
     none = spark.createDataFrame([], "id long, candidate string, reference string")
     assert [f(none).count() for f in (text_metrics.rouge_l, text_metrics.rouge_l_stemmed, text_metrics.bleu, text_metrics.meteor)] == [0] * 4
+
+
+def test_bleu_counts_in_the_row(spark):
+    """n-grams of a pair are no rows, so nothing but the pairs themselves is shuffled."""
+    pairs = spark.createDataFrame([(1, "a a b a", "a a a c"), (2, "x", None)], "id long, candidate string, reference string")
+    plan = text_metrics.bleu(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(step in plan for step in ("Generate", "Aggregate", "Join"))
