@@ -7,8 +7,13 @@ one band and each serves several, which gives a high recall from few samples. Li
 exact Jaccard similarity of their shingle sets, confirmed links are joined to components by distributed union-find
 (alternating stars), and one line of each stays.
 
+Of each line that shares a band, the number of its different shingles and 1,024 parity bits are kept: every shingle turns one bit over,
+so sets that differ in d members differ in at most d bits, and a pair that differs in more bits than the limit allows is no link. Only
+pairs that pass this bound, which loses none, are compared as sets.
+
 Members of a bucket are held against its least node first. Of buckets that still hold several components, those with equal
-members count once, and members of different components meet in blocks of bounded size; pairs are never emitted.
+members count once, and members of different components meet in blocks of bounded size, which give out the pairs that pass
+(lines of over ``dense`` shingles, which fill the bits, are compared as sets there).
 
 Only DataFrame functions are used. Nodes are 64-bit hashes of lines (among 1e11 different lines a few hundred would share one).
 """
@@ -25,6 +30,10 @@ from .common import bounded_broadcast, fresh, materialise, release
 from .components import components
 
 
+#: Numbers of 64 parity bits of a line.
+WORDS = 16
+
+
 def _times(a: int, b: int) -> int:
     """Multiplication in the field of four elements, whose addition is exclusive or."""
     return 0 if not a or not b else (a + b - 2) % 3 + 1
@@ -32,7 +41,7 @@ def _times(a: int, b: int) -> int:
 
 @dataclass(frozen=True)
 class Settings:
-    """Characters (UTF-16 units) in a shingle; the limit as numerator / denominator; members in a block.
+    """Characters (UTF-16 units) in a shingle; the limit as numerator / denominator; members in a block; shingles that fill the bits.
 
     A pair at 0.8 shares none of the 20 bands with probability 0.006, at 0.85 with 0.0006.
     """
@@ -41,6 +50,7 @@ class Settings:
     num: int = 80
     den: int = 100
     block: int = 128
+    dense: int = 2000
 
     @property
     def factors(self) -> list[int]:
@@ -65,14 +75,14 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.select("id", "pos", _line(F.col("raw")).alias("line")).where("line <> ''").select("id", "pos", F.xxhash64("line").alias("node"), "line")
 
 
-def _starts(length: Column, s: Settings) -> Column:
-    """Positions of the shingles; a line shorter than a shingle is its only one."""
-    return F.sequence(F.lit(0), F.greatest(length.cast("int") - s.chars, F.lit(0)))
+def _starts(wide: Column, s: Settings) -> Column:
+    """Places (from 1) in the bytes of UTF-16 at which shingles start; a line shorter than a shingle is its only one."""
+    return F.sequence(F.lit(1), F.greatest(F.length(wide) - 2 * s.chars + 1, F.lit(1)), F.lit(2))
 
 
 def _shingles(line: Column, s: Settings) -> Column:
     """The distinct shingles as 64-bit hashes; arrays of numbers are compared by hashing, those of binaries are not."""
-    own = lambda w: F.transform(_starts(F.length(w) / 2, s), lambda i: F.xxhash64(F.substring(w, 2 * i + 1, F.lit(2 * s.chars))))
+    own = lambda w: F.transform(_starts(w, s), lambda i: F.xxhash64(F.substring(w, i, F.lit(2 * s.chars))))
     wide = F.array(F.encode(line, "UTF-16BE"))  # bound to a variable, so that a line is encoded once and not for each shingle
     return F.get(F.transform(wide, lambda w: F.array_distinct(own(w))), F.lit(0))
 
@@ -80,13 +90,38 @@ def _shingles(line: Column, s: Settings) -> Column:
 def _keys(lines: DataFrame, s: Settings) -> DataFrame:
     """(node, keys) of each distinct line."""
     wide = lines.select("node", F.encode("line", "UTF-16BE").alias("wide"))
-    spots = wide.select("node", "wide", F.explode(_starts(F.length("wide") / 2, s)).alias("i"))
-    upper = F.shiftrightunsigned(F.xxhash64(F.substring("wide", 2 * F.col("i") + 1, F.lit(2 * s.chars))), 33)  # 31 bits: a product fits
+    spots = wide.select("node", "wide", F.explode(_starts(F.col("wide"), s)).alias("i"))
+    upper = F.shiftrightunsigned(F.xxhash64(F.substring("wide", F.col("i"), F.lit(2 * s.chars))), 33)  # 31 bits: a product fits
     hashed = spots.select("node", upper.alias("h"))
     samples = hashed.groupBy("node").agg(*(F.min((F.col("h") * F.lit(c)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"m{j}") for j, c in enumerate(s.factors)))
     return samples.select("node", F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{j}") for j in band)) for b, band in enumerate(s.bands))).alias("keys"))
 
 
+def _sketched(texts: DataFrame, s: Settings) -> DataFrame:
+    """(node, n, x0 to x15): the number of different shingles and their parities, 64 to a column."""
+    h = F.col("h")
+    spot = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 4).bitwiseAND(F.lit(63)).cast("int"))
+    words = (F.bit_xor(F.when(h.bitwiseAND(F.lit(WORDS - 1)) == j, spot).otherwise(F.lit(0).cast("long"))).alias(f"x{j}") for j in range(WORDS))
+    return texts.select("node", F.explode(_shingles(F.col("line"), s)).alias("h")).groupBy("node").agg(F.count("*").alias("n"), *words)
+
+
+def _named(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select(*(F.col(c).alias(f"{c}_{side}") for c in rows.columns))
+
+
+def _may_be_alike(s: Settings) -> Column:
+    """Whether the sets of sides a and b may reach the limit: with d members in one only it is n + m - d of n + m + d, and d is at least the bits that differ."""
+    n, m = F.col("n_a"), F.col("n_b")
+    differ = sum((F.bit_count(F.col(f"x{j}_a").bitwiseXOR(F.col(f"x{j}_b"))) for j in range(1, WORDS)), F.bit_count(F.col("x0_a").bitwiseXOR(F.col("x0_b"))))
+    return (s.den * F.least(n, m) >= s.num * F.greatest(n, m)) & ((s.den + s.num) * differ <= (s.den - s.num) * (n + m))
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) that the bound lets pass."""
+    x, y = (_named(sketches, side).withColumnRenamed(f"node_{side}", side) for side in "ab")
+    return pairs.join(x, "a").join(y, "b").where(_may_be_alike(s)).select("a", "b")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the limit. Lines travel as texts; their sets are made after the join."""
     x, y = (texts.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
@@ -107,46 +142,53 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return placed.join(mixed.groupBy("m", "s1", "s2", "s3", "s4").agg(F.min("key").alias("key")).select("key", "m"), "key")
 
 
-def _blocks(mixed: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """The links (a, b) between members of different components, found in pairs of blocks of at most about ``block`` members.
+def _blocks(mixed: DataFrame, sketches: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) of members of different components that may be links, found in pairs of blocks of at most about ``block`` members.
 
-    Lines travel as texts, and each member's set is made once in a pair of blocks.
+    Only lines of over ``dense`` shingles travel as texts, and are compared as sets where the bound lets them pass.
     """
     chunks = F.ceil(F.col("m") / s.block)
     dealt = mixed.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    dealt = dealt.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "comp").join(texts, "node")
-    met = dealt.groupBy("key", "i", "j").agg(F.collect_list(F.struct("chunk", "node", "comp", "line")).alias("m"))
-    with_sets = F.transform("m", lambda x: F.struct(x["chunk"].alias("chunk"), x["node"].alias("node"), x["comp"].alias("comp"), _shingles(x["line"], s).alias("set")))
-    apart = lambda x, y: (x["chunk"] <= y["chunk"]) & (x["comp"] != y["comp"]) & ((F.col("i") == F.col("j")) | (x["chunk"] < y["chunk"])) & ((x["chunk"] < y["chunk"]) | (x["node"] < y["node"]))
-    near = lambda m, x: F.filter(m, lambda y: apart(x, y) & _alike(F.size(x["set"]), x["set"], F.size(y["set"]), y["set"], s))
-    links = lambda m: F.flatten(F.transform(m, lambda x: F.transform(near(m, x), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-    return met.select(F.inline(F.flatten(F.transform(F.array(with_sets), links)))).select("a", "b")
+    long = sketches.where(F.col("n") > s.dense).select("node").join(texts, "node")
+    known = sketches.join(long, "node", "left")
+    dealt = dealt.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "comp").join(known, "node")
+    x, y = _named(dealt, "a"), _named(dealt, "b")
+    sets = F.array(F.struct(_shingles(F.col("line_a"), s).alias("a"), _shingles(F.col("line_b"), s).alias("b")))  # so each is made once
+    same = F.col("line_a").isNull() | F.col("line_b").isNull() | F.exists(sets, lambda p: _alike(F.col("n_a"), p["a"], F.col("n_b"), p["b"], s))
+    met = (F.col("key_a") == F.col("key_b")) & (F.col("i_a") == F.col("i_b")) & (F.col("j_a") == F.col("j_b"))
+    apart = F.when(F.col("i_a") == F.col("j_a"), F.col("node_a") < F.col("node_b")).otherwise(F.col("chunk_a") < F.col("chunk_b")) & (F.col("comp_a") != F.col("comp_b"))
+    found = x.join(y.hint("merge"), met & apart & _may_be_alike(s) & same)
+    return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+
+def _members(keys: DataFrame) -> DataFrame:
+    """(key, node, a, n) of the buckets with several nodes: the least of them and their number.
+
+    Keys are dealt once, and both the counts and the rows are read from there, at every size.
+    """
+    dealt = keys.select("node", F.explode("keys").alias("key")).repartition("key")
+    shared = dealt.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).where("a < b")
+    return dealt.join(shared.select("key", "a", "n").hint("shuffle_hash"), "key").select("key", "node", "a", "n")
 
 
 def line_labels(lines: DataFrame, s: Settings) -> DataFrame:
     """``node, comp`` of all nodes of at least one link. ``lines`` has (node, line)."""
-    keys = materialise(_keys(lines, s), "keys")
-    members = keys.select("node", F.explode("keys").alias("key"))
-    # A bucket of two is known by its least and greatest node; only larger ones need their members.
-    shared = materialise(members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).where("a < b"), "shared")
-    larger = materialise(members.join(bounded_broadcast(shared.where("n > 2").select("key", "a")), "key"), "members")
-    least = larger.where("node <> a").select("a", F.col("node").alias("b"))
-    first = materialise(shared.where("n = 2").select("a", "b").union(least).distinct(), "pairs")
-    release(keys, shared)
-
-    met = materialise(first.select(F.col("a").alias("node")).union(first.select("b")).distinct(), "met")
-    texts = lines.join(bounded_broadcast(met), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
-    texts = materialise(texts, "lines")
-    one = materialise(_confirmed(first, texts, s), "links")
-    labels = components(one, "a", "b", local_edges=0)
+    members = materialise(_members(_keys(lines, s)), "members")
+    first = materialise(members.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
 
+    met = materialise(members.select("node").distinct(), "met")
+    texts = materialise(lines.join(bounded_broadcast(met), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")), "lines")
+    sketches = materialise(_sketched(texts, s), "sketches")
+    one = materialise(_confirmed(_possible(first, sketches, s), texts, s), "links")
     release(first, met)
+    labels = components(one, "a", "b", local_edges=0)
 
-    rest = materialise(_mixed(larger.select("key", "node"), labels), "mixed")
-    some = texts.join(bounded_broadcast(materialise(rest.select("node").distinct(), "rest")), "node", "left_semi")
-    two = materialise(_blocks(rest, some, s).distinct(), "links")
+    # A bucket of two was held against its least node as a whole.
+    rest = materialise(_mixed(members.where("n > 2").select("key", "node"), labels), "mixed")
+    may = materialise(_blocks(rest, sketches, texts, s).distinct(), "pairs")
+    two = materialise(_confirmed(may, texts, s), "links")
     labels = components(one.union(two), "a", "b", local_edges=0)
-    release(larger, texts, rest, one, two)
+    release(members, texts, sketches, rest, may, one, two)
     return labels
 
 

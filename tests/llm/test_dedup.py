@@ -215,6 +215,41 @@ def test_a_family_of_lines(spark, block):
     assert sum(found.get(i) == r for i, r in known.items()) >= 0.98 * len(known) and set(found) <= set(known)
 
 
+def test_bits_that_differ_bound_similarity(spark):
+    """No link is lost by the bits, and most pairs below the limit need no sets; repeated shingles count once."""
+    rng, s = random.Random(8), lines.Settings()
+    texts = ["ab", "abc", "na" * 30, "na" * 40]
+    for size in (30, 60, 300, 900):
+        for _ in range(8):
+            a = list(prose(rng.randrange(10**9), 200)[:size])
+            for edits in (0, 1, 2, 4, 8, 16):
+                for _ in range(edits * size // 200 + (edits > 0)):
+                    a[rng.randrange(len(a))] = rng.choice("zqxjk")
+                texts.append("".join(a))
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, line string")
+    every = rows.select(F.col("node").alias("a")).join(rows.select(F.col("node").alias("b")), F.col("a") < F.col("b"))
+    kept = {(r.a, r.b) for r in lines._possible(every, lines._sketched(rows, s), s).collect()}
+    links = line_links(texts, s)
+    assert (2, 3) in links and links <= kept and len(kept) < 1.2 * len(links) + 5
+
+
+@pytest.mark.parametrize("dense", [1, 100, 10**6])
+def test_blocks_give_pairs_of_other_components(spark, dense):
+    """With and without sets in the blocks: all links across, few pairs beyond them."""
+    rng, s = random.Random(9), lines.Settings(block=8, dense=dense)
+    base, texts = prose(51, 30).split(), []
+    for _ in range(40):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, line string")
+    mixed = rows.select(F.lit(7).cast("long").alias("key"), "node", (F.col("node") % 20).alias("comp"), F.lit(40).cast("long").alias("m"))
+    found = [(r.a, r.b) for r in lines._blocks(mixed, lines._sketched(rows, s), rows, s).collect()]
+    links = {(a, b) for a, b in line_links(texts, s) if a % 20 != b % 20}
+    assert len(found) == len(set(found)) and links <= set(found) and len(found) <= (len(links) if dense == 1 else 1.3 * len(links) + 5)
+
+
 def test_repeated_lines_and_ties(spark):
     rows = [(2, "same words here\nsame words here"), (2, "same words here"), (None, "same words here"), (1, "other\n  same words here")]
     got = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
