@@ -1,16 +1,19 @@
-"""ROUGE-L, BLEU and METEOR of pairs of texts, as joins, aggregations and expressions (BLEU within the row).
+"""ROUGE-L, BLEU and METEOR of pairs of texts, within the row: no step shuffles words.
 
-``pairs`` has ``id`` (different for each pair), ``candidate`` and ``reference``; null texts count as empty. Only the stemmer,
-over distinct words, is Python.
+``pairs`` has ``id`` (different for each pair), ``candidate`` and ``reference``; null texts count as empty. Stems and the alignment of
+METEOR are Python over batches of rows, the rest are expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stems import stems
-from ..sources.tables import small, written
+from ..functions.stems import porter
 
 #: Bits of a limb; the rest of a long holds the carry.
 LIMB = 62
@@ -80,20 +83,29 @@ def rouge_l(pairs: DataFrame) -> DataFrame:
     return split.select("id", _f_measure(lcs_length(F.col("a"), F.col("b")), F.col("a"), F.col("b")).alias("rouge_l"))
 
 
-def _placed(pairs: DataFrame, words) -> DataFrame:
-    """``id, side, place, word`` of both texts."""
-    sides = F.explode(F.array(*(F.struct(F.lit(n).alias("side"), words(F.col(c)).alias("words")) for n, c in enumerate(("candidate", "reference"))))).alias("x")
-    return pairs.select("id", sides).select("id", "x.side", F.posexplode("x.words").alias("place", "word"))
+#: Stems that a worker keeps.
+STEMS = 100_000
+
+
+def _stem_batches(least: int):
+    """Of rows (id, a, b) the same with stems for the words of at least ``least`` letters."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        stem = lru_cache(STEMS)(porter)
+        stemmed = lambda words: [stem(w) if len(w) >= least else w for w in words]
+        for batch in batches:
+            sides = (pa.array([stemmed(words) for words in batch.column(c).to_pylist()], pa.list_(pa.string())) for c in "ab")
+            yield pa.record_batch([batch.column("id"), *sides], names=["id", "a", "b"])
+
+    return run
 
 
 def rouge_l_stemmed(pairs: DataFrame, least: int = 4) -> DataFrame:
     """``id, rouge_l``: as ``rouge_l`` over stems; words of fewer than ``least`` letters are not stemmed."""
-    placed = _placed(pairs, words_of)
-    known = small(written(stems(placed, "word", least), "stems"))
-    joined = placed.join(known, "word").groupBy("id", "side").agg(F.array_sort(F.collect_list(F.struct("place", "stem"))).alias("w"))  # a text's words
-    sides = joined.groupBy("id").agg(*(F.max(F.when(F.col("side") == n, F.transform("w", lambda x: x["stem"]))).alias(c) for n, c in enumerate("ab")))
-    none = F.array().cast("array<string>")
-    both = pairs.select("id").join(sides, "id", "left").select("id", *(F.coalesce(c, none).alias(c) for c in "ab"))
+    split = pairs.select("id", words_of(F.col("candidate")).alias("a"), words_of(F.col("reference")).alias("b"))
+    both = split.mapInArrow(_stem_batches(least), f"id {pairs.schema['id'].dataType.simpleString()}, a array<string>, b array<string>")
     return both.select("id", _f_measure(lcs_length(F.col("a"), F.col("b")), F.col("a"), F.col("b")).alias("rouge_l"))
 
 
@@ -119,11 +131,37 @@ def bleu(pairs: DataFrame, orders: int = 4, smooth: float = 5.0) -> DataFrame:
     return rows.select("id", F.when((F.col("x") == 0) | (F.col("y") == 0) | (F.col("h1") == 0), F.lit(0.0)).otherwise(brief * F.exp(logs)).alias("bleu"))
 
 
-def _aligned(words: DataFrame, key: str) -> DataFrame:
-    """``id, a, b``: places of the words that are the same by ``key``, the last with the last and so on, as often as both texts have them."""
-    nth = words.withColumn("nth", F.row_number().over(Window.partitionBy("id", "side", key).orderBy(F.desc("place"))))
-    one = lambda n, c: nth.where(F.col("side") == n).select("id", key, "nth", F.col("place").alias(c))
-    return one(0, "a").join(one(1, "b"), ["id", key, "nth"]).select("id", "a", "b")
+def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of the words that are the same, the last with the last and so on, as often as both lists have them."""
+    places: dict[str, list[int]] = defaultdict(list)
+    for j, word in enumerate(b):
+        places[word].append(j)
+    return [(i, places[a[i]].pop()) for i in range(len(a) - 1, -1, -1) if places.get(a[i])]
+
+
+def _align_batches(stemmed: bool):
+    """Of rows (id, a, b) the numbers of words, of matches, and of chunks of matches that follow each other on both sides."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        stem = lru_cache(STEMS)(porter)
+
+        def counts(a: list[str], b: list[str]) -> tuple[int, int, int, int]:
+            found = aligned(a, b)
+            if stemmed:
+                left = [sorted(set(range(len(words))) - {pair[side] for pair in found}) for side, words in enumerate((a, b))]
+                rest = aligned([stem(a[i]) for i in left[0]], [stem(b[j]) for j in left[1]])
+                found += [(left[0][i], left[1][j]) for i, j in rest]
+            known = set(found)
+            return len(a), len(b), len(found), sum((i - 1, j - 1) not in known for i, j in found)
+
+        for batch in batches:
+            rows = [counts(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
+            columns = zip(*rows) if rows else [()] * 4
+            yield pa.record_batch([batch.column("id"), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "x", "y", "matches", "chunks"])
+
+    return run
 
 
 def meteor(pairs: DataFrame, stemmed: bool = True, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> DataFrame:
@@ -132,17 +170,9 @@ def meteor(pairs: DataFrame, stemmed: bool = True, alpha: float = 0.9, beta: flo
     There are as many matches as both texts allow; of words that come several times, the last are aligned with the last, so
     equal words never cross. Synonyms, which need a lexicon, are left out.
     """
-    placed = written(_placed(pairs, lambda c: blank_split(F.lower(c))), "words")
-    matched = _aligned(placed, "word")
-    if stemmed:
-        matched = written(matched, "matched")
-        left = placed.join(matched.select("id", F.lit(0).alias("side"), F.col("a").alias("place")).union(matched.select("id", F.lit(1), "b")), ["id", "side", "place"], "left_anti")
-        matched = matched.union(_aligned(left.join(small(written(stems(left, "word"), "stems")), "word"), "stem"))
-    w = Window.partitionBy("id").orderBy("a")
-    follows = (F.lag("a").over(w) == F.col("a") - 1) & (F.lag("b").over(w) == F.col("b") - 1)
-    chunks = matched.withColumn("new", F.when(follows, 0).otherwise(1)).groupBy("id").agg(F.count("*").alias("matches"), F.sum("new").alias("chunks"))
-    sizes = pairs.select("id", F.size(blank_split(F.col("candidate"))).alias("x"), F.size(blank_split(F.col("reference"))).alias("y"))
-    rows = sizes.join(chunks, "id", "left").na.fill(0, ["matches", "chunks"])
+    lower = lambda c: blank_split(F.lower(F.col(c)))
+    split = pairs.select("id", lower("candidate").alias("a"), lower("reference").alias("b"))
+    rows = split.mapInArrow(_align_batches(stemmed), f"id {pairs.schema['id'].dataType.simpleString()}, x long, y long, matches long, chunks long")
     p, r = F.col("matches") / F.col("x"), F.col("matches") / F.col("y")
     score = p * r / (alpha * p + (1 - alpha) * r) * (1 - gamma * F.pow(F.col("chunks") / F.col("matches"), F.lit(beta)))
     return rows.select("id", "matches", "chunks", F.when(F.col("matches") > 0, score).otherwise(F.lit(0.0)).alias("meteor"))

@@ -112,3 +112,13 @@ def test_bleu_counts_in_the_row(spark):
     pairs = spark.createDataFrame([(1, "a a b a", "a a a c"), (2, "x", None)], "id long, candidate string, reference string")
     plan = text_metrics.bleu(pairs)._jdf.queryExecution().optimizedPlan().toString()
     assert not any(step in plan for step in ("Generate", "Aggregate", "Join"))
+
+
+def test_words_stay_in_their_row(spark):
+    """Neither METEOR nor ROUGE-L over stems shuffles words; the last of equal words are aligned, then stems of the rest."""
+    rows = [(1, "a b a cats ran", "a cat a b running ran"), (2, None, "x"), (3, "same same", "same"), (4, "", "")]
+    pairs = spark.createDataFrame(rows, "id long, candidate string, reference string").repartition(2)
+    for made in (text_metrics.meteor(pairs), text_metrics.rouge_l_stemmed(pairs)):
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == pairs._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert text_metrics.aligned(["a", "b", "a"], ["a", "a", "a", "b"]) == [(2, 2), (1, 3), (0, 1)]
+    assert {r.id: (r.matches, r.chunks) for r in text_metrics.meteor(pairs).collect()} == {1: (5, 5), 2: (0, 0), 3: (1, 1), 4: (0, 0)}
