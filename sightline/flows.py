@@ -318,7 +318,7 @@ def rouge_l_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """About the ten nearest others of each vector; see the tests for the share that is found."""
+    """The ten nearest others of each vector."""
     found = layout.neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
     return found.select(F.col("u").alias("vec_id"), F.col("v").alias("neighbour"), F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 

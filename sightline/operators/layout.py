@@ -1,7 +1,9 @@
-"""Neighbour graphs by descent, and a layout of them: where the points of a cloud lie in two dimensions.
+"""Neighbour graphs, and a layout of them: where the points of a cloud lie in two dimensions.
 
-Neighbours of neighbours are likely neighbours: from a first graph drawn by hashes, each round offers every node the neighbours of
-those it has (in either direction), as joins on ids, and keeps the nearest ``k``. Only offers through an edge that is new are made.
+Neighbours are exact. Points are dealt into blocks by a hash of their ids, and each pair of blocks meets once, in one task, for both
+directions, as matrix products of bounded tiles; only the ``k`` best of each point and other block go on. So the arithmetic is that of all
+pairs, but what is shuffled are the points once a block, of some 65,000 points with 64 components. (A descent over neighbours of
+neighbours joined some 9 k^2 offers a point with both vectors, and found 0.63 of the neighbours of vectors without clusters.)
 
 The layout takes the leading directions in which a walk along the graph mixes slowest: power iteration of the graph's smoothing,
 one join and one sum a round, with the constant direction taken out and the two kept at right angles. All sums are rounded, so
@@ -10,68 +12,110 @@ every run gives the same numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, l2_normalise
+from ..functions.vectors import EPSILON, double, norm
 from ..sources.tables import written
-from .ranking import top_k
+from .ranking import _unit_rows, top_k
 
 DIGITS = 10
 
+#: Numbers of a block's vectors (32 MB); blocks at least of a table of ``BLOCKS`` thousand points or more, so that small ones are spread too.
+BLOCK, BLOCKS = 1 << 22, 8
+
+#: Points of the two sides of a tile (16 MB of cosines).
+TILE = 1024, 4096
+
 
 def _drawn(of: Column, salt: int) -> Column:
     """A number from 0 to 1 by a hash."""
     return F.pmod(F.xxhash64(of, F.lit(salt)), F.lit(1 << 40)) / float(1 << 40)
 
 
-def _scored(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """``u, v, score`` of pairs (u, v): cosine of points (id, vec), which are unit vectors."""
-    left = points.select(F.col("id").alias("u"), F.col("vec").alias("x"))
-    right = points.select(F.col("id").alias("v"), F.col("vec").alias("y"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", F.round(dot(F.col("x"), F.col("y")), 12).alias("score"))
-
-
-def _first(points: DataFrame, k: int, n: int) -> DataFrame:
-    """k others for each point, drawn by hashes of the ids (fewer where draws meet)."""
-    placed = written(points.select("id").withColumn("place", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("id"), F.lit(_parts(n)))).orderBy("id")) - 1).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(_parts(n)))), "places")
-    sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
-    draws = points.select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(2 * k - 1))).alias("j"))
-    draws = draws.withColumn("part", F.pmod(F.xxhash64("u", "j"), F.lit(_parts(n)))).join(F.broadcast(sizes), "part")  # one row a part
-    draws = draws.withColumn("place", F.floor(_drawn(F.concat_ws("/", F.col("u").cast("string"), F.col("j").cast("string")), 3) * F.col("size")).cast("int"))
-    return draws.join(placed.select("part", "place", F.col("id").alias("v")), ["part", "place"]).where("u <> v").select("u", "v").distinct()
-
+def _update(best: np.ndarray, at: np.ndarray, near: np.ndarray, x: np.ndarray, y: np.ndarray, ids: np.ndarray) -> None:
+    """Puts what is better into the k ``best`` cosines of each row of x and the ids ``at`` them.
 
-def _parts(n: int) -> int:
-    return max(1, min(1024, n // 4096))
-
-
-def neighbours(rows: DataFrame, id_col: str, vec_col: str, k: int = 10, rounds: int = 12, settled: float = 0.002, reverse: int | None = None) -> DataFrame:
-    """``u, v, score, rank``: about the k nearest others of each point by cosine, ties by the smaller id.
-
-    rounds: at most; they end when fewer than ``settled`` of the edges are new. reverse: of the points that have a point as a
-    neighbour, as many are offered on (2 k by default, by a hash), for a point may be a neighbour of very many. Points without an id
-    or direction are left out; ids must be different.
+    ``near`` has the cosines of x and y in single precision; what by its greatest error may be better is computed again in double.
+    ``ids``, those of y, ascend and are greater than those seen before, so of equal cosines those that are there stay.
     """
-    reverse = reverse or 2 * k
-    own = rows.select(F.col(id_col).cast("long").alias("id"), l2_normalise(F.col(vec_col).cast("array<double>")).alias("vec"))
-    points = written(own.where("id IS NOT NULL AND vec IS NOT NULL").where(dot(F.col("vec"), F.col("vec")) > 0.5), "points")
-    n = points.count()
-    best = [F.desc("score"), F.asc("v")]
-    graph = written(top_k(_scored(_first(points, k, n), points), ["u"], best, k).withColumn("new", F.lit(True)), "graph")
-    for _ in range(rounds):
-        back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "new")
-        back = top_k(back, ["u"], [F.desc("new"), F.asc(F.xxhash64("u", "v"))], reverse, "place").drop("place")
-        both = written(graph.select("u", "v", "new").union(back).groupBy("u", "v").agg(F.max("new").alias("new")), "both")
-        through = both.select(F.col("u").alias("m"), F.col("v").alias("a"), F.col("new").alias("na"))
-        onward = both.select(F.col("u").alias("m"), F.col("v").alias("b"), F.col("new").alias("nb"))
-        offers = through.join(onward, "m").where("a <> b AND (na OR nb)").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        offers = offers.union(both.select("u", "v").where("new")).distinct().join(graph.select("u", "v"), ["u", "v"], "left_anti")
-        found = _scored(offers, points).withColumn("new", F.lit(True))
-        graph = written(top_k(graph.select("u", "v", "score", F.lit(False).alias("new")).union(found), ["u"], best, k), "graph")
-        if graph.where("new").count() <= settled * k * n:
-            break
-    return graph.select("u", "v", "score", "rank")
+    k, most = best.shape[1], (x.shape[1] + 4) * 2.0**-23
+    over = near > (best[:, -1:] - most).astype(np.float32)
+    many = np.flatnonzero(np.count_nonzero(over, axis=1) > 8 * k)
+    if len(many):
+        v = np.where(np.isneginf(near[many]), -np.inf, np.round(x[many] @ y.T, 12))
+        kth = np.partition(v, -k, axis=1)[:, -k, None]
+        more, equal = v > kth, v == kth
+        over[many] = more | (equal & (np.cumsum(equal, axis=1) <= k - more.sum(1, keepdims=True)))
+    flat = np.flatnonzero(over.ravel(order="K"))
+    row, column = divmod(flat, over.shape[1]) if over.flags.c_contiguous else divmod(flat, over.shape[0])[::-1]
+    score = np.round(np.einsum("ij,ij->i", x[row], y[column]), 12)
+    better = score > best[row, -1]
+    row, column, score = row[better], column[better], score[better]
+    asked = np.unique(row)
+    if not len(asked):
+        return
+    rows = np.concatenate([asked.repeat(k), row])
+    score = np.concatenate([best[asked].ravel(), score])
+    other = np.concatenate([at[asked].ravel(), ids[column]])
+    order = np.lexsort((other, -score, rows))
+    kept = order[np.searchsorted(rows[order], asked)[:, None] + np.arange(k)]
+    best[asked], at[asked] = score[kept], other[kept]
+
+
+def _meet(k: int, tile: tuple[int, int]):
+    """The k best others of each point of a pair of blocks in the other block (or in the one, if they are the same)."""
+
+    def sides(points):
+        place = points.column("place").to_numpy()
+        for number in np.unique(place):
+            own = points.filter(place == number).sort_by("id")
+            ids = own.column("id").to_numpy()
+            yield ids, _unit_rows(own.column("vec")), np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+
+    def run(key, points):
+        import pyarrow as pa
+
+        both, same = list(sides(points)), key[1].as_py() == key[2].as_py()
+        if len(both) == 2 or same:
+            (u, x, of_u, at_u), (v, y, of_v, at_v) = both[0], both[-1]
+            x32, y32 = x.astype(np.float32), y.astype(np.float32)
+            for a in range(0, len(u), tile[0]):
+                for b in range(0, len(v), tile[1]):
+                    i, j = slice(a, a + tile[0]), slice(b, b + tile[1])
+                    near = x32[i] @ y32[j].T
+                    if same and a < b + tile[1] and b < a + tile[0]:
+                        near[u[i, None] == v[None, j]] = -np.inf
+                    _update(of_u[i], at_u[i], near, x[i], y[j], v[j])
+                    if not same:
+                        _update(of_v[j], at_v[j], near.T, y[j], x[i], u[i])
+        else:
+            both = []
+        found = [(ids[row], at[row, column], best[row, column]) for ids, _, best, at in both for row, column in [np.nonzero(best > -np.inf)]]
+        joined = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table([pa.array(c) for c in joined], names=["u", "v", "score"])
+
+    return run
+
+
+def neighbours(rows: DataFrame, id_col: str, vec_col: str, k: int = 10, block: int = BLOCK, tile: tuple[int, int] = TILE) -> DataFrame:
+    """``u, v, score, rank``: the k nearest others of each point by cosine (rounded to 12 digits), ties by the smaller id.
+
+    block: numbers that the vectors of a block hold at most, about; tile: points that are compared at once. Points without an id or
+    direction are left out; ids must be different. Vectors of different lengths are not compared.
+    """
+    single = rows.schema[vec_col].dataType.elementType.typeName() == "float"
+    vec = F.col(vec_col) if single else double(F.col(vec_col))
+    own = rows.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
+    own = own.where(norm(double(F.col("vec"))).between(EPSILON, 1e300))
+    points = written(own.select("id", "vec", F.size("vec").alias("width")), "points")
+    n, width = points.agg(F.count("*"), F.coalesce(F.max("width"), F.lit(1))).first()
+    blocks = max(1, min(BLOCKS, n // 1024), -(-n * width // block))
+    dealt = points.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("width", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"), "place", "id", "vec")
+    met = dealt.groupBy("width", "i", "j").applyInArrow(_meet(k, tile), "u long, v long, score double")
+    return top_k(met, ["u"], [F.desc("score"), F.asc("v")], k)
 
 
 def layout(graph: DataFrame, rounds: int = 40) -> DataFrame:

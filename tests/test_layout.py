@@ -58,3 +58,29 @@ def test_small_clouds(spark):
     found = layout.neighbours(two, "id", "vec", 3)
     assert {(r.u, r.v) for r in found.collect()} == {(1, 2), (2, 1)}
     assert {(r.id, r.x, r.y) for r in layout.layout(found).collect()} == {(1, 0.0, 0.0), (2, 0.0, 0.0)}
+
+
+def test_neighbours_are_those_of_all_pairs_across_blocks_and_tiles(spark):
+    """Without clusters, with equal vectors, and with blocks and tiles far smaller than the table."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1100, 24))
+    x[rng.integers(0, 1100, 200)] = x[7]
+    x[40:90] = 2 * x[40]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vec array<float>")
+    found = layout.neighbours(rows, "id", "vec", 5, block=24 * 300, tile=(48, 96))
+    got = {}
+    for r in found.orderBy("u", "rank").collect():
+        got.setdefault(r.u, []).append(r.v)
+    assert got == plain_neighbours(x.astype(np.float32).astype(np.float64), 5)
+
+
+def test_no_pair_of_points_is_a_row(spark):
+    rows = spark.range(4096).selectExpr("id", "array(sin(id), cos(id * 1.7), sin(id * id)) AS vec")
+    plan = layout.neighbours(rows, "id", "vec", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" in plan and "Join" not in plan  # vectors are not joined to pairs
+
+
+def test_neighbours_of_odd_rows(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [float("nan"), 1.0]), (4, [1e-12, 0.0]), (5, [1.0, None]), (6, [1.0, 1.0, 1.0]), (7, []), (-8, [-1.0, 0.1])]
+    found = layout.neighbours(spark.createDataFrame(rows, "id long, vec array<double>"), "id", "vec", 2)
+    assert {(r.u, r["rank"]): r.v for r in found.collect()} == {(1, 1): 2, (1, 2): -8, (2, 1): 1, (2, 2): -8, (-8, 1): 2, (-8, 2): 1}
