@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import near_dup
 from . import shingles as sh
-from .common import bounded_broadcast, fresh, frugal, materialise, release, slices
+from .common import BROADCAST_ROWS, bounded_broadcast, fresh, frugal, materialise, release, slices
 
 
 def tuned_bands(limit: float, rows: int, recall: float) -> int:
@@ -173,8 +173,12 @@ def _same(a: str, b: str):
     return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
 
 
-def _components(own: DataFrame, units: DataFrame, near: near_dup.Settings) -> DataFrame:
-    """``units`` (id, th, start, end, rep, check, ...) in components of two or more, with ``component, n_members, keep``."""
+def _components(own: DataFrame, units: DataFrame, near: near_dup.Settings, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``units`` (id, th, start, end, rep, check, ...) in components of two or more, with ``component, n_members, keep``.
+
+    Components are summed over classes of equal units, so the units meet what is known of their class once; ``most``: rows of that up
+    to which it is sent to all executors.
+    """
     keyed = units.where("size(keys) > 0").select("rep", F.posexplode("keys").alias("band", "key"))
     some = near_dup.bucketed(keyed)
     buckets = materialise(some.distinct(), "buckets")
@@ -190,12 +194,14 @@ def _components(own: DataFrame, units: DataFrame, near: near_dup.Settings) -> Da
 
     linked = labels.withColumnRenamed("node", "rep").join(spots.select("rep", "check"), "rep")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "start")).alias("first")
-    classes = materialise(units.groupBy("rep", "check").agg(F.count("*").alias("n")), "classes")
+    classes = materialise(units.groupBy("rep", "check").agg(F.count("*").alias("n"), first), "classes")
     placed = classes.join(linked, ["rep", "check"], "left").where("n > 1 OR comp IS NOT NULL")
-    placed = materialise(placed.select("rep", "check", F.coalesce("comp", "rep").alias("component"), F.when(F.col("comp").isNull(), F.col("check")).otherwise(-1).alias("apart")), "placed")
-    members = materialise(units.drop("keys").join(bounded_broadcast(placed), ["rep", "check"]), "members")
-    totals = members.groupBy("component", "apart").agg(F.count("*").alias("n_members"), first).where("n_members > 1").withColumnRenamed("first", "keep")
-    return materialise(members.join(bounded_broadcast(materialise(totals, "totals")), ["component", "apart"]), "found")
+    placed = materialise(placed.select("rep", "check", "n", "first", F.coalesce("comp", "rep").alias("component"), F.when(F.col("comp").isNull(), F.col("check")).otherwise(-1).alias("apart")), "placed")
+    totals = placed.groupBy("component", "apart").agg(F.sum("n").alias("n_members"), F.min("first").alias("keep")).where("n_members > 1")
+    known = materialise(placed.drop("n", "first").join(totals, ["component", "apart"]), "known")
+    found = materialise(units.drop("keys").join(bounded_broadcast(known, most), ["rep", "check"]), "found")
+    release(classes, placed, known, spots, labels)
+    return found
 
 
 def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -214,16 +220,18 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = _components(own, units.where("NOT window"), s.near(False)).withColumn("removed", ~stays)
 
     # A window meets others only in a bucket of its band, so the rest goes at once; what removed paragraphs cover goes too.
-    pieces = units.where("window").withColumn("key", F.col("keys")[0])
+    # Both sides are shuffled at every size: a broadcast of the keys would only fit on small inputs. A window has one key.
+    pieces = units.where("window").withColumn("key", F.col("keys")[0]).drop("window", "keys")
     again = materialise(pieces.groupBy("key").count().where("count > 1").select("key"), "again")
-    found = materialise(pieces.join(bounded_broadcast(again), "key", "left_semi").drop("key"), "repeated")
+    found = pieces.join(again.hint("merge"), "key", "left_semi").select("*", F.lit(True).alias("window"), F.array("key").alias("keys"))
+    found = materialise(found.select(units.columns), "repeated")
     release(units, again)
     spans = whole.where("removed").groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     inside = F.exists("spans", lambda x: (x["start"] <= F.col("f.start")) & (F.col("f.end") <= x["end"]))
     apart = found.alias("f").join(spans.alias("g"), _same("f", "g"), "left").where(~F.coalesce(inside, F.lit(False))).select("f.*")
     apart = materialise(apart, "apart")
     release(found)
-    rows = whole.unionByName(_components(own, apart, s.near(True)).withColumn("removed", ~stays))
+    rows = whole.unionByName(_components(own, apart, s.near(True), 0).withColumn("removed", ~stays))
     return rows.select(
         F.col("id").alias(id_col),
         "start",

@@ -299,3 +299,21 @@ def test_pipeline_of_edges(spark, edges, empty):
     assert 0 < len(kept["source mixing"]) <= len(rows)
     last = corpus_pipeline.STAGES[-1][1](spark, edges, DATA).collect()
     assert len(last) == len(rows) and all(r.round_trip for r in last) and sum(r.n_pieces == 0 for r in last) == 2
+
+
+def test_windows_are_joined_alike_at_every_size(spark, monkeypatch):
+    """Keys and classes of windows are never offered to a broadcast that only small inputs pass; without any, rows are the same."""
+    rng = random.Random(12)
+    words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    passage, line = words(60), words(30)
+    rows = [(k, f"{words(40 + k)} {passage} {words(50)}\n{line if k % 2 else words(25)}") for k in range(12)] + [(20, None), (21, line)]
+    docs, asked = spark.createDataFrame(rows, "doc_id long, text string"), []
+    monkeypatch.setattr(paragraphs, "bounded_broadcast", lambda df, most=400_000: asked.append((df.columns[0], most)) or df)
+    got = sorted(tuple(r) for r in paragraphs.paragraph_dedup(docs).collect())
+    assert [x for x in asked if x[0] != "rep"] == [("component", 400_000), ("component", 0)]
+    monkeypatch.undo()
+    again, members = paragraphs.paragraph_dedup(docs).collect(), {}
+    assert got == sorted(tuple(r) for r in again)
+    for r in again:
+        members.setdefault((r.component, r.n_members), []).append(r)
+    assert members and all(len(v) == n and sum(not r.removed for r in v) == 1 for (_, n), v in members.items())
