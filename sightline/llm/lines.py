@@ -13,7 +13,8 @@ pairs that pass this bound, which loses none, are compared as sets.
 
 Members of a bucket are held against its least node first. Of buckets that still hold several components, those with equal
 members count once, and members of different components meet in blocks of bounded size, which give out the pairs that pass
-(lines of over ``dense`` shingles, which fill the bits, are compared as sets there).
+(lines of over ``dense`` shingles, which fill the bits, are compared as sets there). Near copies share many buckets; a pair is given
+out in the least bucket that both are in, so once.
 
 Only DataFrame functions are used. Nodes are 64-bit hashes of lines (among 1e11 different lines a few hundred would share one).
 """
@@ -145,19 +146,21 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
 def _blocks(mixed: DataFrame, sketches: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) of members of different components that may be links, found in pairs of blocks of at most about ``block`` members.
 
-    Only lines of over ``dense`` shingles travel as texts, and are compared as sets where the bound lets them pass.
+    Only lines of over ``dense`` shingles travel as texts, and are compared as sets where the bound lets them pass. Of the buckets that
+    hold both members of a pair, the one with the least key gives it out.
     """
     chunks = F.ceil(F.col("m") / s.block)
     dealt = mixed.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
     long = sketches.where(F.col("n") > s.dense).select("node").join(texts, "node")
-    known = sketches.join(long, "node", "left")
+    known = sketches.join(long, "node", "left").join(mixed.groupBy("node").agg(F.collect_list("key").alias("keys")), "node")
     dealt = dealt.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "comp").join(known, "node")
     x, y = _named(dealt, "a"), _named(dealt, "b")
     sets = F.array(F.struct(_shingles(F.col("line_a"), s).alias("a"), _shingles(F.col("line_b"), s).alias("b")))  # so each is made once
     same = F.col("line_a").isNull() | F.col("line_b").isNull() | F.exists(sets, lambda p: _alike(F.col("n_a"), p["a"], F.col("n_b"), p["b"], s))
     met = (F.col("key_a") == F.col("key_b")) & (F.col("i_a") == F.col("i_b")) & (F.col("j_a") == F.col("j_b"))
     apart = F.when(F.col("i_a") == F.col("j_a"), F.col("node_a") < F.col("node_b")).otherwise(F.col("chunk_a") < F.col("chunk_b")) & (F.col("comp_a") != F.col("comp_b"))
-    found = x.join(y.hint("merge"), met & apart & _may_be_alike(s) & same)
+    here = (F.size("keys_a") == 1) | (F.size("keys_b") == 1) | (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key_a"))
+    found = x.join(y.hint("merge"), met & apart & _may_be_alike(s) & here & same)
     return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
@@ -177,7 +180,8 @@ def line_labels(lines: DataFrame, s: Settings) -> DataFrame:
     first = materialise(members.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
 
     met = materialise(members.select("node").distinct(), "met")
-    texts = materialise(lines.join(bounded_broadcast(met), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")), "lines")
+    # Shuffled at every size: a broadcast of the nodes would only fit on small inputs.
+    texts = materialise(lines.join(met.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")), "lines")
     sketches = materialise(_sketched(texts, s), "sketches")
     one = materialise(_confirmed(_possible(first, sketches, s), texts, s), "links")
     release(first, met)
@@ -185,7 +189,7 @@ def line_labels(lines: DataFrame, s: Settings) -> DataFrame:
 
     # A bucket of two was held against its least node as a whole.
     rest = materialise(_mixed(members.where("n > 2").select("key", "node"), labels), "mixed")
-    may = materialise(_blocks(rest, sketches, texts, s).distinct(), "pairs")
+    may = materialise(_blocks(rest, sketches, texts, s), "pairs")
     two = materialise(_confirmed(may, texts, s), "links")
     labels = components(one.union(two), "a", "b", local_edges=0)
     release(members, texts, sketches, rest, may, one, two)

@@ -250,6 +250,32 @@ def test_blocks_give_pairs_of_other_components(spark, dense):
     assert len(found) == len(set(found)) and links <= set(found) and len(found) <= (len(links) if dense == 1 else 1.3 * len(links) + 5)
 
 
+def test_blocks_give_a_pair_once(spark):
+    """Members of a family meet in many buckets, each with another choice of them: every pair that may be a link comes from one."""
+    rng, s = random.Random(10), lines.Settings(block=4)
+    base, texts = prose(52, 40).split(), []
+    for _ in range(20):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, line string")
+    buckets = {key: rng.sample(range(20), rng.randrange(3, 18)) for key in range(-5, 10)}
+    members = [(key, node, node, len(nodes)) for key, nodes in buckets.items() for node in nodes]
+    mixed = spark.createDataFrame(members, "key long, node long, comp long, m long")
+    found = sorted((r.a, r.b) for r in lines._blocks(mixed, lines._sketched(rows, s), rows, s).collect())
+    together = {(a, b) for nodes in buckets.values() for a in nodes for b in nodes if a < b}
+    assert len(found) == len(set(found)) and line_links(texts, s) & together <= set(found) <= together and len(found) > 100
+
+
+def test_texts_of_lines_are_joined_alike_at_every_size(spark, monkeypatch):
+    """Nodes that met are never offered to a broadcast that only small inputs pass."""
+    a = prose(95, 40)
+    asked = []
+    monkeypatch.setattr(lines, "bounded_broadcast", lambda df, most=400_000: asked.append(df.columns) or df)
+    got = lines.line_dedup(spark.createDataFrame([(1, a), (2, f"{a}x"), (3, prose(96, 40))], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {1, 2} and all("component" in columns for columns in asked)
+
+
 def test_repeated_lines_and_ties(spark):
     rows = [(2, "same words here\nsame words here"), (2, "same words here"), (None, "same words here"), (1, "other\n  same words here")]
     got = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
