@@ -108,20 +108,45 @@ def _confirm(settings: Settings):
 _ROW = "key long, band int, i long, j long, chunk long, rep long, comp long"
 
 
+#: Rows up to which block pairs are small: many are compared at once. Rows and bytes of text of those taken together.
+SMALL, RUN_ROWS, RUN_BYTES = 64, 8192, 2_000_000
+
+
 class _Group:
-    """The rows of one block pair of a bucket: two blocks of its members, or twice the same."""
+    """The rows of one block pair of a bucket (two blocks of its members, or twice the same), or those of many small ones.
+
+    ``sizes``: rows of each.
+    """
 
-    def __init__(self, table, settings: Settings) -> None:
-        self.table, self.settings = table, settings
-        for name in ("rep", "comp", "n", "chunk"):
+    def __init__(self, table, settings: Settings, sizes: list[int]) -> None:
+        self.table, self.settings, self.sizes = table, settings, np.array(sizes)
+        for name in ("rep", "comp", "n", "chunk", "band", "i", "j"):
             setattr(self, name, table.column(name).to_numpy())
-        self.band, self.i, self.j = (table.column(c)[0].as_py() for c in ("band", "i", "j"))
         self.sketch, self.bands = (table.column(c).combine_chunks().flatten().to_numpy().reshape(len(self.rep), -1) for c in ("sketch", "bands"))
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions of members of different components that may reach the limit and share no earlier bucket."""
-        s, same = self.settings, self.i == self.j
-        left, right = np.flatnonzero(self.chunk == self.i), np.flatnonzero(self.chunk == self.j)
+        return self._in_small() if self.sizes.max() <= SMALL else self._in_blocks()
+
+    def _in_small(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        s, here = self.settings, np.arange(len(self.rep))
+        after = np.repeat(np.cumsum(self.sizes), self.sizes) - here - 1
+        a, b = np.repeat(here, after), sh.spread(here + 1, after)
+        near = (self.comp[a] != self.comp[b]) & ((self.i[a] == self.j[a]) | (self.chunk[a] != self.chunk[b]))
+        near &= s.den * np.minimum(self.n[a], self.n[b]) >= s.num * np.maximum(self.n[a], self.n[b])
+        a, b = a[near], b[near]
+        for part in range(0, len(a), 65536):
+            x, y = a[part : part + 65536], b[part : part + 65536]
+            keep = np.bitwise_count(self.sketch[x] ^ self.sketch[y]).sum(axis=1) <= s.max_ones
+            x, y = x[keep], y[keep]
+            earlier = np.arange(self.bands.shape[1]) < self.band[x, None]
+            first = ~((self.bands[x] == self.bands[y]) & earlier).any(axis=1)
+            if first.any():
+                yield x[first], y[first]
+
+    def _in_blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        s, band, i, j = self.settings, int(self.band[0]), self.i[0], self.j[0]
+        same, left, right = i == j, np.flatnonzero(self.chunk == i), np.flatnonzero(self.chunk == j)
         for at in range(0, len(left), 128):
             x = left[at : at + 128]
             near = self.comp[x, None] != self.comp[None, right]
@@ -133,7 +158,7 @@ class _Group:
                 a, b = x[row[part : part + 65536]], right[col[part : part + 65536]]
                 keep = np.bitwise_count(self.sketch[a] ^ self.sketch[b]).sum(axis=1) <= s.max_ones
                 a, b = a[keep], b[keep]
-                first = ~(self.bands[a, : self.band] == self.bands[b, : self.band]).any(axis=1)
+                first = ~(self.bands[a, :band] == self.bands[b, :band]).any(axis=1)
                 if first.any():
                     yield a[first], b[first]
 
@@ -153,8 +178,10 @@ class _Group:
 
         out = []
         for xs, ys in self.pairs():
-            for x in np.unique(xs).tolist():
-                others = [y for y in ys[xs == x].tolist() if find(int(self.comp[x])) != find(int(self.comp[y]))]
+            order = np.argsort(xs, kind="stable")
+            each, start = np.unique(xs[order], return_index=True)
+            for x, partners in zip(each.tolist(), np.split(ys[order], start[1:])):
+                others = [y for y in partners.tolist() if find(int(self.comp[x])) != find(int(self.comp[y]))]
                 if not others:
                     continue
                 own = places[bounds[x] : bounds[x + 1]]
@@ -171,8 +198,24 @@ class _Group:
 
 
 def _groups(batches: Iterator, settings: Settings) -> Iterator[_Group]:
-    """The block pairs of rows sorted by (key, i, j)."""
+    """The block pairs of rows sorted by (key, i, j), small ones together."""
     import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def runs(table, cuts: list[int]) -> Iterator[_Group]:
+        ends = np.zeros(table.num_rows + 1, np.int64)
+        if "text" in table.column_names:
+            ends[1:] = np.cumsum(pc.fill_null(pc.binary_length(table.column("text")), 0).to_numpy())
+        begin, sizes = 0, []
+        for a, b in zip(cuts, cuts[1:]):
+            if sizes and (max(b - a, sizes[-1]) > SMALL or b - begin > RUN_ROWS or ends[b] - ends[begin] > RUN_BYTES):
+                yield _Group(table.slice(begin, a - begin), settings, sizes)
+                sizes = []
+            if not sizes:
+                begin = a
+            sizes.append(b - a)
+        if sizes:
+            yield _Group(table.slice(begin, cuts[-1] - begin), settings, sizes)
 
     held = None
     for batch in batches:
@@ -182,12 +225,10 @@ def _groups(batches: Iterator, settings: Settings) -> Iterator[_Group]:
             continue
         where = [table.column(c).to_numpy() for c in ("key", "i", "j")]
         cuts = [0, *(np.flatnonzero(np.logical_or.reduce([np.diff(w) != 0 for w in where])) + 1).tolist()]
-        for a, b in zip(cuts, cuts[1:]):
-            if b - a > 1:
-                yield _Group(table.slice(a, b - a), settings)
+        yield from runs(table, cuts)
         held = table.slice(cuts[-1])
     if held is not None and held.num_rows > 1:
-        yield _Group(held, settings)
+        yield _Group(held, settings, [held.num_rows])
 
 
 def _unsure(settings: Settings):

@@ -115,7 +115,10 @@ def _units(s: Settings):
 
         def made(batch, offsets, window: bool, words, grams, starts, ends, first, begin, size) -> pa.RecordBatch:
             near = s.near(window)
-            rep, check = sh.sequence_hashes(words, begin, size), sh.sequence_hashes(words, begin, size, 1)
+            if window:
+                rep, check = (sh.equal_sequence_hashes(words, begin, s.window_words, salt) for salt in (0, 1))
+            else:
+                rep, check = (sh.sequence_hashes(words, begin, size, salt) for salt in (0, 1))
             one = np.arange(len(rep)) if window else np.sort(np.unique(rep, return_index=True)[1])
             count = size[one] - s.words + 1
             bounds = np.concatenate([[0], np.cumsum(count)])

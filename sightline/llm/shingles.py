@@ -129,6 +129,14 @@ def sequence_hashes(words: np.ndarray, first: np.ndarray, size: np.ndarray, salt
     return mix(np.add.reduceat(value, np.cumsum(size) - size) + size.astype(np.uint64) * _LENGTH)
 
 
+def equal_sequence_hashes(words: np.ndarray, first: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
+    """``sequence_hashes`` of runs of one size; a word that stands in several runs is mixed once."""
+    own, value = mix(words + _U(salt)), np.zeros(len(first), np.uint64)
+    for j in range(size):
+        value += mix(own[first + j] + _U((j + 1) * int(_PLACE) & (2**64 - 1)))
+    return mix(value + _U(size * int(_LENGTH) & (2**64 - 1)))
+
+
 def _weights(k: int) -> list[np.uint64]:
     return [_U((0xD6E8FEB86659FD93 * (2 * j + 1)) & (2**64 - 1) | 1) for j in range(k)]
 

@@ -327,6 +327,44 @@ def test_pipeline_of_edges(spark, edges, empty):
     assert len(last) == len(rows) and all(r.round_trip for r in last) and sum(r.n_pieces == 0 for r in last) == 2
 
 
+def _block_pairs(rng, s, groups):
+    """Sorted rows of block pairs: near copies of one of a few texts; some are of two different blocks."""
+    import pyarrow as pa
+
+    texts = []
+    for k in range(60):
+        w = prose(k % 12, 30).split()
+        w[rng.randrange(30)] = f"new{k}"
+        texts.append(" ".join(w))
+    batch = pa.record_batch([pa.array(range(60), pa.int64()), pa.array(texts)], names=["rep", "text"])
+    info = pa.Table.from_batches(near_dup.sign(s)([batch])).to_pylist()
+    rows = []
+    for key in range(groups):
+        i, j = rng.choice([(0, 0), (0, 1)])
+        for rep in sorted(rng.sample(range(60), rng.choice([2, 3, 4, 30]))):
+            rows.append({"key": key, "band": key % 3, "i": i, "j": j, "chunk": rng.choice([i, j]), "rep": rep, "comp": rep % 50} | {c: info[rep][c] for c in ("n", "sketch", "bands")} | {"text": texts[rep]})
+    schema = pa.schema([("key", pa.int64()), ("band", pa.int32())] + [(c, pa.int64()) for c in ("i", "j", "chunk", "rep", "comp", "n")] + [("sketch", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())), ("text", pa.string())])
+    return pa.Table.from_pylist(rows, schema)
+
+
+def test_small_block_pairs_are_compared_together(monkeypatch):
+    """The same rows are unsure and the same components are linked as one by one, in few calls."""
+    rng, s = random.Random(13), near_dup.Settings(bands=7, rows=2)
+    table = _block_pairs(rng, s, 300)
+    batches = table.to_batches(max_chunksize=500)
+
+    def outcome():
+        unsure = sorted((r["key"], r["rep"]) for b in near_dup._unsure(s)(iter(batches)) for r in b.to_pylist())
+        links = [(r["a"] % 50, r["b"] % 50) for b in near_dup._settle(s)(iter(batches)) for r in b.to_pylist()]
+        return unsure, find_roots(links, range(50)), len(list(near_dup._groups(iter(batches), s)))
+
+    together = outcome()
+    monkeypatch.setattr(near_dup, "SMALL", 1)
+    alone = outcome()
+    assert together[:2] == alone[:2] and len(together[0]) > 100 and len(set(together[1].values())) < 50
+    assert together[2] < 30 and alone[2] == 300
+
+
 def test_windows_are_joined_alike_at_every_size(spark, monkeypatch):
     """Keys and classes of windows are never offered to a broadcast that only small inputs pass; without any, rows are the same."""
     rng = random.Random(12)
